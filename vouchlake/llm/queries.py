@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .piecebpe import op6_pieces
 from .quality import op10_quality
 from .toxicity import op4_toxicity
 
@@ -13,6 +14,7 @@ from .toxicity import op4_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_toxicity": op4_toxicity,
+        "op6_pieces": op6_pieces,
         "op10_quality": op10_quality,
     }
 

@@ -30,3 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/vouchlake-{name}-{uuid.uuid4().hex}"
+
+
+def worker_cache(key: str, make):
+    """make() once in the life of a Python worker; later tasks of that worker find it."""
+    import sys
+    import types
+
+    name = "_vouchlake_worker_cache"
+    store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
