@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op5_packing
 from .piecebpe import op6_pieces
 from .quality import op10_quality
+from .tokenout import op2_token_output
 from .toxicity import op4_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_output": op2_token_output,
         "op4_toxicity": op4_toxicity,
+        "op5_packing": op5_packing,
         "op6_pieces": op6_pieces,
         "op10_quality": op10_quality,
     }
