@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .neardup import op1_neardup
 from .packing import op5_packing
 from .piecebpe import op6_pieces
 from .quality import op10_quality
@@ -15,6 +16,7 @@ from .toxicity import op4_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neardup": op1_neardup,
         "op2_token_output": op2_token_output,
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
