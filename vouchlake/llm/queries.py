@@ -12,6 +12,7 @@ from .piecebpe import op6_pieces
 from .quality import op10_quality
 from .tokenout import op2_token_output
 from .toxicity import op4_toxicity
+from .vafile import OP9_SQL, op9_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_pieces": op6_pieces,
+        "op9_topk": op9_topk,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_topk": OP9_SQL}
