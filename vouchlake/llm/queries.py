@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .media import op7_media
 from .neardup import op1_neardup
 from .packing import op5_packing
 from .piecebpe import op6_pieces
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_pieces": op6_pieces,
+        "op7_media": op7_media,
         "op9_topk": op9_topk,
         "op10_quality": op10_quality,
     }
