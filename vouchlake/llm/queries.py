@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .htmlcrf import op3_html
 from .media import op7_media
 from .neardup import op1_neardup
 from .packing import op5_packing
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_neardup": op1_neardup,
         "op2_token_output": op2_token_output,
+        "op3_html": op3_html,
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_pieces": op6_pieces,
