@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .compaction import OP8_SQL, op8_sharding
 from .htmlcrf import op3_html
 from .media import op7_media
 from .neardup import op1_neardup
@@ -26,10 +27,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_pieces": op6_pieces,
         "op7_media": op7_media,
+        "op8_sharding": op8_sharding,
         "op9_topk": op9_topk,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL}
+    return {"op8_sharding": OP8_SQL, "op9_topk": OP9_SQL}
