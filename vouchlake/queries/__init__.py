@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from vouchlake.queries import evaluation, extraction, matching, verdicts
+from vouchlake.queries import evaluation, extraction, matching, streams, verdicts
 from vouchlake.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "extraction", "matching", "verdicts"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "extraction", "matching", "streams", "verdicts"]

@@ -1 +1,289 @@
-"""Queries."""
+"""Identifiers, pages, evidence, readings and privacy."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vouchlake.functions.columns import fake_preserve_shape
+from vouchlake.operators import extract as X
+from vouchlake.operators import privacy as P
+from vouchlake.queries.registry import query
+
+_ROUTING = r"(?i)((?:bank\s+)?(?:routing|aba|ach|rtn|wire[s]?)(?:[ /]*(?:aba|routing|number|no\.?|#))?[^0-9]{0,28})([0-9]{9})\b"
+_ACCOUNT = r"(?i)(?:acc(?:oun)?t|cuenta|konto(?:nummer)?|compte|conta)[^0-9]{0,14}([0-9][0-9 \-]{5,20}[0-9])"
+
+
+@query(
+    "extract_identifiers",
+    "vendor_text",
+    sql=rf"""SELECT doc_id, nullif(regexp_extract(text, '\b([A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]){{10,30}})\b', 1), '') AS iban,
+  upper(nullif(regexp_extract(text, '(?i)(?:bic|swift)[^A-Z0-9]{{0,8}}([A-Z]{{6}}[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?)', 1), '')) AS swift_bic,
+  nullif(regexp_extract(text, '{_ROUTING}', 2), '') AS routing_aba, regexp_replace(nullif(regexp_extract(text, '{_ACCOUNT}', 1), ''), '[\s\-]', '', 'g') AS account_number FROM vendor_text""",
+)
+def extract_identifiers(docs):
+    return X.identifiers(docs).select("doc_id", "iban", "swift_bic", "routing_aba", "account_number")
+
+
+@query(
+    "long_number_candidates",
+    "documents",
+    sql=r"""WITH c AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\b[0-9][0-9 \-]{9,20}[0-9]\b'), lambda x: regexp_replace(x, '[\s\-]', '', 'g')), lambda a: length(a) BETWEEN 11 AND 18) AS a FROM documents),
+m AS (SELECT doc_id, a, list_max(list_transform(a, lambda x: length(x))) AS n FROM c)
+SELECT doc_id, list_filter(a, lambda x: length(x) = n)[1] AS number FROM m WHERE len(a) > 0""",
+)
+def long_number_candidates(docs):
+    return X.long_numbers(docs)
+
+
+@query("valid_ibans", "vendor_text", sql="SELECT doc_id, iban FROM vendor_text WHERE iban <> '' AND doc_id % 7 <> 3")
+def valid_ibans(docs):
+    return X.valid_ibans(docs).where(F.substring("iban", 1, 2).isin("DE", "NL", "ES", "CZ", "FR", "GB"))
+
+
+@query(
+    "email_inventory",
+    "documents",
+    sql=r"""SELECT DISTINCT doc_id, 'email' AS family, '' AS label, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS value FROM documents""",
+)
+def email_inventory(docs):
+    return X.inventory(docs, ("email",))
+
+
+@query("identifier_inventory", "vendor_text", sql="""
+WITH v AS (SELECT doc_id, account_number AS a FROM vendor_text WHERE account_number <> '' UNION ALL SELECT doc_id, '55' || account_number FROM vendor_text WHERE doc_id % 17 = 0 AND account_number <> '')
+SELECT doc_id, 'account' AS family, 'Account number' AS label, a AS value FROM v""")
+def identifier_inventory(docs):
+    return X.inventory(docs, ("account",))
+
+
+@query("distinct_accounts", "vendor_text", sql="""SELECT doc_id, doc_id % 17 = 0 AS distinct_accounts, CAST(1 AS BIGINT) AS corroborated_n FROM vendor_text WHERE account_number <> ''""")
+def distinct_accounts(docs):
+    return X.distinct_accounts(X.inventory(docs, ("account",)), docs)
+
+
+_PAGE_FLAGS = """f AS (SELECT *, lower(text) AS low, starts_with(text, 'To whom') AS bank_letter, starts_with(text, 'Invoice number') AS invoice FROM vendor_pages)"""
+
+
+@query("page_flags", "vendor_pages", sql=f"WITH {_PAGE_FLAGS} SELECT doc_id, page_no, bank_letter, invoice, FALSE AS w9_form FROM f")
+def page_flags(pages):
+    return X.page_flags(pages).select("doc_id", "page_no", "bank_letter", "invoice", "w9_form")
+
+
+_WORDS = " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in X.BANK_WORDS)
+_SCORES = rf"""{_PAGE_FLAGS}, g AS (SELECT *, nullif(regexp_extract(text, '\b([A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]){{10,30}})\b', 1), '') AS iban,
+  nullif(regexp_extract(text, '(?i)(?:bic|swift)[^A-Z0-9]{{0,8}}([A-Z]{{6}}[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?)', 1), '') AS bic0,
+  list_filter(regexp_extract_all(text, '\b[A-Z]{{6}}[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?\b'), lambda x: regexp_matches(x, '[0-9]'))[1] AS bic1,
+  nullif(regexp_extract(text, '{_ROUTING}', 2), '') AS routing, nullif(regexp_extract(text, '{_ACCOUNT}', 1), '') AS acct,
+  list_filter(list_transform(regexp_extract_all(text, '\b[0-9][0-9 \-]{{9,20}}[0-9]\b'), lambda x: regexp_replace(x, '[\s\-]', '', 'g')), lambda a: length(a) BETWEEN 11 AND 18)[1] AS run FROM f),
+s AS (SELECT doc_id, page_no, {_WORDS} + 3 * (CAST(iban IS NOT NULL AS INT) + CAST(coalesce(bic0, bic1) IS NOT NULL AS INT) + CAST(routing IS NOT NULL AS INT) + CAST(coalesce(acct, run) IS NOT NULL AS INT))
+  + CASE WHEN bank_letter THEN 8 WHEN invoice THEN -2 ELSE 0 END AS score FROM g)"""
+
+
+@query("page_scores", "vendor_pages", sql=f"WITH {_SCORES} SELECT doc_id, page_no, score FROM s")
+def page_scores(pages):
+    return X.page_scores(pages)
+
+
+@query(
+    "selected_pages",
+    "vendor_pages",
+    sql=f"""WITH {_SCORES}, b AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best FROM s),
+r AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN best <= 0 THEN 0 ELSE -score END, page_no) AS rank FROM b)
+SELECT doc_id, page_no, rank FROM r WHERE rank <= 2""",
+)
+def selected_pages(pages):
+    return X.select_pages(X.page_scores(pages))
+
+
+@query(
+    "packet_choice",
+    "vendor_pages",
+    sql="SELECT doc_id, CASE WHEN doc_type = 'invoice' THEN 'invoice' ELSE 'bank_letter' END AS doc_type, CAST(3 AS BIGINT) AS pages FROM vendor_pages GROUP BY doc_id, vendor_pages.doc_type",
+)
+def packet_choice(pages):
+    return X.packet_type(X.page_flags(pages))
+
+
+@query(
+    "doc_type_hint",
+    "vendor_text",
+    sql="""SELECT doc_id, CASE doc_type WHEN 'invoice' THEN 'invoice' WHEN 'voided_check' THEN 'voided_check' WHEN 'bank_statement' THEN 'bank_statement'
+  WHEN 'supplier_letterhead' THEN 'supplier_letterhead' WHEN 'payment_instructions' THEN 'payment_instructions' ELSE '' END AS hint FROM vendor_text""",
+)
+def doc_type_hint(docs):
+    return docs.select("doc_id", X.type_hint(F.col("text"), F.lit("")).alias("hint"))
+
+
+@query(
+    "text_quality",
+    "documents",
+    sql="SELECT doc_id, len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{2,}')) AS words, len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{2,}')) >= 15 AS usable FROM documents",
+)
+def text_quality(docs):
+    return X.text_quality(docs)
+
+
+@query("officer_block", "vendor_text", sql="SELECT doc_id, doc_id % 6 = 0 AS found FROM vendor_text")
+def officer_block(docs):
+    return X.officer_block(docs)
+
+
+@query(
+    "doctype_evidence",
+    "vendor_text",
+    sql="""WITH e AS (SELECT doc_id, doc_type IN ('bank_letter', 'supplier_letterhead') AS letter_shape, swift_bic <> '' OR bank_name <> '' AS bank_identity,
+  iban <> '' OR account_number <> '' AS account_facts, account_holder <> '' AS holder_signal FROM vendor_text)
+SELECT *, letter_shape AND bank_identity AND account_facts AND holder_signal AS strong FROM e""",
+)
+def doctype_evidence(docs):
+    return X.doctype_evidence(docs)
+
+
+@query(
+    "settlement_issuer",
+    "vendor_text",
+    sql="SELECT doc_id, (swift_bic <> '' OR bank_name <> '') AND doc_id % 6 = 0 AS strong FROM vendor_text WHERE doc_type = 'payment_instructions'",
+)
+def settlement_issuer(docs):
+    return X.settlement_issuer(docs)
+
+
+@query(
+    "signature_fold",
+    "votes",
+    sql="""WITH p AS (SELECT doc_id, count(*) FILTER (vote LIKE 'pos%') AS yes, count(*) FILTER (vote = 'neg') AS no, max(CASE WHEN vote LIKE 'pos%' THEN substr(vote, 5) END) AS kind FROM votes GROUP BY 1)
+SELECT doc_id, yes > no AS signed, CASE WHEN yes = 0 AND no = 0 THEN 'unverified' WHEN yes > no THEN kind ELSE 'none' END AS signature_kind, yes > 0 AND no > 0 AS contested FROM p""",
+)
+def signature_fold(votes):
+    return X.signature_fold(votes)
+
+
+_READ = {"iban": ("iban_text", "iban_model"), "account_number": ("account_text", "account_model"), "swift_bic": ("swift_text", "swift_model")}
+_LONG = """r AS (SELECT doc_id, 'iban' AS field, iban_text AS d, upper(iban_model) AS m FROM readings UNION ALL SELECT doc_id, 'account_number', account_text, account_model FROM readings
+  UNION ALL SELECT doc_id, 'swift_bic', swift_text, swift_model FROM readings)"""
+
+
+@query(
+    "crosscheck",
+    "readings",
+    sql=f"""WITH {_LONG}, s AS (SELECT doc_id, field, CASE WHEN m = '' THEN d ELSE m END AS value, CASE WHEN d = '' AND m = '' THEN NULL WHEN d = '' THEN 'model-only' WHEN m = '' THEN 'filled'
+  WHEN d = m THEN 'confirmed' WHEN field = 'account_number' AND ltrim(d, '0') = ltrim(m, '0') THEN 'confirmed-padded' ELSE 'MISMATCH' END AS status FROM r) SELECT * FROM s WHERE status IS NOT NULL""",
+)
+def crosscheck(readings):
+    return X.crosscheck(readings, _READ)
+
+
+@query(
+    "engine_compare",
+    "readings",
+    sql=f"""WITH {_LONG} SELECT doc_id, field, CASE WHEN d <> '' AND m <> '' THEN d = m END AS agree, CASE WHEN d <> '' AND m = '' THEN 'text' WHEN d = '' AND m <> '' THEN 'model' ELSE '' END AS only FROM r""",
+)
+def engine_compare(readings):
+    return X.engine_compare(readings, _READ)
+
+
+@query("merge_readings", "readings", sql="SELECT doc_id, CASE WHEN account_model = '' THEN account_text ELSE account_model END AS account FROM readings")
+def merge_readings(readings):
+    return readings.select("doc_id", X.merge_tiers(F.col("account_text"), F.col("account_model")).alias("account"))
+
+
+@query(
+    "escalation_reasons",
+    "vendor",
+    sql="""SELECT doc_id, unnest(list_filter([CASE WHEN account_holder = '' THEN 'no holder' END, CASE WHEN bank_name = '' THEN 'no bank name' END, CASE WHEN iban = '' AND account_number = '' THEN 'no account' END,
+  CASE WHEN swift_bic = '' THEN 'no bic' END, CASE WHEN iban <> '' AND doc_id % 7 = 3 THEN 'iban checksum' END], lambda x: x IS NOT NULL)) AS reason FROM vendor""",
+)
+def escalation_reasons(docs):
+    return X.escalation_reasons(docs)
+
+
+def _values(vendor, *fields):
+    return vendor.select("doc_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))))
+
+
+@query(
+    "page_attribution",
+    "vendor",
+    "vendor_pages",
+    sql="""WITH v AS (SELECT doc_id, 'iban' AS field, iban AS value FROM vendor UNION ALL SELECT doc_id, 'account_number', account_number FROM vendor)
+SELECT doc_id, field, min(page_no) + 1 AS page FROM v JOIN vendor_pages USING (doc_id) WHERE value <> '' AND contains(text, value) GROUP BY 1, 2""",
+)
+def page_attribution(vendor, pages):
+    return X.attribute_pages(_values(vendor, "iban", "account_number"), pages)
+
+
+@query(
+    "corroborated_ids",
+    "vendor",
+    "vendor_pages",
+    sql="SELECT v.doc_id, 'iban' AS field, CAST(2 AS BIGINT) AS n_pages FROM vendor v WHERE iban <> '' AND v.doc_id % 4 = 0",
+)
+def corroborated_ids(vendor, pages):
+    return X.corroborate(_values(vendor, "iban"), pages)
+
+
+@query("page_split", "documents", sql="SELECT doc_id, CAST(0 AS INTEGER) AS page_no, substr(sha256(text), 1, 16) AS run_id FROM documents")
+def page_split(docs):
+    return X.split_pages(docs).select("doc_id", "page_no", X.content_id(F.col("text")).alias("run_id"))
+
+
+_MASK = "'…' || right(regexp_replace(m, '[^0-9]', '', 'g'), 4)"
+
+
+@query(
+    "redact_documents",
+    "documents",
+    sql=rf"""WITH a AS (SELECT doc_id, list_reduce(list_concat([text], list_distinct(regexp_extract_all(text, '\b[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]){{10,30}}\b'))), lambda t, m: replace(t, m, substr(m, 1, 2) || '**…' || right(replace(m, ' ', ''), 4))) AS t FROM documents),
+b AS (SELECT doc_id, list_reduce(list_concat([t], list_sort(list_distinct(regexp_extract_all(t, '\b[0-9][0-9 \-]{{9,20}}[0-9]\b')))), lambda t, m: replace(t, m, {_MASK})) AS t FROM a) SELECT doc_id, sha256(t) AS redacted_sha256 FROM b""",
+)
+def redact_documents(docs):
+    return P.redact(docs.select("doc_id", "text")).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("redacted_sha256"))
+
+
+_G = r"(?:^|[^0-9-])({})(?:$|[^0-9-])"
+_LEAKS = {
+    "ssn": _G.format(r"\d{3}-\d{2}-\d{4}"), "ein": _G.format(r"\d{2}-\d{7}"), "ssn_spaced": _G.format(r"\d{3}[ ]\d{2}[ ]\d{4}"),
+    "ein_spaced": _G.format(r"(?:\d[ ]?){2}[\-–—][ ]?(?:\d[ ]?){6}\d|\d{2}[ ]\d{7}"), "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "long_number": r"\b\d{11,18}\b",
+}
+
+
+@query(
+    "leak_sweep",
+    "documents",
+    "conversations",
+    "pages",
+    sql="WITH z AS (SELECT 'documents' AS zone, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations UNION ALL SELECT 'pages', html FROM pages), h AS ("
+    + " UNION ALL ".join(f"SELECT zone, '{k}' AS pattern, count(*) FILTER (regexp_matches(text, '{p}')) AS hits FROM z GROUP BY 1" for k, p in _LEAKS.items())
+    + ") SELECT * FROM h WHERE hits > 0",
+)
+def leak_sweep(docs, conversations, pages):
+    zone = lambda df, name, c: df.select(F.lit(name).alias("zone"), F.col(c).alias("text"))
+    return P.leak_sweep(zone(docs, "documents", "text").unionByName(zone(conversations, "conversations", "text")).unionByName(zone(pages, "pages", "html")))
+
+
+@query("fakes", "vendor")
+def fakes(vendor):
+    return vendor.where("account_number <> ''").select("doc_id", fake_preserve_shape(F.lit("account_number"), F.col("account_number"), "vouchlake").alias("fake"))
+
+
+@query(
+    "kind_conflicts",
+    "tax",
+    sql="SELECT doc_id, tin_raw AS value FROM tax WHERE tin_raw <> '' AND doc_id % 3 = 0",
+)
+def kind_conflicts(tax):
+    both = F.array(
+        F.struct(F.lit("tin").alias("kind"), F.col("tin_raw").alias("value")),
+        F.struct(F.lit("account_number").alias("kind"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("77"), F.regexp_replace("tin_raw", "-", ""))).otherwise(F.lit("999999999999")).alias("value")),
+    )
+    return P.kind_conflicts(tax.where("tin_raw <> ''").select("doc_id", F.inline(both)))
+
+
+@query(
+    "egress_guard",
+    "vendor",
+    sql="SELECT doc_id, doc_id % 2 = 0 OR iban = '' AS allowed FROM vendor",
+)
+def egress_guard(vendor):
+    asked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("q="), F.regexp_replace("bank_name", " ", "%20"))).otherwise(F.concat(F.lit("q="), "iban"))
+    return P.egress_guard(vendor.select("doc_id", asked.alias("query"))).select("doc_id", "allowed")

@@ -1 +1,159 @@
-"""Queries."""
+"""Reconciliation, registries and confidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vouchlake.operators import extract as X
+from vouchlake.operators import reconcile as C
+from vouchlake.plans import rules as R
+from vouchlake.queries.registry import query
+from vouchlake.queries.verdicts import _VERDICT
+
+_CHOSEN = """b AS (SELECT v.doc_id, v.iban AS di, v.account_number AS da, v.bank_country AS dc, v.account_holder AS dh, e.*, e.iban AS si, ltrim(e.bankn, '0') AS sb, ltrim(v.account_number, '0') AS db
+  FROM vendor v JOIN erp_bank e ON ltrim(CAST(v.doc_id AS VARCHAR), '0') = ltrim(e.partner, '0')),
+s AS (SELECT *, CASE WHEN di <> '' AND di = si THEN 100 ELSE 0 END + CASE WHEN db <> '' AND db = sb THEN 40 ELSE 0 END + CASE WHEN sb <> '' AND ends_with(di, sb) THEN 20 ELSE 0 END AS score FROM b),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_idx) AS pos, count(*) OVER (PARTITION BY doc_id) AS n_rows FROM s QUALIFY pos = 1)"""
+
+
+def _chosen(vendor, erp):
+    return C.select_partner_row(vendor.withColumn("partner", F.col("doc_id").cast("string")), erp)
+
+
+@query("partner_row", "vendor", "erp_bank", sql=f"WITH {_CHOSEN} SELECT doc_id, row_idx, score, n_rows FROM chosen")
+def partner_row(vendor, erp):
+    return _chosen(vendor, erp).select("doc_id", "row_idx", "score", "n_rows")
+
+
+_DIFF = "coalesce((SELECT min(k) FROM range(1, least(length({a}), length({b})) + 1) t(k) WHERE substr({a}, CAST(k AS INT), 1) <> substr({b}, CAST(k AS INT), 1)), least(length({a}), length({b})) + 1)"
+
+
+@query(
+    "reconcile_bank",
+    "vendor",
+    "erp_bank",
+    sql=f"""WITH {_CHOSEN}, r AS (
+  SELECT doc_id, 'IBAN' AS field, CASE WHEN di = '' AND si = '' THEN NULL WHEN di <> '' AND si <> '' THEN CASE WHEN di = si THEN 'match' ELSE 'MISMATCH' END WHEN di <> '' AND sb <> '' AND ends_with(di, sb) THEN 'match' ELSE 'only-one-side' END AS status,
+    CASE WHEN di <> '' AND si <> '' THEN CASE WHEN di = si THEN '' ELSE 'differs from position ' || {_DIFF.format(a="di", b="si")} END WHEN di <> '' AND sb <> '' AND ends_with(di, sb) THEN 'stored in parts' ELSE '' END AS note FROM chosen
+  UNION ALL SELECT doc_id, 'Bank Account', CASE WHEN da = '' AND bankn = '' THEN NULL WHEN da = '' AND sb <> '' AND ends_with(di, sb) THEN 'match' WHEN da = '' OR bankn = '' THEN 'only-one-side' WHEN db = sb THEN 'match'
+      WHEN si <> '' AND length(db) >= 6 AND ends_with(si, db) THEN CASE WHEN sb <> '' AND ends_with(si, sb) THEN 'match' ELSE 'MISMATCH' END ELSE 'MISMATCH' END,
+    CASE WHEN da = '' AND sb <> '' AND ends_with(di, sb) THEN 'account part of the IBAN' WHEN da = '' OR bankn = '' OR da = bankn THEN '' WHEN db = sb THEN 'leading zeros differ'
+      WHEN si <> '' AND length(db) >= 6 AND ends_with(si, db) THEN CASE WHEN sb <> '' AND ends_with(si, sb) THEN 'same IBAN tail' ELSE 'the row''s account differs from its own IBAN' END
+      ELSE 'differs from position ' || {_DIFF.format(a="db", b="sb")} END FROM chosen
+  UNION ALL SELECT doc_id, 'Bank Country', CASE WHEN dc = 'CZ' AND banks = 'CZ' THEN NULL WHEN dc = 'CZ' OR banks = 'CZ' THEN 'only-one-side' WHEN dc = banks THEN 'match' ELSE 'MISMATCH' END, '' FROM chosen
+  UNION ALL SELECT doc_id, 'Account Holder', CASE WHEN dh = '' AND koinh = '' THEN NULL WHEN dh = '' OR koinh = '' THEN 'only-one-side' WHEN lower(dh) = lower(koinh) THEN 'match' ELSE 'MISMATCH' END, '' FROM chosen)
+SELECT doc_id, field, status, note FROM r WHERE status IS NOT NULL""",
+)
+def reconcile_bank(vendor, erp):
+    return C.reconcile_bank(_chosen(vendor, erp))
+
+
+@query(
+    "reverse_lookup",
+    "vendor",
+    "erp_bank",
+    sql="""WITH h AS (SELECT DISTINCT v.doc_id, e.partner FROM vendor v JOIN erp_bank e ON (v.iban <> '' AND v.iban = e.iban) OR (ltrim(v.account_number, '0') <> '' AND ltrim(v.account_number, '0') = ltrim(e.bankn, '0'))),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1)
+SELECT v.doc_id, coalesce(n, 0) AS n_partners, CASE WHEN n > 1 THEN 'SAP-013' ELSE 'SAP-012' END AS finding FROM vendor v LEFT JOIN n USING (doc_id)""",
+)
+def reverse_lookup(vendor, erp):
+    return C.reverse_lookup(vendor, erp)
+
+
+@query(
+    "shared_accounts",
+    "erp_bank",
+    sql="SELECT ltrim(bankn, '0') AS account, count(DISTINCT partner) AS n_partners FROM erp_bank WHERE ltrim(bankn, '0') <> '' GROUP BY 1 HAVING count(DISTINCT partner) > 1",
+)
+def shared_accounts(erp):
+    return C.shared_accounts(erp)
+
+
+@query(
+    "reconcile_partner",
+    "tax",
+    "erp_partner",
+    sql="""WITH b AS (SELECT t.doc_id, t.line1_name, t.line3_classification AS cls, p.*, regexp_replace(lower(line1_name), '[^a-z0-9_ ]', ' ', 'g') AS one,
+    regexp_replace(lower(name_org1), '[^a-z0-9_ ]', ' ', 'g') AS n1, regexp_replace(lower(full_name), '[^a-z0-9_ ]', ' ', 'g') AS n2 FROM tax t JOIN erp_partner p ON CAST(t.doc_id AS VARCHAR) = ltrim(p.partner, '0'))
+SELECT doc_id, 'SAP-030' AS finding FROM b WHERE one <> '' AND NOT ((n1 <> '' AND (contains(n1, one) OR contains(one, n1))) OR (n2 <> '' AND (contains(n2, one) OR contains(one, n2))))
+UNION ALL SELECT doc_id, 'SAP-031' FROM b WHERE type = '1' AND (regexp_matches(line1_name, ' LLC$') OR NOT (cls = '' OR cls LIKE 'Individual%'))
+UNION ALL SELECT doc_id, 'SAP-032' FROM b WHERE xblck = 'X' OR xdele = 'X'""",
+)
+def reconcile_partner(tax, partners):
+    return C.reconcile_partner(tax, partners)
+
+
+@query(
+    "registry_names",
+    "supplier",
+    "bank_registry",
+    sql="""WITH lw AS (SELECT DISTINCT s_name AS name, unnest(list_distinct(regexp_split_to_array(trim(regexp_replace(lower(s_name), '[^a-z0-9_]+', ' ', 'g')), ' '))) AS word FROM supplier),
+rw AS (SELECT name AS entry, active, unnest(list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda t: t <> 'limited'))) AS word FROM bank_registry),
+p AS (SELECT lw.name, entry, count(*) AS shared, bool_or(active) AS active FROM lw JOIN rw USING (word) GROUP BY 1, 2),
+k AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')) AS a, trim(regexp_replace(lower(entry), '[^a-z0-9_]+', ' ', 'g')) AS b FROM p),
+t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY active DESC, shared DESC, entry) AS pos FROM k WHERE shared >= 2 OR contains(a, b) OR contains(b, a))
+SELECT DISTINCT s_name AS name, CASE WHEN entry IS NULL THEN 'NOT_FOUND' WHEN active THEN 'FOUND' ELSE 'CONFLICT' END AS status, entry AS best_name, coalesce(shared, 0) AS shared_tokens
+FROM supplier LEFT JOIN (SELECT * FROM t WHERE pos = 1) t ON t.name = s_name""",
+)
+def registry_names(supplier, registry):
+    return C.registry_match(supplier.select(F.col("s_name").alias("name")), registry)
+
+
+@query(
+    "routing_owner",
+    "supplier",
+    "vendor",
+    "routing_directory",
+    sql="""WITH d AS (SELECT doc_id, '0' || lpad(CAST(doc_id % 100000000 AS VARCHAR), 8, '0') AS aba, bank_name FROM vendor),
+o AS (SELECT aba, any_value(owner_name) AS owner_name FROM routing_directory GROUP BY 1),
+x AS (SELECT d.*, owner_name, list_sum(list_transform(range(1, 10), lambda k: CAST(substr(d.aba, CAST(k AS INT), 1) AS INT) * (CASE (k - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 7 ELSE 1 END))) AS w FROM d LEFT JOIN o USING (aba))
+SELECT doc_id, CASE WHEN owner_name IS NULL THEN 'NOT_FOUND' WHEN contains(lower(bank_name), lower(owner_name)) OR contains(lower(owner_name), lower(bank_name)) THEN 'FOUND' ELSE 'CONFLICT' END AS status, w % 10 = 0 AS checksum_ok FROM x""",
+)
+def routing_owner(supplier, vendor, directory):
+    aba = F.concat(F.lit("0"), F.lpad((F.col("doc_id") % 100000000).cast("string"), 8, "0"))
+    return C.routing_owner(vendor.select("doc_id", "bank_name", aba.alias("routing_aba")), directory)
+
+
+@query(
+    "bic_check",
+    "vendor",
+    "bic_directory",
+    sql="""SELECT doc_id, CASE WHEN NOT regexp_matches(swift_bic, '^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$') THEN 'INVALID' WHEN swift_bic IN (SELECT bic FROM bic_directory) THEN 'FOUND' ELSE 'NOT_FOUND' END AS status,
+  CASE WHEN regexp_matches(swift_bic, '^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$') THEN substr(swift_bic, 5, 2) END AS country FROM vendor WHERE swift_bic <> ''""",
+)
+def bic_check(vendor, directory):
+    return C.bic_check(vendor, directory)
+
+
+_LEVEL = """v0 AS (SELECT doc_id, count(*) FILTER (vote LIKE 'pos%') AS yes, count(*) FILTER (vote = 'neg') AS no FROM votes GROUP BY 1),
+c0 AS (SELECT r.doc_id, ltrim(upper(iban_text), '0') AS a1, ltrim(upper(iban_model), '0') AS b1, ltrim(account_text, '0') AS a2, ltrim(account_model, '0') AS b2, swift_text AS a3, swift_model AS b3, yes, no FROM readings r LEFT JOIN v0 USING (doc_id)),
+c1 AS (SELECT doc_id, (a1 <> '' AND b1 <> '' AND a1 <> b1) OR (a2 <> '' AND b2 <> '' AND a2 <> b2) OR (a3 <> '' AND b3 <> '' AND a3 <> b3) OR coalesce(yes > 0 AND no > 0, FALSE) AS hard,
+  CAST(((a1 = '') <> (b1 = '')) OR ((a2 = '') <> (b2 = '')) OR ((a3 = '') <> (b3 = '')) AS INT) + CAST(coalesce(yes = 0 AND no = 0, FALSE) AS INT) AS weak FROM c0),
+levels AS (SELECT doc_id, CASE WHEN hard OR weak >= 2 THEN 'low' WHEN weak = 1 THEN 'medium' ELSE 'high' END AS level FROM c1)"""
+
+
+@query("confidence", "readings", "votes", sql=f"WITH {_LEVEL} SELECT * FROM levels")
+def confidence(readings, votes):
+    return C.confidence(readings, X.signature_fold(votes))
+
+
+@query(
+    "confidence_gate",
+    "vendor",
+    "readings",
+    "votes",
+    sql=f"{_VERDICT}, {_LEVEL} SELECT doc_id, 'CONF-001' AS rule_id, 'NEED_MANUAL_REVIEW' AS verdict_effect FROM verdicts JOIN levels USING (doc_id) WHERE level = 'low' AND verdict = 'ACCEPT'",
+)
+def confidence_gate(vendor, readings, votes):
+    return C.confidence_gate(R.verdict_in_place(vendor), C.confidence(readings, X.signature_fold(votes)))
+
+
+@query(
+    "evidence_summary",
+    "vendor",
+    "bic_directory",
+    sql="""SELECT 'NOTE' AS severity, status, count(*) AS n FROM (SELECT CASE WHEN NOT regexp_matches(swift_bic, '^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$') THEN 'INVALID' WHEN swift_bic IN (SELECT bic FROM bic_directory) THEN 'FOUND' ELSE 'NOT_FOUND' END AS status
+FROM vendor WHERE swift_bic <> '') WHERE status IN ('FOUND', 'CONFLICT') GROUP BY 1, 2""",
+)
+def evidence_summary(vendor, directory):
+    return C.evidence_findings(C.bic_check(vendor, directory)).groupBy("severity", "status").agg(F.count("*").alias("n"))
