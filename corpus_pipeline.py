@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vouchlake.llm import neardup, packing, quality, toxicity
 from vouchlake.llm.samples import read_table
-from vouchlake.llm.workspace import fresh_path
+from vouchlake.llm.workspace import bounded_batches, fresh_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    bounded_batches(spark)
     return neardup.keep_first(docs, words=5, numerator=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 1024 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -65,7 +65,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= 40:

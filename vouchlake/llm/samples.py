@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workspace import bounded_batches
+
 
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text, mod `modulus`; a null id counts as empty text."""
@@ -44,4 +46,5 @@ def training_sample(
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

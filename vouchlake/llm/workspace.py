@@ -42,3 +42,12 @@ def worker_cache(key: str, make):
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most 8 MB and 2000 rows, so that a task's memory doesn't depend on their length."""
+    for key, most in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 2000)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
