@@ -30,15 +30,18 @@ ALIASES = {
 
 def load_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(runs, findings) of run folders that hold both files in readable form."""
-    run = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
-    bad = "_corrupt_record"
-    read = lambda name, schema: spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("multiLine", True).json(f"{root}/*/{name}")
-    meta = read("meta.json", META).withColumn("run_id", run).where(F.col(bad).isNull()).drop(bad)
-    found = read("findings.json", FINDING).withColumn("run_id", run)
-    broken = found.where(F.col(bad).isNotNull()).select("run_id").distinct()
-    whole = found.where(F.col(bad).isNull()).drop(bad).join(broken, "run_id", "left_anti")
-    both = meta.join(whole.select("run_id").distinct(), "run_id", "left_semi")
-    return both, whole.where(~blank(F.col("rule_id"))).join(both.select("run_id"), "run_id", "left_semi")
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run_id")
+
+    def parsed(name: str, schema: str) -> DataFrame:
+        files = spark.read.text(f"{root}/*/{name}", wholetext=True)
+        return files.select(run, F.from_json("value", schema).alias("j")).where("j IS NOT NULL")
+
+    fields = lambda schema: ", ".join(c for c in schema.split(", ") if not c.startswith("run_id "))
+    meta = parsed("meta.json", fields(META)).select("run_id", "j.*").where("doc_class IS NOT NULL OR verdict IS NOT NULL")
+    found = parsed("findings.json", "array<struct<" + fields(FINDING).replace(" string", ":string") + ">>")
+    both = meta.join(found.select("run_id"), "run_id", "left_semi")
+    fired = found.join(both.select("run_id"), "run_id", "left_semi").select("run_id", F.inline("j"))
+    return both, fired.where(~blank(F.col("rule_id")))
 
 
 def load_labels(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -14,9 +14,10 @@ from vouchlake.plans.rules import verdict_in_place
 
 
 def read_stream(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
-    """Parquet files as they land; the schema is that of what is there now."""
+    """Parquet files as they land; the schema is that of what is there now. Times without a zone are taken in the session's."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def stream_validate(docs: DataFrame, ts: str = "ts", lateness: str = "1 day") -> DataFrame:
