@@ -44,6 +44,8 @@ from .workspace import cut, worker_cache
 CHUNKS, WIDTH = 12, 4
 POSITIONS, THRESHOLD = CHUNKS * WIDTH, 2 * CHUNKS - 1
 SHINGLE_WORDS, NUMERATOR = 4, 80
+#: Of the bitmap that thins out the candidates' join.
+FILTER_BITS = 1 << 24
 #: Members of a block in the comparison of what the hubs left.
 BLOCK = 512
 
@@ -239,6 +241,24 @@ def describe(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     )
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_id is not wanted, before their texts are shuffled.
+
+    A bitmap over hashes of the wanted ids, of FILTER_BITS bits whatever the table's size,
+    is the only thing broadcast (2 MB at most). Rows that pass by chance, or all rows of a
+    table so large that the bitmap is full, are left to the join that follows.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    marks = (
+        wanted.select(place(F.col("doc_id")).alias("p"))
+        .groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("marks"))
+    )
+    at = F.bitmap_bit_position(place(F.col("doc_id"))).cast("int")
+    byte = F.conv(F.hex(F.substr("marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = docs.withColumn("bucket", F.bitmap_bucket_number(place(F.col("doc_id")))).join(F.broadcast(marks), "bucket")
+    return near.where(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1).select(docs.columns)
+
+
 def link_sets(docs: DataFrame, described: DataFrame, words: int = SHINGLE_WORDS, numerator: int = NUMERATOR) -> DataFrame:
     """Links (a, b) between shingle sets with J >= numerator %, enough of them to hold every component together."""
     reps = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
@@ -249,7 +269,7 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int = SHINGLE_WORDS,
     nodes = members.select("node").distinct()
     wanted = reps.select("node", "doc_id").join(nodes, "node", "left_semi")
     sets = cut(
-        docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+        _likely(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").select("node", "text")
         .mapInArrow(_sets_of(words), "node long, n long, sig binary, ids binary")
         .dropDuplicates(["node"])
     )
@@ -318,12 +338,13 @@ def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, numerator: int = NUM
     found = near_duplicates(docs, words, numerator)
     stays = (
         found.where("kept AND component IS NOT NULL").groupBy("component")
-        .agg(F.min("doc_id").alias("_stay_id"), F.min("text_hash").alias("_stay_hash"))
-        .select("_stay_id", "_stay_hash")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
+        .select(F.xxhash64("s.doc_id", "s.text_hash").alias("_row"), F.col("s.text_hash").alias("_text"))
     )
     bare = F.col("text").isNull() | (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
-    match = docs["doc_id"].eqNullSafe(stays["_stay_id"]) & (F.xxhash64(docs["text"]) == stays["_stay_hash"])
-    worded = docs.where(~bare).join(stays, match).dropDuplicates(["_stay_id", "_stay_hash"]).select(*docs.columns)
+    keyed = docs.where(~bare).withColumn("_text", F.xxhash64("text")).withColumn("_row", F.xxhash64("doc_id", "_text"))
+    # joined and made unique by the same key: the texts are shuffled once
+    worded = keyed.join(stays, ["_row", "_text"]).dropDuplicates(["_row", "_text"]).select(*docs.columns)
     return worded.unionByName(docs.where(bare))
 
 
