@@ -173,12 +173,34 @@ SELECT CAST(year(o_orderdate) AS BIGINT) AS run_year, CAST(o_orderdate AS TIMEST
 FROM {orders}
 """
 
+GUARDED = """
+SELECT doc_id, doc_type, file_name, text, account_holder, bank_name, doc_date, signed, iban, account_number, routing_aba, tin_raw, tin_type, sign_date, bank_country
+FROM (
+  SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'bank_statement' WHEN doc_id % 4 = 2 AND doc_id % 3 = 0 THEN 'payment_instructions' ELSE 'bank_letter' END AS doc_type,
+    CASE WHEN doc_id % 8 = 5 THEN 'letter of Max Mustermann.pdf' ELSE 'scan.pdf' END AS file_name,
+    CASE doc_id % 4 WHEN 0 THEN 'Account signatory: Jane Sample' WHEN 1 THEN 'Account holder: Jane Sample' WHEN 2 THEN 'We verify that Acme Trading is a customer of ours'
+                    ELSE 'Period 1 Jan 2026 to 31 Jan 2026' END
+      || CASE WHEN doc_id % 6 = 1 THEN chr(10) || 'DocuSign Envelope 2026-02-03 | 10:11' ELSE '' END
+      || CASE WHEN doc_id % 9 = 2 THEN chr(10) || '〒' || '813-0044 口座番号 ' || substr(account_number, 5, 8) ELSE '' END AS text,
+    CASE WHEN doc_id % 8 = 5 THEN 'Max Mustermann' WHEN doc_id % 4 <= 1 THEN 'Jane Sample' ELSE '' END AS account_holder,
+    CASE WHEN doc_id % 6 = 0 THEN 'VIGILADO Superintendencia' ELSE bank_name END AS bank_name,
+    CASE WHEN doc_id % 10 = 3 THEN '2026-01-01' ELSE '' END AS doc_date, doc_id % 5 = 1 AS signed,
+    CASE WHEN doc_id % 5 = 0 THEN account_number ELSE iban END AS iban,
+    CASE WHEN doc_id % 9 = 2 THEN '8130044' WHEN doc_id % 5 = 0 THEN '' ELSE account_number END AS account_number,
+    CASE doc_id % 3 WHEN 0 THEN '012345678' WHEN 1 THEN '01234567' ELSE '123' END AS routing_aba,
+    CASE WHEN doc_id % 3 = 0 THEN '2026-03-04' ELSE '00-1234567' END AS tin_raw, CASE WHEN doc_id % 2 = 0 THEN 'Social Security' ELSE 'ein' END AS tin_type,
+    CASE WHEN doc_id % 7 = 0 THEN '2026-01-02' ELSE '' END AS sign_date, CASE WHEN doc_id % 9 = 2 THEN '' ELSE bank_country END AS bank_country
+  FROM {vendor}
+) g
+"""
+
 #: name -> (statement, what it reads)
 BINDINGS: dict[str, tuple[str, tuple[str, ...]]] = {
     "vendor": (VENDOR, ("supplier",)),
     "vendor_text": (VENDOR_TEXT, ("vendor",)),
     "vendor_pages": (PAGES, ("vendor",)),
     "tax": (TAX, ("customer",)),
+    "guarded": (GUARDED, ("vendor",)),
     "readings": (READINGS, ("vendor",)),
     "erp_bank": (ERP_BANK, ("vendor",)),
     "erp_partner": (ERP_PARTNER, ("customer",)),
