@@ -105,9 +105,6 @@ def form_repair(docs):
     return G.repair_asian_forms(docs)
 
 
-_GAPS = F.array(F.lit("no account"), F.lit("no bank name"))
-
-
 @query(
     "gaps_and_ladder",
     "vendor_pages",
@@ -116,7 +113,7 @@ _GAPS = F.array(F.lit("no account"), F.lit("no bank name"))
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bonus DESC, page_no) AS rank FROM b WHERE bonus >= 1) SELECT doc_id, page_no, rank FROM r WHERE rank <= 2""",
 )
 def gaps_and_ladder(pages):
-    return G.ladder_pages(G.gap_bonus(pages.withColumn("gaps", _GAPS)))
+    return G.ladder_pages(G.gap_bonus(pages.withColumn("gaps", F.array(F.lit("no account"), F.lit("no bank name")))))
 
 
 @query(
