@@ -52,14 +52,18 @@ def fit_nnpu(
         return LinearScorer(np.zeros(width), bias0)
     w = np.zeros(width + 1)
     w[-1] = bias0
-    p1 = np.hstack([positive, np.ones((len(positive), 1))]).astype(np.float32)
-    u1 = np.hstack([unlabelled, np.ones((len(unlabelled), 1))]).astype(np.float32)
+    p, u = np.asarray(positive, np.float32), np.asarray(unlabelled, np.float32)  # the bias is kept apart, so nothing is copied
     m, v = np.zeros_like(w), np.zeros_like(w)
+
+    def pull(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Mean of the rows' gradients, each times its factor."""
+        return np.append(rows.T @ by.astype(np.float32), by.sum()) / len(rows)
+
     for step in range(1, steps + 1):
-        gp, gu = p1 @ w.astype(np.float32), u1 @ w.astype(np.float32)
+        gp, gu = (x @ w[:-1].astype(np.float32) + w[-1] for x in (p, u))
         sp, su = sigmoid(gp), sigmoid(gu)
-        pos_grad = prior * (p1.T @ (sp - 1.0)) / len(p1)
-        neg_grad = (u1.T @ su) / len(u1) - prior * (p1.T @ sp) / len(p1)
+        pos_grad = prior * pull(p, sp - 1.0)
+        neg_grad = pull(u, su) - prior * pull(p, sp)
         neg_risk = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
         grad = pos_grad + neg_grad if neg_risk >= -beta else -neg_grad
         grad = grad + l2 * np.append(w[:-1], 0.0)

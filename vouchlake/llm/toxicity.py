@@ -130,11 +130,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
     got = sample.mapInArrow(run, "ids array<int>, is_positive boolean").toPandas()
     ids = sorted((tuple(map(int, x)), bool(y)) for x, y in zip(got["ids"], got["is_positive"]))
-    matrix = np.zeros((len(ids), len(vocabulary)), np.float32)
-    for k, (x, _) in enumerate(ids):
-        matrix[k, list(x)] = 1.0
-    positive = np.array([y for _, y in ids], bool)
-    return ToxicityModel(vocabulary, fit_nnpu(matrix[positive], matrix[~positive], prior, steps=300, rate=0.1, l2=1e-4))
+    sides = []
+    for wanted in (True, False):
+        rows = [x for x, y in ids if y == wanted]
+        matrix = np.zeros((len(rows), len(vocabulary)), np.float32)
+        for k, x in enumerate(rows):
+            matrix[k, list(x)] = 1.0
+        sides.append(matrix)
+    return ToxicityModel(vocabulary, fit_nnpu(*sides, prior, steps=300, rate=0.1, l2=1e-4))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
