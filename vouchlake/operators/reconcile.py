@@ -128,15 +128,28 @@ def meaningful(c: Column) -> Column:
 def registry_match(names: DataFrame, registry: DataFrame) -> DataFrame:
     """name, status, best_name, shared_tokens: the entry with the most meaningful words in common, active ones first.
 
-    Candidates share a word (an equi-join on words). Either two shared words or one name
-    within the other make a match. Words that many entries carry are joined like any
-    other; their rows are merged by pair before they are compared.
+    Two shared words make a match, or one name within the other by whole words. Two names
+    that share two words share one that is not the first one's commonest, so a name's
+    commonest word is joined with one-word entries only; a word that all entries carry
+    never pairs everything with everything, and no match is lost.
     """
     left = names.select("name").distinct().select("name", F.explode(meaningful(F.col("name"))).alias("word"))
-    right = registry.select(F.col("name").alias("entry"), "active", F.explode(meaningful(F.col("name"))).alias("word"))
-    pairs = left.join(right, "word").groupBy("name", "entry").agg(F.count("*").alias("shared"), F.bool_or("active").alias("active"))
-    a, b = norm_name(F.col("name")), norm_name(F.col("entry"))
-    ok = pairs.where((F.col("shared") >= 2) | F.contains(a, b) | F.contains(b, a))
+    right = registry.select(F.col("name").alias("entry"), "active", meaningful(F.col("name")).alias("words"))
+    right = right.select("entry", "active", (F.size("words") == 1).alias("single"), F.explode("words").alias("word"))
+    often = right.groupBy("word").agg(F.count("*").alias("df"))
+    counted = left.join(often, "word")  # words that no entry has can't match
+    top = counted.groupBy("name").agg(F.max(F.struct("df", "word")).getField("word").alias("top"))
+    size = F.size(meaningful(F.col("name")))
+    marked = counted.join(top, "name").withColumn("held", (F.col("word") == F.col("top")) & (size > 1))
+    pairs = (
+        marked.where("NOT held").select("name", "word").join(right, "word")
+        .unionByName(marked.where("held").select("name", "word").join(right.where("single"), "word"))
+        .select("name", "entry", "active").distinct()
+    )
+    spaced = lambda c: F.concat(F.lit(" "), norm_name(c), F.lit(" "))
+    a, b = spaced(F.col("name")), spaced(F.col("entry"))
+    scored = pairs.withColumn("shared", F.size(F.array_intersect(meaningful(F.col("name")), meaningful(F.col("entry")))).cast("long"))
+    ok = scored.where((F.col("shared") >= 2) | F.contains(a, b) | F.contains(b, a))
     best = Window.partitionBy("name").orderBy(F.desc("active"), F.desc("shared"), "entry")
     top = ok.withColumn("at", F.row_number().over(best)).where("at = 1")
     return names.select("name").distinct().join(top, "name", "left").select(

@@ -90,7 +90,7 @@ def reconcile_partner(tax, partners):
     sql="""WITH lw AS (SELECT DISTINCT s_name AS name, unnest(list_distinct(regexp_split_to_array(trim(regexp_replace(lower(s_name), '[^a-z0-9_]+', ' ', 'g')), ' '))) AS word FROM supplier),
 rw AS (SELECT name AS entry, active, unnest(list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda t: t <> 'limited'))) AS word FROM bank_registry),
 p AS (SELECT lw.name, entry, count(*) AS shared, bool_or(active) AS active FROM lw JOIN rw USING (word) GROUP BY 1, 2),
-k AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')) AS a, trim(regexp_replace(lower(entry), '[^a-z0-9_]+', ' ', 'g')) AS b FROM p),
+k AS (SELECT *, ' ' || trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')) || ' ' AS a, ' ' || trim(regexp_replace(lower(entry), '[^a-z0-9_]+', ' ', 'g')) || ' ' AS b FROM p),
 t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY active DESC, shared DESC, entry) AS pos FROM k WHERE shared >= 2 OR contains(a, b) OR contains(b, a))
 SELECT DISTINCT s_name AS name, CASE WHEN entry IS NULL THEN 'NOT_FOUND' WHEN active THEN 'FOUND' ELSE 'CONFLICT' END AS status, entry AS best_name, coalesce(shared, 0) AS shared_tokens
 FROM supplier LEFT JOIN (SELECT * FROM t WHERE pos = 1) t ON t.name = s_name""",
