@@ -63,3 +63,20 @@ def test_nnpu_finds_the_border_that_full_labels_would():
     model = fit_nnpu(pos[:1000], np.vstack([pos[1000:], neg[: round(2000 * (1 - prior) / prior)]]), prior)
     assert model.scores(rng.normal(2, 1, (1000, 2))).mean() > 0.9 and model.scores(rng.normal(-2, 1, (1000, 2))).mean() < 0.1
     assert sigmoid(np.array([0.0]))[0] == 0.5
+
+
+def test_toxic_words_are_learnt_at_a_high_share(spark):
+    rng = np.random.default_rng(5)
+    plain, bad, shared = ([f"{stem}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)] for stem, n in (("m", 300), ("q", 20), ("z", 20)))
+    toxic = {k: k % 5 < 2 for k in range(2000)}
+    rows = []
+    for k, t in toxic.items():
+        words = [*rng.choice(plain, 20), *rng.choice(shared, 4 if t else 1)]
+        rows.append((k, " ".join([*words, *rng.choice(bad, 3)] if t else words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(t)) for k, t in toxic.items()], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(bad) <= set(model.vocabulary)
+    assert not set(plain) & set(model.vocabulary)
+    scores = model.scores([text for _, text in rows])
+    assert np.mean((scores >= 0.5) == np.array(list(toxic.values()))) > 0.97

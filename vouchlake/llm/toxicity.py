@@ -87,12 +87,15 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def select_features(sample: DataFrame, max_features: int = MAX_FEATURES) -> list[str]:
-    """The features that the positives have far more often than the unlabelled rows.
+def select_features(sample: DataFrame, prior: float, max_features: int = MAX_FEATURES) -> list[str]:
+    """The features that the positives have far more often than clean rows.
 
+    The unlabelled rows hold positives too, a share `prior` of them; the clean rows' rate
+    is what the positives leave of the unlabelled rate, so a high share hides no feature.
     Ranked by the log-likelihood ratio of the two document frequencies; kept above the
     level that the best of all features would reach by chance.
     """
+    prior = min(max(prior, 0.0), 1 - 1e-3)
     totals = sample.agg(
         F.count_if("is_positive").alias("p"), F.count_if(~F.col("is_positive")).alias("u")
     ).first()
@@ -109,7 +112,8 @@ def select_features(sample: DataFrame, max_features: int = MAX_FEATURES) -> list
         return F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0) + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - q)))).otherwise(0.0)
 
     gain = 2 * (part(a, F.lit(p), rate) + part(b, F.lit(u), rate))
-    stands_out = counts.where((a >= 2) & (a / p > 3 * b / u) & (rate < 1)).withColumn("gain", gain)
+    clean = F.greatest(b / u - prior * a / p, F.lit(0.0)) / (1 - prior)
+    stands_out = counts.where((a >= 2) & (a / p > b / u) & (a / p > 3 * clean) & (rate < 1)).withColumn("gain", gain)
     best = stands_out.where("gain > 11").orderBy(F.desc("gain"), "feature").limit(max_features)
     return [r["feature"] for r in best.select("feature").collect()]
 
@@ -118,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     """Fit on a bounded sample. The driver gets at most MAX_FEATURES names and one short id list a sampled row."""
     rows, prior = training_sample(docs, labels, "toxic", MODULUS, HELD_OUT, max_positive, max_unlabelled)
     sample = cut(rows.repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism)))
-    vocabulary = {f: k for k, f in enumerate(select_features(sample))}
+    vocabulary = {f: k for k, f in enumerate(select_features(sample, prior))}
     blank = ToxicityModel(vocabulary, LinearScorer(np.zeros(len(vocabulary)), 0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
