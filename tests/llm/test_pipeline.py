@@ -21,6 +21,14 @@ def test_run_equals_the_stages_by_hand(spark, sf_small):
     assert sum(r.length for r in got) == sum(expected.values())
 
 
+def test_final_rows_hold_the_token_ids(spark, sf_small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    bpe, found = ByteBpe(vocabulary_bytes()), {}
+    for r in corpus_pipeline.run(spark, sf_small).orderBy("doc_id", "start").collect():
+        found[r.doc_id] = found.get(r.doc_id, b"") + r.ids
+    assert found and all(x == b"".join(int(i).to_bytes(4, "little") for i in [*bpe.encode(texts[k]), 0]) for k, x in found.items())
+
+
 def test_stages_take_odd_rows(spark, sf_small, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES[:-1]:

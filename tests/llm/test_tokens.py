@@ -96,6 +96,15 @@ def test_pack_odd_rows(odd_docs, no_docs, library):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_packed_sequences_hold_the_ids(odd_docs, library):
+    rows = packing.pack(odd_docs).collect()
+    assert all(len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids) for r in rows)
+    texts = {r.text: r.doc_id for r in odd_docs.collect()}
+    for text, doc in texts.items():
+        pieces = {r.start: np.frombuffer(r.ids, "<u4").tolist() for r in rows if r.doc_id == doc}
+        assert sum((pieces[s] for s in sorted(pieces)), []) == library.encode(text or "", add_special_tokens=False).ids + [0]
+
+
 def test_least_squares_reaches_the_plain_optimum():
     rng = np.random.default_rng(3)
     window = 12

@@ -20,7 +20,6 @@ they come and each is packed. Extra columns are not carried. An empty table give
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -157,34 +156,41 @@ def plan_windows(counts: np.ndarray, window: int = WINDOW) -> Plan:
     return Plan(table[:, 0], table[:, 1], table[:, 2], table[:, 3], base, int(counts.max(initial=0)) + 1)
 
 
-def token_pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """doc_id, doc_tokens (with the end id), crcs of its pieces in order; one row a document."""
+def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, doc_tokens, ids with the end id; one row a document.
+
+    ids is binary and little-endian: two bytes each where all ids of the document are
+    below 65536, else four. Its length over doc_tokens tells.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(shared.value)
         for b in batches:
-            totals, crcs = [], []
+            totals, ids = [], []
             for text in b.column("text").to_pylist():
-                raw = np.append(bpe.encode(text), END_ID).astype("<u4").tobytes()
-                totals.append(len(raw) // 4)
-                crcs.append([zlib.crc32(raw[at : at + 4 * window]) for at in range(0, len(raw), 4 * window)])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(totals, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"]
-            )
+                whole = np.append(bpe.encode(text), END_ID)
+                totals.append(len(whole))
+                ids.append(whole.astype("<u2" if whole.max() < 1 << 16 else "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "doc_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens long, crcs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids of every piece.
+
+    ids: the piece's token ids, four little-endian bytes each; ids_crc32 is their digest.
+    The pieces of a sequence_id in order of offset are the packed sequence. Ids are
+    written once (checkpoint) and shuffled once (by bucket).
+    """
     spark = docs.sparkSession
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rest = F.col("doc_tokens") % window
     pieces = cut(
-        token_pieces(docs, window, path)
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "crcs"), F.lit(buckets)).cast("int"))
+        token_ids(docs, path)
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(buckets)).cast("int"))
         .withColumn("rest", rest.cast("int"))
         .withColumn("full", F.floor(F.col("doc_tokens") / window).cast("long"))
     )
@@ -197,23 +203,25 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     plan = plan_windows(counts, window)
 
     earlier = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    rank_base = by_bucket.select("rest", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank_base"))
-    # one row a bucket
-    per_bucket = by_bucket.groupBy("bucket").agg(F.sum("full").alias("full"))
-    full_base = per_bucket.select(
+    rank_base = by_bucket.select("rest", "bucket", "full", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank_base"))
+    # one row a bucket, with at most window first ranks: the ids meet it where they are dealt by bucket
+    per_bucket = rank_base.groupBy("bucket").agg(
+        F.sum("full").alias("full"), F.map_from_entries(F.collect_list(F.struct("rest", "rank_base"))).alias("rank_bases")
+    )
+    bases = per_bucket.select(
         "bucket",
+        "rank_bases",
         F.coalesce(F.sum("full").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full_base"),
     )
-    in_length = Window.partitionBy("bucket", "rest").orderBy("doc_id", "crcs")
-    in_bucket = Window.partitionBy("bucket").orderBy("rest", "doc_id", "crcs").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("bucket").orderBy("rest", "doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    in_length = Window.partitionBy("bucket", "rest").orderBy("doc_id", "ids")
     ranked = (
-        pieces.withColumn("rank_in", F.row_number().over(in_length) - 1)
-        .withColumn("full_in", F.coalesce(F.sum("full").over(in_bucket), F.lit(0)))
-        .join(F.broadcast(full_base), "bucket")
-        .join(rank_base, ["bucket", "rest"])
+        pieces.withColumn("full_in", F.coalesce(F.sum("full").over(in_bucket), F.lit(0)))
+        .withColumn("rank_in", F.row_number().over(in_length) - 1)
+        .join(bases, "bucket")
         .select(
-            "doc_id", "doc_tokens", "crcs", "rest", "full",
-            (F.col("rank_base") + F.col("rank_in")).alias("rank"),
+            "doc_id", "doc_tokens", "ids", "rest", "full",
+            (F.element_at("rank_bases", F.col("rest")) + F.col("rank_in")).alias("rank"),
             (F.col("full_base") + F.col("full_in") + F.lit(plan.windows)).alias("full_window"),
         )
     )
@@ -221,7 +229,9 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rest, full, rank, first = (b.column(c).to_numpy() for c in ("rest", "full", "rank", "full_window"))
-            crcs = b.column("crcs")
+            ids = [
+                np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in zip(b.column("ids").to_pylist(), b.column("doc_tokens").to_pylist())
+            ]
             n = full + (rest > 0)
             row = np.repeat(np.arange(len(n)), n)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -234,17 +244,19 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
                     b.column("doc_id").take(pa.array(row)),
                     pa.array(nth * window, pa.int64()),
                     pa.array(np.where(is_rest, rest[row], window), pa.int64()),
-                    crcs.flatten(),
                     b.column("doc_tokens").take(pa.array(row)),
                     pa.array(sequence, pa.int64()),
                     pa.array(offsets, pa.int64()),
+                    pa.array([ids[r][4 * window * k : 4 * window * (k + 1)] for r, k in zip(row.tolist(), nth.tolist())], pa.binary()),
                 ],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+    """Every piece's place and the digest of its ids."""
+    return pack(read_table(spark, sf_dir, "documents")).drop("ids")
