@@ -246,7 +246,7 @@ def type_hint(text: Column, name: Column) -> Column:
 
 
 def text_quality(docs: DataFrame) -> DataFrame:
-    """doc_id, words (runs of two letters or more), usable (15 or more), garbage (few words among many letters)."""
+    """doc_id, words (runs of two letters or more), usable (15 or more)."""
     t = F.coalesce("text", F.lit(""))
     words = F.regexp_count(t, F.lit("[A-Za-zÀ-ÿ]{2,}"))
     return docs.select("doc_id", words.cast("long").alias("words"), (words >= 15).alias("usable"))
