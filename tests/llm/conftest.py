@@ -14,15 +14,16 @@ ROWS = [
     (6, LONG, "en", "b", len(LONG), 0.9, 4),
     (7, "one two", "en", "b", 7, 0.9, 4),
     (8, "ONE two", "en", "b", 7, 0.9, 4),
+    (10, " " * 400_000 + "x" + "\n" * 350_000 + "y", "en", "b", 7, 0.9, 4),
     (9, "Straße <|endoftext|> Ünïcödé   \x00 end", "de", "b", 7, 0.9, 4),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node int, _text string, _row string"
 
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls, empty and long texts, repeats; extra columns with names that the operators use themselves."""
-    return spark.createDataFrame(ROWS, SCHEMA)
+    return spark.createDataFrame([(*r, "kept", str(r[0])) for r in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="session")

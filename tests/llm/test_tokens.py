@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from vouchlake.llm import packing
-from vouchlake.llm.tokenout import best_fit_decreasing, token_matrices
+from vouchlake.llm.tokenout import best_fit_decreasing, read_files, token_matrices, width_of, write_files
 from vouchlake.llm.tokens import ByteBpe, vocabulary_bytes, vocabulary_path
 
 
@@ -21,6 +21,58 @@ def test_ids_equal_the_library(library, odd_docs):
         assert bpe.encode(r.text).tolist() == library.encode(r.text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 3_000_000 + "x", "\n" * 10**6 + "x", "a" + "\u3000" * 400_000, " " * 10**6 + "<|endoftext|>" + "\t" * 10**6, "z" * 10**6], ids=len)
+def test_long_runs_of_one_mark(library, text):
+    assert ByteBpe(vocabulary_bytes()).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_ten_million_marks():
+    assert len(ByteBpe(vocabulary_bytes()).encode(" " * 10**7)) == 10**7  # no two spaces are one token
+
+
+def test_short_runs_cut_the_same_way(library, monkeypatch):
+    """The rule for long runs, applied to runs of three marks already."""
+    import random
+    import re
+
+    from vouchlake.llm import tokens
+
+    monkeypatch.setattr(tokens, "_LONG_RUN", re.compile(tokens._LONG_RUN.pattern.replace(f"{{{tokens.LONG_RUN},}}", "{3,}")))
+    bpe, rng = ByteBpe(vocabulary_bytes()), random.Random(5)
+    marks = "\t\n\x0b\x0c\r \x85\xa0\u2003\u2028\u202f\u3000\x1c\x1f\u200b"
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "B1", "!", " ", "'s", "é", "中", rng.choice(marks) * rng.randint(1, 6)]) for _ in range(rng.randint(0, 12)))
+        assert bpe.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_wide_numbers():
+    assert width_of(1 << 16) == np.dtype("<u2") and width_of((1 << 16) + 1) == np.dtype("<u4")
+
+
+def test_windows_over_65536(spark, library):
+    text = "one two three " * 50_000
+    row = token_matrices(spark.createDataFrame([(1, text)], "doc_id long, text string"), window=200_000).first()
+    ids = library.encode(text, add_special_tokens=False).ids + [50256]
+    assert np.frombuffer(row.position_ids, "<u4")[: len(ids)].tolist() == list(range(len(ids)))
+    assert np.frombuffer(row.input_ids, "<u2")[: len(ids)].tolist() == ids
+
+
+def test_binary_files_give_back_the_rows(spark, odd_docs, no_docs, tmp_path):
+    made = token_matrices(odd_docs.repartition(3), window=64, rows=16)
+    manifest = write_files(made, str(tmp_path / "out"))
+    assert sum(p["rows"] for p in manifest["parts"]) == made.count()
+    key = lambda df: sorted((bytes(r.input_ids), bytes(r.position_ids), tuple(r.cu_seqlens)) for r in df.collect())
+    assert key(read_files(spark, str(tmp_path / "out"))) == key(made)
+    (tmp_path / "out" / "stray.input_ids").write_bytes(b"an attempt that was lost")
+    assert read_files(spark, str(tmp_path / "out")).count() == made.count()
+    write_files(token_matrices(no_docs), str(tmp_path / "none"))
+    assert read_files(spark, str(tmp_path / "none")).count() == 0
+    spoilt = tmp_path / "out" / f"{manifest['parts'][0]['part']}.input_ids"
+    spoilt.write_bytes(bytes(reversed(spoilt.read_bytes())))
+    with pytest.raises(Exception, match="altered"):
+        read_files(spark, str(tmp_path / "out")).count()
+
+
 def test_best_fit_equals_a_plain_search():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -96,6 +148,14 @@ def test_pack_odd_rows(odd_docs, no_docs, library):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_equal_rows_are_dealt_to_many_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "the same text")] * 3000, "doc_id long, text string")
+    kept = {}
+    monkeypatch.setattr(packing, "cut", lambda df: kept.setdefault("pieces", df))
+    packing.pack(docs)
+    assert kept["pieces"].groupBy("bucket").count().agg({"count": "max"}).first()[0] < 100
+
+
 def test_packed_sequences_hold_the_ids(odd_docs, library):
     rows = packing.pack(odd_docs).collect()
     assert all(len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids) for r in rows)

@@ -12,7 +12,8 @@ histogram of remainder lengths matters for the plan:
 The plan's size depends on the window alone (at most MAX_COMBINATIONS combinations and
 one greedy bin a round), never on the number of documents. Pieces find their slot by
 their rank among the pieces of equal length; ranks are dealt in buckets of documents,
-so that a length held by a third of all rows is still numbered in parallel.
+so that a length held by a third of all rows is still numbered in parallel, and so that
+rows that are equal in all they hold fall into many buckets.
 
 Null text counts as empty; an empty text is its end id alone. Rows repeat as often as
 they come and each is packed. Extra columns are not carried. An empty table gives no pieces.
@@ -190,7 +191,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     rest = F.col("doc_tokens") % window
     pieces = cut(
         token_ids(docs, path)
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids") + F.monotonically_increasing_id(), F.lit(buckets)).cast("int"))
         .withColumn("rest", rest.cast("int"))
         .withColumn("full", F.floor(F.col("doc_tokens") / window).cast("long"))
     )

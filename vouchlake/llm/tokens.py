@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 
@@ -28,6 +29,10 @@ class ByteBpe:
 
     Ordinary text goes through tiktoken with the same vocabulary (equal ids, about three
     times as fast); a text that holds a special token's string goes through tokenizers itself.
+    tiktoken's pattern looks ahead once for each mark of a run of white space and overflows
+    its stack on some 300,000 of them, so runs of LONG_RUN marks or more are cut out first:
+    the pattern always makes one word of a run but its last mark (of the whole run at the
+    end of the text), and that word is merged on its own. The ids are the same.
     """
 
     def __init__(self, spec: bytes):
@@ -42,6 +47,7 @@ class ByteBpe:
         self.special = [x["content"] for x in parsed.get("added_tokens", [])]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in parsed["model"]["vocab"].items() if piece not in self.special}
+        self.size = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
         self.fast = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -49,13 +55,25 @@ class ByteBpe:
             return np.zeros(0, np.int64)
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
-        return np.array(self.fast.encode_ordinary(text), np.int64)
+        out: list[int] = []
+        start = 0
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.fast.encode_ordinary(text[start : run.start()])
+            out += self.fast._encode_single_piece(text[run.start() : end])
+            start = end
+        return np.array(out + self.fast.encode_ordinary(text[start:]) if start else self.fast.encode_ordinary(text), np.int64)
 
 
 #: Fixed value: how byte-level BPE of this vocabulary cuts text before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: White space (the Unicode property, which the pattern's white space means) in runs too long for one look-ahead.
+LONG_RUN = 10_000
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
