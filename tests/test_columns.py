@@ -67,3 +67,34 @@ def test_no_long_number_survives_redaction(runs):
     df = spark.createDataFrame([(k, f"pay to {r} now") for k, r in enumerate(runs)], "doc_id int, text string")
     for r in redact(df).collect():
         assert not any(x in r.text for x in runs)
+
+
+def test_numbers_that_begin_or_end_alike(spark):
+    from vouchlake.operators.privacy import redact, redact_known
+
+    texts = ["a 10000000000 b 100000000009999999 c", "account 12345678 and 1234567812345678", "x12345678901 acct: 1-2-3-4-5-6-7 12345678901", "no. 12 - 34", "DE89370400440532013000 and DE893704004405320130001"]
+    got = [r.text for r in redact(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got == ["a …0000 b …9999 c", "account …5678 and …5678", got[2], "no. 12 - 34", "DE**…3000 and DE**…0001"]
+    assert got[2].startswith("x12345678901 acct: …")  # digits within a word are no number of their own
+    docs = spark.createDataFrame([(1, "123456 then 1234567 then 1 2 3-4 5 6 7")], "doc_id int, text string")
+    known = spark.createDataFrame([(1, "123456", "…A"), (1, "1234567", "…B")], "doc_id int, value string, masked string")
+    assert redact_known(docs, known).first().text == "…A then …B then …B"
+
+
+@settings(max_examples=8, deadline=None)
+@given(base=st.text("01", min_size=22, max_size=22), cuts=st.lists(st.tuples(st.integers(0, 4), st.integers(11, 18)), min_size=2, max_size=12))
+def test_redaction_of_overlapping_numbers_equals_python(base, cuts):
+    """Numbers cut from one string, so that many are beginnings or ends of others."""
+    import re
+
+    from pyspark.sql import SparkSession
+
+    from vouchlake.operators.extract import LONG_RUN
+    from vouchlake.operators.privacy import redact
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    text = " x ".join(base[a : a + n] for a, n in cuts)
+    want = re.sub(LONG_RUN, lambda m: "…" + re.sub("[^0-9]", "", m[0])[-4:], text)
+    assert redact(spark.createDataFrame([(1, text)], "doc_id int, text string")).first().text == want

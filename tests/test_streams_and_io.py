@@ -15,7 +15,7 @@ def test_stream_of_rule_rates_equals_the_batch(spark, sf_small, tmp_path):
     events = spark.read.parquet(f"{sf_small}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = S.rule_rates(S.read_stream(spark, str(tmp_path / "in")), lateness="400 days")
-    got = S.run_to_table(stream, "rates", "complete")
+    got = S.run_to_files(stream, str(tmp_path / "out"), ["start", "event_type"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.rule_rates(events).collect()))
 
 
@@ -23,14 +23,14 @@ def test_stream_of_verdicts_drops_equal_content(spark, tmp_path):
     row = ("bank", "invoice", "A", "DE89370400440532013000", "1", datetime(2026, 1, 1))
     docs = spark.createDataFrame([(1, *row), (2, *row), (3, "bank", "other", "B", "", "2", row[-1])], "doc_id int, doc_class string, doc_type string, account_holder string, iban string, account_number string, ts timestamp")
     docs.coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = S.run_to_table(S.stream_validate(S.read_stream(spark, str(tmp_path / "in"))), "verdicts").collect()
+    got = S.run_to_files(S.stream_validate(S.read_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out")).collect()
     assert sorted(r.verdict for r in got) == ["NEED_MANUAL_REVIEW", "REJECT"]
 
 
 def test_stream_of_staleness_resets_on_confirmation(spark, tmp_path):
     rows = [(1, 10, "unsafe"), (1, 20, "safe"), (1, 15, "confirm"), (2, 5, "safe"), (1, 12, "safe"), (2, 9, "confirm")]
     spark.createDataFrame(rows, "doc_key long, at long, kind string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = S.run_to_table(S.stream_staleness(S.read_stream(spark, str(tmp_path / "in"))), "stale", "update").collect()
+    got = S.run_to_files(S.stream_staleness(S.read_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), ["doc_key"]).collect()
     assert sorted((r.doc_key, r.disagreements, r.unsafe) for r in got) == [(1, 1, 0), (2, 0, 0)]
 
 
@@ -38,7 +38,7 @@ def test_stream_of_leaks(spark, tmp_path):
     at = datetime(2026, 1, 1)
     rows = [(at + timedelta(minutes=k), "call 000-12-3456" if k % 2 else "nothing") for k in range(20)]
     spark.createDataFrame(rows, "ts timestamp, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = S.run_to_table(S.stream_leaks(S.read_stream(spark, str(tmp_path / "in"))), "leaks", "complete").collect()
+    got = S.run_to_files(S.stream_leaks(S.read_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), ["start", "pattern"]).collect()
     assert sorted((r.start.minute, r.pattern, r.hits) for r in got) == [(0, "ssn", 5), (10, "ssn", 5)]
 
 

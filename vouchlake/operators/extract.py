@@ -96,10 +96,16 @@ def content_id(c: Column) -> Column:
     return F.substring(F.sha2(c.cast("binary"), 256), 1, 16)
 
 
-def split_pages(docs: DataFrame, most: int = 12) -> DataFrame:
-    """doc_id, page_no, text: form feeds part pages; at most `most` of a document are surveyed."""
-    pages = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\f")).alias("page_no", "text"))
-    return pages.where(F.col("page_no") < most)
+def split_pages(docs: DataFrame, surveyed: int = 12, most_characters: int | None = None) -> DataFrame:
+    """doc_id, page_no, text, surveyed: form feeds part pages, and all pages are kept.
+
+    surveyed marks the first pages, which a first look reads. most_characters, if given,
+    shortens a document's text before it is parted (for sources that are plain text).
+    """
+    text = F.coalesce("text", F.lit(""))
+    text = text if most_characters is None else F.substring(text, 1, most_characters)
+    pages = docs.select("doc_id", F.posexplode(F.split(text, "\f")).alias("page_no", "text"))
+    return pages.withColumn("surveyed", F.col("page_no") < surveyed)
 
 
 def identifiers(docs: DataFrame) -> DataFrame:

@@ -17,31 +17,53 @@ TAX_LEAKS = {"ssn": SSN, "ein": EIN, "ssn_spaced": SSN_SPACED, "ein_spaced": EIN
 BANK_LEAKS = {"iban": IBAN_SOLID, "long_number": BARE_RUN}
 
 
-def _mask_all(text: Column, pattern: str, kind: str) -> Column:
-    """Every match of the pattern in its masked form."""
-    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    masked = F.aggregate(hits, text, lambda t, m: F.replace(t, m, mask_value(F.lit(kind), m)))
-    return F.when(text.rlike(pattern), masked).otherwise(text)
+# Fixed value: a number near a word for account; the word stays.
+ACCOUNT_NEAR = r"(?i)((?:acc(?:oun)?t|iban|cuenta|cta\.?|konto(?:nummer)?|kto\.?|compte|conta|сч[её]т|계좌|口座|账[户戶號号]|帐[户戶號号])[^0-9]{0,14})([0-9][0-9 \-]{5,20}[0-9])"
+# Fixed value: what a mask leaves behind.
+RESIDUE = r"[*…]|XXX?-"
+
+
+def _mask_all(text: Column, pattern: str, kind: str, label: bool = False) -> Column:
+    """Every match of the pattern in its masked form; with `label`, the first group stays and the second is masked.
+
+    The matches and what stands between them are laid side by side, so each match is
+    masked where it stands, however often its digits occur elsewhere.
+    """
+    gaps = F.split(text, pattern, -1)
+    found = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    masks = F.transform(found(2 if label else 0), lambda m: mask_value(F.lit(kind), m))
+    if label:
+        masks = F.zip_with(found(1), masks, lambda a, m: F.concat(a, m))
+    joined = F.array_join(F.zip_with(gaps, F.concat(F.array(F.lit("")), masks), lambda g, m: F.concat(m, g)), "")
+    return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
 def redact(docs: DataFrame, policy: str = "strict") -> DataFrame:
-    """docs with sensitive patterns masked: tax numbers always; IBANs, then long numbers, unless 'tin-only'."""
-    steps = [(SSN, "ssn"), (EIN, "ein"), (SSN_SPACED, "ssn"), (EIN_SPACED, "ein")]
+    """docs with sensitive patterns masked: tax numbers always; IBANs, numbers near a word for account, then long numbers, unless 'tin-only'."""
+    steps = [(SSN, "ssn", False), (EIN, "ein", False), (SSN_SPACED, "ssn", False), (EIN_SPACED, "ein", False)]
     if policy != "tin-only":
-        steps += [(IBAN, "iban"), (LONG_RUN, "account_number")]
-    for pattern, kind in steps:  # one projection a step, so that a long text is named once in each
-        docs = docs.withColumn("text", _mask_all(F.coalesce("text", F.lit("")), pattern, kind))
+        steps += [(IBAN, "iban", False), (ACCOUNT_NEAR, "account_number", True), (LONG_RUN, "account_number", False)]
+    for pattern, kind, label in steps:  # one projection a step, so that a long text is named once in each
+        docs = docs.withColumn("text", _mask_all(F.coalesce("text", F.lit("")), pattern, kind, label))
     return docs
 
 
+def _loose(value: Column) -> Column:
+    """A pattern for the value's digits in order, whatever white space and hyphens stand between them."""
+    return F.concat_ws(r"[\s\-–]*", F.filter(F.split(digits_of(value), ""), lambda c: c != ""))
+
+
 def redact_known(docs: DataFrame, secrets: DataFrame) -> DataFrame:
-    """docs with their own known values masked, whatever stands between the digits. Joined by document, never a global list."""
-    per = secrets.groupBy("doc_id").agg(F.collect_list(F.struct("value", "masked")).alias("known"))
-    loose = lambda v: F.concat_ws(r"[\s\-–]*", F.filter(F.split(digits_of(v), ""), lambda c: c != ""))
+    """docs with their own known values masked, the longest first, whatever stands between the digits.
+
+    Joined by document, never a global list; values that begin alike don't uncover each other.
+    """
+    longest = F.struct((-F.length("value")).alias("n"), "value", "masked")
+    per = secrets.groupBy("doc_id").agg(F.array_sort(F.collect_set(longest)).alias("known"))
     step = lambda t, s: F.when(
-        F.length(digits_of(s["value"])) >= 6, F.regexp_replace(F.replace(t, s["value"], s["masked"]), loose(s["value"]), s["masked"])
+        F.length(digits_of(s["value"])) >= 6, F.regexp_replace(F.replace(t, s["value"], s["masked"]), _loose(s["value"]), s["masked"])
     ).otherwise(F.replace(t, s["value"], s["masked"]))
-    hidden = F.aggregate(F.coalesce("known", F.array().cast("array<struct<value:string,masked:string>>")), F.col("text"), step)
+    hidden = F.aggregate(F.coalesce("known", F.array().cast("array<struct<n:int,value:string,masked:string>>")), F.col("text"), step)
     return docs.join(per, "doc_id", "left").withColumn("text", hidden).drop("known")
 
 
@@ -63,14 +85,17 @@ def leak_scan(texts: DataFrame, policy: str = "strict") -> DataFrame:
 
 
 def known_leaks(texts: DataFrame, secrets: DataFrame) -> DataFrame:
-    """(doc_id, masked) of known values of six digits or more that a text of the same document still prints."""
+    """(doc_id, masked) of known values of six digits or more that a text of the same document still prints, whatever separates the digits."""
     both = texts.join(secrets.where(F.length(digits_of(F.col("value"))) >= 6), "doc_id")
-    return both.where(F.contains("text", "value") | F.contains(digits_of(F.col("text")), digits_of(F.col("value")))).select("doc_id", "masked").distinct()
+    return both.where(F.contains("text", "value") | F.rlike("text", _loose(F.col("value")))).select("doc_id", "masked").distinct()
 
 
-def leak_sweep(zones: DataFrame) -> DataFrame:
-    """zone, pattern, hits over a union of zones."""
-    return leak_scan(zones).groupBy("zone", "pattern").agg(F.count("*").alias("hits"))
+def leak_sweep(zones: DataFrame, strict: tuple[str, ...] | None = None) -> DataFrame:
+    """zone, pattern, hits over a union of zones. Bank patterns count only in the `strict` zones (all, by default); tax patterns everywhere."""
+    hits = leak_scan(zones)
+    if strict is not None:
+        hits = hits.where(F.col("zone").isin(*strict) | F.col("pattern").isin(*TAX_LEAKS))
+    return hits.groupBy("zone", "pattern").agg(F.count("*").alias("hits"))
 
 
 def gated_split(df: DataFrame, text_columns: list[str], policy: str = "strict") -> tuple[DataFrame, DataFrame]:
@@ -100,6 +125,15 @@ def egress_guard(queries: DataFrame) -> DataFrame:
     return queries.select("*", (~bad | blank(F.col("query"))).alias("allowed"))
 
 
-def defake(text: Column, pairs: Column, last: int = 800) -> Column:
-    """Masked forms back to their fakes, and the end of the text; pairs: array of (masked, fake)."""
-    return F.right(F.aggregate(pairs, text, lambda t, s: F.replace(t, s["masked"], s["fake"])), F.lit(last))
+def defake(text: Column, pairs: Column, last: int | None = 800) -> Column:
+    """Masked forms replaced by their fakes, and of that the last characters (all, with None); pairs: array of (masked, fake)."""
+    whole = F.aggregate(pairs, text, lambda t, s: F.replace(t, s["masked"], s["fake"]))
+    return whole if last is None else F.right(whole, F.lit(last))
+
+
+def training_candidates(values: DataFrame, secrets: DataFrame) -> DataFrame:
+    """doc_id, field, value with fakes for masks; a value that still shows a mask teaches masks, so it is dropped."""
+    pairs = secrets.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("masked")).alias("n"), "masked", "fake"))).alias("pairs"))
+    none = F.array().cast("array<struct<n:int,masked:string,fake:string>>")
+    shown = values.join(pairs, "doc_id", "left").withColumn("value", defake(F.col("value"), F.coalesce("pairs", none), None))
+    return shown.where(~F.col("value").rlike(RESIDUE)).select("doc_id", "field", "value")

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchlake.functions.columns import (
     aba_checksum_ok,
     blank,
     first_diff,
-    is_org_name,
     names_materially_equal,
     norm_id,
     norm_name,
     parse_bic,
+    text_of,
     to_iso2,
     tokens,
 )
 
-# Words of bank and company names that carry no meaning of their own.
+# Words of names that carry no meaning of their own.
 STOP_WORDS = (
-    "the of and bank banco banque na n a inc llc ltd limited corp corporation co company group holding holdings international national trust "
-    "financial services"
+    "bank na n a the of and trust company co usa inc llc ltd corp corporation gmbh sa srl spa nv bv plc ag kg pte sas banco banca"
 ).split()
 
 
@@ -30,23 +29,52 @@ def bare(c: Column) -> Column:
     return F.regexp_replace(norm_id(c), "^0+", "")
 
 
-def _score(doc_iban: Column, doc_account: Column, row_iban: Column, row_account: Column) -> Column:
-    """100 for the same IBAN, 40 for the same account, 20 for an IBAN that ends with it."""
+def document_key(docs: DataFrame) -> Column:
+    """A document's routing number, else its wire routing number, else its clearing code; '' without any."""
+    known = [F.nullif(norm_id(F.col(c)), F.lit("")) for c in ("routing_aba", "routing_aba_wires", "national_clearing") if c in docs.columns]
+    return F.coalesce(*known, F.lit(""))
+
+
+def _score(doc_iban: Column, doc_account: Column, doc_key: Column, row_iban: Column, row_account: Column, row_key: Column) -> Column:
+    """100 for the same IBAN, 40 for the same account, 40 for an IBAN that ends with it, 20 for the same bank key."""
     account = bare(row_account)
     return (
         F.when((doc_iban != "") & (doc_iban == norm_id(row_iban)), 100).otherwise(0)
         + F.when((bare(doc_account) != "") & (bare(doc_account) == account), 40).otherwise(0)
-        + F.when((account != "") & doc_iban.endswith(account), 20).otherwise(0)
+        + F.when((account != "") & doc_iban.endswith(account), 40).otherwise(0)
+        + F.when((doc_key != "") & (doc_key == norm_id(row_key)), 20).otherwise(0)
     )
 
 
 def select_partner_row(docs: DataFrame, erp: DataFrame) -> DataFrame:
-    """The best bank row of each document's partner, ties to the export's order; n_rows says how many there were."""
-    rows = erp.select(bare(F.col("partner")).alias("key"), "row_idx", F.col("iban").alias("sap_iban"), F.col("bankn").alias("sap_account"), F.col("bankl").alias("sap_key"), F.col("banks").alias("sap_country"), F.col("koinh").alias("sap_holder"))
-    both = docs.withColumn("key", bare(F.col("partner"))).join(rows, "key").withColumn("score", _score(norm_id(F.col("iban")), F.col("account_number"), F.col("sap_iban"), F.col("sap_account")))
-    best = Window.partitionBy("doc_id").orderBy(F.desc("score"), "row_idx")
-    every = Window.partitionBy("doc_id")
-    return both.withColumn("n_rows", F.count("*").over(every)).withColumn("at", F.row_number().over(best)).where("at = 1").drop("at", "key")
+    """docs with the best bank row of their partner, ties to the export's order.
+
+    n_rows says how many rows the partner has; a document without any stays, with 0 and
+    empty row columns. The best row is a grouped extreme, so a partner with very many rows
+    or documents is folded before it is shuffled by document.
+    """
+    rows = erp.select(
+        bare(F.col("partner")).alias("_key"), F.struct("row_idx", F.col("iban").alias("sap_iban"), F.col("bankn").alias("sap_account"), F.col("bankl").alias("sap_key"),
+        F.col("banks").alias("sap_country"), F.col("koinh").alias("sap_holder")).alias("_row"),
+    )
+    keyed = docs.select("doc_id", bare(F.col("partner")).alias("_key"), norm_id(F.col("iban")).alias("_iban"), F.col("account_number").alias("_account"), document_key(docs).alias("_bank"))
+    score = _score(F.col("_iban"), F.col("_account"), F.col("_bank"), F.col("_row.sap_iban"), F.col("_row.sap_account"), F.col("_row.sap_key"))
+    best = (
+        keyed.where("_key <> ''").join(rows, "_key")
+        .groupBy("doc_id").agg(F.min(F.struct((-score).alias("minus"), F.col("_row.row_idx").alias("at"), F.col("_row").alias("row"))).alias("b"), F.count("*").alias("n_rows"))
+        .select("doc_id", "n_rows", (-F.col("b.minus")).alias("score"), "b.row.*")
+    )
+    return docs.join(best, "doc_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
+def partner_findings(chosen: DataFrame) -> DataFrame:
+    """SAP-010 for a partner without bank rows, SAP-011 where one of several was compared."""
+    none = F.col("n_rows") == 0
+    return chosen.where(none | (F.col("n_rows") > 1)).select(
+        "doc_id", F.when(none, "SAP-010").otherwise("SAP-011").alias("rule_id"), F.when(none, "WARNING").otherwise("NOTE").alias("severity"),
+        F.when(none, "WARNING").alias("verdict_effect"),
+        F.when(none, "The partner has no bank rows in the export.").otherwise(F.concat(F.lit("The best of "), F.col("n_rows").cast("string"), F.lit(" bank rows was compared."))).alias("message"),
+    )
 
 
 def reconcile_bank(chosen: DataFrame) -> DataFrame:
@@ -78,17 +106,44 @@ def reconcile_bank(chosen: DataFrame) -> DataFrame:
     return chosen.select("doc_id", F.inline(F.filter(rows, lambda x: x["r"].isNotNull()))).select("doc_id", "field", "r.status", "r.note")
 
 
+#: Finding, severity and effect of a field that differs, and of one that only one side has.
+COMPARED = {
+    "IBAN": (("SAP-001", "CRITICAL", "NEED_MANUAL_REVIEW"), ("SAP-002", "WARNING", "WARNING")),
+    "Bank Account": (("SAP-003", "CRITICAL", "NEED_MANUAL_REVIEW"), None),
+    "Bank Country": (("SAP-005", "CRITICAL", "NEED_MANUAL_REVIEW"), None),
+    "Account Holder": (("SAP-008", "CRITICAL", "NEED_MANUAL_REVIEW"), None),
+}
+
+
+def comparison_findings(compared: DataFrame) -> DataFrame:
+    """Findings of `reconcile_bank`: one a field that differs; SAP-000 for documents without any difference."""
+    cases = [
+        (name, status, found)
+        for name, (differs, one_side) in COMPARED.items() for status, found in (("MISMATCH", differs), ("only-one-side", one_side)) if found
+    ]
+    pick = lambda k: F.coalesce(*(F.when((F.col("field") == n) & (F.col("status") == t), f[k]) for n, t, f in cases))
+    message = F.concat("field", F.when(F.col("status") == "MISMATCH", ": document and export differ").otherwise(": only one side has it"))
+    raised = compared.select("doc_id", pick(0).alias("rule_id"), pick(1).alias("severity"), pick(2).alias("verdict_effect"), message.alias("message")).where("rule_id IS NOT NULL")
+    clean = compared.groupBy("doc_id").agg(F.count_if(F.col("status") == "MISMATCH").alias("n")).where("n = 0")
+    return raised.unionByName(
+        clean.select("doc_id", F.lit("SAP-000").alias("rule_id"), F.lit("NOTE").alias("severity"), F.lit(None).cast("string").alias("verdict_effect"), F.lit("No compared field differs.").alias("message"))
+    )
+
+
 def reverse_lookup(docs: DataFrame, erp: DataFrame) -> DataFrame:
     """doc_id, partners, finding: which partners already hold the document's account.
 
-    A score of 40 needs an equal IBAN, or an equal account, each an equi-join; the tail
-    alone never reaches it, so no suffixes need to be joined.
+    A row is a hit from a score of 40 on: an equal IBAN, an equal account, or an IBAN that
+    ends with the row's account. Each is an equi-join; for the last, a document's IBAN is
+    keyed by its tails (34 at most). Rows with equal keys and partner meet once.
     """
     d = docs.select("doc_id", norm_id(F.col("iban")).alias("i"), bare(F.col("account_number")).alias("a"))
     e = erp.select(F.col("partner"), norm_id(F.col("iban")).alias("i"), bare(F.col("bankn")).alias("a"))
+    tails = F.transform(F.sequence(F.lit(1), F.length("i")), lambda k: F.substr("i", k))
+    by_account = d.select("doc_id", F.explode(F.array_distinct(F.concat(F.when(F.col("i") != "", tails).otherwise(F.array()), F.array("a")))).alias("a")).where("a <> ''")
     hits = (
-        d.where("i <> ''").select("doc_id", "i").join(e.where("i <> ''").select("i", "partner"), "i").select("doc_id", "partner")
-        .unionByName(d.where("a <> ''").select("doc_id", "a").join(e.where("a <> ''").select("a", "partner"), "a").select("doc_id", "partner"))
+        d.where("i <> ''").select("doc_id", "i").join(e.where("i <> ''").select("i", "partner").distinct(), "i").select("doc_id", "partner")
+        .unionByName(by_account.join(e.where("a <> ''").select("a", "partner").distinct(), "a").select("doc_id", "partner"))
         .distinct()
     )
     per = hits.groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -103,20 +158,33 @@ def shared_accounts(erp: DataFrame) -> DataFrame:
 
 
 def reconcile_partner(tax: DataFrame, partners: DataFrame) -> DataFrame:
-    """doc_id and findings SAP-030 (name), SAP-031 (kind of partner), SAP-032 (blocked or archived)."""
-    p = partners.select(bare(F.col("partner")).alias("key"), "type", "name_org1", "full_name", "xblck", "xdele")
-    both = tax.withColumn("key", F.col("doc_id").cast("string")).join(p, "key")
-    names = F.filter(F.array("name_org1", "full_name"), lambda x: ~blank(x))
+    """doc_id, finding of tax documents (column partner) against the partner's general data.
+
+    SAP-030: none of the organisation's joined name, the full name and the person's name
+    (last, first) holds, lies in, or means the form's name. SAP-031: person against
+    organisation, where both sides say. SAP-032: blocked, and archived, one each. SAP-010:
+    no such partner. SAP-000: found, and nothing differs.
+    """
+    text = lambda c: F.col(c) if c in partners.columns else F.lit("")
+    org = F.trim(F.concat_ws(" ", *(F.nullif(text_of(text(c)), F.lit("")) for c in ("name_org1", "name_org2", "name_org3", "name_org4"))))
+    names = F.array(org, text_of(text("full_name")), F.trim(F.concat_ws(" ", text_of(text("name_last")), text_of(text("name_first")))))
+    person = F.when((norm_id(text("type")) == "1") | norm_id(text("natpers")).isin("X", "1"), True).when(norm_id(text("type")) == "2", False)
+    p = partners.select(
+        bare(F.col("partner")).alias("key"), F.filter(names, lambda x: x != "").alias("names"), person.alias("is_person"),
+        norm_id(text("xblck")).isin("X", "1").alias("blocked"), norm_id(text("xdele")).isin("X", "1").alias("archived"), F.lit(True).alias("known"),
+    )
+    both = tax.withColumn("key", bare(F.col("partner"))).join(p, "key", "left")
     one = norm_name(F.col("line1_name"))
-    same = F.exists(names, lambda x: F.contains(norm_name(x), one) | F.contains(one, norm_name(x)) | names_materially_equal(x, F.col("line1_name")))
-    org = is_org_name(F.col("line1_name"), F.col("line3_classification"))
+    same = F.exists("names", lambda x: F.contains(norm_name(x), one) | F.contains(one, norm_name(x)) | names_materially_equal(x, F.col("line1_name")))
+    cls = F.lower(text_of(F.col("line3_classification")))
+    differs = {"SAP-030": (one != "") & (F.size("names") > 0) & ~same, "SAP-031": (cls != "") & (cls.rlike("individual|sole prop") != F.col("is_person"))}
     found = F.array_compact(
         F.array(
-            F.when((one != "") & (F.size(names) > 0) & ~same, "SAP-030"),
-            F.when(org & (F.col("type") == "1"), "SAP-031"),
-            F.when((F.col("xblck") == "X") | (F.col("xdele") == "X"), "SAP-032"),
+            *(F.when(c, k) for k, c in differs.items()), F.when(F.col("blocked"), "SAP-032"), F.when(F.col("archived"), "SAP-032"),
+            F.when(F.col("known") & ~F.coalesce(differs["SAP-030"], F.lit(False)) & ~F.coalesce(differs["SAP-031"], F.lit(False)), "SAP-000"),
+            F.when(F.col("known").isNull(), "SAP-010"),
         )
-    )
+    )
     return both.select("doc_id", F.explode(found).alias("finding"))
 
 
@@ -125,42 +193,69 @@ def meaningful(c: Column) -> Column:
     return F.array_distinct(F.filter(tokens(c), lambda t: ~F.array_contains(stop, t)))
 
 
+def _grams(c: Column) -> Column:
+    """Distinct pieces of one, two and three characters."""
+    some = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substr(c, k, F.lit(n)))).otherwise(F.array())
+    return F.array_distinct(F.concat(some(1), some(2), some(3)))
+
+
+def _within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(a, b) of names a that lie within names b, each from a table with one column n.
+
+    If a lies in b, every piece of a is one of b. So a is keyed by the piece of it that
+    the fewest outer names have, pieces of three characters before shorter ones; a piece
+    that no outer name has rules a out. Names of one or two characters have only such keys.
+    """
+    pieces = outer.select(F.col("n").alias("b"), F.explode(_grams(F.col("n"))).alias("piece"))
+    often = pieces.groupBy("piece").agg(F.count("*").alias("k"))
+    size = F.least(F.length("n"), F.lit(3))
+    mine = inner.select(F.col("n").alias("a"), size.alias("size"), F.explode(_grams(F.col("n"))).alias("piece")).where("length(piece) = size")
+    counted = mine.join(often, "piece", "left").groupBy("a").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "piece")).alias("m"))
+    return counted.where("m.k > 0").select("a", F.col("m.piece").alias("piece")).join(pieces, "piece").where(F.contains("b", "a")).select("a", "b")
+
+
 def registry_match(names: DataFrame, registry: DataFrame) -> DataFrame:
-    """name, status, best_name, shared_tokens: the entry with the most meaningful words in common, active ones first.
+    """name, status, best_name, shared_tokens: the matching entry with the most meaningful words in common, active ones first.
 
-    Two shared words make a match, or one name within the other by whole words. Two names
-    that share two words share one that is not the first one's commonest, so a name's
-    commonest word is joined with one-word entries only; a word that all entries carry
-    never pairs everything with everything, and no match is lost.
+    Two shared meaningful words make a match, or one name lying within the other (inside
+    words too). FOUND, CONFLICT (the entry is inactive), NOT_FOUND, or UNAVAILABLE where
+    the registry has no rows at all. Names meet by pairs of words, so a word, or two, that
+    everyone has pairs only what truly matches; entries with the same words and the same
+    state meet once. Ties go to the first name.
     """
-    left = names.select("name").distinct().select("name", F.explode(meaningful(F.col("name"))).alias("word"))
-    right = registry.select(F.col("name").alias("entry"), "active", meaningful(F.col("name")).alias("words"))
-    right = right.select("entry", "active", (F.size("words") == 1).alias("single"), F.explode("words").alias("word"))
-    often = right.groupBy("word").agg(F.count("*").alias("df"))
-    counted = left.join(often, "word")  # words that no entry has can't match
-    top = counted.groupBy("name").agg(F.max(F.struct("df", "word")).getField("word").alias("top"))
-    size = F.size(meaningful(F.col("name")))
-    marked = counted.join(top, "name").withColumn("held", (F.col("word") == F.col("top")) & (size > 1))
-    pairs = (
-        marked.where("NOT held").select("name", "word").join(right, "word")
-        .unionByName(marked.where("held").select("name", "word").join(right.where("single"), "word"))
-        .select("name", "entry", "active").distinct()
+    wide = names.select("name").distinct().withColumn("n", norm_name(F.col("name")))
+    entries = registry.select(F.col("name").alias("entry"), "active").groupBy("entry").agg(F.max("active").alias("active")).withColumn("n", norm_name(F.col("entry")))
+    words = lambda df, c, *keep: df.select(*keep, F.array_sort(meaningful(F.col(c))).alias("words"))
+    twos = lambda df, *keep: df.where("size(words) >= 2").select(
+        *keep, F.explode(F.flatten(F.transform("words", lambda w, k: F.transform(F.slice("words", k + 2, F.size("words")), lambda v: F.struct(w.alias("w"), v.alias("v")))))).alias("two")
     )
-    spaced = lambda c: F.concat(F.lit(" "), norm_name(c), F.lit(" "))
-    a, b = spaced(F.col("name")), spaced(F.col("entry"))
-    scored = pairs.withColumn("shared", F.size(F.array_intersect(meaningful(F.col("name")), meaningful(F.col("entry")))).cast("long"))
-    ok = scored.where((F.col("shared") >= 2) | F.contains(a, b) | F.contains(b, a))
-    best = Window.partitionBy("name").orderBy(F.desc("active"), F.desc("shared"), "entry")
-    top = ok.withColumn("at", F.row_number().over(best)).where("at = 1")
-    return names.select("name").distinct().join(top, "name", "left").select(
-        "name", F.when(F.col("entry").isNull(), "NOT_FOUND").when(F.col("active"), "FOUND").otherwise("CONFLICT").alias("status"),
-        F.col("entry").alias("best_name"), F.coalesce("shared", F.lit(0)).alias("shared_tokens"),
+    left = words(wide, "name", "name")
+    right = words(entries, "entry", "entry", "active").groupBy("words", "active").agg(F.min("entry").alias("entry"))
+    by_words = (
+        twos(left.select("words").distinct(), "words").join(twos(right.select(F.col("words"), F.col("words").alias("theirs"), "active", "entry"), "theirs", "active", "entry"), "two")
+        .groupBy("words").agg(
+            F.min(F.struct((~F.col("active")).alias("inactive"), (-F.size(F.array_intersect("words", "theirs"))).alias("minus"), "entry")).alias("b")
+        )
+        .join(left, "words").select("name", "b")
+    )
+    one, other = wide.select("n").where("n <> ''").distinct(), entries.select("n").where("n <> ''").distinct()
+    held = _within(one, other).select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(_within(other, one).select(F.col("b").alias("n"), F.col("a").alias("m"))).distinct()
+    shared = F.size(F.array_intersect(meaningful(F.col("name")), meaningful(F.col("entry"))))
+    by_part = (
+        wide.where("n <> ''").join(held, "n").join(entries.select(F.col("n").alias("m"), "entry", "active"), "m")
+        .groupBy("name").agg(F.min(F.struct((~F.col("active")).alias("inactive"), (-shared).alias("minus"), "entry")).alias("b"))
+    )
+    best = by_words.unionByName(by_part).groupBy("name").agg(F.min("b").alias("b"))
+    served = registry.agg(F.count("*")).scalar() > 0
+    return wide.select("name").join(best, "name", "left").select(
+        "name", F.when(~served, "UNAVAILABLE").when(F.col("b").isNull(), "NOT_FOUND").when(F.col("b.inactive"), "CONFLICT").otherwise("FOUND").alias("status"),
+        F.col("b.entry").alias("best_name"), F.coalesce(-F.col("b.minus"), F.lit(0)).cast("long").alias("shared_tokens"),
     )
 
 
 def routing_owner(docs: DataFrame, directory: DataFrame) -> DataFrame:
-    """doc_id, status: whether a routing number's owner is the bank that the document names."""
-    both = docs.join(directory.select("aba", "owner_name").dropDuplicates(["aba"]), docs["routing_aba"] == F.col("aba"), "left")
+    """doc_id, status: whether a routing number's owner (the first by name, of several) is the bank that the document names."""
+    both = docs.join(directory.groupBy("aba").agg(F.min("owner_name").alias("owner_name")), docs["routing_aba"] == F.col("aba"), "left")
     same = F.contains(norm_name(F.col("bank_name")), norm_name(F.col("owner_name"))) | F.contains(norm_name(F.col("owner_name")), norm_name(F.col("bank_name")))
     return both.select("doc_id", F.when(F.col("owner_name").isNull(), "NOT_FOUND").when(same, "FOUND").otherwise("CONFLICT").alias("status"), aba_checksum_ok(F.col("routing_aba")).alias("checksum_ok"))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchlake.functions.columns import fake_preserve_shape
+from vouchlake.functions.columns import IBAN_LENGTH, fake_preserve_shape
 from vouchlake.operators import extract as X
 from vouchlake.operators import privacy as P
-from vouchlake.queries.registry import query
+from vouchlake.queries.registry import mod97, query
 
 _ROUTING = r"(?i)((?:bank\s+)?(?:routing|aba|ach|rtn|wire[s]?)(?:[ /]*(?:aba|routing|number|no\.?|#))?[^0-9]{0,28})([0-9]{9})\b"
 _ACCOUNT = r"(?i)(?:acc(?:oun)?t|cuenta|konto(?:nummer)?|compte|conta)[^0-9]{0,14}([0-9][0-9 \-]{5,20}[0-9])"
@@ -35,9 +35,20 @@ def long_number_candidates(docs):
     return X.long_numbers(docs)
 
 
-@query("valid_ibans", "vendor_text", sql="SELECT doc_id, iban FROM vendor_text WHERE iban <> '' AND doc_id % 7 <> 3")
+_LENGTHS = "CASE substr(x, 1, 2) " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in IBAN_LENGTH.items()) + " ELSE length(x) END"
+_CHECKED = """list_reduce(list_concat([0], list_transform(string_split(substr({0}, 5) || substr({0}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END)),
+  lambda r, d: (r * CASE WHEN d > 9 THEN 100 ELSE 10 END + d) % 97) = 1"""
+
+
+@query(
+    "valid_ibans",
+    "vendor_text",
+    sql=rf"""WITH c AS (SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(upper(text), '\b([A-Z]{{2}}\s?[0-9]{{2}}(?:\s?[A-Z0-9]){{10,32}})\b')), '\s', '', 'g') AS x FROM vendor_text),
+n AS (SELECT doc_id, x, substr(x, 1, {_LENGTHS}) AS short FROM c)
+SELECT DISTINCT doc_id, CASE WHEN length(short) BETWEEN 15 AND 34 AND {_CHECKED.format('short')} THEN short ELSE x END AS iban FROM n WHERE (length(short) BETWEEN 15 AND 34 AND {_CHECKED.format('short')}) OR (length(x) BETWEEN 15 AND 34 AND {_CHECKED.format('x')})""",
+)
 def valid_ibans(docs):
-    return X.valid_ibans(docs).where(F.substring("iban", 1, 2).isin("DE", "NL", "ES", "CZ", "FR", "GB"))
+    return X.valid_ibans(docs)
 
 
 @query(
@@ -190,8 +201,8 @@ def merge_readings(readings):
 @query(
     "escalation_reasons",
     "vendor",
-    sql="""SELECT doc_id, unnest(list_filter([CASE WHEN account_holder = '' THEN 'no holder' END, CASE WHEN bank_name = '' THEN 'no bank name' END, CASE WHEN iban = '' AND account_number = '' THEN 'no account' END,
-  CASE WHEN swift_bic = '' THEN 'no bic' END, CASE WHEN iban <> '' AND doc_id % 7 = 3 THEN 'iban checksum' END], lambda x: x IS NOT NULL)) AS reason FROM vendor""",
+    sql=f"""SELECT doc_id, unnest(list_filter([CASE WHEN account_holder = '' THEN 'no holder' END, CASE WHEN bank_name = '' THEN 'no bank name' END, CASE WHEN iban = '' AND account_number = '' THEN 'no account' END,
+  CASE WHEN swift_bic = '' THEN 'no bic' END, CASE WHEN iban <> '' AND NOT {mod97('iban')} THEN 'iban checksum' END], lambda x: x IS NOT NULL)) AS reason FROM vendor""",
 )
 def escalation_reasons(docs):
     return X.escalation_reasons(docs)
@@ -222,24 +233,91 @@ def corroborated_ids(vendor, pages):
     return X.corroborate(_values(vendor, "iban"), pages)
 
 
-@query("page_split", "documents", sql="SELECT doc_id, CAST(0 AS INTEGER) AS page_no, substr(sha256(text), 1, 16) AS run_id FROM documents")
+@query(
+    "page_split",
+    "documents",
+    sql="""WITH p AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS page_no, unnest(string_split(text, chr(10) || chr(10))) AS page FROM documents)
+SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, substr(sha256(page), 1, 16) AS run_id, page_no < 12 AS surveyed FROM p""",
+)
 def page_split(docs):
-    return X.split_pages(docs).select("doc_id", "page_no", X.content_id(F.col("text")).alias("run_id"))
+    """Blank lines stand for form feeds, which the table has none of."""
+    paged = docs.select("doc_id", F.replace("text", F.lit("\n\n"), F.lit("\f")).alias("text"))
+    return X.split_pages(paged).select("doc_id", "page_no", X.content_id(F.col("text")).alias("run_id"), "surveyed")
 
 
-_MASK = "'…' || right(regexp_replace(m, '[^0-9]', '', 'g'), 4)"
+def _beside(text: str, pattern: str, group: int, mask: str) -> str:
+    """DuckDB: the pattern's matches, each as `mask` of its group g, and after each what followed it."""
+    hits = f"list_transform(list_zip(regexp_extract_all({text}, '{pattern}', 1), regexp_extract_all({text}, '{pattern}', 2), regexp_extract_all({text}, '{pattern}', 3)), lambda z: z[1] || {mask} || z[3])"
+    return f"array_to_string(list_transform(list_zip(list_concat([''], {hits}), regexp_split_to_array({text}, '{pattern}')), lambda z: z[1] || z[2]), '')"
 
 
-@query(
-    "redact_documents",
-    "documents",
-    sql=rf"""WITH a AS (SELECT doc_id, list_reduce(list_concat([text], list_distinct(regexp_extract_all(text, '\b[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]){{10,30}}\b'))), lambda t, m: replace(t, m, substr(m, 1, 2) || '**…' || right(replace(m, ' ', ''), 4))) AS t FROM documents),
-b AS (SELECT doc_id, list_reduce(list_concat([t], list_sort(list_distinct(regexp_extract_all(t, '\b[0-9][0-9 \-]{{9,20}}[0-9]\b')))), lambda t, m: replace(t, m, {_MASK})) AS t FROM a) SELECT doc_id, sha256(t) AS redacted_sha256 FROM b""",
-)
+_EDGE = r"(^|[^0-9-])({})($|[^0-9-])"
+_TAIL = "right(regexp_replace({}, '[^0-9]', '', 'g'), 4)"
+_REDACT = [
+    (_EDGE.format(r"\d{3}-\d{2}-\d{4}"), "'XXX-XX-' || " + _TAIL.format("z[2]")), (_EDGE.format(r"\d{2}-\d{7}"), "'XX-XXX' || " + _TAIL.format("z[2]")),
+    (_EDGE.format(r"\d{3}[ ]\d{2}[ ]\d{4}"), "'XXX-XX-' || " + _TAIL.format("z[2]")),
+    (_EDGE.format(r"(?:\d[ ]?){2}[\-–—][ ]?(?:\d[ ]?){6}\d|\d{2}[ ]\d{7}"), "'XX-XXX' || " + _TAIL.format("z[2]")),
+    (r"()(\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){10,30}\b)()", "substr(z[2], 1, 2) || '**…' || right(replace(z[2], ' ', ''), 4)"),
+    (P.ACCOUNT_NEAR + "()", "'…' || " + _TAIL.format("z[2]")), (r"()(\b[0-9][0-9 \-]{9,20}[0-9]\b)()", "'…' || " + _TAIL.format("z[2]")),
+]
+
+
+def _redacted(table: str) -> str:
+    """CTEs r0 ... rn: one pattern after the other; boundary marks that two matches share call for a second pass."""
+    ctes, n = [f"r0 AS (SELECT doc_id, text AS t FROM {table})"], 0
+    for pattern, mask in _REDACT:
+        for _ in range(2 if pattern.startswith("(^") else 1):
+            ctes.append(f"r{n + 1} AS (SELECT doc_id, {_beside('t', pattern, 2, mask)} AS t FROM r{n})")
+            n += 1
+    return "WITH " + ",\n".join(ctes) + f" SELECT doc_id, sha256(t) AS redacted_sha256 FROM r{n}"
+
+
+@query("redact_documents", "documents", sql=_redacted("documents"))
 def redact_documents(docs):
     return P.redact(docs.select("doc_id", "text")).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("redacted_sha256"))
 
 
+@query("redact_vendor_text", "vendor_text", sql=_redacted("vendor_text"))
+def redact_vendor_text(docs):
+    return P.redact(docs.select("doc_id", "text")).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("redacted_sha256"))
+
+
+_SECRETS = """k AS (SELECT doc_id, unnest(['iban', 'account_number']) AS kind, unnest([iban, account_number]) AS value FROM vendor),
+secrets AS (SELECT DISTINCT doc_id, kind, value, CASE kind WHEN 'iban' THEN substr(value, 1, 2) || '**…' || right(value, 4) ELSE '…' || right(value, 4) END AS masked FROM k WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4)"""
+
+
+def _secrets(vendor):
+    return P.secret_registry(vendor.select("doc_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("iban", "account_number"))))))
+
+
+@query("secret_registry", "vendor", sql=f"WITH {_SECRETS} SELECT doc_id, kind, value, masked FROM secrets")
+def secret_registry(vendor):
+    return _secrets(vendor).select("doc_id", "kind", "value", "masked")
+
+
+@query(
+    "known_leaks",
+    "vendor",
+    "vendor_text",
+    sql=f"WITH {_SECRETS} SELECT DISTINCT doc_id, masked FROM secrets JOIN vendor_text USING (doc_id) WHERE contains(text, value)",
+)
+def known_leaks(vendor, texts):
+    return P.known_leaks(texts.select("doc_id", "text"), _secrets(vendor))
+
+
+@query(
+    "training_candidates",
+    "vendor",
+    sql=f"""WITH {_SECRETS}, f AS (SELECT doc_id, kind, value, masked, (SELECT string_agg(CAST((instr('0123456789abcdef', substr(sha256('vouchlake|account_number|' || value), CAST(i AS INT), 1)) - 1) % 10 AS VARCHAR), '' ORDER BY i) FROM range(1, length(value) + 1) t(i)) AS fake FROM secrets)
+SELECT doc_id, 'account_number' AS field, fake AS value FROM f WHERE kind = 'account_number' AND doc_id % 3 <> 0""",
+)
+def training_candidates(vendor):
+    """Masked accounts come back as fakes; in every third document the mask is of another form, which has no fake."""
+    known = _secrets(vendor)
+    shown = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("XX-XXX"), F.right("value", F.lit(4)))).otherwise(F.col("masked"))
+    return P.training_candidates(known.where("kind = 'account_number'").select("doc_id", F.col("kind").alias("field"), shown.alias("value")), known)
+
+
 _G = r"(?:^|[^0-9-])({})(?:$|[^0-9-])"
 _LEAKS = {
     "ssn": _G.format(r"\d{3}-\d{2}-\d{4}"), "ein": _G.format(r"\d{2}-\d{7}"), "ssn_spaced": _G.format(r"\d{3}[ ]\d{2}[ ]\d{4}"),
@@ -254,11 +332,12 @@ _LEAKS = {
     "pages",
     sql="WITH z AS (SELECT 'documents' AS zone, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations UNION ALL SELECT 'pages', html FROM pages), h AS ("
     + " UNION ALL ".join(f"SELECT zone, '{k}' AS pattern, count(*) FILTER (regexp_matches(text, '{p}')) AS hits FROM z GROUP BY 1" for k, p in _LEAKS.items())
-    + ") SELECT * FROM h WHERE hits > 0",
+    + ") SELECT * FROM h WHERE hits > 0 AND (zone <> 'pages' OR pattern IN ('ssn', 'ein', 'ssn_spaced', 'ein_spaced'))",
 )
 def leak_sweep(docs, conversations, pages):
+    """Bank values may stand in web pages, and nowhere else."""
     zone = lambda df, name, c: df.select(F.lit(name).alias("zone"), F.col(c).alias("text"))
-    return P.leak_sweep(zone(docs, "documents", "text").unionByName(zone(conversations, "conversations", "text")).unionByName(zone(pages, "pages", "html")))
+    return P.leak_sweep(zone(docs, "documents", "text").unionByName(zone(conversations, "conversations", "text")).unionByName(zone(pages, "pages", "html")), ("documents", "conversations"))
 
 
 @query(

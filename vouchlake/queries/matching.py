@@ -11,20 +11,33 @@ from vouchlake.queries.registry import query
 from vouchlake.queries.verdicts import _VERDICT
 
 _CHOSEN = """b AS (SELECT v.doc_id, v.iban AS di, v.account_number AS da, v.bank_country AS dc, v.account_holder AS dh, e.*, e.iban AS si, ltrim(e.bankn, '0') AS sb, ltrim(v.account_number, '0') AS db
-  FROM vendor v JOIN erp_bank e ON ltrim(CAST(v.doc_id AS VARCHAR), '0') = ltrim(e.partner, '0')),
-s AS (SELECT *, CASE WHEN di <> '' AND di = si THEN 100 ELSE 0 END + CASE WHEN db <> '' AND db = sb THEN 40 ELSE 0 END + CASE WHEN sb <> '' AND ends_with(di, sb) THEN 20 ELSE 0 END AS score FROM b),
-chosen AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_idx) AS pos, count(*) OVER (PARTITION BY doc_id) AS n_rows FROM s QUALIFY pos = 1)"""
+  FROM vendor v LEFT JOIN erp_bank e ON ltrim(CAST(v.doc_id AS VARCHAR), '0') = ltrim(e.partner, '0')),
+s AS (SELECT *, CASE WHEN di <> '' AND di = si THEN 100 ELSE 0 END + CASE WHEN db <> '' AND db = sb THEN 40 ELSE 0 END + CASE WHEN sb <> '' AND ends_with(di, sb) THEN 40 ELSE 0 END
+  + CASE WHEN doc_id % 4 = 0 AND bankl = 'KEY' THEN 20 ELSE 0 END AS score0 FROM b),
+every AS (SELECT *, CASE WHEN partner IS NOT NULL THEN score0 END AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score0 DESC, row_idx) AS pos, count(partner) OVER (PARTITION BY doc_id) AS n_rows FROM s QUALIFY pos = 1),
+chosen AS (SELECT * FROM every WHERE n_rows > 0)"""
 
 
 def _chosen(vendor, erp):
-    return C.select_partner_row(vendor.withColumn("partner", F.col("doc_id").cast("string")), erp)
+    key = F.when(F.col("doc_id") % 4 == 0, "KEY").otherwise("")
+    return C.select_partner_row(vendor.withColumn("partner", F.col("doc_id").cast("string")).withColumn("routing_aba", key), erp)
 
 
-@query("partner_row", "vendor", "erp_bank", sql=f"WITH {_CHOSEN} SELECT doc_id, row_idx, score, n_rows FROM chosen")
+@query("partner_row", "vendor", "erp_bank", sql=f"WITH {_CHOSEN} SELECT doc_id, row_idx, score, n_rows FROM every")
 def partner_row(vendor, erp):
     return _chosen(vendor, erp).select("doc_id", "row_idx", "score", "n_rows")
 
 
+@query(
+    "partner_findings",
+    "vendor",
+    "erp_bank",
+    sql=f"WITH {_CHOSEN} SELECT doc_id, CASE WHEN n_rows = 0 THEN 'SAP-010' ELSE 'SAP-011' END AS rule_id, CASE WHEN n_rows = 0 THEN 'WARNING' END AS verdict_effect FROM every WHERE n_rows <> 1",
+)
+def partner_findings(vendor, erp):
+    return C.partner_findings(_chosen(vendor, erp)).select("doc_id", "rule_id", "verdict_effect")
+
+
 _DIFF = "coalesce((SELECT min(k) FROM range(1, least(length({a}), length({b})) + 1) t(k) WHERE substr({a}, CAST(k AS INT), 1) <> substr({b}, CAST(k AS INT), 1)), least(length({a}), length({b})) + 1)"
 
 
@@ -45,14 +58,15 @@ _DIFF = "coalesce((SELECT min(k) FROM range(1, least(length({a}), length({b})) +
 SELECT doc_id, field, status, note FROM r WHERE status IS NOT NULL""",
 )
 def reconcile_bank(vendor, erp):
-    return C.reconcile_bank(_chosen(vendor, erp))
+    return C.reconcile_bank(_chosen(vendor, erp).where("n_rows > 0"))
 
 
 @query(
     "reverse_lookup",
     "vendor",
     "erp_bank",
-    sql="""WITH h AS (SELECT DISTINCT v.doc_id, e.partner FROM vendor v JOIN erp_bank e ON (v.iban <> '' AND v.iban = e.iban) OR (ltrim(v.account_number, '0') <> '' AND ltrim(v.account_number, '0') = ltrim(e.bankn, '0'))),
+    sql="""WITH h AS (SELECT DISTINCT v.doc_id, e.partner FROM vendor v JOIN erp_bank e ON (v.iban <> '' AND v.iban = e.iban) OR (ltrim(v.account_number, '0') <> '' AND ltrim(v.account_number, '0') = ltrim(e.bankn, '0'))
+  OR (ltrim(e.bankn, '0') <> '' AND ends_with(v.iban, ltrim(e.bankn, '0')))),
 n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1)
 SELECT v.doc_id, coalesce(n, 0) AS n_partners, CASE WHEN n > 1 THEN 'SAP-013' ELSE 'SAP-012' END AS finding FROM vendor v LEFT JOIN n USING (doc_id)""",
 )
@@ -73,30 +87,35 @@ def shared_accounts(erp):
     "reconcile_partner",
     "tax",
     "erp_partner",
-    sql="""WITH b AS (SELECT t.doc_id, t.line1_name, t.line3_classification AS cls, p.*, regexp_replace(lower(line1_name), '[^a-z0-9_ ]', ' ', 'g') AS one,
-    regexp_replace(lower(name_org1), '[^a-z0-9_ ]', ' ', 'g') AS n1, regexp_replace(lower(full_name), '[^a-z0-9_ ]', ' ', 'g') AS n2 FROM tax t JOIN erp_partner p ON CAST(t.doc_id AS VARCHAR) = ltrim(p.partner, '0'))
-SELECT doc_id, 'SAP-030' AS finding FROM b WHERE one <> '' AND NOT ((n1 <> '' AND (contains(n1, one) OR contains(one, n1))) OR (n2 <> '' AND (contains(n2, one) OR contains(one, n2))))
-UNION ALL SELECT doc_id, 'SAP-031' FROM b WHERE type = '1' AND (regexp_matches(line1_name, ' LLC$') OR NOT (cls = '' OR cls LIKE 'Individual%'))
-UNION ALL SELECT doc_id, 'SAP-032' FROM b WHERE xblck = 'X' OR xdele = 'X'""",
+    sql="""WITH p AS (SELECT *, trim(concat_ws(' ', nullif(name_org1, ''), nullif(name_org2, ''))) AS org, trim(concat_ws(' ', nullif(name_last, ''), nullif(name_first, ''))) AS person FROM erp_partner),
+b AS (SELECT t.doc_id, line3_classification AS cls, p.*, regexp_replace(lower(line1_name), '[^a-z0-9_ ]', ' ', 'g') AS one,
+    list_transform(list_filter([org, full_name, person], lambda x: x <> ''), lambda x: regexp_replace(lower(x), '[^a-z0-9_ ]', ' ', 'g')) AS names FROM tax t LEFT JOIN p ON CAST(t.doc_id AS VARCHAR) = ltrim(p.partner, '0')),
+c AS (SELECT *, one <> '' AND len(names) > 0 AND NOT list_bool_or(list_transform(names, lambda x: contains(x, one) OR contains(one, x))) AS f30,
+    cls <> '' AND type <> '' AND (cls LIKE 'Individual%') <> (type = '1') AS f31 FROM b)
+SELECT doc_id, 'SAP-010' AS finding FROM c WHERE partner IS NULL UNION ALL SELECT doc_id, 'SAP-030' FROM c WHERE partner IS NOT NULL AND f30 UNION ALL SELECT doc_id, 'SAP-031' FROM c WHERE partner IS NOT NULL AND f31
+UNION ALL SELECT doc_id, 'SAP-032' FROM c WHERE xblck = 'X' UNION ALL SELECT doc_id, 'SAP-032' FROM c WHERE xdele = 'X'
+UNION ALL SELECT doc_id, 'SAP-000' FROM c WHERE partner IS NOT NULL AND NOT coalesce(f30, FALSE) AND NOT f31""",
 )
 def reconcile_partner(tax, partners):
-    return C.reconcile_partner(tax, partners)
+    return C.reconcile_partner(tax.withColumn("partner", F.col("doc_id").cast("string")), partners)
+
+
+_STOP = "['" + "', '".join(C.STOP_WORDS) + "']"
 
 
 @query(
     "registry_names",
-    "supplier",
+    "bank_names",
     "bank_registry",
-    sql="""WITH lw AS (SELECT DISTINCT s_name AS name, unnest(list_distinct(regexp_split_to_array(trim(regexp_replace(lower(s_name), '[^a-z0-9_]+', ' ', 'g')), ' '))) AS word FROM supplier),
-rw AS (SELECT name AS entry, active, unnest(list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')), ' '), lambda t: t <> 'limited'))) AS word FROM bank_registry),
-p AS (SELECT lw.name, entry, count(*) AS shared, bool_or(active) AS active FROM lw JOIN rw USING (word) GROUP BY 1, 2),
-k AS (SELECT *, ' ' || trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')) || ' ' AS a, ' ' || trim(regexp_replace(lower(entry), '[^a-z0-9_]+', ' ', 'g')) || ' ' AS b FROM p),
-t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY active DESC, shared DESC, entry) AS pos FROM k WHERE shared >= 2 OR contains(a, b) OR contains(b, a))
-SELECT DISTINCT s_name AS name, CASE WHEN entry IS NULL THEN 'NOT_FOUND' WHEN active THEN 'FOUND' ELSE 'CONFLICT' END AS status, entry AS best_name, coalesce(shared, 0) AS shared_tokens
-FROM supplier LEFT JOIN (SELECT * FROM t WHERE pos = 1) t ON t.name = s_name""",
+    sql=f"""WITH a0 AS (SELECT DISTINCT name, trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')) AS n FROM bank_names), a AS (SELECT *, list_filter(list_distinct(string_split(n, ' ')), lambda t: NOT list_contains({_STOP}, t)) AS w FROM a0),
+b0 AS (SELECT name AS entry, bool_or(active) AS active, trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')) AS m FROM bank_registry GROUP BY 1, 3), b AS (SELECT *, list_filter(list_distinct(string_split(m, ' ')), lambda t: NOT list_contains({_STOP}, t)) AS v FROM b0),
+t AS (SELECT name, entry, active, len(list_intersect(w, v)) AS shared FROM a JOIN b ON contains(n, m) OR contains(m, n) OR len(list_intersect(w, v)) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY active DESC, shared DESC, entry) AS pos FROM t)
+SELECT a.name, CASE WHEN entry IS NULL THEN 'NOT_FOUND' WHEN active THEN 'FOUND' ELSE 'CONFLICT' END AS status, entry AS best_name, coalesce(shared, 0) AS shared_tokens
+FROM a LEFT JOIN (SELECT * FROM r WHERE pos = 1) r ON r.name = a.name""",
 )
-def registry_names(supplier, registry):
-    return C.registry_match(supplier.select(F.col("s_name").alias("name")), registry)
+def registry_names(names, registry):
+    return C.registry_match(names, registry)
 
 
 @query(

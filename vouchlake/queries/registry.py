@@ -22,3 +22,9 @@ def query(name: str, *reads: str, sql: str | None = None):
         return f
 
     return add
+
+
+def mod97(c: str) -> str:
+    """DuckDB: whether c is two letters, then digits alone, with the right check digits."""
+    swapped = f"substr({c}, 5) || (ascii({c}) - 55) || (ascii(substr({c}, 2, 1)) - 55) || substr({c}, 3, 2)"
+    return f"(CASE WHEN regexp_matches({c}, '^[A-Z]{{2}}[0-9]{{10,30}}$') THEN CAST({swapped} AS HUGEINT) % 97 = 1 ELSE FALSE END)"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vouchlake.queries.extraction import _LEAKS
 from vouchlake.queries.registry import query
 from vouchlake.streaming import streams as S
 
@@ -33,9 +34,11 @@ def stream_review_bursts(events):
     return S.review_bursts(events)
 
 
-@query("stream_leak_monitor", "events", "documents", sql=r"""
-WITH t AS (SELECT d.doc_id, e.ts, d.text FROM documents d JOIN events e ON e.event_id = d.doc_id)
-SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, 'long_number' AS pattern, count(*) AS hits FROM t WHERE regexp_matches(text, '\b\d{11,18}\b') GROUP BY 1""")
+@query("stream_leak_monitor", "events", "documents", sql=rf"""
+WITH t AS (SELECT d.doc_id, e.ts, d.text FROM documents d JOIN events e ON e.event_id = d.doc_id), h AS (
+{" UNION ALL ".join(f"SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, '{k}' AS pattern, count(*) FILTER (regexp_matches(text, '{p}')) AS hits FROM t GROUP BY 1" for k, p in _LEAKS.items())})
+SELECT * FROM h WHERE hits > 0""")
 def stream_leak_monitor(events, documents):
+    """All patterns. The join gives documents, which have no time of their own, that of the event with their number."""
     texts = documents.join(events.select(F.col("event_id").alias("doc_id"), "ts"), "doc_id").select("ts", "text")
-    return S.stream_leaks(texts).where("pattern = 'long_number'")
+    return S.stream_leaks(texts)

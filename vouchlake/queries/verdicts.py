@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vouchlake.functions.columns import mask_value
+from vouchlake.operators.evaluate import approval_counts as approval_counts_of
 from vouchlake.plans import rules as R
-from vouchlake.queries.registry import query
+from vouchlake.queries.registry import mod97, query
 
-_FOUND = """
+_FOUND = f"""
 base AS (
   SELECT *, CASE WHEN bank_country = 'CZ' THEN '' ELSE bank_country END AS bc,
     doc_type IN ('bank_letter','bank_statement','supplier_letterhead','bank_screenshot','voided_check','ap_document','payment_instructions','other') AS evidence
@@ -16,25 +17,25 @@ base AS (
 ), found AS (
   SELECT doc_id, 'BNK-001' AS rule_id, 'CRITICAL' AS severity, 'REJECT' AS verdict_effect, '' AS detail FROM base WHERE doc_type = 'invoice'
   UNION ALL SELECT doc_id, 'BNK-004', 'WARNING', 'WARNING', '' FROM base WHERE doc_type = 'payment_instructions'
-  UNION ALL SELECT doc_id, 'BNK-006', 'NOTE', NULL, 'not shown in the document' FROM base WHERE doc_type = 'bank_statement' AND swift_bic = ''
+  UNION ALL SELECT doc_id, 'BNK-006', 'NOTE', NULL, 'absent' FROM base WHERE doc_type = 'bank_statement' AND swift_bic = ''
   UNION ALL SELECT doc_id, 'BNK-010', 'CRITICAL', 'NEED_MANUAL_REVIEW',
-    CASE WHEN length(swift_bic) NOT IN (8, 11) THEN 'length ' || length(swift_bic) || ', must be one of [8, 11]'
-         ELSE 'SWIFT country (' || substr(swift_bic, 5, 2) || ') differs from bank country (' || bc || ')' END
+    CASE WHEN length(swift_bic) NOT IN (8, 11) THEN 'has ' || length(swift_bic) || ' characters instead of 8 or 11'
+         ELSE 'the BIC says ' || substr(swift_bic, 5, 2) || ', the bank sits in ' || bc END
     FROM base WHERE swift_bic <> '' AND (length(swift_bic) NOT IN (8, 11) OR (bc <> '' AND substr(swift_bic, 5, 2) <> bc))
   UNION ALL SELECT doc_id, 'BNK-011', 'CRITICAL', 'NEED_MANUAL_REVIEW',
-    CASE WHEN bc <> '' AND substr(iban, 1, 2) <> bc THEN 'IBAN prefix (' || substr(iban, 1, 2) || ') differs from bank country (' || bc || ')'
-         ELSE 'checksum failed (ISO 13616 mod-97) — an OCR misread or a typo' END
-    FROM base WHERE iban <> '' AND ((bc <> '' AND substr(iban, 1, 2) <> bc) OR doc_id % 7 = 3)
-  UNION ALL SELECT doc_id, 'BNK-020', 'NOTE', NULL, 'document date 2019-01-15 is ~' || CAST(date_diff('day', DATE '2019-01-15', DATE '2026-07-09') // 365 AS VARCHAR) || ' years old'
+    CASE WHEN bc <> '' AND substr(iban, 1, 2) <> bc THEN 'the IBAN says ' || substr(iban, 1, 2) || ', the bank sits in ' || bc
+         ELSE 'the check digits do not fit' END
+    FROM base WHERE iban <> '' AND ((bc <> '' AND substr(iban, 1, 2) <> bc) OR NOT {mod97('iban')})
+  UNION ALL SELECT doc_id, 'BNK-020', 'NOTE', NULL, 'dated 2019-01-15, full years since: ' || CAST(date_diff('day', DATE '2019-01-15', DATE '2026-07-09') // 365 AS VARCHAR)
     FROM base WHERE doc_date = '2019-01-15'
-  UNION ALL SELECT doc_id, 'BNK-021', 'WARNING', 'WARNING', 'no signature, and the noted ''no signature or stamp'' is a statement of absence, not a compensating artifact'
+  UNION ALL SELECT doc_id, 'BNK-021', 'WARNING', 'WARNING', 'unsigned; what is noted (''no signature or stamp'') signs nothing'
     FROM base WHERE doc_type = 'bank_letter' AND NOT signed AND doc_id % 6 = 3
   UNION ALL SELECT doc_id, 'BNK-026', 'NOTE', NULL, signature_evidence FROM base WHERE doc_type = 'bank_letter' AND NOT signed AND doc_id % 6 = 0
   UNION ALL SELECT doc_id, 'BNK-027', 'NOTE', NULL, '' FROM base WHERE doc_type = 'payment_instructions' AND settlement_issuer_strong
   UNION ALL SELECT doc_id, 'BNK-031', 'WARNING', 'NEED_MANUAL_REVIEW', ''
     FROM base WHERE doc_type IN ('bank_letter','bank_statement','payment_instructions','supplier_letterhead') AND distinct_accounts
   UNION ALL SELECT doc_id, 'BNK-023', 'WARNING', 'NEED_MANUAL_REVIEW', '' FROM base WHERE evidence AND account_holder = ''
-  UNION ALL SELECT doc_id, 'BNK-024', 'WARNING', 'NEED_MANUAL_REVIEW', 'no IBAN, account number or routing/ABA found'
+  UNION ALL SELECT doc_id, 'BNK-024', 'WARNING', 'NEED_MANUAL_REVIEW', 'nothing names an account'
     FROM base WHERE evidence AND iban = '' AND account_number = '' AND routing_aba = ''
   UNION ALL SELECT doc_id, 'BNK-025', 'WARNING', 'WARNING', ''
     FROM base WHERE doc_type IN ('bank_letter','bank_statement','bank_screenshot','voided_check') AND bank_name = ''
@@ -72,20 +73,24 @@ def findings_long(vendor):
     "findings_summary",
     "vendor",
     sql=f"""{_VERDICT}
-SELECT v.doc_id, v.verdict, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'NOTE') AS notes
+SELECT v.doc_id, v.verdict, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS warnings, count(*) FILTER (severity = 'NOTE') AS notes,
+  CASE v.verdict {' '.join(f"WHEN '{k}' THEN '{t}'" for k, t in R.NEXT_STEP['bank'].items())} END AS next_step
 FROM verdicts v LEFT JOIN found USING (doc_id) GROUP BY 1, 2""",
 )
 def findings_summary(vendor):
     found = R.apply_rules(vendor)
-    return R.findings_summary(found, R.fold_verdict(found, vendor)).drop("why")
+    return R.findings_summary(found, R.fold_verdict(found, vendor).withColumn("doc_class", F.lit("bank"))).drop("why")
 
 
-def _approvals(spark):
-    """Every fifth rule rejected, every fourth changed since its approval."""
-    rows = [
-        (r.doc_class, r.rule_id, "REJECTED" if k % 5 == 4 else "APPROVED", "stale" if k % 4 == 3 else r.rule_hash) for k, r in enumerate(R.RULES)
-    ]
-    return spark.createDataFrame(rows, "doc_class string, rule_id string, status string, hash string")
+def _approvals(runs):
+    """A ledger of one entry a run: each is about one rule; the newest of a rule says that every fifth is rejected and every fourth has changed since."""
+    n = len(R.RULES)
+    rules = R.rule_table(runs.sparkSession).select((F.col("seq") - 1).cast("long").alias("k"), "doc_class", "rule_id", "rule_hash")
+    entries = runs.select((F.col("run_id") % n).alias("k"), "ts", "run_id")
+    newest = entries.groupBy("k").agg(F.max(F.struct("ts", "run_id")).alias("m"))
+    last = entries.join(newest, "k").join(F.broadcast(rules), "k").withColumn("is_last", F.struct("ts", "run_id") == F.col("m"))
+    state = F.when(~F.col("is_last"), "rejected").when(F.col("k") % 5 == 4, "REJECTED").otherwise("APPROVED")
+    return last.select("doc_class", "rule_id", state.alias("status"), F.when(F.col("is_last") & (F.col("k") % 4 == 3), "stale").otherwise(F.col("rule_hash")).alias("hash"), F.struct("ts", "run_id").alias("ts"))
 
 
 _STATUS = {(r.doc_class, r.rule_id): "pending" if k % 4 == 3 else "rejected" if k % 5 == 4 else "approved" for k, r in enumerate(R.RULES)}
@@ -102,23 +107,33 @@ pending AS (
 )"""
 
 
-@query("rule_gate", "vendor", sql=f"{_GATE} SELECT doc_id, rule_id, verdict_effect FROM gated")
-def rule_gate(vendor):
-    status = R.approval_status(_approvals(vendor.sparkSession))
+@query("rule_gate", "vendor", "runs", sql=f"{_GATE} SELECT doc_id, rule_id, verdict_effect FROM gated")
+def rule_gate(vendor, runs):
+    status = R.approval_status(_approvals(runs))
     return R.apply_rules(vendor, status=status).select("doc_id", "rule_id", "verdict_effect")
 
 
+@query(
+    "approval_counts",
+    "runs",
+    sql=f"SELECT doc_class, status, count(*) AS n FROM (VALUES {', '.join(repr((c, i, s)) for (c, i), s in _STATUS.items())}) t(doc_class, rule_id, status) WHERE (SELECT count(*) FROM runs) >= 0 GROUP BY 1, 2",
+)
+def approval_counts(runs):
+    return approval_counts_of(R.status_table(runs.sparkSession, R.approval_status(_approvals(runs))))
+
+
 @query(
     "rule_trace_counts",
     "vendor",
+    "runs",
     sql=f"""{_GATE}, trace AS (
   SELECT rule.rule_id, CASE WHEN NOT (types = '' OR list_contains(string_split(types, ' '), doc_type)) THEN 'not-applicable'
     WHEN status <> 'approved' THEN 'skipped-' || status WHEN found.doc_id IS NOT NULL THEN 'fired' ELSE 'did-not-fire' END AS outcome
   FROM base CROSS JOIN rule JOIN state USING (rule_id) LEFT JOIN found ON found.doc_id = base.doc_id AND found.rule_id = rule.rule_id)
 SELECT rule_id, outcome, count(*) AS n FROM trace GROUP BY 1, 2""",
 )
-def rule_trace_counts(vendor):
-    status = R.approval_status(_approvals(vendor.sparkSession))
+def rule_trace_counts(vendor, runs):
+    status = R.approval_status(_approvals(runs))
     bank = tuple(r for r in R.RULES if r.doc_class == "bank")
     return R.decision_trace(vendor, bank, status).groupBy("rule_id", "outcome").agg(F.count("*").alias("n"))
 
@@ -136,18 +151,18 @@ WITH base AS (
   UNION ALL SELECT doc_id, 'W9-001', '' FROM base WHERE doc_type = 'w9' AND line1_name = ''
   UNION ALL SELECT doc_id, 'W9-002', '' FROM base WHERE doc_type = 'w9' AND tin_raw = ''
   UNION ALL SELECT doc_id, 'W9-003', '' FROM base WHERE doc_type = 'w9' AND line3_classification = ''
-  UNION ALL SELECT doc_id, 'W9-010', n || ' digits, must be 9' FROM base WHERE doc_type = 'w9' AND tin_raw <> '' AND n <> 9
-  UNION ALL SELECT doc_id, 'W9-011', CASE WHEN tin_type = 'EIN' THEN 'Individual/Sole proprietor classification with EIN and no business name' ELSE cls || ' classification with an SSN' END
+  UNION ALL SELECT doc_id, 'W9-010', 'has ' || n || ' digits instead of 9' FROM base WHERE doc_type = 'w9' AND tin_raw <> '' AND n <> 9
+  UNION ALL SELECT doc_id, 'W9-011', CASE WHEN tin_type = 'EIN' THEN 'a person''s class with an EIN, and no business is named' ELSE 'an SSN for class ' || cls END
     FROM base WHERE doc_type = 'w9' AND ((cls = 'individual_sole_prop' AND tin_type = 'EIN' AND line2_business_name = '') OR (cls IN ('llc', 'corporation', 'partnership', 'trust_estate') AND tin_type = 'SSN'))
-  UNION ALL SELECT doc_id, 'W9-012', 'Individual classification + business/LLC name + EIN together' FROM base WHERE doc_type = 'w9' AND cls = 'individual_sole_prop' AND tin_type = 'EIN' AND (biz1 OR biz2)
-  UNION ALL SELECT doc_id, 'W9-013', CASE WHEN line1_name = '' THEN 'Line 1 empty while Line 2 present — lines likely swapped/collapsed'
-      ELSE 'Line 1 looks like a business while Line 2 looks like a person (Individual classification)' END
+  UNION ALL SELECT doc_id, 'W9-012', 'a person''s class, a business name and an EIN at once' FROM base WHERE doc_type = 'w9' AND cls = 'individual_sole_prop' AND tin_type = 'EIN' AND (biz1 OR biz2)
+  UNION ALL SELECT doc_id, 'W9-013', CASE WHEN line1_name = '' THEN 'only line 2 is filled'
+      ELSE 'line 1 names a business and line 2 a person, though the class is a person''s' END
     FROM base WHERE doc_type = 'w9' AND ((line1_name = '' AND line2_business_name <> '') OR (cls = 'individual_sole_prop' AND biz1 AND line2_business_name = 'Jane Q. Sample'))
   UNION ALL SELECT doc_id, 'W9-020', '' FROM base WHERE doc_type = 'w9' AND NOT signed
   UNION ALL SELECT doc_id, 'W8-001', '' FROM base WHERE doc_type = 'w8' AND NOT signed
   UNION ALL SELECT doc_id, 'W8-002', '' FROM base WHERE doc_type = 'w8' AND legal_name = ''
-  UNION ALL SELECT doc_id, 'W8-003', 'chapter-4 status ''Active NFFE'' is claimed but no certification part is completed' FROM base WHERE doc_type = 'w8' AND chapter4_status <> '' AND chapter4_cert_section = ''
-  UNION ALL SELECT doc_id, 'W8-004', 'document date 2021-02-03 is ~5 years old' FROM base WHERE doc_type = 'w8' AND sign_date = '2021-02-03'
+  UNION ALL SELECT doc_id, 'W8-003', 'nothing certifies status ''Active NFFE''' FROM base WHERE doc_type = 'w8' AND chapter4_status <> '' AND chapter4_cert_section = ''
+  UNION ALL SELECT doc_id, 'W8-004', 'dated 2021-02-03, full years since: 5' FROM base WHERE doc_type = 'w8' AND sign_date = '2021-02-03'
   UNION ALL SELECT doc_id, 'W8-005', '' FROM base WHERE doc_type = 'w8' AND sign_date = ''
 )
 SELECT doc_id, rule_id, detail FROM found"""

@@ -103,20 +103,32 @@ SELECT lpad(CAST(doc_id AS STRING), 10, '0') AS partner, CAST(n AS INT) AS row_i
        WHEN doc_id % 19 = 0 THEN lpad(CAST((doc_id - 1) * 7919 + 104729 AS STRING), 12, '0') ELSE account_number END AS bankn,
   bank_country AS banks, account_holder AS koinh, CASE WHEN swift_bic = '' THEN 'KEY' ELSE swift_bic END AS bankl
 FROM {vendor} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) r
-WHERE n <= doc_id % 3
+WHERE n <= doc_id % 3 AND doc_id % 21 <> 0
 """
 
 ERP_PARTNER = """
-SELECT lpad(CAST(c_custkey AS STRING), 10, '0') AS partner, CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '2' END AS type,
-  CASE WHEN c_custkey % 2 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN 'Other Name' ELSE c_name || ' GmbH' END AS name_org1,
-  CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS full_name,
+SELECT lpad(CAST(c_custkey AS STRING), 10, '0') AS partner, CASE WHEN c_custkey % 4 = 3 THEN '' WHEN c_custkey % 2 = 0 THEN '1' ELSE '2' END AS type,
+  CASE WHEN c_custkey % 2 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN 'Other Name' WHEN c_custkey % 5 = 0 THEN 'Widget' ELSE c_name || ' GmbH' END AS name_org1,
+  CASE WHEN c_custkey % 10 = 5 THEN 'Company' ELSE '' END AS name_org2,
+  CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE '' END AS full_name,
+  CASE WHEN c_custkey % 4 = 2 THEN c_name ELSE '' END AS name_last, CASE WHEN c_custkey % 8 = 2 THEN 'Jane' ELSE '' END AS name_first,
   CASE WHEN c_custkey % 23 = 0 THEN 'X' ELSE '' END AS xblck, CASE WHEN c_custkey % 37 = 0 THEN 'X' ELSE '' END AS xdele
-FROM {customer}
+FROM {customer} WHERE c_custkey % 41 <> 0
 """
 
 REGISTRY = """
-SELECT replace(s_name, 'Supplier', 'Supplier Limited') AS name, s_suppkey % 9 <> 0 AS active, CAST(s_suppkey AS BIGINT) AS cert
-FROM {supplier} WHERE s_suppkey % 8 <> 0
+SELECT CASE s_suppkey % 8 WHEN 0 THEN 'Bank of the North ' || CAST(s_suppkey AS STRING) WHEN 1 THEN 'Beta' || CAST(s_suppkey AS STRING) || ' GmbH SA'
+    WHEN 2 THEN 'Citi' || CAST(s_suppkey % 30 AS STRING) || 'bank, NA' WHEN 3 THEN 'Northern Solutions Services Group' WHEN 4 THEN 'Northern Services ' || CAST(s_suppkey AS STRING)
+    ELSE s_name || ' Limited' END AS name,
+  s_suppkey % 9 <> 0 AS active, CAST(s_suppkey AS BIGINT) AS cert
+FROM {supplier}
+"""
+
+BANK_NAMES = """
+SELECT CASE s_suppkey % 7 WHEN 0 THEN 'Bank of the' WHEN 1 THEN 'Alpha' || CAST(s_suppkey AS STRING) || ' GmbH SA' WHEN 2 THEN 'CITI' || CAST(s_suppkey % 30 AS STRING)
+    WHEN 3 THEN 'Northern Solutions Services ' || CAST(s_suppkey AS STRING) WHEN 4 THEN 'The bank, Inc.' || CAST(s_suppkey AS STRING)
+    WHEN 5 THEN 'Old ' || s_name || ' Limited Holding' ELSE s_name END AS name
+FROM {supplier}
 """
 
 ROUTING = """
@@ -205,6 +217,7 @@ BINDINGS: dict[str, tuple[str, tuple[str, ...]]] = {
     "erp_bank": (ERP_BANK, ("vendor",)),
     "erp_partner": (ERP_PARTNER, ("customer",)),
     "bank_registry": (REGISTRY, ("supplier",)),
+    "bank_names": (BANK_NAMES, ("supplier",)),
     "routing_directory": (ROUTING, ("supplier",)),
     "bic_directory": (BIC, ("vendor",)),
     "votes": (VOTES, ("supplier",)),
