@@ -6,6 +6,12 @@ Risk (logistic loss l, class prior p, positives P, unlabelled U):
 
 The bracket estimates the risk on the unseen negatives. Where it falls below zero the
 model has begun to overfit the positives, and the step climbs that term instead.
+
+The class prior is estimated from the same two samples: a plain classifier of positives
+against unlabelled rows is fitted on one half, and on the other half the share of
+unlabelled over the share of positive rows above a score is an upper bound of the prior.
+The score at which that bound, with its confidence width, is least is used (best bin
+estimation). No row known to be negative is needed.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ class LinearScorer:
 def fit_nnpu(
     positive: np.ndarray,
     unlabelled: np.ndarray,
-    prior: float,
+    prior: float | None,
     *,
     steps: int = 400,
     rate: float = 0.05,
@@ -43,9 +49,11 @@ def fit_nnpu(
     """Full-batch Adam on the non-negative risk. Deterministic.
 
     positive, unlabelled: rows of features. No positives: the constant score `prior`.
+    prior None: the plain risk of telling positives from unlabelled rows, weighed alike.
     beta: how far below zero the negatives' risk may fall before a step climbs it.
     """
-    prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
+    plain = prior is None
+    prior = 0.5 if plain else float(np.clip(prior, 1e-3, 1 - 1e-3))
     width = unlabelled.shape[1] if unlabelled.size else positive.shape[1] if positive.size else 0
     bias0 = float(np.log(prior / (1 - prior)))
     if not len(positive) or not len(unlabelled):
@@ -63,11 +71,44 @@ def fit_nnpu(
         gp, gu = (x @ w[:-1].astype(np.float32) + w[-1] for x in (p, u))
         sp, su = sigmoid(gp), sigmoid(gu)
         pos_grad = prior * pull(p, sp - 1.0)
-        neg_grad = pull(u, su) - prior * pull(p, sp)
-        neg_risk = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
-        grad = pos_grad + neg_grad if neg_risk >= -beta else -neg_grad
+        if plain:
+            grad = pos_grad + 0.5 * pull(u, su)
+        else:
+            neg_grad = pull(u, su) - prior * pull(p, sp)
+            neg_risk = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
+            grad = pos_grad + neg_grad if neg_risk >= -beta else -neg_grad
         grad = grad + l2 * np.append(w[:-1], 0.0)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return LinearScorer(w[:-1].copy(), float(w[-1]))
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The prior that scores of held-back positive and unlabelled rows show.
+
+    For every score c that occurs, q(c) is the share of rows at or above it. The share of
+    positives among the unlabelled is at most q_u(c) / q_p(c); the c with the least upper
+    confidence bound of that is taken.
+    """
+    cuts = np.unique(np.concatenate([positive, unlabelled]))
+    share = lambda x: 1.0 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
+    qp, qu = share(positive), share(unlabelled)
+    cuts, qp, qu = cuts[qp > 0], qp[qp > 0], qu[qp > 0]
+    wide = np.sqrt(np.log(4 / delta) / (2 * len(unlabelled))) + (1 + gamma) * np.sqrt(np.log(4 / delta) / (2 * len(positive)))
+    at = int(np.argmin((qu + wide) / qp))
+    return float(np.clip(qu[at] / qp[at], 1e-3, 1 - 1e-3))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, default: float, **how) -> float:
+    """The class prior, by best bin estimation on both halves in turn; `default` with fewer than two rows of a kind.
+
+    Rows should be in no order that depends on their class; every second one is held back.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
+        return default
+    found = []
+    for fit_on in (0, 1):
+        model = fit_nnpu(positive[fit_on::2], unlabelled[fit_on::2], None, **how)
+        found.append(best_bin(model.scores(positive[1 - fit_on :: 2]), model.scores(unlabelled[1 - fit_on :: 2])))
+    return float(np.mean(found))

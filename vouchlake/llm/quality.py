@@ -2,11 +2,13 @@
 
 Trusted positives are documents labelled quality 1; all other text is unlabelled web
 text. Features see only the text: character classes, punctuation habits, repetition of
-words and lines, and length, each cut into bins at quantiles of the fitting sample so
-that a linear model can bend.
+words and lines, and length, each cut into bins at quantiles over all rows that may be
+learnt from, so that a linear model can bend.
 
 Null and empty texts get a score too (their features are all zero). Documents repeat as
-often as they come; extra columns are kept by `keep_good` and dropped by `score`.
+often as they come; extra columns are kept by `keep_good` and dropped by `score`. An
+empty table gives no rows. Without trusted rows nothing is known to be bad, and every
+score is NO_LABELS.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pu import LinearScorer, fit_nnpu
-from .samples import read_table, remainder, training_sample
+from .pu import LinearScorer, estimate_prior, fit_nnpu
+from .samples import learnable, read_table, remainder, training_sample
 
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Bounds of the fitting sample.
 MAX_POSITIVE, MAX_UNLABELLED = 6000, 12000
+#: The prior without trusted rows.
+NO_LABELS = 1 - 1e-3
 QUANTILES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99)
 
 _GROUPS = ("|", "*#$%&@^~`", "!?", ".,;:", "<>{}[]()=/\\_+-", "'\"", "0123456789", " ", "\n\r\t")
@@ -97,23 +101,57 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
-def fit_arrays(dense: np.ndarray, positive: np.ndarray, prior: float) -> QualityModel:
-    """The model of a sample: dense features and which rows are trusted positives."""
-    unlabelled = dense[~positive]
-    edges = tuple(
-        np.unique(np.quantile(unlabelled[:, k], QUANTILES)) if len(unlabelled) else np.zeros(0) for k in range(dense.shape[1])
-    )
+def _cells(dense: np.ndarray) -> np.ndarray:
+    """Values from 0 on as whole numbers in the same order, some 256 for each doubling."""
+    return dense.astype(np.float32).view(np.int32) >> 15
+
+
+def corpus_edges(docs: DataFrame) -> tuple[np.ndarray, ...]:
+    """Quantiles of each feature over all of docs.
+
+    Tasks count values by cells that are narrow in proportion (0.4 %), so the counts add up
+    exactly in any order and each feature has a bounded number of them; the driver gets
+    one number a feature and quantile.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int], int] = {}
+        for b in batches:
+            if b.num_rows:
+                cells = _cells(feature_matrix(b.column("text").to_pylist()))
+                for k in range(N_FEATURES):
+                    for cell, n in zip(*(x.tolist() for x in np.unique(cells[:, k], return_counts=True))):
+                        counts[k, cell] = counts.get((k, cell), 0) + n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in counts], pa.int32()), pa.array([c for _, c in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())],
+            names=["feature", "cell", "n"],
+        )
+
+    per = docs.select("text").mapInArrow(run, "feature int, cell int, n long").groupBy("feature", "cell").agg(F.sum("n").alias("n"))
+    feature = Window.partitionBy("feature")
+    placed = per.withColumn("upto", F.sum("n").over(feature.orderBy("cell"))).withColumn("all", F.sum("n").over(feature))
+    least = [F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("cell"))).alias(f"q{k}") for k, q in enumerate(QUANTILES)]
+    found = {r["feature"]: [r[f"q{k}"] for k in range(len(QUANTILES))] for r in placed.groupBy("feature").agg(*least).collect()}
+    # an edge is the greatest number of its cell
+    upper = lambda cells: np.nextafter((np.unique(cells).astype(np.int32) + 1 << 15).astype(np.int32).view(np.float32).astype(float), -1.0)
+    return tuple(upper(found[k]) if k in found else np.zeros(0) for k in range(N_FEATURES))
+
+
+def fit_arrays(dense: np.ndarray, positive: np.ndarray, edges: tuple[np.ndarray, ...]) -> QualityModel:
+    """The model of a sample: dense features, which rows are trusted positives, and bin edges."""
     blank = QualityModel(edges, LinearScorer(np.zeros(sum(map(len, edges))), 0.0))
-    return QualityModel(edges, fit_nnpu(blank.binned(dense[positive]), blank.binned(unlabelled), prior, steps=500, rate=0.03, l2=2e-4))
+    sides = blank.binned(dense[positive]), blank.binned(dense[~positive])
+    prior = estimate_prior(*sides, NO_LABELS, steps=150, rate=0.05, l2=1e-3)
+    return QualityModel(edges, fit_nnpu(*sides, prior, steps=500, rate=0.03, l2=2e-4))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> QualityModel:
     """Fit on a bounded sample; what reaches the driver is one short vector a sampled row."""
-    rows, prior = training_sample(docs, labels, "quality", MODULUS, HELD_OUT, max_positive, max_unlabelled)
+    rows = training_sample(docs, labels, "quality", MODULUS, HELD_OUT, max_positive, max_unlabelled)
     got = rows.mapInArrow(_sample_features, "dense binary, is_positive boolean").toPandas()
     got = got.sort_values(["is_positive", "dense"])  # the order of rows doesn't sway the sums
     dense = np.frombuffer(b"".join(got["dense"]), np.float64).reshape(-1, N_FEATURES)
-    return fit_arrays(dense, got["is_positive"].to_numpy(bool), prior)
+    return fit_arrays(dense, got["is_positive"].to_numpy(bool), corpus_edges(learnable(docs, MODULUS, HELD_OUT)))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -13,36 +13,33 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def learnable(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    """The rows whose texts may be learnt from."""
+    return docs.where(remainder(F.col("doc_id"), modulus) != held_out)
+
+
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, max_positive: int, max_unlabelled: int
-) -> tuple[DataFrame, float]:
-    """(rows text, is_positive; class prior).
-
-    Positives: up to `max_positive` documents with label 1; unlabelled: up to
-    `max_unlabelled` documents of any kind, those with the smallest hash of the id, so
-    the choice is even and repeatable. Held-out ids give neither labels nor text. The
-    prior is the share of label 1 among the labelled rows that may be learnt from
-    (0.5 where there is none). A document labelled twice is positive if any label is 1.
-    The broadcast side is at most max_positive + max_unlabelled ids.
+) -> DataFrame:
+    """Rows text, is_positive to fit on; at most max_positive + max_unlabelled of them.
+
+    Positives: up to `max_positive` documents with label 1; label 0 is never read.
+    Unlabelled: up to `max_unlabelled` documents of any kind. Those with the smallest hash
+    of id and text are taken, so the choice is even and repeatable. Rows with equal id and
+    text count once, so no id, however often it comes, takes more than the bounds allow. Held-out
+    ids give neither labels nor text, null ids neither. A document labelled twice is
+    positive if any label is 1. What is broadcast is the chosen keys, two numbers each.
     """
-    may = remainder(F.col("doc_id"), modulus) != held_out
-    order = F.xxhash64(F.col("doc_id"), F.lit(label))
-    known = (
-        labels.select("doc_id", F.col(label).alias("y"))
-        .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & may)
-        .groupBy("doc_id")
-        .agg(F.max("y").alias("y"))
-    )
-    share = known.agg(F.avg("y").alias("p")).first()["p"]
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & may)
-    positive = known.where("y = 1").select("doc_id").join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive)
-    unlabelled = ids.orderBy(order, "doc_id").limit(max_unlabelled)
+    rows = learnable(docs, modulus, held_out).where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text", F.lit(label)))
+    keys = keyed.select("doc_id", "key")
+    known = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    first = lambda df, n: df.select("key").distinct().orderBy("key").limit(n)
     chosen = (
-        positive.withColumn("is_positive", F.lit(True))
-        .unionByName(unlabelled.distinct().withColumn("is_positive", F.lit(False)))
+        first(keys.join(known, "doc_id", "left_semi"), max_positive).withColumn("is_positive", F.lit(True))
+        .unionByName(first(keys, max_unlabelled).withColumn("is_positive", F.lit(False)))
     )
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").select("text", "is_positive"), 0.5 if share is None else float(share)
+    return keyed.join(F.broadcast(chosen), "key").groupBy("key", "is_positive").agg(F.min("text").alias("text")).select("text", "is_positive")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
