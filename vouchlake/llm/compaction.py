@@ -4,7 +4,13 @@ Arrivals are appended as small Parquet files that never change. Files of similar
 form a tier; when a tier has `fanout` files they are merged into one run of target-sized
 files. Only the manifest says which files are the table: a new version is written beside
 the old one and renamed into place, which fails if another writer was first, so readers
-see either all of a change or nothing of it. Files that no kept version names are swept.
+see either all of a change or nothing of it. A writer that was not first adds its change
+to the version that was: an append always can, a merge can while its inputs still live.
+
+A version stays readable for a grace period after the next one is there, and files
+younger than that are never swept, since a writer may have them without having committed
+them yet. The rename must be atomic and refuse to replace: so it is on HDFS and local
+disks; on object stores it is not, and a store there needs one writer at a time.
 
 Rows are copied as they are: nulls, empty and long texts, repeated rows and extra
 columns of any name stay. An empty arrival adds no file. A merge that does not give back
@@ -16,7 +22,9 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -29,6 +37,8 @@ from .workspace import fresh_path
 
 #: Production parameters.
 SMALL, TARGET, FANOUT, ARRIVAL_ROWS = 4 << 20, 128 << 20, 4, 4096
+#: Seconds that replaced versions and uncommitted files are kept; times a lost commit is tried again.
+GRACE, ATTEMPTS = 24 * 3600, 50
 #: Merges that share a Spark job; bounds the plan.
 MERGES_A_JOB = 64
 
@@ -61,6 +71,14 @@ class Files:
             return []
         return sorted((str(s.getPath()), s.getLen()) for s in self.fs.listStatus(self.path(folder)) if not s.getPath().getName().startswith(("_", ".")))
 
+    def age(self, name: str) -> float:
+        """Seconds since a file, or any file of a folder, was written."""
+        status = self.fs.getFileStatus(self.path(name))
+        times = [status.getModificationTime()]
+        if status.isDirectory():
+            times += [s.getModificationTime() for s in self.fs.listStatus(self.path(name))]
+        return max(0.0, time.time() - max(times) / 1000)
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:
@@ -151,13 +169,25 @@ class ShardStore:
         rows = {r["f"]: r["n"] for r in counted.collect()}  # one row a file of this write
         return [Shard(p, size, rows[p.rsplit("/", 1)[1]]) for p, size in found if rows.get(p.rsplit("/", 1)[1])]
 
+    def change(self, edit: Callable[[list[Shard]], list[Shard] | None]) -> int | None:
+        """Commits edit(files of the newest version), again on a newer one whenever another writer was first; None if edit gives None."""
+        for _ in range(ATTEMPTS):
+            base = max(self.versions(), default=0)
+            after = edit(self.shards(base) if base else [])
+            if after is None:
+                return None
+            try:
+                return self.commit(base, after)
+            except Conflict:
+                continue
+        raise Conflict(f"another writer was first {ATTEMPTS} times")
+
     def append(self, df: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
         """Adds the rows as small shards of at most `rows` rows; the new version."""
         folder = f"{self.root}/shards/{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", rows).parquet(folder)
         new = self._written(folder)
-        base = max(self.versions(), default=0)
-        return self.commit(base, [*self.shards(), *new])
+        return self.change(lambda now: [*now, *new])
 
     def merge(self, groups: list[list[Shard]]) -> list[Shard]:
         """New files with the rows of the groups; each group's go to files of about the target size."""
@@ -178,25 +208,44 @@ class ShardStore:
         return out
 
     def compact(self) -> bool:
-        """One round of merges and its commit; False if no tier is full."""
-        base = max(self.versions(), default=0)
-        shards = self.shards()
-        groups = plan_merges(shards, self.small, self.target, self.fanout)
+        """One round of merges and its commit; False if no tier is full.
+
+        If another writer has replaced an input meanwhile, this round's files are dropped;
+        the next round starts from what is there then.
+        """
+        groups = plan_merges(self.shards(), self.small, self.target, self.fanout)
         if not groups:
             return False
         gone = {s.path for g in groups for s in g}
         made = self.merge(groups)
-        self.commit(base, [*(s for s in shards if s.path not in gone), *made])
+
+        def edit(now: list[Shard]) -> list[Shard] | None:
+            if not gone <= {s.path for s in now}:
+                return None
+            return [*(s for s in now if s.path not in gone), *made]
+
+        if self.change(edit) is None:
+            for s in made:
+                self.files.delete(s.path)
         return True
 
-    def sweep(self, keep: int = 1) -> int:
-        """Deletes manifests but the newest `keep`, and files that none of those names."""
+    def sweep(self, keep: int = 1, grace: float = GRACE) -> int:
+        """Deletes old manifests, and old files that no kept one names; how many files.
+
+        Kept are the newest `keep` versions, and those that were replaced less than `grace`
+        seconds ago. Files of a write folder are old `grace` seconds after its last change.
+        Zero is for a store that nobody else reads or writes.
+        """
         known = sorted(self.versions())
-        live = {s.path for v in known[-keep:] for s in self.shards(v)}
-        for v in known[:-keep]:
-            self.files.delete(f"{self.root}/manifest/v{v:012d}.json")
+        name = lambda v: f"{self.root}/manifest/v{v:012d}.json"
+        old = [v for v, following in zip(known, known[1:]) if v in known[:-keep] and self.files.age(name(following)) >= grace]
+        live = {s.path for v in known if v not in old for s in self.shards(v)}
+        for v in old:
+            self.files.delete(name(v))
         dead = 0
         for folder, _ in self.files.list(f"{self.root}/shards"):
+            if self.files.age(folder) < grace:
+                continue
             inside = [p for p, _ in self.files.list(folder)]
             stale = [p for p in inside if p not in live]
             if len(stale) == len(inside):
@@ -214,12 +263,16 @@ class ShardStore:
 
 
 def compacted(docs: DataFrame, root: str | None = None, rows: int = ARRIVAL_ROWS, **sizes: int) -> tuple[ShardStore, DataFrame]:
-    """The rows appended to a new store and compacted until no tier is full; the store and its table."""
+    """The rows appended to a store and compacted until no tier is full; the store and its table.
+
+    Without `root` the store is new and known to nobody else, so what a round replaces is
+    swept at once; a store at `root` keeps it for the grace period.
+    """
     spark = docs.sparkSession
     store = ShardStore(spark, root or fresh_path(spark, "shards"), **sizes)
     store.append(docs, rows)
     while store.compact():
-        store.sweep()
+        store.sweep(grace=GRACE if root else 0)
     return store, store.read(docs)
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where none is set (tests, one machine)."""
+    """The session's checkpoint folder. Where none is set: a local one on a single machine, an error on a cluster."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         if not (own := spark.sparkContext.getCheckpointDir()):
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vouchlake-"))
             own = spark.sparkContext.getCheckpointDir()
         return own
@@ -21,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """`wanted`, with underscores in front until no column is called so."""
+    while wanted.lower() in {t.lower() for t in taken}:
+        wanted = "_" + wanted
+    return wanted
+
+
 def cut(df: DataFrame) -> DataFrame:
     """An eager checkpoint in the shared folder; lost executors don't lose it."""
     shared_dir(df.sparkSession)
