@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 from vouchlake.llm.components import components
-from vouchlake.llm.neardup import CHUNKS, THRESHOLD, WIDTH, keep_first, near_duplicates
+from vouchlake.llm.neardup import CHUNKS, LEAST_BLOCKS, THRESHOLD, WIDTH, in_blocks, keep_first, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
@@ -74,6 +74,41 @@ def test_equals_brute_force_on_families_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
 
 
+def test_hot_keys_give_the_same(spark, monkeypatch):
+    """Every key hot, every hub in parts, many blocks: the paths for very large groups, on a family with unlinked near copies."""
+    from vouchlake.llm import components as K
+    from vouchlake.llm import neardup as N
+
+    for module, name, value in ((K, "HOT", 3), (N, "HUB_PAIRS", 7), (N, "BLOCK", 40), (K, "CHUNK", 50)):
+        monkeypatch.setattr(module, name, value)
+    texts = family(11, 150, 45) + family(12, 40, 8)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[3]) for k in range(60)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_near_copies_without_ids(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = " ".join([*base[:99], "other"])
+    rows = [(None, " ".join(base)), (None, near), (None, near), (5, "quite another text of several words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.component for r in near_duplicates(docs).collect() if r.doc_id is None}) == 1
+    kept = keep_first(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["5", "None"]
+
+
+def test_rows_of_the_last_step_grow_in_proportion(spark):
+    """A family of m unlinked near copies costs LEAST_BLOCKS rows a member."""
+    for m in (2000, 4000, 8000):
+        sized = spark.range(m).selectExpr("id AS node", "id AS label", "0L AS cluster", "300L AS n")
+        rows = in_blocks(sized, m)
+        assert rows.count() == LEAST_BLOCKS * m
+        assert rows.groupBy("i", "j").count().agg({"count": "max"}).first()[0] < 2.3 * m / LEAST_BLOCKS + 200
+        meet = rows.alias("x").join(rows.alias("y"), ["i", "j"]).where("x.node < y.node") if m == 2000 else None
+        if meet is not None:
+            assert meet.selectExpr("x.node AS a", "y.node AS b").distinct().count() == m * (m - 1) // 2
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -84,7 +119,7 @@ def test_odd_rows(odd_docs, no_docs):
     assert by_id[None].component_id is None and by_id[None].kept
     kept = keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "9", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "10", "3", "4", "5", "6", "7", "9", "None"]
     assert near_duplicates(no_docs).count() == 0 and keep_first(no_docs).count() == 0
 
 

@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps.
+
+Nodes are longs. Null ends don't occur; loops (a = b), repeated edges and an empty table
+are fine: a node without an edge to another has no row. Extra columns are not carried.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,30 @@ from pyspark.sql import functions as F
 
 from .workspace import cut
 
+#: Edges that a task contracts at once.
+CHUNK = 1 << 18
+#: A key is hot if it holds more than HOT rows and more than one in SHARE of all; so there are at most SHARE hot keys.
+HOT, SHARE = 1000, 10_000
+
+
+def join_one(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left joined with right, which has one slim row a key and in column n how many of left's `total` rows have it.
+
+    The rows of hot keys stay where they are, and right's rows for them, SHARE at most,
+    are broadcast; only the others are dealt by key. So no task gets more than one in
+    SHARE of all rows for the sake of one key. n is not carried.
+    """
+    least = max(HOT, total // SHARE)
+    hot, rest = right.where(F.col("n") > least).drop("n"), right.where(F.col("n") <= least).drop("n")
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
+
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of a batch by a spanning star of each of its components."""
-    for b in batches:
+    """Replace the edges of a task, CHUNK at a time, by a spanning star of each of their components."""
+    held, size = [], 0
+
+    def stars() -> pa.RecordBatch:
         above: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -22,21 +46,36 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = up
             return x
 
-        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
-            x, y = root(x), root(y)
-            if x != y:
-                above[max(x, y)] = min(x, y)
+        for b in held:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+                x, y = root(x), root(y)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
         a = list(above)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([root(x) for x in a], pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([root(x) for x in a], pa.int64())], names=["a", "b"])
+
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= CHUNK:
+            yield stars()
+            held, size = [], 0
+    if size:
+        yield stars()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select("a", "b").distinct().mapInArrow(_contract, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node of its component.
 
-    edges: a, b (long). Each step halves path lengths or better; the loop ends when the
-    edges form stars and no longer change. Every step's result is checkpointed.
+    edges: a, b (long). Each step halves path lengths or better, and every task contracts
+    what it holds on top, so most graphs need one step and one more that finds no change.
+    Every step's result is checkpointed. Hubs of any degree are not dealt to one task.
     """
-    e = cut(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct())
+    e = cut(contracted(edges))
     mark = None
     while True:
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -44,23 +83,21 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        mark = now
+        mark, total = now, 2 * now["n"]
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        e = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = join_one(both, least, "u", total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = join_one(large, small, "a", total).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        e = cut(contracted(moved.unionByName(small.select("a", F.col("m").alias("b")))))
 
 
-def star_edges(members: DataFrame, group: str, node: str) -> DataFrame:
-    """Edges (a, b) that tie each member of a group to the group's smallest; linear in the members."""
-    hub = members.groupBy(group).agg(F.min(node).alias("hub"))
-    return members.join(hub, group).where(F.col(node) != F.col("hub")).select(F.col(node).alias("a"), F.col("hub").alias("b")).distinct()
+def star_edges(members: DataFrame, group: str, node: str, total: int) -> DataFrame:
+    """Edges (a, b) that tie each member of a group to the group's smallest; linear in the members, of which there are `total` at most."""
+    hub = members.groupBy(group).agg(F.min(node).alias("hub"), F.count("*").alias("n"))
+    return join_one(members.select(group, node), hub, group, total).where(F.col(node) != F.col("hub")).select(F.col(node).alias("a"), F.col("hub").alias("b"))
 
 
 def labelled(nodes: DataFrame, roots: DataFrame, label: str) -> DataFrame:
     """nodes with their root as `label`, or themselves where they have no edge."""
     return nodes.join(roots.withColumnRenamed("root", label), "node", "left").withColumn(label, F.coalesce(label, "node"))
-
-

@@ -16,9 +16,14 @@ What keeps it linear where groups are large:
 - in each bucket all members are compared with one hub (the member with the smallest
   share of unshared shingles); that is linear, and merges nearly everything;
 - only where a bucket still holds several components are the remaining pairs examined,
-  in blocks of bounded size: pairs of different components, under the signature
-  threshold and the bounds, confirmed on full sets. Only links that join components
-  leave the task, so nothing grows with the square of a group but the comparisons.
+  in blocks: pairs of different components, under the signature threshold and the
+  bounds, confirmed on full sets. Only links that join components leave the task. A
+  family of m sets is cut into LEAST_BLOCKS blocks, each set goes to that many tasks, and
+  comparisons grow with m squared; more blocks are made only where a block would hold
+  over BLOCK sets or BLOCK_BYTES, and from there rows grow with the square, too.
+
+Sets are told apart by 128 bits and numbered; a bucket, hub or group of copies of any
+size is not dealt to one task (`components.join_one`, and parts for the sets of hubs).
 
 Words: maximal runs of bytes other than space and control white space, A-Z in lower
 case. Null, empty and blank texts have no shingles and link with nothing. Rows with a
@@ -37,17 +42,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components, labelled, star_edges
+from .components import components, join_one, labelled, star_edges
 from .samples import read_table
-from .workspace import cut, worker_cache
+from .workspace import cut, free_name, worker_cache
 
 CHUNKS, WIDTH = 12, 4
 POSITIONS, THRESHOLD = CHUNKS * WIDTH, 2 * CHUNKS - 1
 SHINGLE_WORDS, NUMERATOR = 4, 80
 #: Of the bitmap that thins out the candidates' join.
 FILTER_BITS = 1 << 24
-#: Members of a block in the comparison of what the hubs left.
-BLOCK = 512
+#: Blocks of a family in the comparison of what the hubs left, and the most sets and bytes of one.
+LEAST_BLOCKS, BLOCK, BLOCK_BYTES = 8, 16_384, 24 << 20
+#: Pairs with one hub that a task confirms.
+HUB_PAIRS = 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -99,22 +106,22 @@ def signature(ids: np.ndarray) -> np.ndarray:
     return (_mix(out) >> np.uint64(48)).astype(np.uint16)
 
 
-def _node(ids: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _set_id(ids: np.ndarray) -> bytes:
+    return hashlib.blake2b(ids.tobytes(), digest_size=16).digest()
 
 
 def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, sig = [], [], []
+            n, sets, sig = [], [], []
             for text in b.column("text").to_pylist():
                 ids = shingles(text, words)
                 n.append(len(ids))
-                node.append(_node(ids) if len(ids) else None)
+                sets.append(_set_id(ids) if len(ids) else None)
                 sig.append(signature(ids).tobytes() if len(ids) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), b.column("text_hash")],
-                names=["doc_id", "n_shingles", "node", "sig", "text_hash"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sig, pa.binary()), b.column("text_hash")],
+                names=["doc_id", "n_shingles", "set_id", "sig", "text_hash"],
             )
 
     return run
@@ -144,9 +151,9 @@ def _sets_of(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist()):
+            for node, set_id, text in zip(b.column("node").to_pylist(), b.column("set_id").to_pylist(), b.column("text").to_pylist()):
                 ids = shingles(text, words)
-                if len(ids) and _node(ids) == node:
+                if len(ids) and _set_id(ids) == set_id:
                     rows.append((node, len(ids), signature(ids).tobytes(), ids.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
@@ -234,42 +241,73 @@ def _compare_blocks(numerator: int):
 
 
 def describe(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, node (of the shingle set; null without words), sig, text_hash of every row."""
+    """doc_id, n_shingles, set_id (of the shingle set; null without words), sig, text_hash of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        _describe(words), f"doc_id {kind}, n_shingles long, node long, sig binary, text_hash long"
+        _describe(words), f"doc_id {kind}, n_shingles long, set_id binary, sig binary, text_hash long"
+    )
+
+
+def number_sets(described: DataFrame) -> DataFrame:
+    """set_id, node (its number), n (rows that have it), least (doc_id), sig, and the row key and text hash of one such row."""
+    reps = described.where("set_id IS NOT NULL").groupBy("set_id").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.max(F.struct("doc_id", "text_hash")).alias("at")
     )
+    return cut(
+        reps.select(
+            "set_id", "n", "least", "sig", F.xxhash64("at.doc_id", "at.text_hash").alias("row"), F.col("at.text_hash").alias("text_hash"),
+            F.monotonically_increasing_id().alias("node"),
+        )
+    )
 
 
 def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs without most rows whose doc_id is not wanted, before their texts are shuffled.
+    """docs without most rows whose key `row` is not wanted, before their texts are shuffled.
 
-    A bitmap over hashes of the wanted ids, of FILTER_BITS bits whatever the table's size,
+    A bitmap over hashes of the wanted keys, of FILTER_BITS bits whatever the table's size,
     is the only thing broadcast (2 MB at most). Rows that pass by chance, or all rows of a
     table so large that the bitmap is full, are left to the join that follows.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    place = F.pmod(F.col("row"), F.lit(FILTER_BITS)) + 1
     marks = (
-        wanted.select(place(F.col("doc_id")).alias("p"))
+        wanted.select(place.alias("p"))
         .groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("marks"))
     )
-    at = F.bitmap_bit_position(place(F.col("doc_id"))).cast("int")
+    at = F.bitmap_bit_position(place).cast("int")
     byte = F.conv(F.hex(F.substr("marks", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    near = docs.withColumn("bucket", F.bitmap_bucket_number(place(F.col("doc_id")))).join(F.broadcast(marks), "bucket")
+    near = docs.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket")
     return near.where(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1).select(docs.columns)
 
 
-def link_sets(docs: DataFrame, described: DataFrame, words: int = SHINGLE_WORDS, numerator: int = NUMERATOR) -> DataFrame:
-    """Links (a, b) between shingle sets with J >= numerator %, enough of them to hold every component together."""
-    reps = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+def in_blocks(sized: DataFrame, total: int) -> DataFrame:
+    """node, label, cluster, block, i, j: every member once for each pair of blocks of its cluster that it takes part in.
+
+    sized: node, label, cluster, n (shingles). Rows are LEAST_BLOCKS a member, while blocks of that many hold.
+    """
+    blocks = F.greatest(
+        F.least(F.lit(LEAST_BLOCKS), F.ceil(F.count("*") / 256)), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)
+    )
+    sizes = sized.groupBy("cluster").agg(F.count("*").alias("n"), blocks.cast("int").alias("blocks"))
+    return (
+        join_one(sized.select("node", "label", "cluster"), sizes, "cluster", total)
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("node", "label", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    )
+
+
+def link_sets(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, numerator: int = NUMERATOR) -> DataFrame:
+    """Links (a, b) between numbered sets with J >= numerator %, enough of them to hold every component together."""
     keys = reps.select("node", "sig").mapInArrow(_keys, "key long, node long")
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = cut(keys.join(shared.hint("shuffle_hash"), "key"))
+    total = POSITIONS * reps.count()
+    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    members = cut(join_one(keys, shared, "key", total))
 
-    nodes = members.select("node").distinct()
-    wanted = reps.select("node", "doc_id").join(nodes, "node", "left_semi")
+    wanted = reps.select("node", "set_id", "row", "text_hash").join(members.select("node").distinct(), "node", "left_semi")
+    rows = docs.select(F.xxhash64("text").alias("text_hash"), "doc_id", "text").select(F.xxhash64("doc_id", "text_hash").alias("row"), "text_hash", "text")
     sets = cut(
-        _likely(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").select("node", "text")
+        # rows that are equal in id and text become one before they are dealt
+        _likely(rows, wanted).groupBy("row", "text_hash").agg(F.first("text").alias("text")).join(wanted, ["row", "text_hash"]).select("node", "set_id", "text")
         .mapInArrow(_sets_of(words), "node long, n long, sig binary, ids binary")
         .dropDuplicates(["node"])
     )
@@ -288,29 +326,23 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int = SHINGLE_WORDS,
 
     # all members of a bucket against its hub
     at = members.join(bounds, "node")
-    hubs = at.groupBy("key").agg(F.min_by("node", F.struct(F.lit(1) - F.col("c") / F.col("n"), "node")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    pairs = (
-        at.join(hubs, "key").where("node <> hub")
-        .select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    )
+    hubs = at.groupBy("key").agg(F.min_by("node", F.struct(F.lit(1) - F.col("c") / F.col("n"), "node")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    pairs = cut(join_one(at.select("key", "node"), hubs, "key", total).where("node <> hub").select("node", "hub").distinct())
+    # a hub's set is laid beside its pairs in parts of bounded size
+    often = pairs.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
     side = lambda s, k: s.select(F.col("node").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("n", "c", "sig", "ids")))
-    links = cut(pairs.join(side(alive, "a"), "a").join(side(alive, "b"), "b").mapInArrow(_confirm(numerator), "a long, b long"))
+    placed = join_one(pairs, often, "hub", total).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    of_hubs = side(alive, "b").join(often.select(F.col("hub").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "b")
+    links = cut(placed.join(side(alive, "a"), "a").join(of_hubs, ["b", "part"]).mapInArrow(_confirm(numerator), "a long, b long"))
 
     # what the hubs left: buckets with several components
     label = cut(labelled(bounds.select("node"), components(links), "label"))
     mixed = at.select("key", "node").join(label, "node")
-    several = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi AND size > 2")
-    remaining = mixed.join(several.select("key"), "key").select("key", "node")
-    clusters = components(star_edges(remaining, "key", "node")).withColumnRenamed("root", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocked = (
-        clusters.join(sizes, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(label, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("node", "label", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(alive, "node")
-    )
+    several = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key", "n")
+    remaining = cut(join_one(mixed, several, "key", total).select("key", "node"))
+    clusters = components(star_edges(remaining, "key", "node", total)).withColumnRenamed("root", "cluster")
+    sized = clusters.join(label, "node").join(bounds.select("node", "n"), "node")
+    blocked = in_blocks(sized, total).join(alive, "node")
     rest = blocked.groupBy("cluster", "i", "j").applyInPandas(_compare_blocks(numerator), "a long, b long")
     return links.unionByName(rest)
 
@@ -318,15 +350,16 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int = SHINGLE_WORDS,
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, numerator: int = NUMERATOR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; also component (null without words) and text_hash."""
     described = cut(describe(docs, words))
-    roots = components(link_sets(docs, described, words, numerator))
-    firsts = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    marked = labelled(firsts, roots, "component")
-    ids = marked.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = marked.join(ids, "component").select("node", "component", "component_id")
-    return (
-        described.select("doc_id", "n_shingles", "node", "text_hash").join(by_node, "node", "left")
-        .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component", "text_hash")
+    reps = number_sets(described)
+    roots = components(link_sets(docs, reps, words, numerator))
+    marked = labelled(reps.select("node", "set_id", "n", "least"), roots, "component")
+    ids = marked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    rows = described.count()
+    by_set = join_one(marked.withColumnRenamed("n", "copies"), ids, "component", rows).select("set_id", "component", "component_id", F.col("copies").alias("n"))
+    worded = join_one(described.where("set_id IS NOT NULL").drop("sig"), by_set, "set_id", rows)
+    bare = described.where("set_id IS NULL").drop("sig").select("*", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return worded.unionByName(bare).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component", "text_hash"
     )
 
 
@@ -336,15 +369,16 @@ def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, numerator: int = NUM
     The one that stays has the group's smallest doc_id; if that id is on several rows, one of them.
     """
     found = near_duplicates(docs, words, numerator)
+    row, text = free_name("row", docs.columns), free_name("text_hash", docs.columns)
     stays = (
         found.where("kept AND component IS NOT NULL").groupBy("component")
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
-        .select(F.xxhash64("s.doc_id", "s.text_hash").alias("_row"), F.col("s.text_hash").alias("_text"))
+        .select(F.xxhash64("s.doc_id", "s.text_hash").alias(row), F.col("s.text_hash").alias(text))
     )
     bare = F.col("text").isNull() | (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
-    keyed = docs.where(~bare).withColumn("_text", F.xxhash64("text")).withColumn("_row", F.xxhash64("doc_id", "_text"))
+    keyed = docs.where(~bare).withColumn(text, F.xxhash64("text")).withColumn(row, F.xxhash64("doc_id", text))
     # joined and made unique by the same key: the texts are shuffled once
-    worded = keyed.join(stays, ["_row", "_text"]).dropDuplicates(["_row", "_text"]).select(*docs.columns)
+    worded = keyed.join(stays, [row, text]).dropDuplicates([row, text]).select(*docs.columns)
     return worded.unionByName(docs.where(bare))
 
 
