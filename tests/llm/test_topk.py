@@ -51,3 +51,27 @@ def test_bounds_hold():
     lower, upper = V.bounds(q, (v - low) // width, low, width)
     exact = q @ v.T
     assert (lower <= exact).all() and (exact <= upper).all()
+
+
+def test_many_tiles_and_a_vector_that_a_third_shares(spark, monkeypatch):
+    """Tiles of few blocks and query parts; equal vectors don't multiply what is kept; no tile holds more queries than its bound."""
+    for name, value in (("BLOCK", 16), ("QUERY_BLOCK", 4), ("GROUP", 2), ("PART_GROUP", 2), ("LEAST_GROUPS", 3), ("FIRST", 6)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in rng.normal(0, 1, 6).round(1)]) for i in range(600)] + [(600 + k, [0.7] * 6) for k in range(300)]
+    table = spark.createDataFrame([(i, e, 1, 0.0, 0) for i, e in rows], SCHEMA)
+    seen, build = [], V._scan
+
+    def watched(k):
+        run = build(k)
+
+        def scan(blocks, parts):
+            assert len(blocks) <= 2 * 2 and sum(len(x) for x in parts["query_ids"]) <= 8 * 4 * 2 * 4  # hashing deals unevenly
+            return run(blocks, parts)
+
+        seen.append(k)
+        return scan
+
+    monkeypatch.setattr(V, "_scan", watched)
+    got = {tuple(r) for r in V.top_k(table, F.col("vec_id") % 5 == 0).collect()}
+    assert got == brute(rows, lambda i: i % 5 == 0) and seen == [6, 6]
