@@ -64,20 +64,22 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    return edges.where("a <> b").select("a", "b").distinct().mapInArrow(_contract, "a long, b long")
+def _packed(edges: DataFrame, n: int) -> DataFrame:
+    """The edges of a checkpoint in tasks of some CHUNK, without a shuffle, each contracted."""
+    return cut(edges.coalesce(max(1, -(-n // CHUNK))).mapInArrow(_contract, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node of its component.
 
-    edges: a, b (long). Each step halves path lengths or better, and every task contracts
-    what it holds on top, so most graphs need one step and one more that finds no change.
-    Every step's result is checkpointed. Hubs of any degree are not dealt to one task.
+    edges: a, b (long). Each step halves path lengths or better; between steps every task
+    contracts what it holds, so most graphs need one step, which finds no change. Every
+    step's result is checkpointed. Hubs of any degree are not dealt to one task.
     """
-    e = cut(contracted(edges))
-    mark = None
+    e = cut(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct())
+    mark, n = None, e.count()
     while True:
+        e = _packed(e, n)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == mark or now["n"] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
@@ -89,7 +91,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = join_one(both, least, "u", total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         moved = join_one(large, small, "a", total).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        e = cut(contracted(moved.unionByName(small.select("a", F.col("m").alias("b")))))
+        e = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        n = now["n"]
 
 
 def star_edges(members: DataFrame, group: str, node: str, total: int) -> DataFrame:
