@@ -7,7 +7,10 @@ transition weights. It is trained on labelled pages (`labelled_pages`: our own p
 layouts, every block labelled where it is laid out) by maximum likelihood, and decoded
 by Viterbi.
 
-Comments, scripts, styles and other raw elements hold no blocks. Character references
+Comments, scripts, styles and other raw elements hold no blocks. An svg, iframe, object,
+select, video, audio or canvas ends with its tag if that closes itself, else at its end
+tag, else (none before the next of its kind) at the next block-level tag, so that nothing
+after it is lost. Formulas in MathML are part of their sentence. Character references
 are decoded, white space within a block becomes one space, and the blocks of the main
 text are joined in page order by one space. Null and empty html give an empty text, as
 do pages without main text. Broken markup is read as far as it goes: unclosed elements
@@ -31,19 +34,24 @@ from .samples import read_table
 
 WIDTH = 1 << 12  # of the hashed features
 _MEMO = 50_000
-#: Elements without text blocks of their own.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "select", "textarea", "video", "audio")
+#: Elements whose whole content is no text of the page.
+RAW = ("script", "style", "template", "textarea")
+#: Elements whose content is another medium or a control; often left open.
+EMBEDDED = ("iframe", "svg", "object", "canvas", "select", "video", "audio")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose semantics annotation".split()
 )
+BLOCK_LEVEL = "p|div|h[1-6]|article|section|main|header|footer|nav|aside|ul|ol|li|table|tr|td|th|form|blockquote|pre|figure|body|html"
 #: A start tag of the first kind ends an open element of the same kind.
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>"""
+    rf"|<(?P<media>{'|'.join(EMBEDDED)})(?=[\s/>])(?:[^>]*/>|[^>]*>(?:(?:(?!<(?P=media)[\s/>]).)*?</(?P=media)\s*>|(?:(?!</?(?:{BLOCK_LEVEL})[\s/>]).)*))"
+    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<marks>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>"""
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -82,7 +90,7 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += len(piece)
         at = m.end()
-        name = m[3]
+        name = m["name"]
         if name is None:
             continue
         name = name.lower()
@@ -90,10 +98,10 @@ def blocks_of(page: str) -> list[Block]:
             if name == "br":
                 text.append(" ")
             elif name == "a":
-                links = 0 if m[2] else 1
+                links = 0 if m["end"] else 1
             continue
         flush()
-        if m[2]:
+        if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -101,8 +109,8 @@ def blocks_of(page: str) -> list[Block]:
         elif name not in VOID:
             if stack and (stack[-1][0] == "p" or name in CLOSES_ITSELF and stack[-1][0] == name):
                 stack.pop()
-            marks = " ".join(_PART.findall(" ".join(a or b or c for a, b, c in _NAMED.findall(m[4])).lower())) if m[4] else ""
-            if not m[4].endswith("/"):
+            marks = " ".join(_PART.findall(" ".join(a or b or c for a, b, c in _NAMED.findall(m["marks"])).lower())) if m["marks"] else ""
+            if not m["marks"].endswith("/"):
                 stack.append((name, marks))
         links = 0
     if at < len(page):
@@ -123,15 +131,19 @@ def path_features(path: tuple[tuple[str, str], ...]) -> set[int]:
     return {_hash(n) for n in names}
 
 
-def text_features(block: Block) -> tuple[int, ...]:
-    """Length, share of link text, closing mark and sign of a rights line, in bins."""
-    n = len(block.text)
-    return (
-        min(n.bit_length(), 10),
-        min(4, 5 * block.linked // max(n, block.linked, 1)),
-        ".!?\"'):;,".find(block.text[-1]) >= 0,
-        "©" in block.text,
-    )
+def text_features(blocks: list[Block]) -> list[tuple[int, ...]]:
+    """Of each block: length, share of link text, closing mark and sign of a rights line, in bins; then the neighbours' lengths and whether they share its place."""
+    size = [0, *(min(len(b.text).bit_length(), 10) for b in blocks), 0]
+    out = []
+    for k, b in enumerate(blocks):
+        n = len(b.text)
+        out.append(
+            (
+                size[k + 1], min(4, 5 * b.linked // max(n, b.linked, 1)), ".!?\"'):;,".find(b.text[-1]) >= 0, "©" in b.text, size[k], size[k + 2],
+                bool(k) and blocks[k - 1].path[:-1] == b.path[:-1], k + 1 < len(blocks) and blocks[k + 1].path[:-1] == b.path[:-1],
+            )
+        )
+    return out
 
 
 def _text_ids(values: tuple[int, ...]) -> set[int]:
@@ -216,8 +228,10 @@ def train(pages: list[tuple[list[set[int]], list[int]]], steps: int = 120, rate:
 class _Layout:
     """Lays out one page and notes the label of every text it places."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, plain: float = 0.4):
+        """plain: the share of pages whose main text has no telling wrapper."""
         self.rng = np.random.default_rng(seed)
+        self.plain = plain
         self.main: set[str] = set()
         self.n = 0
 
@@ -258,7 +272,11 @@ class _Layout:
                 parts.append(f"<h{self.rng.integers(2, 4)}>{self.text(1, 6, True, 0.1)}</h2>")
             elif r < 0.9:
                 parts.append("<ul>" + "".join(f"<li>{self.text(2, 20, True, 0.5)}</li>" for _ in range(3)) + "</ul>")
-            elif r < 0.95:
+            elif r < 0.92:
+                parts.append(f"<pre>{self.text(5, 60, True, 0.5)}</pre>")
+            elif r < 0.94:
+                parts.append("<table>" + "".join(f"<tr><td>{self.text(1, 6, True, 0.1)}</td><td>{self.text(1, 12, True, 0.2)}</td></tr>" for _ in range(3)) + "</table>")
+            elif r < 0.96:
                 parts.append(f"<blockquote><p>{self.text(5, 40, True)}</p></blockquote>")
             else:
                 parts.append(f'<div class="{self.pick("ad", "advert", "promo", "ad-slot", "sponsored")}">{self.text(2, 20, False)}</div>')
@@ -292,6 +310,20 @@ class _Layout:
         n = int(self.rng.integers(1, 4))
         return "".join(kinds[k]() for k in self.rng.choice(len(kinds), n, replace=False))
 
+    def name(self) -> str:
+        """A class that says nothing."""
+        return "".join(chr(97 + c) for c in self.rng.integers(0, 26, self.rng.integers(1, 8))) + self.pick("", "", "-1", "12", "_x")
+
+    def plain_wrapper(self) -> tuple[str, str]:
+        """Wrappers without telling names, nested, at times a layout table."""
+        open_, close = "", ""
+        for _ in range(int(self.rng.integers(1, 4))):
+            tag = self.pick("div", "div", "div", "section", "td")
+            marks = self.pick("", f' class="{self.name()}"', f' class="{self.name()} {self.name()}"', f' id="{self.name()}"')
+            one, end = (f"<table><tr><td{marks}>", "</td></tr></table>") if tag == "td" else (f"<{tag}{marks}>", f"</{tag}>")
+            open_, close = open_ + one, end + close
+        return open_, close
+
     def page(self) -> str:
         head = f"<head><meta charset='utf-8'><title>{self.text(2, 10, False, 0.3)}</title><style>p{{}}</style></head>" if self.rng.random() < 0.9 else ""
         open_, close = (
@@ -299,11 +331,13 @@ class _Layout:
             ('<div class="content">', "</div>"), ('<div class="post-body entry">', "</div>"), ('<div id="story">', "</div>"),
             ('<article class="post">', "</article>"), ('<div id="main"><div class="article-body">', "</div></div>"), ('<section class="article">', "</section>"),
         )[self.rng.integers(10)]
+        if self.plain and self.rng.random() < self.plain:
+            open_, close = self.plain_wrapper()
         inside = self.boilerplate("bottom") if self.rng.random() < 0.15 else ""
         return f"<html>{head}<body>{self.boilerplate('top')}{open_}{self.body()}{inside}{close}{self.boilerplate('bottom')}</body></html>"
 
 
-def labelled_pages(n: int = 240) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 320) -> list[tuple[str, set[str]]]:
     """(html, texts of its main blocks) of n laid out pages; the same at every call."""
     out = []
     for seed in range(n):
@@ -317,11 +351,12 @@ def sequences(pages: list[tuple[str, set[str]]]) -> list[tuple[list[set[int]], l
     out = []
     for page, main in pages:
         blocks = blocks_of(page)
-        out.append(([path_features(b.path) | _text_ids(text_features(b)) for b in blocks], [int(b.text in main) for b in blocks]))
+        said = text_features(blocks)
+        out.append(([path_features(b.path) | _text_ids(w) for b, w in zip(blocks, said)], [int(b.text in main) for b in blocks]))
     return [p for p in out if p[1]]
 
 
-def fit(n_pages: int = 240) -> Field:
+def fit(n_pages: int = 320) -> Field:
     return train(sequences(labelled_pages(n_pages)))
 
 
@@ -342,8 +377,7 @@ class Extractor:
             return ""
         blocks = blocks_of(page)
         emissions = []
-        for b in blocks:
-            words = text_features(b)
+        for b, words in zip(blocks, text_features(blocks)):
             here = self.paths.get(b.path)
             if here is None:
                 here = self._sum(self.paths, b.path, path_features(b.path))
