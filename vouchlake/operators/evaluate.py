@@ -88,7 +88,44 @@ def score_predictions(predicted: DataFrame, gold: DataFrame, name_fields: tuple[
 
 
 def field_accuracy(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("field").agg(_share(F.col("strict")).alias("strict"), _share(F.col("lenient")).alias("lenient"), F.count("*").alias("n"))
+    """Shares a field, named class.field where rows have a doc_class."""
+    name = F.concat("doc_class", F.lit("."), "field") if "doc_class" in scored.columns else F.col("field")
+    return scored.groupBy(name.alias("field")).agg(_share(F.col("strict")).alias("strict"), _share(F.col("lenient")).alias("lenient"), F.count("*").alias("n"))
+
+
+def rescore(stored: DataFrame, gold: DataFrame, recorded: DataFrame, name_fields: tuple[str, ...]) -> DataFrame:
+    """doc_id, field, strict, recorded, same: stored readings scored anew against what was recorded then.
+
+    recorded: doc_id, field, ok. Fields without a record, and records without a field, are not the same.
+    """
+    again = score_predictions(stored, gold, name_fields)
+    both = again.join(recorded.select("doc_id", "field", F.col("ok").alias("recorded")), ["doc_id", "field"], "full")
+    return both.select("doc_id", "field", "strict", "recorded", F.col("strict").eqNullSafe(F.col("recorded")).alias("same"))
+
+
+def gold_review_queue(rows: DataFrame) -> DataFrame:
+    """The scored rows on which the machine is stricter than the label, which may be out of date."""
+    return attempted(rows).where(~F.col("crash") & (verdict_direction(F.col("pred_verdict"), F.col("gold_verdict")) == "safe"))
+
+
+def recommendations(facts: DataFrame) -> DataFrame:
+    """seq, level, advice of one row of facts, in order; a single 'clean' row if there is nothing to say.
+
+    facts: leaks, false_accept_rate, regressed, failures, candidate ('' , 'unscored', 'passed'
+    or 'failed'), queued, labels.
+    """
+    some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    number = lambda c: F.col(c).cast("string")
+    cases = [
+        (some("leaks"), "bad", F.concat(F.lit("leaks to mend first: "), number("leaks"))), (some("false_accept_rate"), "bad", F.lit("an invoice was accepted; look at the invoice rules")),
+        (some("regressed"), "bad", F.concat(F.lit("worse than before: "), number("regressed"))), (some("failures"), "warn", F.concat(F.lit("not wholly right: "), number("failures"))),
+        (F.col("candidate") == "unscored", "warn", F.lit("score the candidate before adopting it")), (F.col("candidate") == "passed", "ok", F.lit("the candidate may be adopted")),
+        (F.col("candidate") == "failed", "bad", F.lit("the candidate failed its gate")), (some("queued"), "info", F.concat(F.lit("worth labelling: "), number("queued"))),
+        (F.coalesce("labels", F.lit(0)) < 100, "info", F.concat(F.lit("labels towards 100: "), number("labels"))),
+    ]
+    said = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(v).alias("level"), a.alias("advice"))) for c, v, a in cases)))
+    clean = F.array(F.struct(F.lit("ok").alias("level"), F.lit("clean; the present state may be adopted").alias("advice")))
+    return facts.select(F.posexplode(F.when(F.size(said) > 0, said).otherwise(clean)).alias("seq", "x")).select("seq", "x.level", "x.advice")
 
 
 def eval_diff(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:

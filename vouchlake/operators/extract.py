@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vouchlake.functions.columns import IBAN_LENGTH, blank, digits_of, iban_mod97_ok, lookup, norm_id, text_of
+from vouchlake.functions.columns import IBAN_LENGTH, blank, digits_of, iban_mod97_ok, lookup, norm_id, text_of, to_iso2
 
 # Shapes of identifiers.
 IBAN = r"\b([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){10,30})\b"
@@ -226,36 +226,95 @@ def select_pages(scored: DataFrame, k: int = 2) -> DataFrame:
     return scored.withColumn("best", best).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("doc_id", "page_no", "rank")
 
 
-def packet_type(flagged: DataFrame) -> DataFrame:
-    """doc_id, doc_type: a letter page beats an invoice page; an invoice page without one makes an invoice."""
+def packet_type(flagged: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """doc_id, doc_type, pages: a letter page beats an invoice page; an invoice page without one makes an invoice.
+
+    With read (doc_id, doc_type, hint of a reader and of the text): also reason, and the
+    type after what was read: letters beat an invoice reading, invoice pages any other
+    reading, and an invoice hint too.
+    """
+    if read is not None:
+        pages = packet_type(flagged).withColumnRenamed("doc_type", "shown")
+        both = read.join(pages, "doc_id", "left")
+        letter = (F.col("shown") == "bank_letter") & (F.col("doc_type") == "invoice")
+        bill = (F.col("shown") == "invoice") & (F.col("doc_type") != "invoice")
+        hinted = (F.col("hint") == "invoice") & (F.col("doc_type") != "invoice") & ~F.coalesce(F.col("shown") == "bank_letter", F.lit(False))
+        reason = F.when(letter, "a letter page").when(bill, "an invoice page and no letter").when(hinted, "the text says invoice").otherwise("")
+        return both.select("doc_id", F.when(letter, "bank_letter").when(bill | hinted, "invoice").otherwise(F.col("doc_type")).alias("doc_type"), reason.alias("reason"))
     per = flagged.groupBy("doc_id").agg(F.bool_or("bank_letter").alias("letter"), F.bool_or("invoice").alias("invoice"), F.count("*").alias("pages"))
     return per.select("doc_id", F.when(F.col("letter"), "bank_letter").when(F.col("invoice"), "invoice").otherwise("").alias("doc_type"), "pages")
 
 
-def type_hint(text: Column, name: Column) -> Column:
-    """What a bank document calls itself; '' where it doesn't say."""
-    low = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, 4000)))
-    header = sum((F.lower(F.substring(text, 1, 2000)).rlike(rf"(?m)^\s*{h}:\s?\S").cast("int") for h in ("from", "sent", "to", "subject")), F.lit(0))
-    lower_text = F.lower(F.coalesce(text, F.lit("")))
+# Files that can be edited, mail files, names and marks of tax forms.
+EDITABLE = ("doc", "docx", "xls", "xlsx", "odt", "rtf")
+MAIL = ("eml", "msg")
+TAX_NAME = r"(?i)\bw[-_ ]?(9|8(ben)?)\b"
+TAX_SNIFF = (
+    "form w-9", "request for taxpayer", "taxpayer identification number", "w-8ben", "w-8ben-e", "certificate of foreign status",
+    "substitute w-9", "substitute form w-9",
+)
+# The phrases of the type cascade, in order; a document has the first type whose phrases it holds.
+TAX_TYPES = (("w9", ("w-9", "w9", "request for taxpayer identification")), ("w8", ("w-8", "w8ben", "w-8ben", "w8-ben", "certificate of foreign status")))
+INVOICE_NAMES = ("invoice", "rechnung", "fattura")
+BANK_TYPES = (
+    ("voided_check", (("voided check", "void check"),)),
+    ("bank_statement", (("account statement", "e-statement", "estatement", "statement period", "statement of account", "kontoauszug", "extracto bancario", "estado de cuenta"),)),
+    ("bank_letter", (("certificación bancaria", "certificacion bancaria", "bankbestätigung", "bank confirmation", "bank letter", "开户许可证", "开户银行"),)),
+    ("supplier_letterhead", (("dear vendor", "dear customer"), ("bank",))),
+    ("ap_document", (("bank account information",), ("for sap", "s/4hana", "sap registration"))),
+    ("payment_instructions", (INSTRUCTION_MARKS,)),
+)
+
+
+def printed_email(text: Column, within: int = 2000) -> Column:
+    """Three of the four header lines of a mail in the first characters."""
+    head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, within))
+    return sum((head.rlike(rf"(?m)^\s*{h}:\s?\S").cast("int") for h in ("from", "sent", "to", "subject")), F.lit(0)) >= 3
+
+
+def doc_class(name: Column, text: Column) -> Column:
+    """w9 where the file's name or the text says tax form, else bank."""
+    return F.when(F.coalesce(name, F.lit("")).rlike(TAX_NAME) | _any(F.lower(F.coalesce(text, F.lit(""))), TAX_SNIFF), "w9").otherwise("bank")
+
+
+def type_hint(text: Column, name: Column, ext: Column | None = None, kind: Column | None = None, within: int = 4000) -> Column:
+    """What a document calls itself; '' where it doesn't say. Phrases are sought in the name and the first `within` characters.
+
+    First the kind of file, then (for class w9) the tax forms, or a printed mail, an
+    invoice by name or by its own marks, and the phrases of the bank types in order.
+    """
+    ext = F.lower(F.coalesce(F.lit("") if ext is None else ext, F.lit("")))
+    kind = F.lit("bank") if kind is None else kind
+    text, name = F.coalesce(text, F.lit("")), F.lower(F.coalesce(name, F.lit("")))
+    low = F.concat_ws(" ", name, F.lower(F.substring(text, 1, within)))
+    lower_text = F.lower(text)
     letter = (_count(lower_text, LETTER_PHRASES) >= 2) | _any(lower_text, STRONG_LETTER)
-    return (
-        F.when(header >= 3, "email")
-        .when((F.coalesce(text, F.lit("")).rlike(INVOICE_HEADER) | (invoice_evidence(text) >= 2)) & ~letter, "invoice")
-        .when(_any(low, ("voided check", "void check")), "voided_check")
-        .when(_any(low, ("account statement", "e-statement", "estatement", "statement period", "statement of account", "kontoauszug", "extracto bancario", "estado de cuenta")), "bank_statement")
-        .when(_any(low, ("certificación bancaria", "certificacion bancaria", "bankbestätigung", "bank confirmation", "bank letter", "开户许可证", "开户银行")), "bank_letter")
-        .when(_any(low, ("dear vendor", "dear customer")) & low.contains("bank"), "supplier_letterhead")
-        .when(low.contains("bank account information") & _any(low, ("for sap", "s/4hana", "sap registration")), "ap_document")
-        .when(_any(low, INSTRUCTION_MARKS), "payment_instructions")
-        .otherwise("")
-    )
+    tax = F.coalesce(*(F.when(_any(low, words), t) for t, words in TAX_TYPES), F.lit(""))
+    out = (
+        F.when(ext.isin(*EDITABLE), "editable_source").when(ext.isin(*MAIL), "email").when(kind == "w9", tax).when(printed_email(text), "email")
+        .when(_any(name, INVOICE_NAMES), "invoice").when((text.rlike(INVOICE_HEADER) | (invoice_evidence(text) >= 2)) & ~letter, "invoice")
+    )
+    for t, groups in BANK_TYPES:
+        every = F.lit(True)
+        for words in groups:
+            every = every & _any(low, words)
+        out = out.when(every, t)
+    return out.otherwise("")
 
 
 def text_quality(docs: DataFrame) -> DataFrame:
-    """doc_id, words (runs of two letters or more), usable (15 or more)."""
+    """doc_id, words (runs of two letters or more), usable (15 or more), garbage.
+
+    garbage: a text layer that is there but can't be read: 15 % or more control or
+    private-use characters, or 200 Latin letters or more of which under a quarter stand in words.
+    """
     t = F.coalesce("text", F.lit(""))
     words = F.regexp_count(t, F.lit("[A-Za-zÀ-ÿ]{2,}"))
-    return docs.select("doc_id", words.cast("long").alias("words"), (words >= 15).alias("usable"))
+    strange = F.length(F.regexp_replace(t, r"[^\p{Cc}\p{Co}]|[\t\n\r]", ""))
+    latin = F.length(F.regexp_replace(t, "[^A-Za-zÀ-ÿ]", ""))
+    in_words = F.length(F.regexp_replace(t, "(?<![A-Za-zÀ-ÿ])[A-Za-zÀ-ÿ](?![A-Za-zÀ-ÿ])|[^A-Za-zÀ-ÿ]", ""))
+    garbage = (F.trim(t) != "") & ((strange >= 0.15 * F.length(t)) | ((latin >= 200) & (in_words < 0.25 * latin)))
+    return docs.select("doc_id", words.cast("long").alias("words"), (words >= 15).alias("usable"), garbage.alias("garbage"))
 
 
 def officer_block(docs: DataFrame) -> DataFrame:
@@ -345,21 +404,49 @@ def engine_compare(readings: DataFrame, fields: dict[str, tuple[str, str]]) -> D
     return readings.select("doc_id", F.inline(F.array(*rows)))
 
 
-def merge_tiers(first: Column, second: Column) -> Column:
-    """A second reading fills gaps and wins, but never blanks."""
+def merge_tiers(first: Column, second: Column, flag: bool = False) -> Column:
+    """A second reading fills gaps and wins, but never blanks; of flags the second counts as it is."""
+    if flag:
+        return F.lower(text_of(second)).isin("true", "yes")
     return F.when(blank(second), text_of(first)).otherwise(text_of(second))
 
 
 def escalation_reasons(docs: DataFrame) -> DataFrame:
-    """doc_id, reasons: open gaps that a stronger reading might close."""
-    gap = lambda c, r: F.when(blank(F.col(c)), r)
-    reasons = F.array_compact(
-        F.array(
-            gap("account_holder", "no holder"), gap("bank_name", "no bank name"), F.when(blank(F.col("iban")) & blank(F.col("account_number")), "no account"),
-            gap("swift_bic", "no bic"), F.when(~blank(F.col("iban")) & ~iban_mod97_ok(F.col("iban")), "iban checksum"), gap("doc_date", "no date"),
-        )
-    )
-    return docs.select("doc_id", F.explode(reasons).alias("reason"))
+    """doc_id, reason: why a stronger reading might help.
+
+    Columns that docs lacks count as empty: doc_class, doc_type and the fields; asked (for
+    quality), retried (the first answer was no JSON), mismatch (the readings differ).
+    """
+    get = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    yes = lambda c: F.lower(text_of(get(c))).isin("true", "yes")
+    empty = lambda c: blank(get(c))
+    kind, said = text_of(get("doc_type")), F.lower(F.coalesce(get("text"), F.lit("")))
+    bank = (get("doc_class") == "bank") & ~kind.isin("invoice", "email", "editable_source")
+    american = (to_iso2(get("bank_country")) == "US") | said.rlike(r"\b(aba|routing)\b")
+    w9, w8 = (get("doc_class") == "w9") & (kind == "w9"), (get("doc_class") == "w9") & (kind == "w8")
+    cases = {
+        "quality-requested": yes("asked"), "json-retry": yes("retried"), "us-bank-no-routing": bank & american & empty("routing_aba"),
+        "bank-no-account-id": bank & empty("account_number") & empty("iban"), "bank-no-holder": bank & empty("account_holder"),
+        "bank-no-bank-name": bank & empty("bank_name"), "bank-type-unclear": bank & kind.isin("", "other"), "w9-no-tin": w9 & empty("tin_raw"),
+        "w9-no-classification": w9 & empty("line3_classification"), "w9-no-line1": w9 & empty("line1_name"), "w8-no-name": w8 & empty("legal_name"),
+        "w8-no-country": w8 & empty("country_incorporation"), "crosscheck-mismatch": yes("mismatch"),
+    }
+    return docs.select("doc_id", F.explode(F.array_compact(F.array(*(F.when(c, r) for r, c in cases.items())))).alias("reason"))
+
+
+def provenance(values: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, field, source, page of every filled value: where it came from ('model' unless it says), and the page that prints it, if one does."""
+    filled = values.where(~blank(F.col("value")))
+    source = F.coalesce(F.nullif(text_of(F.col("source")), F.lit("")), F.lit("model")) if "source" in values.columns else F.lit("model")
+    return filled.select("doc_id", "field", source.alias("source")).join(attribute_pages(filled, pages), ["doc_id", "field"], "left")
+
+
+def line_above(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """doc_id, field, line_no, above: each line that prints a field's value, and the line before it, which often says what it is."""
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    above = lines.withColumn("above", F.lag("line", 1, "").over(Window.partitionBy("doc_id").orderBy("line_no")))
+    held = values.where(~blank(F.col("value"))).select("doc_id", "field", "value")
+    return above.join(held, "doc_id").where(F.contains(F.lower("line"), F.lower("value"))).select("doc_id", "field", "line_no", "above")
 
 
 def attribute_pages(values: DataFrame, pages: DataFrame) -> DataFrame:

@@ -115,23 +115,72 @@ def packet_choice(pages):
     return X.packet_type(X.page_flags(pages))
 
 
+def _has(c: str, words) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+_LETTER = "((" + " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in X.LETTER_PHRASES) + ") >= 2 OR " + _has("t", X.STRONG_LETTER) + ")"
+_MARKS = " + ".join(f"CAST(contains(x, '{w}') AS INT)" for w in X.INVOICE_MARKS)
+_HINT = f"""h0 AS (SELECT *, lower(text) AS t, lower(file_name) AS f, lower(file_name) || ' ' || lower(substr(text, 1, 4000)) AS low,
+  CASE WHEN regexp_matches(file_name, '{X.TAX_NAME}') OR {_has("lower(text)", X.TAX_SNIFF)} THEN 'w9' ELSE 'bank' END AS doc_class FROM intake),
+h1 AS (SELECT *, (regexp_matches(text, '{X.INVOICE_HEADER}') OR coalesce(list_sum(list_transform(list_filter(string_split(t, chr(10)), lambda x: NOT {_has("x", X.REMITTANCE)}), lambda x: {_MARKS})), 0) >= 2) AS bill,
+  {" + ".join(f"CAST(regexp_matches(substr(t, 1, 2000), '(?m)^[ ]*{h}: ?[^ ]') AS INT)" for h in ("from", "sent", "to", "subject"))} AS head FROM h0),
+hint AS (SELECT doc_id, doc_class, CASE WHEN ext IN {X.EDITABLE} THEN 'editable_source' WHEN ext IN {X.MAIL} THEN 'email'
+  WHEN doc_class = 'w9' THEN CASE {" ".join(f"WHEN {_has('low', w)} THEN '{t}'" for t, w in X.TAX_TYPES)} ELSE '' END
+  WHEN head >= 3 THEN 'email' WHEN {_has("f", X.INVOICE_NAMES)} THEN 'invoice' WHEN bill AND NOT {_LETTER} THEN 'invoice'
+  {" ".join(f"WHEN {' AND '.join(_has('low', w) for w in g)} THEN '{t}'" for t, g in X.BANK_TYPES)} ELSE '' END AS hint FROM h1)"""
+
+
+def _hinted(intake):
+    kind = X.doc_class(F.col("file_name"), F.col("text"))
+    return intake.select("doc_id", kind.alias("doc_class"), X.type_hint(F.col("text"), F.col("file_name"), F.col("ext"), kind).alias("hint"))
+
+
+@query("doc_type_hint", "intake", sql=f"WITH {_HINT} SELECT doc_id, hint FROM hint")
+def doc_type_hint(intake):
+    return _hinted(intake).select("doc_id", "hint")
+
+
+@query("doc_class_sniff", "intake", sql=f"WITH {_HINT} SELECT doc_id, doc_class FROM hint")
+def doc_class_sniff(intake):
+    return _hinted(intake).select("doc_id", "doc_class")
+
+
+_QUALITY = r"""q AS (SELECT doc_id, text, length(regexp_replace(text, '[^\p{Cc}\p{Co}]|[\t\n\r]', '', 'g')) AS strange, length(regexp_replace(text, '[^A-Za-zÀ-ÿ]', '', 'g')) AS latin,
+  regexp_extract_all(text, '[A-Za-zÀ-ÿ]{2,}') AS w FROM %s)
+SELECT doc_id, len(w) AS words, len(w) >= 15 AS usable, trim(text) <> '' AND (strange >= 0.15 * length(text) OR (latin >= 200 AND length(array_to_string(w, '')) < 0.25 * latin)) AS garbage FROM q"""
+
+
+@query("text_quality", "documents", sql="WITH " + _QUALITY % "documents")
+def text_quality(docs):
+    return X.text_quality(docs)
+
+
+@query("text_layer_garbage", "intake", sql="WITH " + _QUALITY % "intake")
+def text_layer_garbage(intake):
+    return X.text_quality(intake)
+
+
 @query(
-    "doc_type_hint",
-    "vendor_text",
-    sql="""SELECT doc_id, CASE doc_type WHEN 'invoice' THEN 'invoice' WHEN 'voided_check' THEN 'voided_check' WHEN 'bank_statement' THEN 'bank_statement'
-  WHEN 'supplier_letterhead' THEN 'supplier_letterhead' WHEN 'payment_instructions' THEN 'payment_instructions' ELSE '' END AS hint FROM vendor_text""",
+    "signature_votes_from_text",
+    "intake",
+    sql=f"SELECT doc_id, CASE WHEN {_has('lower(text)', X.ESIGN)} THEN 'esign' WHEN {_has('lower(text)', X.TYPED)} THEN 'typed-system' ELSE 'none' END AS vote FROM intake",
 )
-def doc_type_hint(docs):
-    return docs.select("doc_id", X.type_hint(F.col("text"), F.lit("")).alias("hint"))
+def signature_votes_from_text(intake):
+    return intake.select("doc_id", X.text_vote(F.col("text")).alias("vote"))
 
 
 @query(
-    "text_quality",
-    "documents",
-    sql="SELECT doc_id, len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{2,}')) AS words, len(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{2,}')) >= 15 AS usable FROM documents",
+    "boxed_tin",
+    "intake",
+    sql=r"""WITH r AS (SELECT doc_id, text, regexp_extract(text, '((?:[0-9-]\n){9,13})', 1) AS run FROM intake),
+d AS (SELECT *, regexp_replace(run, '[^0-9]', '', 'g') AS n, lower(substr(text, 1, instr(text, run) - 1)) AS before FROM r),
+k AS (SELECT *, length(before) - length(regexp_extract(before, '^(?s)(.*)employer identification', 1)) AS e, length(before) - length(regexp_extract(before, '^(?s)(.*)social security', 1)) AS s FROM d)
+SELECT doc_id, CASE WHEN length(n) = 9 AND run <> '' THEN n ELSE '' END AS tin_boxed,
+  CASE WHEN length(n) = 9 AND run <> '' THEN CASE WHEN contains(before, 'employer identification') AND (NOT contains(before, 'social security') OR e < s) THEN 'EIN' WHEN contains(before, 'social security') THEN 'SSN' ELSE '' END ELSE '' END AS tin_boxed_type FROM k""",
 )
-def text_quality(docs):
-    return X.text_quality(docs)
+def boxed_tin(intake):
+    return X.boxed_tin(intake)
 
 
 @query("officer_block", "vendor_text", sql="SELECT doc_id, doc_id % 6 = 0 AS found FROM vendor_text")
@@ -198,14 +247,59 @@ def merge_readings(readings):
     return readings.select("doc_id", X.merge_tiers(F.col("account_text"), F.col("account_model")).alias("account"))
 
 
+_EMPTY = lambda c: f"coalesce({c}, '') = ''"
+_BANK_ON = "doc_type NOT IN ('invoice', 'email', 'editable_source')"
+_REASONS = f"""SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 9 = 0 THEN 'quality-requested' END, CASE WHEN doc_id % 10 = 0 THEN 'json-retry' END,
+  CASE WHEN {_BANK_ON} AND regexp_matches(lower(text), '\\b(aba|routing)\\b') THEN 'us-bank-no-routing' END, CASE WHEN {_BANK_ON} AND iban = '' AND account_number = '' THEN 'bank-no-account-id' END,
+  CASE WHEN {_BANK_ON} AND account_holder = '' THEN 'bank-no-holder' END, CASE WHEN {_BANK_ON} AND bank_name = '' THEN 'bank-no-bank-name' END, CASE WHEN doc_type = 'other' THEN 'bank-type-unclear' END,
+  CASE WHEN doc_id % 11 = 0 THEN 'crosscheck-mismatch' END], lambda x: x IS NOT NULL)) AS reason FROM vendor_text
+UNION ALL SELECT doc_id + 10000000, unnest(list_filter([CASE WHEN doc_type = 'w9' AND tin_raw = '' THEN 'w9-no-tin' END, CASE WHEN doc_type = 'w9' AND line3_classification = '' THEN 'w9-no-classification' END,
+  CASE WHEN doc_type = 'w9' AND line1_name = '' THEN 'w9-no-line1' END, CASE WHEN doc_type = 'w8' AND legal_name = '' THEN 'w8-no-name' END, CASE WHEN doc_type = 'w8' THEN 'w8-no-country' END], lambda x: x IS NOT NULL)) FROM tax"""
+
+
+@query("escalation_reasons", "vendor_text", "tax", sql=_REASONS)
+def escalation_reasons(docs, tax):
+    """Bank documents, and tax forms under numbers of their own."""
+    flags = {c: F.col("doc_id") % m == 0 for c, m in (("asked", 9), ("retried", 10), ("mismatch", 11))}
+    return X.escalation_reasons(docs.withColumns(flags)).unionByName(X.escalation_reasons(tax.withColumn("doc_id", F.col("doc_id") + 10_000_000)))
+
+
 @query(
-    "escalation_reasons",
+    "line_above",
+    "vendor_text",
+    sql="""WITH l AS (SELECT doc_id, account_number, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM vendor_text),
+a AS (SELECT *, lag(line, 1, '') OVER (PARTITION BY doc_id ORDER BY n) AS above FROM l)
+SELECT doc_id, 'account_number' AS field, CAST(n AS INTEGER) AS line_no, above FROM a WHERE account_number <> '' AND contains(line, account_number)""",
+)
+def line_above(docs):
+    return X.line_above(docs, _values(docs, "account_number"))
+
+
+@query(
+    "packet_override",
+    "vendor_pages",
     "vendor",
-    sql=f"""SELECT doc_id, unnest(list_filter([CASE WHEN account_holder = '' THEN 'no holder' END, CASE WHEN bank_name = '' THEN 'no bank name' END, CASE WHEN iban = '' AND account_number = '' THEN 'no account' END,
-  CASE WHEN swift_bic = '' THEN 'no bic' END, CASE WHEN iban <> '' AND NOT {mod97('iban')} THEN 'iban checksum' END], lambda x: x IS NOT NULL)) AS reason FROM vendor""",
+    sql="""WITH s AS (SELECT doc_id, doc_type AS t0, CASE doc_id % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'other' ELSE doc_type END AS read, CASE WHEN doc_id % 5 = 0 THEN 'invoice' ELSE '' END AS hint FROM vendor),
+r AS (SELECT doc_id, read, CASE WHEN t0 <> 'invoice' AND read = 'invoice' THEN 'a letter page' WHEN t0 = 'invoice' AND read <> 'invoice' THEN 'an invoice page and no letter' ELSE '' END AS reason FROM s)
+SELECT doc_id, CASE reason WHEN 'a letter page' THEN 'bank_letter' WHEN '' THEN read ELSE 'invoice' END AS doc_type, reason FROM r""",
+)
+def packet_override(pages, vendor):
+    k = F.col("doc_id")
+    read = F.when(k % 3 == 0, "invoice").when(k % 3 == 1, "other").otherwise(F.col("doc_type"))
+    return X.packet_type(X.page_flags(pages), vendor.select("doc_id", read.alias("doc_type"), F.when(k % 5 == 0, "invoice").otherwise("").alias("hint")))
+
+
+@query(
+    "value_provenance",
+    "vendor",
+    "vendor_pages",
+    sql="""WITH v AS (SELECT doc_id, 'iban' AS field, iban AS value, 'ocr-regex' AS source FROM vendor UNION ALL SELECT doc_id, 'account_number', account_number, 'model' FROM vendor UNION ALL SELECT doc_id, 'doc_date', doc_date, 'model' FROM vendor),
+p AS (SELECT doc_id, field, min(page_no) + 1 AS page FROM v JOIN vendor_pages USING (doc_id) WHERE value <> '' AND contains(text, value) GROUP BY 1, 2)
+SELECT v.doc_id, v.field, source, page FROM v LEFT JOIN p USING (doc_id, field) WHERE value <> ''""",
 )
-def escalation_reasons(docs):
-    return X.escalation_reasons(docs)
+def value_provenance(vendor, pages):
+    values = _values(vendor, "iban", "account_number", "doc_date").withColumn("source", F.when(F.col("field") == "iban", "ocr-regex"))
+    return X.provenance(values, pages)
 
 
 def _values(vendor, *fields):

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from vouchlake.operators import extract as X
 from vouchlake.operators import reconcile as C
+from vouchlake.plans import decide as D
 from vouchlake.plans import rules as R
+from vouchlake.queries.extraction import _READ
 from vouchlake.queries.registry import query
 from vouchlake.queries.verdicts import _VERDICT
 
@@ -167,6 +169,54 @@ def confidence_gate(vendor, readings, votes):
     return C.confidence_gate(R.verdict_in_place(vendor), C.confidence(readings, X.signature_fold(votes)))
 
 
+_ALL = f"""{_VERDICT}, {_LEVEL}, {_CHOSEN},
+x AS (SELECT doc_id, di, si, da, bankn, db, sb, dc, banks, dh, koinh FROM chosen),
+parts AS (SELECT doc_id, 'rules' AS source, rule_id, verdict_effect FROM found
+  UNION ALL SELECT doc_id, 'partner', CASE WHEN n_rows = 0 THEN 'SAP-010' ELSE 'SAP-011' END, CASE WHEN n_rows = 0 THEN 'WARNING' END FROM every WHERE n_rows <> 1
+  UNION ALL SELECT doc_id, 'comparison', 'SAP-001', 'NEED_MANUAL_REVIEW' FROM x WHERE di <> '' AND si <> '' AND di <> si
+  UNION ALL SELECT doc_id, 'comparison', 'SAP-002', 'WARNING' FROM x WHERE (di = '') <> (si = '') AND NOT (di <> '' AND sb <> '' AND ends_with(di, sb))
+  UNION ALL SELECT doc_id, 'comparison', 'SAP-003', 'NEED_MANUAL_REVIEW' FROM x WHERE da <> '' AND bankn <> '' AND db <> sb AND NOT (si <> '' AND length(db) >= 6 AND ends_with(si, db) AND sb <> '' AND ends_with(si, sb))
+  UNION ALL SELECT doc_id, 'comparison', 'SAP-005', 'NEED_MANUAL_REVIEW' FROM x WHERE dc <> 'CZ' AND banks <> 'CZ' AND dc <> banks
+  UNION ALL SELECT doc_id, 'comparison', 'SAP-008', 'NEED_MANUAL_REVIEW' FROM x WHERE dh <> '' AND koinh <> '' AND lower(dh) <> lower(koinh)),
+clean AS (SELECT x.doc_id FROM x WHERE doc_id NOT IN (SELECT doc_id FROM parts WHERE rule_id IN ('SAP-001', 'SAP-003', 'SAP-005', 'SAP-008'))),
+engines AS (SELECT doc_id, CASE WHEN (iban_text <> '' AND iban_model <> '' AND iban_text <> upper(iban_model)) OR (account_text <> '' AND account_model <> '' AND account_text <> account_model) OR (swift_text <> '' AND swift_model <> '' AND swift_text <> swift_model)
+  THEN 'ENGINE-002' ELSE 'ENGINE-003' END AS rule_id FROM readings),
+everything AS (SELECT * FROM parts UNION ALL SELECT doc_id, 'comparison', 'SAP-000', NULL FROM clean UNION ALL SELECT doc_id, 'engines', rule_id, NULL FROM engines),
+ranks AS (SELECT v.doc_id, coalesce(max(CASE verdict_effect WHEN 'REJECT' THEN 3 WHEN 'NEED_MANUAL_REVIEW' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END), 0) AS r0 FROM vendor v LEFT JOIN everything USING (doc_id) GROUP BY 1),
+model AS (SELECT doc_id, CASE WHEN level = 'low' AND r0 = 0 THEN 2 ELSE r0 END AS r, level = 'low' AND r0 = 0 AS conf FROM ranks JOIN levels USING (doc_id)),
+gold AS (SELECT run_id AS doc_id, max_by(verdict_gold, ts) AS g, bool_or(confirmed) AS ok FROM run_labels GROUP BY 1),
+b9 AS (SELECT doc_id, r, conf, g, ok, CASE g WHEN 'REJECT' THEN 3 WHEN 'NEED_MANUAL_REVIEW' THEN 2 WHEN 'WARNING' THEN 1 WHEN 'ACCEPT' THEN 0 END AS gr FROM model LEFT JOIN gold USING (doc_id))"""
+_R = "CASE {0} WHEN 3 THEN 'REJECT' WHEN 2 THEN 'NEED_MANUAL_REVIEW' WHEN 1 THEN 'WARNING' ELSE 'ACCEPT' END"
+
+
+def _findings(vendor, erp, readings):
+    chosen = _chosen(vendor, erp)
+    return D.union_findings(
+        rules=R.apply_rules(vendor), partner=C.partner_findings(chosen), comparison=C.comparison_findings(C.reconcile_bank(chosen.where("n_rows > 0"))),
+        engines=D.engine_findings(X.engine_compare(readings, _READ)),
+    )
+
+
+@query("all_findings", "vendor", "erp_bank", "readings", "votes", "run_labels", sql=f"{_ALL} SELECT doc_id, source, rule_id, verdict_effect FROM everything")
+def all_findings(vendor, erp, readings, votes, labels):
+    return _findings(vendor, erp, readings).select("doc_id", "source", "rule_id", "verdict_effect")
+
+
+@query(
+    "final_verdict",
+    "vendor",
+    "erp_bank",
+    "readings",
+    "votes",
+    "run_labels",
+    sql=f"""{_ALL} SELECT doc_id, {_R.format("r")} AS model_verdict, CASE WHEN gr <> r AND (gr > r OR ok) THEN g ELSE {_R.format("r")} END AS verdict,
+  list_filter([CASE WHEN conf THEN 'CONF-001' END, CASE WHEN gr <> r THEN CASE WHEN gr < r AND NOT ok THEN 'OPERATOR-2' ELSE 'OPERATOR-1' END END], lambda x: x IS NOT NULL) AS added FROM b9""",
+)
+def final_verdict(vendor, erp, readings, votes, labels):
+    known = labels.groupBy(F.col("run_id").alias("doc_id")).agg(F.max_by("verdict_gold", "ts").alias("verdict_gold"), F.bool_or("confirmed").alias("confirmed"))
+    return D.decide(vendor, _findings(vendor, erp, readings), C.confidence(readings, X.signature_fold(votes)), known)
+
+
 @query(
     "evidence_summary",
     "vendor",

@@ -57,6 +57,18 @@ SELECT doc_id, doc_class, doc_type, account_holder, bank_name, iban, swift_bic,
 FROM {vendor}
 """
 
+INTAKE = """
+SELECT doc_id, CASE WHEN doc_id % 15 = 0 THEN 'docx' WHEN doc_id % 15 = 1 THEN 'eml' ELSE 'pdf' END AS ext,
+  CASE doc_id % 15 WHEN 2 THEN 'Form W-9 signed' WHEN 3 THEN 'W-8BEN scan' WHEN 5 THEN 'Rechnung 2026' WHEN 6 THEN 'my_w9_form' ELSE 'scan ' || CAST(doc_id AS STRING) END AS file_name,
+  CASE doc_id % 15 WHEN 4 THEN 'From: A' || chr(10) || 'Sent: today' || chr(10) || 'Subject: bank details' || chr(10) || text
+    WHEN 7 THEN 'Certificate of Foreign Status' || chr(10) || 'social security or employer identification number' || chr(10) || '0' || chr(10) || '0' || chr(10) || '-' || chr(10) || '1' || chr(10) || '2' || chr(10) || '3' || chr(10) || '4' || chr(10) || '5' || chr(10) || '6' || chr(10) || CAST(doc_id % 10 AS STRING) || chr(10) || 'end'
+    WHEN 8 THEN 'Request for Taxpayer Identification' || chr(10) || 'Employer identification number' || chr(10) || 'Social security number' || chr(10) || '0' || chr(10) || '0' || chr(10) || '0' || chr(10) || '1' || chr(10) || '2' || chr(10) || '3' || chr(10) || '4' || chr(10) || '5' || chr(10) || '6' || chr(10) || 'end'
+    WHEN 9 THEN 'Dear customer, Bank account information for SAP' WHEN 10 THEN 'Bank account information, for SAP registration'
+    WHEN 11 THEN repeat(chr(1) || chr(2) || 'ab ', 60) WHEN 12 THEN repeat('a b c d e ', 60) || 'some words' WHEN 13 THEN text || chr(10) || 'This is a computer-generated letter' || chr(10) || 'DocuSign envelope'
+    WHEN 14 THEN 'Bank confirmation, system-generated' ELSE text END AS text
+FROM {vendor_text}
+"""
+
 PAGES = """
 SELECT doc_id, doc_type, page_no, CASE slot WHEN 0 THEN letter WHEN 1 THEN filler ELSE sheet END AS text
 FROM (
@@ -210,6 +222,7 @@ FROM (
 BINDINGS: dict[str, tuple[str, tuple[str, ...]]] = {
     "vendor": (VENDOR, ("supplier",)),
     "vendor_text": (VENDOR_TEXT, ("vendor",)),
+    "intake": (INTAKE, ("vendor_text",)),
     "vendor_pages": (PAGES, ("vendor",)),
     "tax": (TAX, ("customer",)),
     "guarded": (GUARDED, ("vendor",)),
