@@ -250,7 +250,15 @@ def stratified_split(labels):
     return T.stratified_split(labels)
 
 
-@query("fewshot_pick", "run_labels")
+@query(
+    "fewshot_pick",
+    "run_labels",
+    sql="""WITH p AS (SELECT run_id, doc_class, tag, 'type:' || doc_type_gold AS kind, changed_fields + CASE WHEN type_changed THEN 3 ELSE 0 END + 2 * completeness AS value FROM run_labels WHERE confirmed),
+one AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_class ORDER BY value DESC, run_id) = 1),
+two AS (SELECT p.* FROM p JOIN one USING (doc_class) WHERE p.run_id <> one.run_id
+  QUALIFY row_number() OVER (PARTITION BY doc_class ORDER BY CAST(p.tag <> one.tag AS INT) + CAST(p.kind <> one.kind AS INT) DESC, p.value DESC, p.run_id) = 1)
+SELECT doc_class, CAST(0 AS INTEGER) AS pick, run_id FROM one UNION ALL SELECT doc_class, 1, run_id FROM two""",
+)
 def fewshot_pick(labels):
     return T.cover_select(labels)
 

@@ -162,7 +162,7 @@ FROM {supplier} CROSS JOIN (SELECT 'band' AS probe UNION ALL SELECT 'page' UNION
 """
 
 RUNS = """
-SELECT CAST(o_orderkey AS BIGINT) AS run_id, CAST(o_orderdate AS TIMESTAMP) AS ts, CASE WHEN o_orderkey % 3 = 0 THEN 'w9' ELSE 'bank' END AS doc_class,
+SELECT CAST(o_orderkey AS BIGINT) AS run_id, CAST(o_orderdate AS TIMESTAMP) AS ts, CASE WHEN o_orderkey % 7 = 0 THEN 'w9' ELSE 'bank' END AS doc_class,
   CASE o_orderkey % 4 WHEN 0 THEN 'ACCEPT' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'NEED_MANUAL_REVIEW' ELSE 'REJECT' END AS verdict,
   substr(o_orderpriority, 1, 1) AS tier, CAST(o_orderkey % 2 AS STRING) || '|' || substr(o_orderpriority, 1, 1) AS shape_key,
   CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) % 300 AS DOUBLE) AS duration_s, o_orderkey % 7 = 0 AS escalated, o_orderkey % 11 = 0 AS conflict,
@@ -172,8 +172,10 @@ FROM {orders}
 
 FINDINGS = """
 SELECT CAST(l_orderkey AS BIGINT) AS run_id,
-  CASE l_linenumber WHEN 1 THEN 'BNK-010' WHEN 2 THEN 'BNK-011' WHEN 3 THEN 'BNK-020' WHEN 4 THEN 'BNK-021' WHEN 5 THEN 'BNK-023' WHEN 6 THEN 'BNK-024' ELSE 'BNK-025' END AS rule_id,
-  CASE l_linenumber WHEN 1 THEN 'NEED_MANUAL_REVIEW' WHEN 2 THEN 'NEED_MANUAL_REVIEW' WHEN 4 THEN 'WARNING' WHEN 5 THEN 'NEED_MANUAL_REVIEW' WHEN 6 THEN 'NEED_MANUAL_REVIEW' WHEN 7 THEN 'WARNING' END AS verdict_effect
+  CASE l_linenumber WHEN 1 THEN 'BNK-010' WHEN 2 THEN 'BNK-011' WHEN 3 THEN 'BNK-020' WHEN 4 THEN 'BNK-021' WHEN 5 THEN 'BNK-023' WHEN 6 THEN 'BNK-024'
+    ELSE CASE WHEN l_orderkey % 5 IN (2, 3) THEN 'BNK-031' WHEN l_orderkey % 5 IN (0, 4) THEN 'BNK-022' ELSE 'BNK-025' END END AS rule_id,
+  CASE l_linenumber WHEN 1 THEN 'NEED_MANUAL_REVIEW' WHEN 2 THEN 'NEED_MANUAL_REVIEW' WHEN 4 THEN 'WARNING' WHEN 5 THEN 'NEED_MANUAL_REVIEW' WHEN 6 THEN 'NEED_MANUAL_REVIEW'
+    WHEN 7 THEN CASE WHEN l_orderkey % 5 = 1 THEN 'WARNING' ELSE 'NEED_MANUAL_REVIEW' END END AS verdict_effect
 FROM {lineitem}
 """
 
