@@ -191,7 +191,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     rest = F.col("doc_tokens") % window
     pieces = cut(
         token_ids(docs, path)
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids") + F.monotonically_increasing_id(), F.lit(buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
         .withColumn("rest", rest.cast("int"))
         .withColumn("full", F.floor(F.col("doc_tokens") / window).cast("long"))
     )

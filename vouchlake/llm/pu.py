@@ -84,24 +84,28 @@ def fit_nnpu(
     return LinearScorer(w[:-1].copy(), float(w[-1]))
 
 
-def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float | None:
     """The prior that scores of held-back positive and unlabelled rows show.
 
     For every score c that occurs, q(c) is the share of rows at or above it. The share of
     positives among the unlabelled is at most q_u(c) / q_p(c); the c with the least upper
-    confidence bound of that is taken.
+    confidence bound of that is taken. The c that all rows reach says nothing and takes no
+    part; None if there is no other.
     """
     cuts = np.unique(np.concatenate([positive, unlabelled]))
     share = lambda x: 1.0 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
     qp, qu = share(positive), share(unlabelled)
-    cuts, qp, qu = cuts[qp > 0], qp[qp > 0], qu[qp > 0]
+    tells = (qp > 0) & (qu < 1)
+    if not tells.any():
+        return None
+    qp, qu = qp[tells], qu[tells]
     wide = np.sqrt(np.log(4 / delta) / (2 * len(unlabelled))) + (1 + gamma) * np.sqrt(np.log(4 / delta) / (2 * len(positive)))
     at = int(np.argmin((qu + wide) / qp))
     return float(np.clip(qu[at] / qp[at], 1e-3, 1 - 1e-3))
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, default: float, **how) -> float:
-    """The class prior, by best bin estimation on both halves in turn; `default` with fewer than two rows of a kind.
+    """The class prior, by best bin estimation on both halves in turn; `default` with fewer than two rows of a kind, or if nothing tells rows apart.
 
     Rows should be in no order that depends on their class; every second one is held back.
     """
@@ -111,4 +115,5 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, default: float,
     for fit_on in (0, 1):
         model = fit_nnpu(positive[fit_on::2], unlabelled[fit_on::2], None, **how)
         found.append(best_bin(model.scores(positive[1 - fit_on :: 2]), model.scores(unlabelled[1 - fit_on :: 2])))
-    return float(np.mean(found))
+    found = [x for x in found if x is not None]
+    return float(np.mean(found)) if found else default
