@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from vouchlake.llm import webp as W
-from vouchlake.llm.media import decode_payload, encode_payload, payload_of, read, store
+from vouchlake.llm.media import decode_payload, encode_payload, payload_of, pixels, read, store
 
 RNG = np.random.default_rng(12)
 
@@ -239,3 +239,161 @@ def test_texts_come_back(spark, sf_small, odd_docs, no_docs):
     assert decode_payload(stored[6]).tobytes() == payload_of(texts[6]).tobytes() and stored[6].count(b"WEBPVP8L") > 1
     assert encode_payload(payload_of("x")) == encode_payload(payload_of("x"))
     assert read(store(no_docs)).count() == 0
+
+
+class Plain:
+    """A decoder of one-channel files that reads bit by bit and shares nothing with the library's but the fixed values."""
+
+    def __init__(self, data):
+        self.bits, self.at, self.kinds, self.copies = "".join(f"{b:08b}"[::-1] for b in data[21:]), 0, [], 0
+
+    def take(self, n):
+        word = self.bits[self.at : self.at + n]
+        self.at += n
+        return int(word[::-1] or "0", 2)
+
+    def symbol(self, code):
+        if len(code) == 1:
+            return next(iter(code.values()))
+        word = ""
+        while word not in code:
+            word += self.bits[self.at]
+            self.at += 1
+        return code[word]
+
+    @staticmethod
+    def canonical(lengths):
+        code, word, before = {}, 0, 0
+        for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+            word <<= n - before
+            code[f"{word:0{n}b}"] = s
+            word, before = word + 1, n
+        return code
+
+    def code(self, alphabet):
+        if self.take(1):
+            n, wide = self.take(1) + 1, self.take(1)
+            symbols = [self.take(8 if wide else 1)] + [self.take(8) for _ in range(n - 1)]
+            return self.canonical([int(s in symbols) for s in range(256)])
+        first = [0] * 19
+        for s in W.CODE_LENGTH_ORDER[: 4 + self.take(4)]:
+            first[s] = self.take(3)
+        first, lengths, before = self.canonical(first), [], 8
+        assert not self.take(1)
+        while len(lengths) < alphabet:
+            s = self.symbol(first)
+            if s < 16:
+                lengths.append(s)
+                before = s or before
+            else:
+                lengths += [before if s == 16 else 0] * {16: lambda: 3 + self.take(2), 17: lambda: 3 + self.take(3), 18: lambda: 11 + self.take(7)}[s]()
+        return self.canonical(lengths)
+
+    def number(self, prefix):
+        extra = (prefix - 2) // 2
+        return prefix + 1 if prefix < 4 else (2 + prefix % 2) * 2**extra + self.take(extra) + 1
+
+    def image(self, width, height, main=False):
+        assert not self.take(1 + main)
+        green, red, blue, alpha, distance = (self.code(n) for n in (280, 256, 256, 256, 40))
+        out = []
+        while len(out) < width * height:
+            s = self.symbol(green)
+            if s < 256:
+                out.append((s, self.symbol(red), self.symbol(blue), self.symbol(alpha)))
+            else:
+                self.copies += 1
+                n, d = self.number(s - 256), self.number(self.symbol(distance))
+                d = d - 120 if d > 120 else max(1, W.NEAR[d - 1][0] + W.NEAR[d - 1][1] * width)
+                for _ in range(n):
+                    out.append(out[-d])
+        return out
+
+    def samples(self):
+        width, height = self.take(14) + 1, self.take(14) + 1
+        self.take(4)
+        mode = colours = None
+        inner = width
+        while self.take(1):
+            self.kinds.append(self.take(2))
+            if self.kinds[-1] == W.PREDICTOR:
+                tile = 2 ** (self.take(3) + 2)
+                (mode,) = {p[0] for p in self.image(-(-width // tile), -(-height // tile))}
+            else:
+                assert self.kinds[-1] == W.PALETTE
+                colours = self.image(self.take(8) + 1, 1)
+                for k in range(1, len(colours)):
+                    colours[k] = tuple((a + b) % 256 for a, b in zip(colours[k - 1], colours[k]))
+                per = 8 if len(colours) <= 2 else 4 if len(colours) <= 4 else 2
+                inner = -(-width // per)
+        out = self.image(inner, height, main=True)
+        if colours:
+            bits = 8 // per
+            out = [colours[out[y * inner + x // per][0] >> x % per * bits & 2**bits - 1] for y in range(height) for x in range(width)]
+        if mode:
+            for at in range(len(out)):
+                x, y = at % width, at // width
+                left = y == 0 or (x > 0 and mode == 1)
+                guess = (0, 0, 0, 255) if at == 0 else out[at - 1] if left else out[at - width]
+                out[at] = tuple((a + b) % 256 for a, b in zip(out[at], guess))
+        assert {p[1:] for p in out} == {(0, 0, 255)}
+        return [p[0] for p in out]
+
+
+def grey_cases():
+    line = RNG.integers(0, 256, 576).astype(np.uint8)
+    words = " ".join(("alpha", "beta", "gamma", "delta")[k] for k in RNG.integers(0, 4, 900)).encode()
+    yield "noise", RNG.integers(0, 256, 576 * 3).astype(np.uint8), set(), False
+    yield "text", payload_of(words.decode() + " " + words.decode()), None, True
+    yield "ramp", (np.cumsum(RNG.integers(0, 3, 576 * 9)) % 256).astype(np.uint8), {W.PREDICTOR}, None
+    yield "rows", np.cumsum([line, *RNG.integers(0, 2, (11, 576))], axis=0).astype(np.uint8).ravel(), {W.PREDICTOR}, None
+    yield "cycle", np.tile(RNG.integers(0, 256, 700).astype(np.uint8), 576)[: 576 * 70], set(), True
+    for levels in (2, 3, 4, 5):
+        often = np.append(0.97, np.full(levels - 1, 0.03 / (levels - 1)))
+        yield f"levels {levels}", RNG.choice(RNG.choice(256, levels, replace=False), 576 * 4, p=often).astype(np.uint8), {W.PALETTE}, None
+    yield "two, repeated", np.tile(RNG.choice([3, 200], 600).astype(np.uint8), 96)[: 576 * 100], {W.PALETTE}, True
+    yield "one level", np.full(1152, 255, np.uint8), None, None
+    yield "short ways", np.concatenate([RNG.integers(0, 256, 640).astype(np.uint8)] * 9), set(), True
+
+
+def test_encoder_takes_the_means_that_pay_and_others_can_read_it():
+    for name, samples, kinds, copies in grey_cases():
+        media = W.encode_grey(samples, 576)
+        plain = Plain(media)
+        assert plain.samples() == samples.tolist(), name
+        assert kinds is None or set(plain.kinds) == kinds, (name, plain.kinds)
+        assert copies is None or (plain.copies > 0) == copies, (name, plain.copies)
+        width, height, argb = W.decode(media)
+        assert (width, height) == (576, len(samples) // 576)
+        assert (argb == (0xFF000000 | samples.astype(np.uint32) << 8)).all(), name
+
+
+def test_stretches_that_occurred_before():
+    for samples in (np.tile(np.arange(50, dtype=np.uint8), 300), RNG.integers(0, 3, 5000).astype(np.uint8), np.zeros(9000, np.uint8), np.zeros(5, np.uint8)):
+        start, n, far = W.repeats(samples)
+        assert (start[1:] >= (start + n)[:-1]).all() and (n <= W.LONGEST_COPY).all() and (n > 1).all()
+        for s, m, d in zip(start.tolist(), n.tolist(), far.tolist()):
+            assert d <= s and (samples[s : s + m] == samples[s - d : s + m - d]).all()
+    assert W.repeats(np.zeros(9000, np.uint8))[1].sum() == 8999
+
+
+def test_pixels_of_colour_images(spark):
+    width, height = 19, 13
+    argb = picture(width, height, colours=9)
+    out = Stream(width, height)
+    out.put(0, 1)
+    out.image(argb, width, 6, main=True, copies=True)
+    grey = W.encode_grey(np.arange(4, dtype=np.uint8), 2)
+    rows = [(1, out.file() + grey), (None, grey), (2, None), (3, b"")]
+    got = pixels(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert sorted((r.doc_id or 0, r.part, r.width, r.height) for r in got) == [(0, 0, 2, 2), (1, 0, 19, 13), (1, 1, 2, 2)]
+    colour = next(r for r in got if r.width == 19)
+    assert list(colour.rgba) == [p >> s & 255 for p in argb for s in (16, 8, 0, 24)]
+    assert list(next(r for r in got if r.doc_id is None).rgba) == [x for g in range(4) for x in (0, g, 0, 255)]
+
+
+def test_cut_streams_are_refused():
+    good = W.encode_grey(payload_of(" ".join(f"word {k % 37} of many" for k in range(400))), 576)
+    for at in (40, 120, len(good) // 2):
+        with pytest.raises((ValueError, IndexError)):
+            W.decode(good[:at])

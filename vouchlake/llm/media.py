@@ -3,10 +3,12 @@
 `store` turns the UTF-8 bytes of a text, filled up with bytes 255 to a positive multiple
 of 576, into grey images 576 samples wide, at most ROWS high; a longer payload is a run
 of such files, one after the other. `read` decodes any run of lossless WebP files and
-computes digests and features of the samples.
+computes digests and features of the green samples. `pixels` gives the pixel arrays of
+any column of such files, with all four channels.
 
 Null text counts as empty (one row of 255). Rows repeat as often as they come; extra
-columns are not carried. An empty table gives no rows.
+columns are not carried. An empty table gives no rows. Null media have no pixels; bytes
+that aren't a lossless WebP file end the job with an error.
 """
 
 from __future__ import annotations
@@ -103,5 +105,24 @@ def read(stored: DataFrame) -> DataFrame:
     )
 
 
+def pixels(stored: DataFrame) -> DataFrame:
+    """doc_id, part (place in the run), width, height, rgba (binary: red, green, blue and alpha of each pixel, row by row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, media in enumerate(b.column("media").to_pylist()):
+                for part, one in enumerate(files_of(media or b"")):
+                    width, height, argb = decode(one)
+                    rgba = (argb << np.uint32(8) | argb >> np.uint32(24)).astype(">u4").tobytes()
+                    sizes = (pa.array([x], pa.int32()) for x in (part, width, height))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").slice(k, 1), *sizes, pa.array([rgba], pa.binary())],
+                        names=["doc_id", "part", "width", "height", "rgba"],
+                    )
+
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    return stored.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, part int, width int, height int, rgba binary")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(store(read_table(spark, sf_dir, "documents")))

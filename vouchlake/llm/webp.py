@@ -2,9 +2,15 @@
 
 The decoder reads prefix codes (also several groups of them), back-references and the
 colour cache, and inverts the predictor, cross-colour, subtract-green and palette
-transforms. Streams of literals in one channel, which is what the encoder writes, are
-decoded without a loop over pixels: the end of the code word that would start at every
-bit is looked up at once, and the chain of word starts is followed by doubling.
+transforms. Streams in one channel, which is what the encoder writes, are decoded
+without a loop over pixels: the end of the code word or back-reference that would start
+at every bit is looked up at once, the chain of starts is followed by doubling, and only
+back-references are copied one by one.
+
+The encoder writes samples as they are, as differences to the left or upper neighbour,
+or as indices into a palette, each as literals alone or with back-references, whichever
+it reckons to be shortest. A colour cache and the transforms between channels can't
+shorten an image of one channel, where a cached colour takes one symbol as a literal does.
 """
 
 from __future__ import annotations
@@ -31,6 +37,9 @@ NEAR = (
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 MAX_SIDE = 1 << 14
 LONGEST = 11  # of the encoder's code words
+SEEN, LONGEST_COPY = 8, 4096  # samples: the shortest and the longest copy the encoder writes
+COPY_HEAD, TRANSFORM_HEAD = 120, 120  # bits that a code of distances and a transform are reckoned to take
+TILE = 9  # bits of the encoder's predictor tiles
 HASH = 0x1E35A7BD
 
 
@@ -157,9 +166,12 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     total = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and not cache_size and None not in (red.only, blue.only, alpha.only) and not green.lengths[256:].any():
-        return np.uint32(alpha.only << 24 | red.only << 16 | blue.only) | _literals(bits, green, total).astype(np.uint32) << np.uint32(8)
+    green, red, blue, alpha, distance = codes[0]
+    if groups == 1 and not cache_size and None not in (red.only, blue.only, alpha.only):
+        copies = bool(green.lengths[256:].any())
+        if not copies or green.only is None:
+            samples = _tokens(bits, green, distance, total, width) if copies else _literals(bits, green, total)
+            return np.uint32(alpha.only << 24 | red.only << 16 | blue.only) | samples.astype(np.uint32) << np.uint32(8)
     out: list[int] = []
     cache, cached = [0] * cache_size, 0
     across = -(-width >> group_bits)
@@ -189,33 +201,105 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     return np.array(out, np.uint32)
 
 
-def _literals(bits: Bits, code: Code, n: int) -> np.ndarray:
-    """n symbols of one code, found at once."""
-    if code.only is not None:
-        return np.full(n, code.only, np.int32)
-    start = bits.at >> 3
-    data = np.frombuffer(bits.data, np.uint8)[start : start + (n * code.bits + 7 >> 3) + 2]
+def _words(data: np.ndarray) -> np.ndarray:
+    """The four bytes from each byte on as a number."""
     padded = np.zeros(len(data) + 3, np.uint32)
     padded[: len(data)] = data
-    word = padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16)
-    window = (word[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << code.bits) - 1)).ravel()
-    step = np.minimum(np.arange(len(window), dtype=np.int32) + code.length[window], np.int32(len(window) - 1))
+    return padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16) | padded[3:] << np.uint32(24)
+
+
+def _chain(step: np.ndarray, at: int, n: int) -> np.ndarray:
+    """The first n positions of the way that leads from each position to its step; fewer if it ends at the last position."""
     jumps, reach = [step], 1
     while reach < 8 and reach < n:
         jumps.append(jumps[-1][jumps[-1]])
         reach *= 2
     chain = np.empty(-(-n // reach), np.int32)
-    far, p = memoryview(jumps[-1]), bits.at & 7
+    far, last = memoryview(jumps[-1]), len(step) - 1
     for k in range(len(chain)):
-        chain[k] = p
-        p = far[p]
+        chain[k] = at
+        if at == last:
+            chain = chain[: k + 1]
+            break
+        at = far[at]
     for jump in reversed(jumps[:-1]):
         chain = np.stack([chain, jump[chain]], axis=1).ravel()
-    chain = chain[:n]
+    return chain[:n]
+
+
+def _literals(bits: Bits, code: Code, n: int) -> np.ndarray:
+    """n symbols of one code, found at once."""
+    if code.only is not None:
+        return np.full(n, code.only, np.int32)
+    start = bits.at >> 3
+    word = _words(np.frombuffer(bits.data, np.uint8)[start : start + (n * code.bits + 7 >> 3) + 2])
+    window = (word[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << code.bits) - 1)).ravel()
+    step = np.minimum(np.arange(len(window), dtype=np.int32) + code.length[window], np.int32(len(window) - 1))
+    chain = _chain(step, bits.at & 7, n)
+    if len(chain) < n:
+        raise ValueError("the stream ends within the image")
     bits.at = start * 8 + int(step[chain[-1]])
     return code.symbol[window[chain]]
 
 
+@cache
+def _short(width: int) -> np.ndarray:
+    """The distances of the short codes."""
+    return np.array([max(1, x + y * width) for x, y in NEAR])
+
+
+def _tokens(bits: Bits, green: Code, distance: Code, total: int, width: int) -> np.ndarray:
+    """The samples of a stream of literals and back-references in one channel."""
+    start = bits.at >> 3
+    word = _words(np.frombuffer(bits.data, np.uint8)[start:])
+    window = (word[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << green.bits) - 1)).ravel()
+    last = len(window) - 1
+    symbol = green.symbol[window]
+    step = np.arange(len(window), dtype=np.int32) + green.length[window]
+
+    def ahead(at: np.ndarray, size) -> np.ndarray:  # up to 25 bits
+        return word[np.minimum(at >> 3, len(word) - 1)].astype(np.int64) >> (at & 7) & np.left_shift(1, size) - 1
+
+    def number(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        extra = np.maximum(prefix - 2, 0) >> 1
+        return np.where(prefix < 4, prefix, np.left_shift(2 + (prefix & 1), extra) + ahead(at, extra)) + 1, at + extra
+
+    refs = np.flatnonzero(symbol >= 256)
+    n, at = number(symbol[refs].astype(np.int64) - 256, step[refs].astype(np.int64))
+    if distance.only is None:
+        look = ahead(at, distance.bits)
+        prefix, at = distance.symbol[look].astype(np.int64), at + distance.length[look]
+    else:
+        prefix = np.full(len(refs), distance.only, np.int64)
+    back, at = number(prefix, at)
+    step[refs] = np.minimum(at, last)
+    chain = _chain(np.minimum(step, np.int32(last)), bits.at & 7, total)
+    kind = symbol[chain]
+    copies = np.flatnonzero(kind >= 256)
+    which = np.searchsorted(refs, chain[copies])
+    sizes = np.ones(len(chain), np.int64)
+    sizes[copies] = n[which]
+    ends = np.cumsum(sizes)
+    used = int(np.searchsorted(ends, total)) + 1
+    if used > len(chain) or ends[used - 1] != total:
+        raise ValueError("a back-reference or the stream leaves the image")
+    bits.at = start * 8 + int(step[chain[used - 1]])
+    copies = copies[: np.searchsorted(copies, used)]
+    which = which[: len(copies)]
+    back = np.where(back[which] > 120, back[which] - 120, _short(width)[np.minimum(back[which], 120) - 1])
+    begins = ends[copies] - n[which]
+    if (back > begins).any():
+        raise ValueError("a back-reference leaves the image")
+    plain = np.zeros(total, np.uint8)
+    literal = kind[:used] < 256
+    plain[ends[:used][literal] - 1] = kind[:used][literal]
+    out = bytearray(plain.tobytes())
+    for at, many, d in zip(begins.tolist(), n[which].tolist(), back.tolist()):
+        piece = out[at - d : min(at, at - d + many)]
+        out[at : at + many] = piece if d >= many else (piece * (many // d + 1))[:many]
+    return np.frombuffer(out, np.uint8)
+
+
 # ---- transforms
 
 
@@ -266,6 +350,15 @@ def predict(mode: int, left, up, up_left, up_right) -> tuple[int, int, int, int]
 
 
 def undo_predictor(argb: np.ndarray, modes: np.ndarray, tile: int, width: int, height: int) -> np.ndarray:
+    mode = int(modes[0] >> 8 & 15)
+    if mode in (1, 2) and (modes >> np.uint32(8) & np.uint32(15) == mode).all():  # sums along rows or columns
+        sums = _bytes(argb).reshape(height, width, 4)
+        sums[0, 0, 0] += 255
+        sums[0] = np.cumsum(sums[0], axis=0)
+        sums[:, : width if mode == 2 else 1] = np.cumsum(sums[:, : width if mode == 2 else 1], axis=0)
+        if mode == 1:
+            sums[1:] = np.cumsum(sums[1:], axis=1)
+        return _argb(sums.reshape(-1, 4))
     px = [tuple(p) for p in _bytes(argb).tolist()]
     across = -(-width >> tile)
     kinds = (modes >> np.uint32(8) & np.uint32(15)).tolist()
@@ -390,16 +483,15 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
         for s in used.tolist() or [0]:
             out.put(s, 8)
         return
-    tokens, at, flat = [], 0, lengths.tolist()
-    while at < len(flat):
-        n = 1
-        if not flat[at]:
-            while n < 138 and at + n < len(flat) and not flat[at + n]:
-                n += 1
+    tokens, at = [], 0
+    for s, length in zip([*used.tolist(), len(lengths)], [*lengths[used].tolist(), None]):
+        while at < s:
+            n = min(138, s - at)
             tokens += [(18, n - 11, 7)] if n > 10 else [(17, n - 3, 3)] if n > 2 else [(0, 0, 0)] * n
-        else:
-            tokens.append((flat[at], 0, 0))
-        at += n
+            at += n
+        if length:
+            tokens.append((length, 0, 0))
+        at += 1
     first = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     words = dict(zip(*(x.tolist() for x in words_of(first))))
     single = np.count_nonzero(first) == 1
@@ -410,61 +502,225 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
     for s in CODE_LENGTH_ORDER[:stored]:
         out.put(int(first[s]), 3)
     out.put(0, 1)
+    size = [0] * 19 if single else first.tolist()
+    value = at = 0
     for s, extra, n in tokens:
-        if not single:
-            out.put(words[s], int(first[s]))
-        out.put(extra, n)
+        value |= (words[s] | extra << size[s]) << at if not single else extra << at
+        at += size[s] + n
+    out.put(value, at)
+
+
+def _one_symbol(out: Writer, *symbols: int) -> None:
+    for only in symbols:
+        write_code(out, np.bincount([only], minlength=256))
 
 
 @cache
-def _flat_codes() -> tuple[int, int]:
-    """The codes of the channels that never change: red 0, blue 0, alpha 255, and no distances."""
+def _flat_codes(alpha: int) -> tuple[int, int]:
+    """The codes of the channels that never change: red 0, blue 0, one alpha."""
     out = Writer()
-    for only in (0, 0, 255, 0):
-        write_code(out, np.bincount([only], minlength=256))
+    _one_symbol(out, 0, 0, alpha)
     return out.value, out.n
 
 
+def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbols, extra bits, how many) of lengths or distances from 1 on."""
+    v = values.astype(np.int64) - 1
+    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> np.maximum(top - 1, 0) & 1)), v & np.left_shift(1, extra) - 1, extra
+
+
+def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of disjoint stretches that occurred before, from left to right.
+
+    Each place is held against the last one with the same hash of its next SEEN samples;
+    neighbours that lie equally far from theirs form one stretch.
+    """
+    none = np.zeros(0, np.int64)
+    if len(samples) <= SEEN:
+        return none, none, none
+    key = np.lib.stride_tricks.sliding_window_view(samples, SEEN)
+    key = np.ascontiguousarray(key).view(np.uint64).ravel()
+    place = np.arange(len(key), dtype=np.uint64)
+    order = (np.sort(key * np.uint64(0x9E3779B97F4A7C15) & ~np.uint64(0xFFFFFFFF) | place) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    seen = key[order]
+    same = np.flatnonzero(seen[1:] == seen[:-1])
+    if not len(same):
+        return none, none, none
+    distance = np.zeros(len(key) + 1, np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]
+    # a stretch ends where the distance changes; it reaches SEEN - 1 samples beyond its last place
+    turn = np.flatnonzero(np.diff(distance, prepend=0))
+    begin = turn[distance[turn] > 0]
+    end = turn[np.searchsorted(turn, begin, side="right")] + SEEN - 1
+    far = distance[begin]
+    begin = np.maximum(begin, np.append(0, end[:-1]))
+    kept = end - begin >= SEEN  # so each has room for a length and a distance
+    begin, end, far = begin[kept], end[kept], far[kept]
+    parts = -(-(end - begin) // LONGEST_COPY)
+    place = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat(begin, parts) + place * LONGEST_COPY
+    n = np.minimum(np.repeat(end, parts) - start, LONGEST_COPY)
+    enough = n > 1
+    return start[enough], n[enough], np.repeat(far, parts)[enough]
+
+
+def _bits_of(counts: np.ndarray) -> float:
+    """What a code would take for symbols that occur so often, at least a bit each if there are several."""
+    used = counts[counts > 0].astype(np.float64)
+    return float((used * np.maximum(np.log2(used.sum() / used), 1)).sum()) if len(used) > 1 else 0.0
+
+
+@cache
+def _near(width: int) -> np.ndarray:
+    """For each distance that has a short code its least code, else 0."""
+    table = np.zeros(8 * width + 9, np.int64)
+    for code, distance in reversed(list(enumerate(_short(width).tolist(), 1))):
+        table[distance] = code
+    return table
+
+
+def _tokens_of(samples: np.ndarray, width: int) -> tuple[float, tuple]:
+    """(bits at a guess, tokens) of the shorter of literals alone and literals with back-references."""
+    counts = np.bincount(samples, minlength=280)
+    plain = _bits_of(counts)
+    start, n, far = repeats(samples)
+    if len(start):
+        level = np.zeros(len(samples) + 1, np.int8)
+        level[start] += 1
+        np.subtract.at(level, start + n, 1)
+        left = np.flatnonzero(np.cumsum(level[:-1], dtype=np.int8) == 0)
+        near = _near(width)
+        code = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], 0)
+        p, p_bits, p_size = _prefix(n)
+        d, d_bits, d_size = _prefix(np.where(code, code, far + 120))
+        mixed = np.bincount(np.append(samples[left], 256 + p), minlength=280)
+        away = np.bincount(d, minlength=40)
+        size = _bits_of(mixed) + _bits_of(away) + int((p_size + d_size).sum()) + COPY_HEAD
+        if size < plain:
+            return size, (mixed, away, left, (start, p, p_bits, p_size, d, d_bits, d_size))
+    return plain, (counts, np.bincount([0], minlength=40), None, None)
+
+
+def _write_image(head: Writer, samples: np.ndarray, tokens: tuple, alpha: int) -> bytes:
+    """The bits of the head, the codes and the samples."""
+    counts, away, left, copies = tokens
+    lengths, reach = code_lengths(counts, LONGEST), code_lengths(away, LONGEST)
+    write_code(head, lengths)
+    head.put(*_flat_codes(alpha))
+    write_code(head, reach)
+
+    def coded(lengths):
+        symbols, words = words_of(lengths)
+        code, n = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
+        if len(symbols) > 1:
+            code[symbols], n[symbols] = words, lengths[symbols]
+        return code, n
+
+    code, n = coded(lengths)
+    if copies is None:
+        value, size = code[samples], n[samples]
+    else:
+        far_code, far_n = coded(reach)
+        start, p, p_bits, p_size, d, d_bits, d_size = copies
+        # a copy takes two entries, its length and its distance, in place of its first two samples
+        taken = np.zeros(len(samples), bool)
+        taken[left] = taken[start] = taken[start + 1] = True
+        value, size = code[samples], n[samples]
+        value[start] = code[256 + p] | p_bits.astype(np.uint64) << n[256 + p].astype(np.uint64)
+        size[start] = n[256 + p] + p_size
+        value[start + 1] = far_code[d] | d_bits.astype(np.uint64) << far_n[d].astype(np.uint64)
+        size[start + 1] = far_n[d] + d_size
+        value, size = value[taken], size[taken]
+    ends = np.cumsum(size)
+    at = ends - size + head.n
+    total = int(ends[-1]) + head.n
+    words64 = value << (at & 31).astype(np.uint64)
+    cell = at >> 5
+    # starts rise, so those of a 32-bit cell are neighbours; their bits don't overlap
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    merged = np.bitwise_or.reduceat(words64, first)
+    cells = np.zeros((total >> 5) + 2, np.uint64)
+    cells[cell[first]] |= merged & np.uint64(0xFFFFFFFF)
+    cells[cell[first] + 1] |= merged >> np.uint64(32)
+    raw = bytearray(cells.astype("<u4").tobytes()[: total + 7 >> 3])
+    lead = head.value.to_bytes((head.n + 7) >> 3, "little")
+    for k, byte in enumerate(lead):
+        raw[k] |= byte
+    return bytes(raw)
+
+
+def _predictor_head(out: Writer, mode: int, width: int, height: int) -> None:
+    """One mode for all tiles of the largest size."""
+    out.put(1 | PREDICTOR << 1, 3)
+    out.put(TILE - 2, 3)
+    out.put(0, 1)
+    write_code(out, np.bincount([mode], minlength=280))
+    _one_symbol(out, 0, 0, 0, 0)
+
+
+def _palette_head(out: Writer, levels: np.ndarray) -> None:
+    """The palette as an image of one row, each colour as its difference to the one before."""
+    out.put(1 | PALETTE << 1, 3)
+    out.put(len(levels) - 1, 8)
+    out.put(0, 1)
+    steps = np.diff(levels, prepend=0)
+    lengths = code_lengths(np.bincount(steps, minlength=280), LONGEST)
+    write_code(out, lengths)
+    _one_symbol(out, 0, 0)
+    write_code(out, np.bincount([0, 255] if len(levels) > 1 else [255], minlength=256))
+    _one_symbol(out, 0)
+    symbols, words = words_of(lengths)
+    word = dict(zip(symbols.tolist(), words.tolist()))
+    for k, s in enumerate(steps.tolist()):
+        if len(symbols) > 1:
+            out.put(word[s], int(lengths[s]))
+        if len(levels) > 1:
+            out.put(int(k == 0), 1)
+
+
 def encode_grey(samples: np.ndarray, width: int) -> bytes:
     """A WebP file whose green channel holds the samples (8-bit, a multiple of width)."""
     height = len(samples) // width
     if not 1 <= width <= MAX_SIDE or not 1 <= height <= MAX_SIDE or width * height != len(samples):
         raise ValueError("the samples don't fill an image of a valid size")
-    lengths = np.zeros(280, np.int64)
-    lengths[:256] = code_lengths(np.bincount(samples, minlength=256), LONGEST)
+    best, tokens = _tokens_of(samples, width)
+    chosen, transform = samples, None
+    rows = samples.reshape(height, width)
+    for mode in (1, 2):
+        rest = rows.copy()
+        rest[0, 1:] -= rows[0, :-1]  # the first row and column have one neighbour
+        rest[1:, 0] -= rows[:-1, 0]
+        if mode == 1:
+            rest[1:, 1:] -= rows[1:, :-1]
+        else:
+            rest[1:, 1:] -= rows[:-1, 1:]
+        rest = rest.ravel()
+        if _bits_of(np.bincount(rest, minlength=256)) + TRANSFORM_HEAD < best:
+            size, other = _tokens_of(rest, width)
+            if size + TRANSFORM_HEAD < best:
+                best, tokens, chosen, transform = size + TRANSFORM_HEAD, other, rest, mode
+    levels = np.flatnonzero(np.bincount(samples, minlength=256))
+    if len(levels) <= 16:
+        width_bits = 3 if len(levels) <= 2 else 2 if len(levels) <= 4 else 1
+        packed = np.zeros((height, -(-width >> width_bits) << width_bits), np.uint8)
+        packed[:, :width] = np.searchsorted(levels, rows)
+        shifts = np.arange(1 << width_bits) * (8 >> width_bits)
+        packed = np.bitwise_or.reduce(packed.reshape(height, -1, 1 << width_bits) << shifts, axis=2).astype(np.uint8).ravel()
+        size, other = _tokens_of(packed, len(packed) // height)
+        size += TRANSFORM_HEAD + 8 * len(levels)
+        if size < best:
+            best, tokens, chosen, transform = size, other, packed, PALETTE
     head = Writer()
     head.put(width - 1, 14)
     head.put(height - 1, 14)
-    head.put(0, 7)  # alpha hint, version, no transform, no colour cache, one group
-    write_code(head, lengths)
-    head.put(*_flat_codes())
-    used = np.flatnonzero(lengths)
-    if len(used) == 1:
-        body, size = head.value, head.n
-        raw = body.to_bytes(size + 7 >> 3, "little")
-    else:
-        symbols, words = words_of(lengths)
-        code, length = np.zeros(256, np.uint32), np.zeros(256, np.int64)
-        code[symbols], length[symbols] = words, lengths[symbols]
-        n = length[samples]
-        ends = np.cumsum(n)
-        at = ends - n + head.n
-        total = int(ends[-1]) + head.n
-        words64 = code[samples].astype(np.uint64) << (at & 31).astype(np.uint64)
-        cell = at >> 5
-        # word starts rise, so those of a 32-bit cell are neighbours; their bits don't overlap
-        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        merged = np.bitwise_or.reduceat(words64, first)
-        cells = np.zeros((total >> 5) + 2, np.uint64)
-        cells[cell[first]] |= merged & np.uint64(0xFFFFFFFF)
-        cells[cell[first] + 1] |= merged >> np.uint64(32)
-        tail = cells.astype("<u4").tobytes()
-        size = total + 7 >> 3
-        raw = bytearray(tail[:size])
-        lead = head.value.to_bytes((head.n + 7) >> 3, "little")
-        for k, byte in enumerate(lead):
-            raw[k] |= byte
-        raw = bytes(raw)
-    chunk = b"\x2f" + raw
+    head.put(0, 4)  # alpha hint and version
+    if transform == PALETTE:
+        _palette_head(head, levels)
+    elif transform:
+        _predictor_head(head, transform, width, height)
+    head.put(0, 3)  # no more transforms, no colour cache, one group
+    chunk = b"\x2f" + _write_image(head, chosen, tokens, 0 if transform in (1, 2) else 255)
     pad = chunk + b"\0" * (len(chunk) & 1)
     return b"RIFF" + (12 + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(chunk).to_bytes(4, "little") + pad
