@@ -32,6 +32,14 @@ LETTER_PHRASES = (
     "account confirmation certificate", "conferma coordinate bancarie", "coordinate bancarie", "vi confermiamo", "certificación bancaria",
     "certificacion bancaria", "certificado bancario", "bankbestätigung", "kontobestätigung",
 )
+# What a holder, a greeting, a statement and a bank's name look like.
+HOLDER_LABELS = (
+    "account holder", "beneficiary", "account name", "in the name of", "intestatario", "titular", "kontoinhaber", "holder:", "we confirm that", "confirm that",
+)
+GREETINGS = ("dear ", "to whom it may concern", "re:", "subject:", "a quien corresponda", "sehr geehrte")
+STATEMENT_MARKS = ("statement period", "opening balance", "closing balance", "statement of account", "account statement")
+BANK_TOKENS = ("bank", "banka", "banca", "banco", "banque", "sparkasse", "sporitelna", "spořitelna")
+CONNECTIVES = ("of", "de", "di", "du", "der")
 STRONG_LETTER = ("account confirmation", "please accept this letter", "this letter is to confirm")
 INVOICE_HEADER = r"(?im)^\s*(invoice|rechnung|fattura|factura)\s*$"
 INVOICE_MARKS = (
@@ -81,9 +89,13 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def _either(words: tuple[str, ...]) -> str:
+    return "|".join(rf"\Q{w}\E" for w in words)
+
+
 def _any(c: Column, words: tuple[str, ...]) -> Column:
     """Whether the text holds one of the words, as one pattern."""
-    return c.rlike("|".join(rf"\Q{w}\E" for w in words))
+    return c.rlike(_either(words))
 
 
 def _count(c: Column, words: tuple[str, ...]) -> Column:
@@ -328,21 +340,30 @@ def officer_block(docs: DataFrame) -> DataFrame:
 
 
 def bank_identity(text: Column, bic: Column) -> Column:
-    """A BIC, a bank word of East Asia, a fused name, a bank word beside a capitalised one, or Bank of X."""
+    """A BIC, a bank word of East Asia, or a name with a bank word in capitals.
+
+    Such a name is one word that holds more than the bank word, or the bank word beside
+    a capitalised word of its line, or before one that a connective joins to it.
+    """
     t = F.coalesce(text, F.lit(""))
-    named = r"(?:\p{Lu}[\p{L}&.]+\s+(?:Bank|Banco|Banque|Sparkasse))|(?:(?:Bank|Banco|Banque)\s+(?:of\s+)?\p{Lu}\p{L}+)|\p{Lu}\p{L}{2,}bank\b"
-    return ~blank(bic) | t.rlike("银行|銀行|은행") | t.rlike(named)
+    inside, word, gap = r"[\p{L}\p{N}_&.'\-]", f"(?iu:{'|'.join(BANK_TOKENS)})", r"[^\S\n]+"
+    begin = rf"(?<!{inside})(?=\p{{Lu}})"
+    alone = rf"{begin}{word}(?!{inside})"
+    fused = rf"{begin}(?!{word}(?!{inside})){inside}*{word}"
+    beside = rf"(?:(?<!\S)\p{{Lu}}\S*{gap}[^\s\p{{L}}\p{{N}}]*{alone})|(?:{alone}\S*{gap}(?:(?i:{'|'.join(CONNECTIVES)}){gap})?\p{{Lu}})"
+    return ~blank(bic) | t.rlike("银行|銀行") | t.rlike(f"{fused}|{beside}")
 
 
 def doctype_evidence(docs: DataFrame) -> DataFrame:
-    """Components that make a letter, and whether all are there."""
+    """Six components that tell kinds of bank papers apart, and whether the four that make a letter are all there."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    letter = _any(low, ("to whom it may concern", "dear ", "we confirm"))
+    letter = _any(low, LETTER_PHRASES)
     identity = bank_identity(F.col("text"), F.col("swift_bic"))
-    facts = ~blank(F.col("iban")) | ~blank(F.col("account_number"))
-    holder = ~blank(F.col("account_holder"))
+    facts = ~(blank(F.col("iban")) & blank(F.col("account_number")) & blank(F.col("routing_aba")))
+    holder = _any(low, HOLDER_LABELS) | low.rlike(rf"(?m)^\s*(?:{_either(GREETINGS)})")
     return docs.select(
         "doc_id", letter.alias("letter_shape"), identity.alias("bank_identity"), facts.alias("account_facts"), holder.alias("holder_signal"),
+        _any(low, INSTRUCTION_MARKS).alias("payment_marks"), _any(low, STATEMENT_MARKS).alias("statement_marks"),
         (letter & identity & facts & holder).alias("strong"),
     )
 

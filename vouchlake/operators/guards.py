@@ -19,6 +19,11 @@ OWNER_SENTENCES = (
     r"(?i)\b([A-Z][\p{L}\p{N}_&.,'()\- ]{2,60}?)\s+(?:holds|maintains)\s+(?:a|an|the|its)?\s*(?:(?:business|checking|deposit)\s+)*account",
 )
 REGULATORS = ("vigilado", "superintendencia", "supervised by", "regulated by")
+# Names that stand in forms and tutorials for any name.
+PLACEHOLDERS = (
+    "acme", "acme corp", "acme corporation", "acme inc", "acme llc", "john doe", "jane doe", "john smith", "jane smith", "example corp",
+    "example company", "test company", "sample company", "company name", "your company", "n/a",
+)
 PERIOD = r"(\d{1,2}[- ]?[A-Za-z]{3}[- ]?\d{4})\s*(?:to|through|–|—|-)\s*(\d{1,2}[- ]?[A-Za-z]{3}[- ]?\d{4})"
 
 
@@ -59,25 +64,53 @@ def electronic_signature(docs: DataFrame) -> DataFrame:
 
 
 def audit_bank_ids(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """doc_id, iban, account_number, routing_aba, national_clearing, note.
-
-    Digits alone in the IBAN field are an account; an invalid IBAN is replaced by the only
-    valid one of its country that the text prints; a routing number needs nine digits,
-    eight or twelve are a clearing code.
+    """doc_id, iban, account_number, routing_aba, national_clearing, branch_code, note.
+
+    What doesn't begin like an IBAN is an account. An invalid IBAN is replaced by the only
+    valid one of its country that the text prints (`candidates`: doc_id, iban), of those
+    with its last four signs where there are any. A routing number has nine digits: another
+    one that is printed as a clearing code (`clearing_printed`) moves there; any other is
+    removed and, for Italy, held against the bank and branch codes in the IBAN. An account
+    that fills the end of the IBAN with zeros before it is given as the text prints it.
+    Nulls count as empty; notes are joined by "; ".
     """
-    by_country = candidates.groupBy("doc_id", F.substring("iban", 1, 2).alias("cc")).agg(F.min("iban").alias("only"), F.count_distinct("iban").alias("n")).where("n = 1")
-    v, r = norm_id(F.col("iban")), digits_of(F.col("routing_aba"))
-    both = docs.withColumn("cc", F.substring(v, 1, 2)).join(by_country.drop("n"), ["doc_id", "cc"], "left")
-    digits, broken = (v != "") & v.rlike("^[0-9]+$"), (v != "") & ~v.rlike("^[0-9]+$") & ~iban_mod97_ok(F.col("iban"))
-    repair = broken & F.col("only").isNotNull()
-    return both.select(
-        "doc_id",
-        F.when(digits, "").when(repair, F.col("only")).otherwise(v).alias("iban"),
-        F.when(digits & blank(F.col("account_number")), v).otherwise(text_of(F.col("account_number"))).alias("account_number"),
-        F.when(F.length(r) == 9, r).otherwise("").alias("routing_aba"),
-        F.when(F.length(r).isin(8, 12), r).otherwise("").alias("national_clearing"),
-        F.when(digits, "moved to account").when(repair, "repaired from the text").when(broken, "invalid").otherwise("").alias("note"),
-    )
+    printed = candidates.groupBy("doc_id").agg(F.collect_set("iban").alias("printed"))
+    v, acct = norm_id(F.col("iban")), digits_of(F.col("account_number"))
+    r, clearing = digits_of(F.col("routing_aba")), digits_of(F.col("clearing_printed"))
+    stray = (v != "") & ~v.rlike("^[A-Z]{2}[0-9]{2}")
+    inside = digits_of(v)
+    own = F.filter(F.coalesce("printed", F.array().cast("array<string>")), lambda x: F.substring(x, 1, 2) == F.substring(v, 1, 2))
+    alike = F.filter(own, lambda x: F.substring(x, -4, 4) == F.substring(v, -4, 4))
+    pick = F.when(F.size(alike) > 0, alike).otherwise(own)
+    repair = (v != "") & ~stray & ~iban_mod97_ok(F.col("iban")) & (F.size(pick) == 1)
+    foreign = (r != "") & (F.length(r) != 9)
+    moved = foreign & (r == clearing) & blank(F.col("national_clearing"))
+    first = docs.join(printed, "doc_id", "left").select(
+        "doc_id", "text", r.alias("_r"), (foreign & ~moved).alias("_domestic"),
+        F.when(stray, "").when(repair, pick[0]).otherwise(v).alias("iban"),
+        F.when(stray & (inside != "") & (acct == ""), inside).otherwise(text_of(F.col("account_number"))).alias("account_number"),
+        F.when(foreign, "").otherwise(r).alias("routing_aba"),
+        F.when(moved, text_of(F.col("clearing_printed"))).otherwise(text_of(F.col("national_clearing"))).alias("national_clearing"),
+        text_of(F.col("branch_code")).alias("_branch"),
+        F.when(stray & (inside != "") & (acct == ""), "account number moved out of the IBAN field")
+        .when(stray & (inside != "") & (inside == acct), "IBAN field repeated the account").when(stray, "IBAN field held no IBAN").alias("_stray"),
+        F.when(repair, "IBAN taken from the text").alias("_repair"), F.when(moved, "routing number is a clearing code").alias("_moved"),
+    )
+    iban, digits = F.col("iban"), digits_of(F.col("account_number"))
+    bare = F.ltrim(digits, F.lit("0"))
+    padded = (iban != "") & (bare != "") & (bare != digits) & F.endswith(iban, digits) & F.contains(F.coalesce("text", F.lit("")), bare)
+    italian = F.col("_domestic") & F.startswith(iban, F.lit("IT")) & (F.length(iban) >= 15)
+    bank, branch = F.substring(iban, 6, 5), F.substring(iban, 11, 5)
+    note = F.concat_ws(
+        "; ", "_stray", "_repair", F.when(iban != "", F.when(iban_mod97_ok(iban), "check digits right").otherwise("check digits wrong")), "_moved",
+        F.when(italian, F.when(F.col("_r").isin(bank, branch), "domestic code agrees with the IBAN").otherwise("domestic code differs from the IBAN"))
+        .when(F.col("_domestic"), "domestic code removed"),
+        F.when(padded, "account as printed"),
+    )
+    return first.select(
+        "doc_id", "iban", F.when(padded, bare).otherwise(F.col("account_number")).alias("account_number"), "routing_aba", "national_clearing",
+        F.when(italian & (F.col("_branch") == ""), branch).otherwise(F.col("_branch")).alias("branch_code"), note.alias("note"),
+    )
 
 
 def normalise_tin(docs: DataFrame) -> DataFrame:
@@ -92,10 +125,15 @@ def normalise_tin(docs: DataFrame) -> DataFrame:
 
 
 def drop_noise(docs: DataFrame) -> DataFrame:
-    """doc_id, bank_name, account_holder: no regulators' stamps as banks, no names that only the file name has."""
+    """doc_id, bank_name, account_holder: no regulators' stamps as banks, no names that only the file name has, no placeholders that the text doesn't print."""
     bank, holder = text_of(F.col("bank_name")), text_of(F.col("account_holder"))
-    echo = (F.length(holder) >= 4) & F.contains(F.lower("file_name"), F.lower(holder)) & ~F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower(holder))
-    return docs.select("doc_id", F.when(_any(F.lower(bank), REGULATORS), "").otherwise(bank).alias("bank_name"), F.when(echo, "").otherwise(holder).alias("account_holder"))
+    printed = lambda v: F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower(v))
+    echo = lambda v: (F.length(v) >= 4) & F.contains(F.lower(F.coalesce("file_name", F.lit(""))), F.lower(v)) & ~printed(v)
+    made_up = lambda v: F.lower(v).isin(*PLACEHOLDERS) & ~printed(v)
+    return docs.select(
+        "doc_id", F.when(_any(F.lower(bank), REGULATORS) | echo(bank) | made_up(bank), "").otherwise(bank).alias("bank_name"),
+        F.when(echo(holder) | made_up(holder), "").otherwise(holder).alias("account_holder"),
+    )
 
 
 def drop_echoes(values: DataFrame, exemplars: DataFrame, docs: DataFrame) -> DataFrame:

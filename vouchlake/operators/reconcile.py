@@ -273,23 +273,46 @@ def evidence_findings(evidence: DataFrame) -> DataFrame:
     return evidence.where(F.col("status").isin("FOUND", "CONFLICT")).select("*", F.lit("NOTE").alias("severity"), F.lit(None).cast("string").alias("verdict_effect"))
 
 
-def confidence(readings: DataFrame, votes: DataFrame) -> DataFrame:
-    """doc_id, level: low for a hard signal or two weak ones, medium for one weak one.
-
-    Hard: the readings of an id disagree, or a contested signature. Weak: an id that only
-    one reading has, or an unsettled signature.
+def confidence(readings: DataFrame, votes: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """doc_id, level, reasons: low for a hard signal or two weak ones, medium for one weak one.
+
+    Hard: the readings of an id disagree, the engines disagree on a field, or a contested
+    signature. Weak: each id that the model alone has, each field that stayed empty though
+    it was asked for again, a text that gave nothing, an unsettled signature, a type that
+    only evidence saved. `signals` holds what the readings don't: doc_id, engines_disagree
+    and still_empty (arrays of field names), thin, type_rescued, confirmed (ids that pages of
+    several kinds print); null or no row counts as none.
     """
-    ids = [("iban_text", "iban_model"), ("account_text", "account_model"), ("swift_text", "swift_model")]
-    clash = F.lit(False)
-    alone = F.lit(False)
-    for d, m in ids:
-        x, y = bare(F.col(d)), bare(F.col(m))
-        clash = clash | ((x != "") & (y != "") & (x != y))
-        alone = alone | ((x == "") != (y == ""))
-    base = readings.select("doc_id", clash.alias("clash"), alone.alias("alone")).join(votes.select("doc_id", "contested", "signature_kind"), "doc_id", "left")
-    hard = F.col("clash") | F.coalesce("contested", F.lit(False))
-    weak = F.col("alone").cast("int") + (F.coalesce("signature_kind", F.lit("")) == "unverified").cast("int")
-    return base.select("doc_id", F.when(hard | (weak >= 2), "low").when(weak == 1, "medium").otherwise("high").alias("level"))
+    ids = [("iban", "iban_text", "iban_model"), ("account_number", "account_text", "account_model"), ("swift_bic", "swift_text", "swift_model")]
+    if signals is None:
+        signals = readings.select("doc_id").limit(0).selectExpr(
+            "doc_id", "CAST(NULL AS array<string>) AS engines_disagree", "CAST(NULL AS array<string>) AS still_empty",
+            "FALSE AS thin", "FALSE AS type_rescued", "CAST(NULL AS array<string>) AS confirmed",
+        )
+    none = F.array().cast("array<string>")
+    names = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(c, none))))
+    of = lambda name, n: F.transform(n, lambda x: F.concat(F.lit(name), x))
+    some = lambda *whens: F.array_compact(F.array(*whens))
+    both = (
+        readings.join(votes.select("doc_id", "contested", "signature_kind"), "doc_id", "left")
+        .join(signals.select("doc_id", "engines_disagree", "still_empty", "thin", "type_rescued", "confirmed"), "doc_id", "left")
+    )
+    clash = some(*(F.when((bare(F.col(d)) != "") & (bare(F.col(m)) != "") & (bare(F.col(d)) != bare(F.col(m))), F.lit(f"readings differ: {k}")) for k, d, m in ids))
+    alone = some(
+        *(F.when((bare(F.col(d)) == "") & (bare(F.col(m)) != "") & ~F.array_contains(F.coalesce("confirmed", none), k), F.lit(f"model alone: {k}")) for k, d, m in ids)
+    )
+    contested = F.coalesce("contested", F.lit(False))
+    hard = F.concat(clash, of("engines differ: ", names("engines_disagree")), some(F.when(contested, F.lit("signature contested"))))
+    weak = F.concat(
+        alone, of("still empty: ", names("still_empty")), some(
+            F.when(F.coalesce("thin", F.lit(False)), F.lit("hardly any text")),
+            F.when(~contested & (F.coalesce("signature_kind", F.lit("")) == "unverified"), F.lit("signature unsettled")),
+            F.when(F.coalesce("type_rescued", F.lit(False)), F.lit("type from evidence alone")),
+        ),
+    )
+    found = both.select("doc_id", hard.alias("hard"), weak.alias("weak"))
+    level = F.when((F.size("hard") > 0) | (F.size("weak") >= 2), "low").when(F.size("weak") == 1, "medium").otherwise("high")
+    return found.select("doc_id", level.alias("level"), F.concat("hard", "weak").alias("reasons"))
 
 
 def confidence_gate(verdicts: DataFrame, levels: DataFrame) -> DataFrame:

@@ -188,15 +188,22 @@ def officer_block(docs):
     return X.officer_block(docs)
 
 
+def _holds(*words: str) -> str:
+    """DuckDB: whether the text holds one of the words."""
+    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
 @query(
     "doctype_evidence",
     "vendor_text",
-    sql="""WITH e AS (SELECT doc_id, doc_type IN ('bank_letter', 'supplier_letterhead') AS letter_shape, swift_bic <> '' OR bank_name <> '' AS bank_identity,
-  iban <> '' OR account_number <> '' AS account_facts, account_holder <> '' AS holder_signal FROM vendor_text)
+    sql=f"""WITH e AS (SELECT doc_id, {_holds(*X.LETTER_PHRASES)} AS letter_shape,
+  swift_bic <> '' OR regexp_matches(text, 'Bank of [A-Z]') AS bank_identity, iban <> '' OR account_number <> '' OR regexp_matches(text, 'Routing number [0-9]{{9}}') AS account_facts,
+  {_holds(*X.HOLDER_LABELS)} OR len(list_filter(string_split(lower(text), chr(10)), lambda l: {" OR ".join(f"starts_with(ltrim(l), '{g}')" for g in X.GREETINGS)})) > 0 AS holder_signal,
+  {_holds(*X.INSTRUCTION_MARKS)} AS payment_marks, {_holds(*X.STATEMENT_MARKS)} AS statement_marks FROM vendor_text)
 SELECT *, letter_shape AND bank_identity AND account_facts AND holder_signal AS strong FROM e""",
 )
 def doctype_evidence(docs):
-    return X.doctype_evidence(docs)
+    return X.doctype_evidence(docs.withColumn("routing_aba", F.regexp_extract("text", r"Routing number (\d{9})", 1)))
 
 
 @query(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vouchlake.functions.columns import iban_mod97_ok
 from vouchlake.operators import extract as X
 from vouchlake.operators import guards as G
 from vouchlake.queries.extraction import _LONG, _READ
-from vouchlake.queries.registry import query
+from vouchlake.queries.registry import mod97, query
 
 
 @query(
@@ -39,21 +40,46 @@ def electronic_signatures(docs):
     return G.electronic_signature(docs)
 
 
+def _audited(docs):
+    """The guarded documents with a printed account, sometimes an Italian routing code, a printed clearing code or a known branch."""
+    k = F.col("doc_id")
+    text = F.concat_ws("\n", "text", F.when(k % 2 == 0, F.concat(F.lit("Account number: "), F.ltrim("account_number", F.lit("0")))))
+    return docs.select(
+        "doc_id", text.alias("text"), "iban", "account_number",
+        F.when((k % 12 == 2) & (F.col("iban") != ""), F.substring("iban", 6, 5)).otherwise(F.col("routing_aba")).alias("routing_aba"),
+        F.when(k % 6 == 1, "012-34567").otherwise("").alias("clearing_printed"), F.when(k % 18 == 1, "77").otherwise("").alias("national_clearing"),
+        F.when(k % 24 == 2, "9").otherwise("").alias("branch_code"),
+    )
+
+
 @query(
     "id_audit",
     "guarded",
     "vendor",
-    sql="""SELECT g.doc_id, CASE WHEN g.doc_id % 5 = 0 THEN '' WHEN g.iban <> '' AND g.doc_id % 7 = 3 THEN substr(v.iban, 1, length(v.iban) - 1) || CAST((CAST(right(v.iban, 1) AS INT) + 9) % 10 AS VARCHAR) ELSE g.iban END AS iban,
-  CASE WHEN g.iban <> '' AND g.doc_id % 5 = 0 AND g.account_number = '' THEN g.iban ELSE g.account_number END AS account_number,
-  CASE WHEN g.doc_id % 3 = 0 THEN '012345678' ELSE '' END AS routing_aba, CASE WHEN g.doc_id % 3 = 1 THEN '01234567' ELSE '' END AS national_clearing,
-  CASE WHEN g.iban = '' THEN '' WHEN g.doc_id % 5 = 0 THEN 'moved to account' WHEN g.doc_id % 7 = 3 THEN 'repaired from the text' ELSE '' END AS note FROM guarded g JOIN vendor v USING (doc_id)""",
+    sql=f"""WITH a AS (SELECT g.doc_id, concat_ws(chr(10), text, CASE WHEN g.doc_id % 2 = 0 THEN 'Account number: ' || ltrim(g.account_number, '0') END) AS text, g.iban, g.account_number,
+  CASE WHEN g.doc_id % 12 = 2 AND g.iban <> '' THEN substr(g.iban, 6, 5) ELSE g.routing_aba END AS routing, CASE WHEN g.doc_id % 6 = 1 THEN '01234567' ELSE '' END AS printed,
+  CASE WHEN g.doc_id % 18 = 1 THEN '77' ELSE '' END AS clearing, CASE WHEN g.doc_id % 24 = 2 THEN '9' ELSE '' END AS branch,
+  CASE WHEN {mod97("v.iban")} THEN v.iban WHEN v.iban <> '' THEN substr(v.iban, 1, length(v.iban) - 1) || CAST((CAST(right(v.iban, 1) AS INT) + 9) % 10 AS VARCHAR) END AS good
+  FROM guarded g JOIN vendor v USING (doc_id)),
+b AS (SELECT *, iban <> '' AND NOT regexp_matches(iban, '^[A-Z]{{2}}[0-9]{{2}}') AS stray FROM a),
+c AS (SELECT *, iban <> '' AND NOT stray AND NOT {mod97("iban")} AND good IS NOT NULL AND left(good, 2) = left(iban, 2) AS repair, routing <> '' AND length(routing) <> 9 AS other FROM b),
+d AS (SELECT *, other AND routing = printed AND clearing = '' AS moved, CASE WHEN stray THEN '' WHEN repair THEN good ELSE iban END AS iban2, CASE WHEN stray AND account_number = '' THEN iban ELSE account_number END AS account2 FROM c),
+e AS (SELECT *, other AND NOT moved AS domestic, ltrim(account2, '0') AS bare FROM d),
+f AS (SELECT *, domestic AND left(iban2, 2) = 'IT' AND length(iban2) >= 15 AS italian, iban2 <> '' AND bare <> '' AND bare <> account2 AND ends_with(iban2, account2) AND contains(text, bare) AS padded FROM e)
+SELECT doc_id, iban2 AS iban, CASE WHEN padded THEN bare ELSE account2 END AS account_number, CASE WHEN other THEN '' ELSE routing END AS routing_aba,
+  CASE WHEN moved THEN '012-34567' ELSE clearing END AS national_clearing, CASE WHEN italian AND branch = '' THEN substr(iban2, 11, 5) ELSE branch END AS branch_code,
+  concat_ws('; ', CASE WHEN stray AND account_number = '' THEN 'account number moved out of the IBAN field' WHEN stray AND iban = account_number THEN 'IBAN field repeated the account' WHEN stray THEN 'IBAN field held no IBAN' END,
+    CASE WHEN repair THEN 'IBAN taken from the text' END, CASE WHEN iban2 <> '' THEN CASE WHEN {mod97("iban2")} THEN 'check digits right' ELSE 'check digits wrong' END END,
+    CASE WHEN moved THEN 'routing number is a clearing code' END,
+    CASE WHEN italian THEN CASE WHEN routing IN (substr(iban2, 6, 5), substr(iban2, 11, 5)) THEN 'domestic code agrees with the IBAN' ELSE 'domestic code differs from the IBAN' END WHEN domestic THEN 'domestic code removed' END,
+    CASE WHEN padded THEN 'account as printed' END) AS note FROM f""",
 )
 def id_audit(docs, vendor):
     # what the text prints: the IBAN before it was broken
     n = F.length("iban")
     last = ((F.substr("iban", n).try_cast("int") + 9) % 10).cast("string")
-    good = F.when(F.col("doc_id") % 7 == 3, F.concat(F.substr("iban", F.lit(1), n - 1), last)).otherwise(F.col("iban"))
-    return G.audit_bank_ids(docs, vendor.where("iban <> ''").select("doc_id", good.alias("iban")))
+    good = F.when(iban_mod97_ok(F.col("iban")), F.col("iban")).otherwise(F.concat(F.substr("iban", F.lit(1), n - 1), last))
+    return G.audit_bank_ids(_audited(docs), vendor.where("iban <> ''").select("doc_id", good.alias("iban")))
 
 
 @query(
@@ -69,10 +95,16 @@ def tin_normalise(docs):
 @query(
     "noise_filters",
     "guarded",
-    sql="SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN '' ELSE bank_name END AS bank_name, CASE WHEN doc_id % 8 = 5 THEN '' ELSE account_holder END AS account_holder FROM guarded",
+    sql="""WITH n AS (SELECT doc_id, bank_name, file_name, CASE WHEN doc_id % 10 = 4 THEN 'John Doe' WHEN doc_id % 10 = 7 THEN 'N/A' ELSE account_holder END AS holder,
+  lower(text || CASE WHEN doc_id % 20 = 4 THEN chr(10) || 'Signed, JOHN DOE' ELSE '' END) AS low FROM guarded)
+SELECT doc_id, CASE WHEN contains(lower(bank_name), 'superintendencia') THEN '' ELSE bank_name END AS bank_name,
+  CASE WHEN lower(holder) IN ('john doe', 'n/a') AND NOT contains(low, lower(holder)) THEN '' WHEN length(holder) >= 4 AND contains(lower(file_name), lower(holder)) AND NOT contains(low, lower(holder)) THEN '' ELSE holder END AS account_holder FROM n""",
 )
 def noise_filters(docs):
-    return G.drop_noise(docs)
+    k = F.col("doc_id")
+    holder = F.when(k % 10 == 4, "John Doe").when(k % 10 == 7, "N/A").otherwise(F.col("account_holder"))
+    text = F.concat_ws("\n", "text", F.when(k % 20 == 4, "Signed, JOHN DOE"))
+    return G.drop_noise(docs.withColumns({"account_holder": holder, "text": text}))
 
 
 @query(
