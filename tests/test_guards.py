@@ -87,3 +87,9 @@ def test_confidence_levels_and_reasons(spark):
         9: ("low", ["still empty: x", "signature unsettled"]),
     }
     assert {r.doc_id: r.level for r in C.confidence(readings, votes).collect()}[9] == "medium"
+
+
+def test_both_cuts_of_an_iban_and_wide_letters(spark):
+    rows = [(1, "ＤＥ89 3704 0044 0532 0130 00"), (2, GOOD + " 12"), (3, None), (4, "DE89370400440532013001")]
+    got = {(r.doc_id, r.iban) for r in X.valid_ibans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, GOOD), (2, GOOD)}

@@ -7,6 +7,7 @@ import pytest
 
 from vouchlake.operators.privacy import leak_scan, redact_known
 from vouchlake.operators.teach import cover_select
+from vouchlake.plans.rules import RULES
 from vouchlake.sources import io
 from vouchlake.streaming import streams as S
 
@@ -69,6 +70,33 @@ def test_exports_under_both_headings(spark, tmp_path, heading):
         io.export_kind(["IBAN"])
 
 
+def test_exports_whose_columns_lie_elsewhere(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title,,,\n\nPARTNER,BANKN,IBAN\n1,11,X1\n")
+    (tmp_path / "b.csv").write_text('Account Holder Name,IBAN,Reference?,Partner,Bank account\n"Doe, J",X2,r,2.0,22\n,,,,\nTRUE,,,3,33\n')
+    kind, rows = io.load_erp_export(spark, str(tmp_path))
+    got = sorted((r.PARTNER, r.BANKN, r.IBAN, r.KOINH) for r in rows.collect())
+    assert kind == "BANK" and got == [("1", "11", "X1", ""), ("2", "22", "X2", "Doe, J"), ("3", "33", "", "X")]
+    (tmp_path / "c.csv").write_text("x\n" * 8 + "PARTNER,BANKN,IBAN\n1,2,3\n")
+    with pytest.raises(ValueError, match="no heading"):
+        io.load_erp_export(spark, str(tmp_path))
+    (tmp_path / "c.csv").write_text("PARTNER,TYPE,NAME_ORG1\n1,2,A\n")
+    with pytest.raises(ValueError, match="under one path"):
+        io.load_erp_export(spark, str(tmp_path))
+
+
+def test_rules_from_files(spark, tmp_path):
+    io.save_rules(spark, RULES, str(tmp_path / "rules"))
+    got = io.load_rules(spark, str(tmp_path / "rules"))
+    assert {r.rule_id: r.rule_hash for r in got} == {r.rule_id: r.rule_hash for r in RULES}
+    bad = '{"doc_class":"bank","rule_id":"X-1","op":"always","severity":"LOUD","message":"m"}\n'
+    (tmp_path / "bad.json").write_text(bad)
+    with pytest.raises(ValueError, match="X-1: unknown severity"):
+        io.load_rules(spark, str(tmp_path / "bad.json"))
+    (tmp_path / "bad.json").write_text(bad.replace("LOUD", "NOTE") * 2)
+    with pytest.raises(ValueError, match="given twice"):
+        io.load_rules(spark, str(tmp_path / "bad.json"))
+
+
 def test_gated_write_splits_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, "fine"), (2, "id 000-12-3456"), (3, "DE89370400440532013000"), (4, None)], "k int, text string")
     io.gated_write(df, ["text"], str(tmp_path / "ok"), str(tmp_path / "held"))

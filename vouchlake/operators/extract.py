@@ -24,6 +24,7 @@ CLEARING = {
     "BSB": r"(?i)\bBSB[^0-9]{0,10}([0-9]{3}[- ]?[0-9]{3})\b",
     "BLZ": r"(?i)(?:bankleitzahl|\bBLZ)[^0-9]{0,10}([0-9]{8})\b",
 }
+PLAIN = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BOXED = r"(?m)(?:^[ \t]*(?:[–\-—][ \t]*)?(?:\d[ \t]*(?:[–\-—][ \t]*)?|[–\-—][ \t]*)$\n?){9,13}"
 # Phrases that tell kinds of pages apart.
 LETTER_PHRASES = (
@@ -157,12 +158,15 @@ def long_numbers(docs: DataFrame) -> DataFrame:
 
 
 def valid_ibans(docs: DataFrame) -> DataFrame:
-    """doc_id, iban: shaped runs with a valid checksum; one that swallowed following words is tried at its country's length first."""
-    wide = F.translate(F.coalesce("text", F.lit("")), "０１２３４５６７８９", "0123456789")
+    """doc_id, iban: shaped runs with a valid checksum, whole and, as they may have swallowed words, cut to their country's length.
+
+    Full-width digits and letters count as plain ones.
+    """
+    wide = F.translate(F.coalesce("text", F.lit("")), "".join(chr(0xFEE0 + ord(c)) for c in PLAIN), PLAIN)
     shaped = _all(F.upper(wide), r"\b([A-Z]{2}\s?[0-9]{2}(?:\s?[A-Z0-9]){10,32})\b")
     clean = F.transform(shaped, lambda x: F.regexp_replace(x, r"\s", ""))
     cut = lambda x: F.substr(x, F.lit(1), F.coalesce(lookup(IBAN_LENGTH, F.substring(x, 1, 2)), F.length(x)))
-    fit = F.transform(clean, lambda x: F.when(iban_mod97_ok(cut(x)), cut(x)).when(iban_mod97_ok(x), x))
+    fit = F.flatten(F.transform(clean, lambda x: F.array(F.when(iban_mod97_ok(cut(x)), cut(x)), F.when(iban_mod97_ok(x), x))))
     return docs.select("doc_id", F.explode(F.array_distinct(F.array_compact(fit))).alias("iban"))
 
 

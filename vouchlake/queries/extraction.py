@@ -45,7 +45,7 @@ _CHECKED = """list_reduce(list_concat([0], list_transform(string_split(substr({0
     "vendor_text",
     sql=rf"""WITH c AS (SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(upper(text), '\b([A-Z]{{2}}\s?[0-9]{{2}}(?:\s?[A-Z0-9]){{10,32}})\b')), '\s', '', 'g') AS x FROM vendor_text),
 n AS (SELECT doc_id, x, substr(x, 1, {_LENGTHS}) AS short FROM c)
-SELECT DISTINCT doc_id, CASE WHEN length(short) BETWEEN 15 AND 34 AND {_CHECKED.format('short')} THEN short ELSE x END AS iban FROM n WHERE (length(short) BETWEEN 15 AND 34 AND {_CHECKED.format('short')}) OR (length(x) BETWEEN 15 AND 34 AND {_CHECKED.format('x')})""",
+SELECT doc_id, short AS iban FROM n WHERE length(short) BETWEEN 15 AND 34 AND {_CHECKED.format('short')} UNION SELECT doc_id, x FROM n WHERE length(x) BETWEEN 15 AND 34 AND {_CHECKED.format('x')}""",
 )
 def valid_ibans(docs):
     return X.valid_ibans(docs)

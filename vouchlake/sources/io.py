@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
+import json
+from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vouchlake.functions.columns import blank
+from vouchlake.functions.columns import blank, lookup
 from vouchlake.operators.privacy import gated_split
+from vouchlake.plans.rules import Rule, validate_rules
 
 META = "run_id string, ts timestamp, doc_class string, file_name string, doc_type string, verdict string, tier string, duration_s double"
 FINDING = "run_id string, rule_id string, severity string, verdict_effect string, message string, detail string, field string"
@@ -17,17 +18,27 @@ LABEL = (
     "label_id string, doc_sha256 string, ts timestamp, doc_class string, doc_type_gold string, verdict_gold string, "
     "stage_a_excerpt string, scenarios array<string>, reviewer string, notes string, confirmed boolean"
 )
+RULE = (
+    "doc_class string, rule_id string, name string, tier string, source string, applies_to array<string>, op string, subject string, "
+    "severity string, verdict_effect string, message string, field string, args map<string,string>"
+)
+MOST_RULES = 10_000
 # Headings of exports and the technical names they stand for.
 ALIASES = {
-    "partner": "PARTNER", "business partner": "PARTNER", "bkvid": "BKVID", "bank details id": "BKVID", "banks": "BANKS", "bank country": "BANKS",
-    "bankl": "BANKL", "bank key": "BANKL", "bankn": "BANKN", "bank acct": "BANKN", "bank account": "BANKN", "koinh": "KOINH",
-    "account holder": "KOINH", "iban": "IBAN", "type": "TYPE", "bu group": "BU_GROUP", "grouping": "BU_GROUP", "name org1": "NAME_ORG1",
-    "name 1": "NAME_ORG1", "bu fullname": "BU_FULLNAME", "full name": "BU_FULLNAME", "xblck": "XBLCK", "central block": "XBLCK",
-    "xdele": "XDELE", "archiving flag": "XDELE",
+    "partner": "PARTNER", "business partner": "PARTNER", "bkvid": "BKVID", "bank details id": "BKVID", "banks": "BANKS",
+    "bank country region": "BANKS", "bank country": "BANKS", "bankl": "BANKL", "bank key": "BANKL", "bankn": "BANKN", "bank acct": "BANKN",
+    "bank account number": "BANKN", "bank account": "BANKN", "bkont": "BKONT", "bank control key": "BKONT", "bkref": "BKREF",
+    "reference details": "BKREF", "koinh": "KOINH", "account holder name": "KOINH", "account holder": "KOINH", "accname": "ACCNAME",
+    "account name": "ACCNAME", "iban": "IBAN", "banking type": "BANKING_TYPE", "bank account type": "BANKING_TYPE", "type": "TYPE",
+    "partner cat": "TYPE", "partner category": "TYPE", "bu group": "BU_GROUP", "grouping": "BU_GROUP", "name org1": "NAME_ORG1",
+    "name 1": "NAME_ORG1", "name org2": "NAME_ORG2", "name 2": "NAME_ORG2", "name org3": "NAME_ORG3", "name 3": "NAME_ORG3",
+    "name org4": "NAME_ORG4", "name 4": "NAME_ORG4", "name last": "NAME_LAST", "last name": "NAME_LAST", "name first": "NAME_FIRST",
+    "first name": "NAME_FIRST", "bu fullname": "BU_FULLNAME", "full name": "BU_FULLNAME", "bu sort1": "BU_SORT1", "search term 1": "BU_SORT1",
+    "xblck": "XBLCK", "central block": "XBLCK", "xdele": "XDELE", "archiving flag": "XDELE", "natpers": "NATPERS", "natural person": "NATPERS",
+    "legal entity": "LEGAL_ENTITY",
 }
 
 
-
 def load_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(runs, findings) of run folders that hold both files in readable form."""
     run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run_id")
@@ -50,9 +61,9 @@ def load_labels(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     return out.withColumn("stratum", F.lit("synthetic")) if strict else out
 
 
-def canonical(name: str) -> str | None:
-    """The technical name of a heading, None for an unknown one."""
-    return ALIASES.get(re.sub(r"[^a-z0-9]+", " ", name.lower()).strip())
+def canonical(name: Column) -> Column:
+    """The technical name of a heading, null for an unknown one."""
+    return lookup(ALIASES, F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")))
 
 
 def export_kind(columns: list[str]) -> str:
@@ -65,28 +76,67 @@ def export_kind(columns: list[str]) -> str:
     raise ValueError(f"neither a bank nor a partner export: {sorted(have)}")
 
 
-def load_erp_export(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
-    """(kind, rows in technical names) of a CSV export whose heading is among its first eight lines.
+def load_erp_export(spark: SparkSession, path: str, most_columns: int = 256) -> tuple[str, DataFrame]:
+    """(kind, rows in technical names) of CSV exports; each file's heading is the first of its first eight lines with three known columns.
 
-    Only those lines are read on the driver. Empty rows are dropped; whole numbers lose
-    a trailing .0; true and false become X and ''.
+    Files may order their columns differently or lack some, which are empty then, but all
+    must be of one kind. A row takes one line. Only the headings' names reach the driver.
+    What stands before a heading and empty rows are dropped; whole numbers lose a trailing
+    .0; true and false become X and ''.
     """
-    lines = spark.read.option("header", False).csv(path).limit(8).collect()
-    heads = [[canonical(c or "") for c in line] for line in lines]
-    at = next((k for k, h in enumerate(heads) if sum(x is not None for x in h) >= 3), None)
-    if at is None:
+    # A line's place in its file: the block it is read with, then its number there.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    cells = F.from_csv("value", F.lit(", ".join(f"c{k} string" for k in range(most_columns))))
+    rows = lines.withColumn("j", cells).select("file", "place", F.array(*(F.col(f"j.c{k}") for k in range(most_columns))).alias("cells"))
+    keys = F.transform("cells", canonical)
+    named = rows.withColumn("keys", keys).withColumn("known", F.size(F.array_distinct(F.array_compact("keys"))) >= 3)
+    heads = named.groupBy("file").agg(F.min("place").alias("first"), F.min(F.when(F.col("known"), F.struct("place", "keys"))).alias("head"))
+    early = (F.col("head.place.block") == F.col("first.block")) & (F.col("head.place.line") - F.col("first.line") < 8)
+    heads = heads.select("file", F.when(early, F.col("head")).alias("head"))
+    layouts = [r.k for r in heads.select(F.array_sort(F.array_distinct(F.array_compact("head.keys"))).alias("k")).distinct().collect()]
+    if not layouts or None in layouts:
         raise ValueError("no heading among the first eight lines")
-    names = [h or f"_unknown{k}" for k, h in enumerate(heads[at])]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).csv(path)
-    known = [n for n in names if not n.startswith("_unknown")]
+    kinds = {export_kind(k) for k in layouts}
+    if len(kinds) > 1:
+        raise ValueError("bank and partner exports under one path")
     clean = lambda c: F.regexp_replace(F.when(F.lower(c) == "true", "X").when(F.lower(c) == "false", "").otherwise(F.coalesce(F.trim(c), F.lit(""))), r"^(-?\d+)\.0$", "$1")
-    title = F.lit(True)
-    for n, raw in zip(names, lines[at]):
-        title = title & F.coalesce(F.col(n), F.lit("")).eqNullSafe(F.lit(raw or ""))
-    body = rows.where(~title).select(*(clean(F.col(n)).alias(n) for n in known))
-    filled = F.concat(*(F.col(n) for n in known)) != ""
-    return export_kind(known), body.where(filled)
+    known = sorted({n for k in layouts for n in k})
+    body = rows.join(heads, "file").where(F.col("place") > F.col("head.place"))
+    # array_position gives 0 for a column that the file lacks; get then asks for -1 and returns null
+    at = lambda n: F.get("cells", F.coalesce(F.array_position("head.keys", n), F.lit(0)).cast("int") - 1)
+    return kinds.pop(), body.select(*(clean(at(n)).alias(n) for n in known)).where(F.concat(*(F.col(n) for n in known)) != "")
+
+
+def load_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
+    """The rules of JSON-lines files, in the order of class and id, for `apply_rules`.
+
+    A rule table is configuration: it is read on the driver, and more than `MOST_RULES`
+    rules are an error, as are broken lines, two rules of one id and what `validate_rules` finds.
+    """
+    raw = spark.read.schema(RULE).option("mode", "FAILFAST").json(path).limit(MOST_RULES + 1)
+    rows = raw.collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    issues = [f"{r.rule_id}: {r.issue}" for r in validate_rules(spark.createDataFrame(rows, RULE)).collect()]
+    twice = [k for k, n in Counter((r.doc_class, r.rule_id) for r in rows).items() if n > 1]
+    if issues or twice:
+        raise ValueError("; ".join([*issues, *(f"{c}:{i}: given twice" for c, i in twice)]))
+    args = lambda r: {k: json.loads(v) for k, v in (r.args or {}).items()}
+    return tuple(
+        Rule(
+            r.doc_class, r.rule_id, r.name or r.rule_id, r.tier or "experimental", r.source or "policy", tuple(r.applies_to or ()), r.op, r.subject or "",
+            r.severity, r.verdict_effect, r.message or "", r.field or "", args(r),
+        )
+        for r in sorted(rows, key=lambda r: (r.doc_class or "", r.rule_id))
+    )
+
+
+def save_rules(spark: SparkSession, rules: tuple[Rule, ...], path: str) -> None:
+    """Rules as JSON lines that `load_rules` reads."""
+    row = lambda r: (r.doc_class, r.rule_id, r.name, r.tier, r.source, list(r.applies_to), r.op, r.subject, r.severity, r.verdict_effect, r.message, r.field)
+    rows = [(*row(r), {k: json.dumps(v) for k, v in r.args.items()}) for r in rules]
+    spark.createDataFrame(rows, RULE).coalesce(1).write.json(path)
 
 
 def load_approvals(spark: SparkSession, path: str) -> DataFrame:
