@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -109,3 +110,40 @@ def test_gradient_is_that_of_the_likelihood():
     for features, labels in data:
         sums = [(float(a.weights[sorted(f)].sum()), float(b.weights[sorted(f)].sum())) for f in features]
         assert a.decode([s[0] for s in sums]) == b.decode([s[1] for s in sums])
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p title='it's'>Alpha beta.</p><p>Gamma don't delta</p><p>Next</p>", ["Alpha beta.", "Gamma don't delta", "Next"]),
+        ("<p data-x=5'>Alpha beta.</p><p>Gamma don't delta</p>", ["Alpha beta.", "Gamma don't delta"]),
+        ("<p><img alt=Bob's src=x>Alpha.</p><p>It's here</p>", ["Alpha.", "It's here"]),
+        ('<p "x">One</p><p">Two "quoted"</p>', ["One", 'Two "quoted"']),
+        ('<p title="a > b">One</p><p title = \'c > d\' >Two</p>', ["One", "Two"]),
+        ('<p title="open>One</p><p>Two</p>', ["One", "Two"]),
+        ("<p>a < b and c > d</p><p>1 <2</p>", ["a < b and c > d", "1 <2"]),
+        ("<p>One</p><p", ["One", "<p"]),
+        ("<div title=''class='x y'>One</div><!-- <p>no --><!x>Two<?php ?>Three", ["One", "TwoThree"]),
+    ],
+)
+def test_stray_quotes_swallow_nothing(page, want):
+    assert [b.text for b in H.blocks_of(page, H.Paths())] == want
+
+
+def test_names_are_those_of_attributes():
+    assert H.names_in(""" title="no class=ad" CLASS='Post-Body x' id=main7 data-id="q" role""") == "post body x main 7"
+    assert H.names_in(" title='plain'") == ""
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 1_000_000, "<p \"" * 1_000_000, "<p \"" * 1_000_000 + ">", "<a =\"" * 1_000_001 + ">", "<a x=\"b>\" " * 400_001 + "'", "<div>x" * 300_000, "<div>" * 300_000 + "</b></section>" * 300_000,
+        "<svg><p>" * 300_000, "<svg " * 500_000, "<svg><iframe>" * 200_000, "<script " * 500_000, "<!-- " * 500_000, "<!" * 1_000_000, "</" * 1_000_000, "<" * 1_000_000, "<p class=" * 300_000 + ">",
+        "<p " + " " * 1_000_000 + ">x", "<p " + "class " * 300_000 + ">x", "&#1" * 500_000,
+    ],
+)
+def test_broken_tags_take_one_pass(model, page):
+    began = time.process_time()
+    H.Extractor(model).text(page)
+    assert time.process_time() - began < 20

@@ -13,8 +13,9 @@ tag, else (none before the next of its kind) at the next block-level tag, so tha
 after it is lost. Formulas in MathML are part of their sentence. Character references
 are decoded, white space within a block becomes one space, and the blocks of the main
 text are joined in page order by one space. Null and empty html give an empty text, as
-do pages without main text. Broken markup is read as far as it goes: unclosed elements
-end with their parent, stray end tags are passed over. Rows repeat as often as they
+do pages without main text. Of broken markup, unclosed elements end with their parent and stray end
+tags are passed over; a quote counts only directly after =, so a stray one swallows nothing;
+a tag that nothing ends is text. Reading takes one pass, whatever is broken (`tokens`). Rows repeat as often as they
 come; extra columns are not carried. An empty table gives no rows.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,29 +49,111 @@ BLOCK_LEVEL = "p|div|h[1-6]|article|section|main|header|footer|nav|aside|ul|ol|l
 #: A start tag of the first kind ends an open element of the same kind.
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    rf"|<(?P<media>{'|'.join(EMBEDDED)})(?=[\s/>])(?:[^>]*/>|[^>]*>(?:(?:(?!<(?P=media)[\s/>]).)*?</(?P=media)\s*>|(?:(?!</?(?:{BLOCK_LEVEL})[\s/>]).)*))"
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<marks>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>"""
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: What stands between a tag's name and its end. A quoted value stands directly after =; elsewhere quotes are letters like others.
+_MARKS = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>""")
+_ONE_MARK = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_MEDIA_NEXT = {name: re.compile(rf"<{name}(?=[\s/>])|(</{name}\s*>)", re.I) for name in EMBEDDED}
+_BLOCK = re.compile(rf"</?(?:{BLOCK_LEVEL})(?=[\s/>])", re.I)
+_NAMING = ("class", "id", "role")
 _PART = re.compile(r"[a-z]+|\d+")
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name or "" for what is no element, whether it ends one, marks), from left to right in one pass.
+
+    A tag whose quotes leave it open up to the end of the page ends at its next > instead, and
+    from there quotes no longer count on that page; without any > left, the rest is text. So
+    each place is passed a bounded number of times, however broken the page is.
+    """
+    at, quotes = 0, True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        named = _NAME.match(page, at)
+        if named is None and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        end = -1
+        if named and quotes:
+            if m := _MARKS.match(page, named.end()):
+                end = m.end()
+            else:
+                quotes = False
+        if end < 0:
+            end = page.find(">", named.end() if named else at) + 1
+            if not end:
+                return
+        if named is None:
+            yield at, end, "", False, ""
+            at = end
+            continue
+        name, closing = named[1].lower(), page[at + 1] == "/"
+        marks = page[named.end() : end - 1]
+        if not closing and name in _RAW_END:
+            m = _RAW_END[name].search(page, end)
+            end, name = m.end() if m else len(page), ""
+        elif not closing and name in _MEDIA_NEXT:
+            if not marks.endswith("/"):
+                m = _MEDIA_NEXT[name].search(page, end)
+                if not (m and m[1]):
+                    m = _BLOCK.search(page, end)
+                    end = m.start() if m else len(page)
+                else:
+                    end = m.end()
+            name = ""
+        yield at, end, name, closing, marks
+        at = end
+
+
+def names_in(marks: str) -> str:
+    """The words of a tag's class, id and role."""
+    if not marks or not any(n in (low := marks.lower()) for n in _NAMING):
+        return ""
+    return " ".join(_PART.findall(" ".join(a or b or c for name, a, b, c in _ONE_MARK.findall(low) if name in _NAMING)))
+
+
+class Paths:
+    """Open elements with their ancestors, each as a number; 0 is the page itself."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[tuple[int, str, str], int] = {}
+        self.parent = [-1]
+        self.inherited: list[frozenset[int]] = [frozenset()]
+        self.features: list[frozenset[int]] = [frozenset({_hash("depth0")})]
+
+    def child(self, parent: int, tag: str, names: str) -> int:
+        key = parent, tag, names
+        if (n := self.known.get(key)) is None:
+            n = self.known[key] = len(self.parent)
+            above, own = self.inherited[parent], {_hash(f"in {tag}"), *(_hash(f"named {w}") for w in names.split())}
+            above = above if own <= above else above | own
+            self.parent.append(parent)
+            self.inherited.append(above)
+            self.features.append(above | {_hash(f"own {tag}")})
+        return n
+
+
 @dataclass
 class Block:
-    """Text between block-level tags; path: (tag, class and id words) of the open elements."""
+    """Text between block-level tags; path: the innermost open element, as a number of Paths."""
 
-    path: tuple[tuple[str, str], ...]
+    path: int
     text: str
     linked: int
 
 
-def blocks_of(page: str) -> list[Block]:
-    stack: list[tuple[str, str]] = []
+def blocks_of(page: str, paths: Paths) -> list[Block]:
+    stack: list[tuple[str, int]] = [("", 0)]
+    open_: Counter[str] = Counter()
     out: list[Block] = []
     text: list[str] = []
     linked, links, at = 0, 0, 0
@@ -79,39 +163,39 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                out.append(Block(tuple(e for e in stack if e[0] not in INLINE), " ".join(words), linked))
+                out.append(Block(stack[-1][1], " ".join(words), linked))
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, end, name, closing, marks in tokens(page):
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if links:
                 linked += len(piece)
-        at = m.end()
-        name = m["name"]
-        if name is None:
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "br":
                 text.append(" ")
             elif name == "a":
-                links = 0 if m["end"] else 1
+                links = 0 if closing else 1
             continue
         flush()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if closing:
+            if open_[name]:
+                while True:
+                    other, _ = stack.pop()
+                    open_[other] -= 1
+                    if other == name:
+                        break
         elif name not in VOID:
-            if stack and (stack[-1][0] == "p" or name in CLOSES_ITSELF and stack[-1][0] == name):
-                stack.pop()
-            marks = " ".join(_PART.findall(" ".join(a or b or c for a, b, c in _NAMED.findall(m["marks"])).lower())) if m["marks"] else ""
-            if not m["marks"].endswith("/"):
-                stack.append((name, marks))
+            if stack[-1][0] == "p" or name in CLOSES_ITSELF and stack[-1][0] == name:
+                open_[stack.pop()[0]] -= 1
+            if not marks.endswith("/"):
+                stack.append((name, paths.child(stack[-1][1], name, names_in(marks))))
+                open_[name] += 1
         links = 0
     if at < len(page):
         text.append(page[at:])
@@ -123,24 +207,17 @@ def _hash(feature: str) -> int:
     return zlib.crc32(feature.encode()) % WIDTH
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> set[int]:
-    names = {"depth0"} if not path else {f"own {path[-1][0]}"}
-    for tag, marks in path:
-        names.add(f"in {tag}")
-        names.update(f"named {w}" for w in marks.split())
-    return {_hash(n) for n in names}
-
-
-def text_features(blocks: list[Block]) -> list[tuple[int, ...]]:
+def text_features(blocks: list[Block], paths: Paths) -> list[tuple[int, ...]]:
     """Of each block: length, share of link text, closing mark and sign of a rights line, in bins; then the neighbours' lengths and whether they share its place."""
     size = [0, *(min(len(b.text).bit_length(), 10) for b in blocks), 0]
+    place = [paths.parent[b.path] if b.path else 0 for b in blocks]
     out = []
     for k, b in enumerate(blocks):
         n = len(b.text)
         out.append(
             (
                 size[k + 1], min(4, 5 * b.linked // max(n, b.linked, 1)), ".!?\"'):;,".find(b.text[-1]) >= 0, "©" in b.text, size[k], size[k + 2],
-                bool(k) and blocks[k - 1].path[:-1] == b.path[:-1], k + 1 < len(blocks) and blocks[k + 1].path[:-1] == b.path[:-1],
+                bool(k) and place[k - 1] == place[k], k + 1 < len(blocks) and place[k + 1] == place[k],
             )
         )
     return out
@@ -348,11 +425,11 @@ def labelled_pages(n: int = 320) -> list[tuple[str, set[str]]]:
 
 def sequences(pages: list[tuple[str, set[str]]]) -> list[tuple[list[set[int]], list[int]]]:
     """Feature sets and labels of the blocks of labelled pages."""
-    out = []
+    out, paths = [], Paths()
     for page, main in pages:
-        blocks = blocks_of(page)
-        said = text_features(blocks)
-        out.append(([path_features(b.path) | _text_ids(w) for b, w in zip(blocks, said)], [int(b.text in main) for b in blocks]))
+        blocks = blocks_of(page, paths)
+        said = text_features(blocks, paths)
+        out.append(([paths.features[b.path] | _text_ids(w) for b, w in zip(blocks, said)], [int(b.text in main) for b in blocks]))
     return [p for p in out if p[1]]
 
 
@@ -364,7 +441,7 @@ class Extractor:
     """A trained field with its sums of weights remembered by path and by text features."""
 
     def __init__(self, model: Field):
-        self.model, self.paths, self.texts = model, {}, {}
+        self.model, self.paths, self.places, self.texts = model, Paths(), {}, {}
 
     def _sum(self, memo: dict, key, ids) -> float:
         if len(memo) > _MEMO:
@@ -375,12 +452,15 @@ class Extractor:
     def text(self, page: str | None) -> str:
         if not page:
             return ""
-        blocks = blocks_of(page)
+        if len(self.paths.parent) > _MEMO:
+            self.paths.clear()
+        blocks = blocks_of(page, self.paths)
         emissions = []
-        for b, words in zip(blocks, text_features(blocks)):
-            here = self.paths.get(b.path)
+        for b, words in zip(blocks, text_features(blocks, self.paths)):
+            features = self.paths.features[b.path]
+            here = self.places.get(features)
             if here is None:
-                here = self._sum(self.paths, b.path, path_features(b.path))
+                here = self._sum(self.places, features, features)
             own = self.texts.get(words)
             if own is None:
                 own = self._sum(self.texts, words, _text_ids(words))
