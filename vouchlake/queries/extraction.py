@@ -40,6 +40,11 @@ _CHECKED = """list_reduce(list_concat([0], list_transform(string_split(substr({0
   lambda r, d: (r * CASE WHEN d > 9 THEN 100 ELSE 10 END + d) % 97) = 1"""
 
 
+def checked(c: str) -> str:
+    """DuckDB: whether the check digits of an IBAN fit, letters and all."""
+    return _CHECKED.format(c)
+
+
 @query(
     "valid_ibans",
     "vendor_text",
@@ -60,14 +65,37 @@ def email_inventory(docs):
     return X.inventory(docs, ("email",))
 
 
-@query("identifier_inventory", "vendor_text", sql="""
-WITH v AS (SELECT doc_id, account_number AS a FROM vendor_text WHERE account_number <> '' UNION ALL SELECT doc_id, '55' || account_number FROM vendor_text WHERE doc_id % 17 = 0 AND account_number <> '')
-SELECT doc_id, 'account' AS family, 'Account number' AS label, a AS value FROM v""")
-def identifier_inventory(docs):
-    return X.inventory(docs, ("account",))
+_CONTACTS = """contacts AS (SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'Account number: 55' || lpad(CAST(c_custkey * 7919 AS STRING), 10, '0') || chr(10) || 'Account no. 4400 ' || CAST(c_custkey + 1000 AS STRING) || chr(10)
+  || CASE c_custkey % 3 WHEN 0 THEN 'Phone: +00 555 ' || lpad(CAST(c_custkey AS STRING), 6, '0') WHEN 1 THEN 'Fax 00-555-' || lpad(CAST(c_custkey AS STRING), 5, '0') ELSE 'no line' END || chr(10)
+  || CASE c_custkey % 4 WHEN 0 THEN 'VAT number DE' || lpad(CAST(c_custkey AS STRING), 9, '0') WHEN 1 THEN 'EIN 00-' || lpad(CAST(c_custkey AS STRING), 7, '0') ELSE '' END || chr(10)
+  || CASE c_custkey % 5 WHEN 0 THEN 'HRB ' || CAST(c_custkey + 10000 AS STRING) WHEN 1 THEN 'Company no. GB' || CAST(c_custkey + 10000 AS STRING) ELSE '' END || chr(10)
+  || CASE c_custkey % 6 WHEN 0 THEN 'Sort code 00-11-' || CAST(c_custkey % 90 + 10 AS STRING) WHEN 1 THEN 'BLZ ' || CAST(c_custkey + 10000000 AS STRING) WHEN 2 THEN 'IFSC OSTB0' || CAST(c_custkey + 100000 AS STRING) ELSE '' END || chr(10)
+  || 'Address: ' || CAST(c_custkey AS STRING) || ' Harbour Row, ' || c_mktsegment || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'mail u' || CAST(c_custkey AS STRING) || '@example.org or U' || CAST(c_custkey AS STRING) || '@example.org' ELSE '' END AS text
+FROM customer)"""
+
+
+@query(
+    "identifier_inventory",
+    "customer",
+    sql=f"WITH {_CONTACTS}, hits AS ("
+    + " UNION ALL ".join(
+        f"SELECT {'' if every else 'DISTINCT '}doc_id, '{name}' AS family, label, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}', 1)) AS label, unnest(regexp_extract_all(text, '{p}', 2)) AS value FROM contacts)"
+        for name, (p, every) in X.FAMILIES.items()
+    )
+    + ") SELECT * FROM hits WHERE length(value) >= 4",
+)
+def identifier_inventory(customer):
+    """All seven families, on contact lines made of the customers."""
+    texts = customer.sparkSession.sql("WITH " + _CONTACTS.replace("FROM customer", "FROM {customer}") + " SELECT * FROM contacts", customer=customer)
+    return X.inventory(texts)
 
 
-@query("distinct_accounts", "vendor_text", sql="""SELECT doc_id, doc_id % 17 = 0 AS distinct_accounts, CAST(1 AS BIGINT) AS corroborated_n FROM vendor_text WHERE account_number <> ''""")
+@query(
+    "distinct_accounts",
+    "vendor_text",
+    sql=rf"""WITH f AS (SELECT doc_id, regexp_replace(account_number, '^0+', '') AS own, regexp_replace(iban, '[^0-9]', '', 'g') AS tail, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '{X.FAMILIES["account"][0]}', 2)), '[^0-9]', '', 'g'), '^0+', '') AS a FROM vendor_text)
+SELECT doc_id, count(DISTINCT a) >= 2 AS distinct_accounts, count(*) FILTER (a = own) AS corroborated_n FROM f WHERE a <> '' AND (NOT ends_with(tail, a) OR a = own) GROUP BY 1""",
+)
 def distinct_accounts(docs):
     return X.distinct_accounts(X.inventory(docs, ("account",)), docs)
 
@@ -115,20 +143,26 @@ def packet_choice(pages):
     return X.packet_type(X.page_flags(pages))
 
 
-def _has(c: str, words) -> str:
+def has_sql(c: str, words) -> str:
+    """DuckDB: whether c holds one of the words."""
     return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
 
-_LETTER = "((" + " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in X.LETTER_PHRASES) + ") >= 2 OR " + _has("t", X.STRONG_LETTER) + ")"
+_LETTER = "((" + " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in X.LETTER_PHRASES) + ") >= 2 OR " + has_sql("t", X.STRONG_LETTER) + ")"
 _MARKS = " + ".join(f"CAST(contains(x, '{w}') AS INT)" for w in X.INVOICE_MARKS)
-_HINT = f"""h0 AS (SELECT *, lower(text) AS t, lower(file_name) AS f, lower(file_name) || ' ' || lower(substr(text, 1, 4000)) AS low,
-  CASE WHEN regexp_matches(file_name, '{X.TAX_NAME}') OR {_has("lower(text)", X.TAX_SNIFF)} THEN 'w9' ELSE 'bank' END AS doc_class FROM intake),
-h1 AS (SELECT *, (regexp_matches(text, '{X.INVOICE_HEADER}') OR coalesce(list_sum(list_transform(list_filter(string_split(t, chr(10)), lambda x: NOT {_has("x", X.REMITTANCE)}), lambda x: {_MARKS})), 0) >= 2) AS bill,
+def hint_sql(table: str) -> str:
+    """DuckDB: CTE `hint` (doc_id, doc_class, hint) over a table with text, file_name and ext."""
+    return f"""h0 AS (SELECT *, lower(text) AS t, lower(file_name) AS f, lower(file_name) || ' ' || lower(substr(text, 1, 4000)) AS low,
+  CASE WHEN regexp_matches(file_name, '{X.TAX_NAME}') OR {has_sql("lower(text)", X.TAX_SNIFF)} THEN 'w9' ELSE 'bank' END AS doc_class FROM {table}),
+h1 AS (SELECT *, (regexp_matches(text, '{X.INVOICE_HEADER}') OR coalesce(list_sum(list_transform(list_filter(string_split(t, chr(10)), lambda x: NOT {has_sql("x", X.REMITTANCE)}), lambda x: {_MARKS})), 0) >= 2) AS bill,
   {" + ".join(f"CAST(regexp_matches(substr(t, 1, 2000), '(?m)^[ ]*{h}: ?[^ ]') AS INT)" for h in ("from", "sent", "to", "subject"))} AS head FROM h0),
 hint AS (SELECT doc_id, doc_class, CASE WHEN ext IN {X.EDITABLE} THEN 'editable_source' WHEN ext IN {X.MAIL} THEN 'email'
-  WHEN doc_class = 'w9' THEN CASE {" ".join(f"WHEN {_has('low', w)} THEN '{t}'" for t, w in X.TAX_TYPES)} ELSE '' END
-  WHEN head >= 3 THEN 'email' WHEN {_has("f", X.INVOICE_NAMES)} THEN 'invoice' WHEN bill AND NOT {_LETTER} THEN 'invoice'
-  {" ".join(f"WHEN {' AND '.join(_has('low', w) for w in g)} THEN '{t}'" for t, g in X.BANK_TYPES)} ELSE '' END AS hint FROM h1)"""
+  WHEN doc_class = 'w9' THEN CASE {" ".join(f"WHEN {has_sql('low', w)} THEN '{t}'" for t, w in X.TAX_TYPES)} ELSE '' END
+  WHEN head >= 3 THEN 'email' WHEN {has_sql("f", X.INVOICE_NAMES)} THEN 'invoice' WHEN bill AND NOT {_LETTER} THEN 'invoice'
+  {" ".join(f"WHEN {' AND '.join(has_sql('low', w) for w in g)} THEN '{t}'" for t, g in X.BANK_TYPES)} ELSE '' END AS hint FROM h1)"""
+
+
+_HINT = hint_sql("intake")
 
 
 def _hinted(intake):
@@ -164,7 +198,7 @@ def text_layer_garbage(intake):
 @query(
     "signature_votes_from_text",
     "intake",
-    sql=f"SELECT doc_id, CASE WHEN {_has('lower(text)', X.ESIGN)} THEN 'esign' WHEN {_has('lower(text)', X.TYPED)} THEN 'typed-system' ELSE 'none' END AS vote FROM intake",
+    sql=f"SELECT doc_id, CASE WHEN {has_sql('lower(text)', X.ESIGN)} THEN 'esign' WHEN {has_sql('lower(text)', X.TYPED)} THEN 'typed-system' ELSE 'none' END AS vote FROM intake",
 )
 def signature_votes_from_text(intake):
     return intake.select("doc_id", X.text_vote(F.col("text")).alias("vote"))
@@ -183,7 +217,17 @@ def boxed_tin(intake):
     return X.boxed_tin(intake)
 
 
-@query("officer_block", "vendor_text", sql="SELECT doc_id, doc_id % 6 = 0 AS found FROM vendor_text")
+def officer_sql(text: str) -> str:
+    """DuckDB: whether the text has a sign-off, then a person, a title and a contact among the next six filled of eleven lines."""
+    lines = f"string_split({text}, chr(10))"
+    after = f"list_filter({lines}[k + 1:k + 11], lambda x: trim(x) <> '')[1:6]"
+    person = rf"regexp_matches(trim(x), '^\p{{Lu}}\S*(?:\s+\p{{Lu}}\S*){{1,3}}$') AND NOT regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '{X.ORGANISATION}')"
+    some = lambda test: f"len(list_filter({after}, lambda x: {test})) > 0"
+    held = " AND ".join([some(person), some(f"regexp_matches(x, '{X.TITLE}')"), some(f"regexp_matches(x, '{X.CONTACT}')")])
+    return f"(len(list_filter(range(1, len({lines}) + 1), lambda k: regexp_matches({lines}[k], '{X.SIGN_OFF}') AND {held})) > 0)"
+
+
+@query("officer_block", "vendor_text", sql=f"SELECT doc_id, {officer_sql('text')} AS found FROM vendor_text")
 def officer_block(docs):
     return X.officer_block(docs)
 
@@ -209,7 +253,8 @@ def doctype_evidence(docs):
 @query(
     "settlement_issuer",
     "vendor_text",
-    sql="SELECT doc_id, (swift_bic <> '' OR bank_name <> '') AND doc_id % 6 = 0 AS strong FROM vendor_text WHERE doc_type = 'payment_instructions'",
+    sql=f"""SELECT doc_id, (swift_bic <> '' OR regexp_matches(text, 'Bank of [A-Z]')) AND ({officer_sql('text')} OR regexp_matches(lower(text), 'holds an account|account (?:is )?(?:held|maintained)')) AS strong
+FROM vendor_text WHERE doc_type = 'payment_instructions'""",
 )
 def settlement_issuer(docs):
     return X.settlement_issuer(docs)
@@ -328,7 +373,9 @@ def page_attribution(vendor, pages):
     "corroborated_ids",
     "vendor",
     "vendor_pages",
-    sql="SELECT v.doc_id, 'iban' AS field, CAST(2 AS BIGINT) AS n_pages FROM vendor v WHERE iban <> '' AND v.doc_id % 4 = 0",
+    sql=f"""WITH {_PAGE_FLAGS}, h AS (SELECT v.doc_id, CASE WHEN f.bank_letter THEN 'letter' WHEN f.invoice THEN 'invoice' ELSE 'plain' END AS kind
+  FROM vendor v JOIN f ON f.doc_id = v.doc_id AND length(v.iban) >= 6 AND contains(regexp_replace(upper(f.text), '[^A-Z0-9]', '', 'g'), v.iban))
+SELECT doc_id, 'iban' AS field, count(*) AS n_pages FROM h GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT kind) >= 2""",
 )
 def corroborated_ids(vendor, pages):
     return X.corroborate(_values(vendor, "iban"), pages)
@@ -454,7 +501,8 @@ def fakes(vendor):
 @query(
     "kind_conflicts",
     "tax",
-    sql="SELECT doc_id, tin_raw AS value FROM tax WHERE tin_raw <> '' AND doc_id % 3 = 0",
+    sql="""WITH v AS (SELECT doc_id, tin_raw AS value, regexp_replace(tin_raw, '[^0-9]', '', 'g') AS a, CASE WHEN doc_id % 3 = 0 THEN '77' || replace(tin_raw, '-', '') ELSE '999999999999' END AS b FROM tax WHERE tin_raw <> '')
+SELECT DISTINCT doc_id, value FROM v WHERE length(a) >= 4 AND (contains(a, b) OR contains(b, a))""",
 )
 def kind_conflicts(tax):
     both = F.array(
@@ -467,8 +515,11 @@ def kind_conflicts(tax):
 @query(
     "egress_guard",
     "vendor",
-    sql="SELECT doc_id, doc_id % 2 = 0 OR iban = '' AS allowed FROM vendor",
+    sql="WITH q AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'q=' || replace(bank_name, ' ', '%20') WHEN doc_id % 3 = 0 THEN 'q=' || replace(account_number, '0', '%30') ELSE 'q=' || iban END AS query FROM vendor) SELECT doc_id, NOT ("
+    + " OR ".join(f"regexp_matches(query, '{p}') OR regexp_matches(url_decode(query), '{p}')" for p in _LEAKS.values())
+    + ") AS allowed FROM q",
 )
 def egress_guard(vendor):
-    asked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("q="), F.regexp_replace("bank_name", " ", "%20"))).otherwise(F.concat(F.lit("q="), "iban"))
+    k, coded = F.col("doc_id"), F.concat(F.lit("q="), F.regexp_replace("account_number", "0", "%30"))
+    asked = F.when(k % 2 == 0, F.concat(F.lit("q="), F.regexp_replace("bank_name", " ", "%20"))).when(k % 3 == 0, coded).otherwise(F.concat(F.lit("q="), "iban"))
     return P.egress_guard(vendor.select("doc_id", asked.alias("query"))).select("doc_id", "allowed")

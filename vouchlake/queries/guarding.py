@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 from vouchlake.functions.columns import iban_mod97_ok
 from vouchlake.operators import extract as X
 from vouchlake.operators import guards as G
-from vouchlake.queries.extraction import _LONG, _READ
+from vouchlake.queries.extraction import _LONG, _READ, has_sql
 from vouchlake.queries.registry import mod97, query
 
 
+_SENTENCE = [p.replace("'", "''") for p in G.OWNER_SENTENCES]
+
+
+def said_sql(text: str) -> str:
+    """DuckDB: the owner that a sentence of the text names, '' without one."""
+    named = (f"nullif(trim(trim(regexp_extract({text}, '{p}', 1)), '.,;:\"' || chr(39)), '')" for p in _SENTENCE)
+    return f"coalesce({', '.join(named)}, '')"
+
+
 @query(
     "holder_grounding",
     "guarded",
-    sql="""SELECT doc_id, CASE WHEN doc_id % 8 = 5 THEN 'Max Mustermann' WHEN doc_id % 4 = 1 THEN 'Jane Sample' WHEN doc_id % 4 = 2 THEN 'Acme Trading' ELSE '' END AS account_holder,
-  CASE WHEN doc_id % 4 = 0 THEN 'Jane Sample' ELSE '' END AS account_signatory FROM guarded""",
+    sql=f"""WITH l AS (SELECT *, string_split(text, chr(10)) AS ls, {said_sql("text")} AS said FROM guarded),
+w AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda k: account_holder <> '' AND contains(lower(ls[k]), lower(account_holder)))[1] AS k FROM l),
+c AS (SELECT *, CASE WHEN k IS NULL THEN '' WHEN k = 1 THEN ls[1] ELSE ls[k - 1] || chr(10) || ls[k] END AS place FROM w),
+s AS (SELECT *, account_holder <> '' AND regexp_matches(place, '{G.SIGNATORY}') AND NOT regexp_matches(place, '{G.OWNER}') AS signs, CASE WHEN length(said) BETWEEN 3 AND 70 THEN said ELSE '' END AS named FROM c)
+SELECT doc_id, CASE WHEN account_holder = '' OR signs THEN named ELSE account_holder END AS account_holder, CASE WHEN signs THEN account_holder ELSE '' END AS account_signatory FROM s""",
 )
 def holder_grounding(docs):
     return G.ground_holder(docs)
@@ -33,8 +45,8 @@ def statement_dates(docs):
 @query(
     "electronic_signatures",
     "guarded",
-    sql="""WITH m AS (SELECT *, NOT signed AND doc_id % 6 = 1 AS marked FROM guarded) SELECT doc_id, signed OR marked AS signed, CASE WHEN marked THEN 'electronic' ELSE '' END AS signature_kind,
-  CASE WHEN marked AND doc_date = '' THEN '2026-02-03' ELSE doc_date END AS doc_date FROM m""",
+    sql=rf"""WITH m AS (SELECT *, NOT signed AND {has_sql("lower(text)", X.ESIGN)} AS marked FROM guarded) SELECT doc_id, signed OR marked AS signed, CASE WHEN marked THEN 'electronic' ELSE '' END AS signature_kind,
+  CASE WHEN marked AND doc_date = '' THEN regexp_extract(text, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})\s*\|\s*[0-9]{{1,2}}:[0-9]{{2}}', 1) ELSE doc_date END AS doc_date FROM m""",
 )
 def electronic_signatures(docs):
     return G.electronic_signature(docs)
@@ -121,11 +133,13 @@ def exemplar_echoes(docs):
 @query(
     "grounded_instructions",
     "guarded",
-    sql="""SELECT doc_id, CASE WHEN doc_type <> 'payment_instructions' THEN doc_type WHEN doc_id % 2 = 0 AND doc_id % 4 = 2 AND doc_id % 5 = 1 THEN 'bank_letter' ELSE 'other' END AS doc_type,
-  doc_type = 'payment_instructions' AND doc_id % 5 = 1 AS uncertain FROM guarded""",
+    sql=f"""WITH b AS (SELECT doc_id, doc_type, doc_id % 5 = 1 AS strong, doc_type = 'payment_instructions' AND NOT {has_sql("lower(text)", X.INSTRUCTION_MARKS)} AS bare
+  FROM (SELECT doc_id, doc_type, text || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'Wire instructions below' ELSE '' END AS text FROM guarded))
+SELECT doc_id, CASE WHEN bare AND strong THEN 'bank_letter' WHEN bare THEN 'other' ELSE doc_type END AS doc_type, bare AND strong AS uncertain FROM b""",
 )
 def grounded_instructions(docs):
-    return G.ground_instructions(docs, docs.select("doc_id", (F.col("doc_id") % 5 == 1).alias("strong")))
+    printed = docs.withColumn("text", F.concat_ws("\n", "text", F.when(F.col("doc_id") % 7 == 0, "Wire instructions below")))
+    return G.ground_instructions(printed, docs.select("doc_id", (F.col("doc_id") % 5 == 1).alias("strong")))
 
 
 @query(

@@ -9,6 +9,7 @@ from vouchlake.operators.evaluate import approval_counts as approval_counts_of
 from vouchlake.plans import rules as R
 from vouchlake.queries.registry import mod97, query
 
+_COMPENSATED = "(" + " OR ".join(f"contains(lower(signature_evidence), '{p}')" for p in R.COMPENSATING) + ")"
 _FOUND = f"""
 base AS (
   SELECT *, CASE WHEN bank_country = 'CZ' THEN '' ELSE bank_country END AS bc,
@@ -28,9 +29,9 @@ base AS (
     FROM base WHERE iban <> '' AND ((bc <> '' AND substr(iban, 1, 2) <> bc) OR NOT {mod97('iban')})
   UNION ALL SELECT doc_id, 'BNK-020', 'NOTE', NULL, 'dated 2019-01-15, full years since: ' || CAST(date_diff('day', DATE '2019-01-15', DATE '2026-07-09') // 365 AS VARCHAR)
     FROM base WHERE doc_date = '2019-01-15'
-  UNION ALL SELECT doc_id, 'BNK-021', 'WARNING', 'WARNING', 'unsigned; what is noted (''no signature or stamp'') signs nothing'
-    FROM base WHERE doc_type = 'bank_letter' AND NOT signed AND doc_id % 6 = 3
-  UNION ALL SELECT doc_id, 'BNK-026', 'NOTE', NULL, signature_evidence FROM base WHERE doc_type = 'bank_letter' AND NOT signed AND doc_id % 6 = 0
+  UNION ALL SELECT doc_id, 'BNK-021', 'WARNING', 'WARNING', CASE WHEN signature_evidence = '' THEN 'nothing that signs can be seen' ELSE 'unsigned; what is noted (''' || signature_evidence || ''') signs nothing' END
+    FROM base WHERE doc_type = 'bank_letter' AND NOT signed AND NOT {_COMPENSATED}
+  UNION ALL SELECT doc_id, 'BNK-026', 'NOTE', NULL, signature_evidence FROM base WHERE doc_type = 'bank_letter' AND NOT signed AND {_COMPENSATED}
   UNION ALL SELECT doc_id, 'BNK-027', 'NOTE', NULL, '' FROM base WHERE doc_type = 'payment_instructions' AND settlement_issuer_strong
   UNION ALL SELECT doc_id, 'BNK-031', 'WARNING', 'NEED_MANUAL_REVIEW', ''
     FROM base WHERE doc_type IN ('bank_letter','bank_statement','payment_instructions','supplier_letterhead') AND distinct_accounts
