@@ -50,9 +50,19 @@ VERDICTS = ("ACCEPT", "WARNING", "NEED_MANUAL_REVIEW", "REJECT")
 TAX_KINDS = ("ssn", "ein", "tin")
 
 
+def _literal(x: object) -> str:
+    """A text or whole number as SQL."""
+    return f"'{x.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}'" if isinstance(x, str) else str(int(x))
+
+
+def texts(*values: str) -> Column:
+    """An array of literals, made in one step: many calls into the JVM cost more than what they describe."""
+    return F.expr(f"array({', '.join(map(_literal, values))})")
+
+
 def lookup(table: dict[str, object], key: Column) -> Column:
     """table[key] as a map literal; null for other keys."""
-    return F.try_element_at(F.create_map(*(F.lit(x) for x in chain.from_iterable(table.items()))), key)
+    return F.try_element_at(F.expr(f"map({', '.join(map(_literal, chain.from_iterable(table.items())))})"), key)
 
 
 def text_of(c: Column) -> Column:
@@ -84,7 +94,7 @@ def tokens(c: Column) -> Column:
 
 def lenient_tokens(c: Column) -> Column:
     """Tokens without legal forms and titles, in order."""
-    legal = F.array(*map(F.lit, LEGAL_TOKENS))
+    legal = texts(*LEGAL_TOKENS)
     return F.filter(tokens(c), lambda t: ~F.array_contains(legal, t))
 
 
@@ -129,7 +139,7 @@ def to_iso2(c: Column) -> Column:
     """Two-letter country of a name or code, '' where unknown."""
     v = text_of(c)
     up = F.upper(v)
-    known = F.array(*(F.lit(x) for x in sorted(set(COUNTRY_NAMES.values()))))
+    known = texts(*sorted(set(COUNTRY_NAMES.values())))
     return F.coalesce(
         lookup(COUNTRY_NAMES, F.lower(v)),
         F.when((F.length(up) == 2) & F.array_contains(known, up), up),
@@ -152,7 +162,10 @@ def mod97(c: Column) -> Column:
 def iban_mod97_ok(c: Column) -> Column:
     s = F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", ""))
     shaped = s.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{8,30}$")
-    return shaped & (mod97(F.concat(F.substr(s, F.lit(5)), F.substring(s, 1, 4))) == 1)
+    # without letters behind the country it is one number of up to 36 digits
+    behind = F.substr(s, F.lit(5))
+    number = F.concat(behind, F.ascii(s) - 55, F.ascii(F.substring(s, 2, 1)) - 55, F.substring(s, 3, 2)).try_cast("decimal(38,0)")
+    return shaped & F.when(behind.rlike("^[0-9]+$"), number % 97 == 1).otherwise(mod97(F.concat(behind, F.substring(s, 1, 4))) == 1)
 
 
 def iban_check_digits(country: Column, bban: Column) -> Column:
@@ -194,7 +207,10 @@ def parse_date(c: Column) -> Column:
     named = F.regexp_replace(F.regexp_replace(F.regexp_replace(said, month, english), r"(?i)\bde\b", " "), r"\s+", " ")
     v = F.coalesce(F.trim(named), said)  # null without a month of another language
     year = F.regexp_extract(v, r"(20[0-9]{2})", 1).try_cast("int")
-    return F.coalesce(*(F.try_to_timestamp(v, F.lit(f)).cast("date") for f in DATE_FORMATS), F.make_date(year, F.lit(7), F.lit(1)))
+    # a format is tried only on what is shaped like it, as every failure costs an exception
+    shaped = {mark: v.rlike(rf"^\d+\{mark}\d+\{mark}\d+$") for mark in "./-"} | {" ": v.rlike(r"\p{L}") & v.rlike(r"\d")}
+    tries = (F.when(shaped[" " if "MMM" in f else next(c for c in f if c in "./-")], F.try_to_timestamp(v, F.lit(f)).cast("date")) for f in DATE_FORMATS)
+    return F.coalesce(*tries, F.make_date(year, F.lit(7), F.lit(1)))
 
 
 def first_diff(a: Column, b: Column) -> Column:
@@ -210,7 +226,7 @@ def verdict_rank(c: Column) -> Column:
 
 
 def verdict_of(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, VERDICTS)), rank + 1)
+    return F.element_at(texts(*VERDICTS), rank + 1)
 
 
 def verdict_direction(pred: Column, gold: Column) -> Column:

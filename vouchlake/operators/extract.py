@@ -324,13 +324,16 @@ def text_quality(docs: DataFrame) -> DataFrame:
     garbage: a text layer that is there but can't be read: 15 % or more control or
     private-use characters, or 200 Latin letters or more of which under a quarter stand in words.
     """
-    t = F.coalesce("text", F.lit(""))
-    words = F.regexp_count(t, F.lit("[A-Za-zÀ-ÿ]{2,}"))
-    strange = F.length(F.regexp_replace(t, r"[^\p{Cc}\p{Co}]|[\t\n\r]", ""))
-    latin = F.length(F.regexp_replace(t, "[^A-Za-zÀ-ÿ]", ""))
-    in_words = F.length(F.regexp_replace(t, "(?<![A-Za-zÀ-ÿ])[A-Za-zÀ-ÿ](?![A-Za-zÀ-ÿ])|[^A-Za-zÀ-ÿ]", ""))
-    garbage = (F.trim(t) != "") & ((strange >= 0.15 * F.length(t)) | ((latin >= 200) & (in_words < 0.25 * latin)))
-    return docs.select("doc_id", words.cast("long").alias("words"), (words >= 15).alias("usable"), garbage.alias("garbage"))
+    t, n = F.coalesce("text", F.lit("")), F.length("text")
+    strange = r"[\p{Cc}\p{Co}&&[^\t\n\r]]"
+    counted = docs.select("doc_id", t.alias("text"), F.regexp_count(t, F.lit("[A-Za-zÀ-ÿ]{2,}")).cast("long").alias("words"))
+    odd = F.when(F.col("text").rlike(strange), F.regexp_count("text", F.lit(strange)) >= 0.15 * n).otherwise(False)
+    # a text with letters standing alone has three of them for each letter in a word, and something between each two,
+    # so where words make up a twelfth of the text or more nothing needs to be counted
+    latin = F.length(F.regexp_replace("text", "[^A-Za-zÀ-ÿ]", ""))
+    in_words = F.length(F.regexp_replace("text", "(?<![A-Za-zÀ-ÿ])[A-Za-zÀ-ÿ](?![A-Za-zÀ-ÿ])|[^A-Za-zÀ-ÿ]", ""))
+    torn = F.when(12 * F.col("words") > n, False).otherwise((latin >= 200) & (in_words < 0.25 * latin))
+    return counted.select("doc_id", "words", (F.col("words") >= 15).alias("usable"), ((F.trim("text") != "") & (odd | torn)).alias("garbage"))
 
 
 def officer_block(docs: DataFrame) -> DataFrame:

@@ -19,12 +19,14 @@ BANK_LEAKS = {"iban": IBAN_SOLID, "long_number": BARE_RUN}
 
 # Fixed value: a number near a word for account; the word stays.
 ACCOUNT_NEAR = r"(?i)((?:acc(?:oun)?t|iban|cuenta|cta\.?|konto(?:nummer)?|kto\.?|compte|conta|сч[её]т|계좌|口座|账[户戶號号]|帐[户戶號号])[^0-9]{0,14})([0-9][0-9 \-]{5,20}[0-9])"
+#: What a text needs for any pattern, and for the two of accounts, to find something; far quicker than those.
+DIGIT, NUMBER = "[0-9]", r"[0-9][0-9 \-]{5,20}[0-9]"
 # Fixed value: what a mask leaves behind.
 RESIDUE = r"[*…]|XXX?-"
 
 
 def _mask_all(text: Column, pattern: str, kind: str, label: bool = False) -> Column:
-    """Every match of the pattern in its masked form; with `label`, the first group stays and the second is masked.
+    """Every match of a pattern for account numbers in its masked form; with `label`, the first group stays and the second is masked.
 
     The matches and what stands between them are laid side by side, so each match is
     masked where it stands, however often its digits occur elsewhere.
@@ -35,16 +37,28 @@ def _mask_all(text: Column, pattern: str, kind: str, label: bool = False) -> Col
     if label:
         masks = F.zip_with(found(1), masks, lambda a, m: F.concat(a, m))
     joined = F.array_join(F.zip_with(gaps, F.concat(F.array(F.lit("")), masks), lambda g, m: F.concat(m, g)), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+    return F.when(text.rlike(NUMBER) & text.rlike(pattern), joined).otherwise(text)
+
+
+#: The patterns again with what a mask shows as groups, so that one pass finds and masks.
+TAX_MASKS = (
+    (r"(?<![\d-])\d{3}-\d{2}-(\d{4})(?![\d-])", "XXX-XX-$1"),
+    (r"(?<![\d-])\d{2}-\d{3}(\d{4})(?![\d-])", "XX-XXX$1"),
+    (r"(?<![\d-])\d{3}[ ]\d{2}[ ](\d{4})(?![\d-])", "XXX-XX-$1"),
+    (r"(?<![\d-])(?:(?:\d[ ]?){2}[\-–—][ ]?(?:\d[ ]?){3}(\d)[ ]?(\d)[ ]?(\d)[ ]?(\d)|\d{2}[ ]\d{3}(\d{4}))(?![\d-])", "XX-XXX$1$2$3$4$5"),
+)
+IBAN_MASK = ((r"\b([A-Z]{2})[0-9]{2}(?:[ ]?[A-Z0-9]){6,26}[ ]?([A-Z0-9])[ ]?([A-Z0-9])[ ]?([A-Z0-9])[ ]?([A-Z0-9])\b", "$1**…$2$3$4$5"),)
 
 
 def redact(docs: DataFrame, policy: str = "strict") -> DataFrame:
     """docs with sensitive patterns masked: tax numbers always; IBANs, numbers near a word for account, then long numbers, unless 'tin-only'."""
-    steps = [(SSN, "ssn", False), (EIN, "ein", False), (SSN_SPACED, "ssn", False), (EIN_SPACED, "ein", False)]
+    plain = text = F.coalesce("text", F.lit(""))
+    for pattern, shown in (*TAX_MASKS, *(IBAN_MASK if policy != "tin-only" else ())):
+        text = F.regexp_replace(text, pattern, shown)
+    docs = docs.withColumn("text", F.when(plain.rlike(DIGIT), text).otherwise(plain))
     if policy != "tin-only":
-        steps += [(IBAN, "iban", False), (ACCOUNT_NEAR, "account_number", True), (LONG_RUN, "account_number", False)]
-    for pattern, kind, label in steps:  # one projection a step, so that a long text is named once in each
-        docs = docs.withColumn("text", _mask_all(F.coalesce("text", F.lit("")), pattern, kind, label))
+        for pattern, label in ((ACCOUNT_NEAR, True), (LONG_RUN, False)):  # one projection a step, so that a long text is named once in each
+            docs = docs.withColumn("text", _mask_all(F.col("text"), pattern, "account_number", label))
     return docs
 
 
@@ -81,7 +95,7 @@ def leak_scan(texts: DataFrame, policy: str = "strict") -> DataFrame:
     hits = F.array(
         *(F.struct(F.lit(k).alias("pattern"), F.when(F.col("text").rlike(p), mask_value(F.lit("account_number"), F.regexp_extract("text", p, 0))).alias("masked_hit")) for k, p in patterns.items())
     )
-    return texts.select(*(c for c in texts.columns if c != "text"), F.inline(F.filter(hits, lambda h: h["masked_hit"].isNotNull())))
+    return texts.where(F.col("text").rlike(DIGIT)).select(*(c for c in texts.columns if c != "text"), F.inline(F.filter(hits, lambda h: h["masked_hit"].isNotNull())))
 
 
 def known_leaks(texts: DataFrame, secrets: DataFrame) -> DataFrame:
@@ -104,7 +118,7 @@ def gated_split(df: DataFrame, text_columns: list[str], policy: str = "strict")
     hit = F.lit(False)
     for c in text_columns:
         for p in patterns:
-            hit = hit | F.coalesce(F.col(c).rlike(p), F.lit(False))
+            hit = hit | F.coalesce(F.col(c).rlike(DIGIT) & F.col(c).rlike(p), F.lit(False))
     return df.where(~hit), df.where(hit)
 
 

@@ -11,19 +11,19 @@ from vouchlake.operators.extract import _any, ESIGN, TYPED, boxed_tin, doc_class
 from vouchlake.operators.guards import ground_holder
 
 
-def read_texts(docs: DataFrame) -> DataFrame:
+def read_texts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' doc_id and text with the fields that its text gives; what it doesn't give is ''. Narrow: no join, no exchange.
 
-    Extra columns are not carried; file_name and ext count if docs has them.
+    Of other columns those in `keep` are carried; file_name and ext count if docs has them.
     """
     name = F.col("file_name") if "file_name" in docs.columns else F.lit("")
     ext = F.col("ext") if "ext" in docs.columns else F.lit("")
     text = F.coalesce("text", F.lit(""))
     kind = doc_class(name, text)
-    typed = docs.select("doc_id", text.alias("text"), kind.alias("doc_class"), F.nullif(type_hint(text, name, ext, kind), F.lit("")).alias("hint"))
+    typed = docs.select("doc_id", text.alias("text"), kind.alias("doc_class"), F.nullif(type_hint(text, name, ext, kind), F.lit("")).alias("hint"), *keep)
     out = typed.select(
         "doc_id", "text", "doc_class", F.coalesce("hint", F.when(F.col("doc_class") == "bank", "other").otherwise("unknown")).alias("doc_type"),
-        F.lit("").alias("account_holder"),
+        F.lit("").alias("account_holder"), *keep,
     )
     for step in (ground_holder, identifiers, boxed_tin, officer_block):
         out = beside(out, step)
@@ -35,5 +35,5 @@ def read_texts(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "text", "doc_class", "doc_type", *(text_of(F.col(c)).alias(c) for c in plain), F.lit("").alias("bank_name"), F.lit("").alias("bank_country"),
         esigned.alias("signed"), evidence.alias("signature_evidence"), tin.alias("tin_raw"),
-        F.when(F.col("ein").isNotNull(), "EIN").otherwise(F.col("tin_boxed_type")).alias("tin_type"),
+        F.when(F.col("ein").isNotNull(), "EIN").otherwise(F.col("tin_boxed_type")).alias("tin_type"), *keep,
     )

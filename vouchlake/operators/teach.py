@@ -226,13 +226,12 @@ def manifest(labels: DataFrame) -> DataFrame:
     return labels.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg(F.col("confirmed").cast("double")), 3).alias("agreement"))
 
 
-def stratum_manifest(truth: DataFrame, read: DataFrame) -> DataFrame:
+def stratum_manifest(judged: DataFrame) -> DataFrame:
     """tag, n, agreement of a corpus with known truth: how many documents a tag has, and for what share the verdict on what was read is that on the true fields.
 
-    truth: doc_id, tags (array), truth_verdict; read: doc_id, verdict. Tag 'all' is the whole
-    corpus. A document that was not read agrees with nothing. Tags are folded before the shuffle.
+    judged: tags (array), truth_verdict, verdict of each document. Tag 'all' is the whole
+    corpus; a document without a verdict agrees with nothing. Tags are folded before the shuffle.
     """
-    both = truth.join(read.select("doc_id", "verdict"), "doc_id", "left")
     agree = F.coalesce(F.col("verdict") == F.col("truth_verdict"), F.lit(False)).cast("double")
-    tagged = both.select(F.explode(F.array_distinct(F.array_append("tags", F.lit("all")))).alias("tag"), agree.alias("agree"))
+    tagged = judged.select(F.explode(F.array_distinct(F.array_append("tags", F.lit("all")))).alias("tag"), agree.alias("agree"))
     return tagged.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg("agree"), 3).alias("agreement"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vouchlake.functions.columns import BUSINESS_WORD, IBAN_LENGTH
+from vouchlake.functions.columns import IBAN_LENGTH
+from vouchlake.functions.frames import beside
 from vouchlake.operators import extract as X
 from vouchlake.operators import guards as G
 from vouchlake.operators.reading import read_texts
@@ -95,5 +96,5 @@ tagged AS (SELECT unnest(list_append(string_split(tags, ','), 'all')) AS tag, CA
 SELECT tag, count(*) AS n, round(avg(agree), 3) AS agreement FROM tagged GROUP BY 1""",
 )
 def stratum_manifest(customer):
-    truth = _numbers(customer)
-    return manifest_of(truth.select("doc_id", F.split("tags", ",").alias("tags"), "truth_verdict"), verdict_in_place(read_texts(truth)))
+    both = beside(read_texts(_numbers(customer), ("tags", "truth_verdict")), verdict_in_place)
+    return manifest_of(both.withColumn("tags", F.split("tags", ",")))
