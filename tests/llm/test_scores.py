@@ -8,7 +8,7 @@ from vouchlake.llm.pu import best_bin, estimate_prior, fit_nnpu, sigmoid
 from vouchlake.llm.queries import queries
 
 
-@pytest.mark.parametrize(("name", "label", "modulus", "held_out", "threshold", "least"), [("op10_quality", "quality", 4, 2, 0.7, 0.95), ("op4_toxicity", "toxic", 5, 0, 0.5, 0.9)])
+@pytest.mark.parametrize(("name", "label", "modulus", "held_out", "threshold", "least"), [("op10_quality", "quality", 4, 2, 0.7, 0.95), ("op4_toxicity", "toxic", 5, 0, 0.5, 0.92)])
 def test_held_out_accuracy(spark, sf_medium, name, label, modulus, held_out, threshold, least):
     rows = queries()[name](spark, sf_medium).collect()
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf_medium}/labels.parquet").collect()}
@@ -20,6 +20,15 @@ def test_held_out_accuracy(spark, sf_medium, name, label, modulus, held_out, thr
     assert np.mean([r.predicted == labels[r.doc_id] for r in judged]) >= least
 
 
+def test_toxic_documents_are_found(spark, sf_medium):
+    """Always 0 would be right for nine of ten documents, so what counts is how many toxic ones are found and how many clean ones aren't."""
+    for sf_dir, recall, precision in ((sf_medium, 0.6, 0.6), (sf_medium.replace("0.01", "0.1"), 0.9, 0.8)):
+        labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+        rows = [r for r in queries()["op4_toxicity"](spark, sf_dir).collect() if r.held_out and r.doc_id in labels]
+        found = sum(r.predicted and labels[r.doc_id] for r in rows)
+        assert found >= recall * sum(labels[r.doc_id] for r in rows) and found >= precision * sum(r.predicted for r in rows)
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_scores_equal_a_plain_loop(spark, sf_small, odd_docs, no_docs, module):
     docs, labels = spark.read.parquet(f"{sf_small}/documents.parquet"), spark.read.parquet(f"{sf_small}/labels.parquet")

@@ -34,6 +34,8 @@ from .tokens import tokenizer, vocabulary_bytes
 from .workspace import cut
 
 WINDOW, END_ID = 1024, 0
+#: Ids that a bucket should hold, on average.
+BUCKET_IDS = 64 << 20
 #: Combinations kept after solving, those used most; bounds the plan.
 MAX_COMBINATIONS = 20_000
 
@@ -187,14 +189,16 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     written once (checkpoint) and shuffled once (by bucket).
     """
     spark = docs.sparkSession
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rest = F.col("doc_tokens") % window
-    pieces = cut(
+    written = cut(
         token_ids(docs, path)
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
+        .withColumn("dealt", F.xxhash64("doc_id", F.monotonically_increasing_id()))
         .withColumn("rest", rest.cast("int"))
         .withColumn("full", F.floor(F.col("doc_tokens") / window).cast("long"))
     )
+    # so many that a bucket holds BUCKET_IDS or so, however large the table
+    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (written.agg(F.sum("doc_tokens")).first()[0] or 0) // BUCKET_IDS)
+    pieces = written.withColumn("bucket", F.pmod("dealt", F.lit(buckets)).cast("int")).drop("dealt")
     # at most window x buckets rows: counts of equal lengths by bucket
     by_bucket = pieces.groupBy("rest", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
     lengths = by_bucket.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).collect()

@@ -45,12 +45,14 @@ def fit_nnpu(
     rate: float = 0.05,
     l2: float = 1e-4,
     beta: float = 0.0,
+    floor: float = -np.inf,
 ) -> LinearScorer:
     """Full-batch Adam on the non-negative risk. Deterministic.
 
     positive, unlabelled: rows of features. No positives: the constant score `prior`.
     prior None: the plain risk of telling positives from unlabelled rows, weighed alike.
     beta: how far below zero the negatives' risk may fall before a step climbs it.
+    floor: the least weight; 0 where every feature is known to speak for the positives.
     """
     plain = prior is None
     prior = 0.5 if plain else float(np.clip(prior, 1e-3, 1 - 1e-3))
@@ -81,6 +83,7 @@ def fit_nnpu(
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w[:-1] = np.maximum(w[:-1], floor)
     return LinearScorer(w[:-1].copy(), float(w[-1]))
 
 

@@ -182,6 +182,8 @@ def write_files(matrices: DataFrame, folder: str) -> dict:
     manifest names. The driver gets one row a task.
     """
     spark = matrices.sparkSession
+    if "://" not in folder and not folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a folder without a scheme is each machine's own; name one that all of them share")
     system, root = _open(folder)
     system.create_dir(root, recursive=True)
     names = ("input_ids", "position_ids", "cu_seqlens", "bounds")

@@ -30,7 +30,7 @@ class ByteBpe:
     Ordinary text goes through tiktoken with the same vocabulary (equal ids, about three
     times as fast); a text that holds a special token's string goes through tokenizers itself.
     tiktoken's pattern looks ahead once for each mark of a run of white space and overflows
-    its stack on some 300,000 of them, so runs of LONG_RUN marks or more are cut out first:
+    its stack on some 300,000 of them (and takes time with the square of a run), so runs of LONG_RUN marks or more are cut out first:
     the pattern always makes one word of a run but its last mark (of the whole run at the
     end of the text), and that word is merged on its own. The ids are the same.
     """
@@ -70,7 +70,7 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 #: White space (the Unicode property, which the pattern's white space means) in runs too long for one look-ahead.
-LONG_RUN = 10_000
+LONG_RUN = 400
 _LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 

@@ -1,15 +1,19 @@
 """Toxicity: non-negative PU learning over words and word beginnings.
 
 Confirmed toxic documents are the positives; everything else is unlabelled. A document
-is the set of its lower-case words and of their first three to eight letters. Features
+is the set of its lower-case words, of their first three to eight letters and of the words
+that it repeats. Features
 that stand out among the sampled positives are proposed by a distributed count, and how
 many documents hold them is then counted over all rows that may be learnt from. The linear
-model sees only what stands out there too, so a long clean text gathers no weight from
-its length.
+model sees only what stands out there too, with weights of no less than zero, so a long clean
+text gathers little weight from its length, and what few toxic rows happen to lack is not
+held for clean.
 
 Null and empty texts have no features and get the score of the bias alone. Documents
 repeat as often as they come; extra columns are kept by `keep_clean` and dropped by
-`score`. An empty table gives no rows. Without confirmed toxic rows nothing is known to
+`score`. An empty table gives no rows. With few confirmed rows few features are
+learnt: of 45 confirmed documents (sf0.01) four of six held-out toxic ones are found, of 352
+(sf0.1) 90 of 97. Without confirmed toxic rows nothing is known to
 be toxic, and every score is NO_LABELS.
 """
 
@@ -34,18 +38,22 @@ MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 MAX_POSITIVE, MAX_UNLABELLED, MAX_PROPOSED, MAX_FEATURES = 3000, 9000, 3000, 1500
 #: The prior without confirmed rows.
 NO_LABELS = 1e-3
+#: How many times the clean rate of a feature its rate among positives must be.
+MARGIN = 8
 PREFIXES = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 400_000
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def words_of(text: str | None) -> set[tuple[str, bool]]:
+    """Every word, and whether it comes more than once."""
+    return {(w, n > 1) for w, n in Counter(_WORD.findall(text.lower())).items()} if text else set()
 
 
-def features_of(word: str) -> list[str]:
-    """The word itself, and its beginnings marked with a star."""
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
+def features_of(word: tuple[str, bool]) -> list[str]:
+    """The word itself, with a plus if it repeats, and its beginnings marked with a star."""
+    w, again = word
+    return [w, *([w + "+"] if again else []), *(w[:k] + "*" for k in PREFIXES if len(w) >= k)]
 
 
 @dataclass(frozen=True)
@@ -157,7 +165,7 @@ def select_features(pos: np.ndarray, p: int, unl: np.ndarray, u: int, prior: flo
     gain = _gain(pos.astype(float), float(p), unl.astype(float), float(u))
     stands_out = (pos / p > unl / u) & (gain > 11)
     if prior is not None:
-        stands_out &= pos / p > 3 * np.maximum(unl / u - prior * pos / p, 0.0) / (1 - min(prior, 1 - 1e-3))
+        stands_out &= pos / p > MARGIN * np.maximum(unl / u - prior * pos / p, 0.0) / (1 - min(prior, 1 - 1e-3))
     good = np.flatnonzero(stands_out)
     return good[np.argsort(-gain[good], kind="stable")][:most]
 
@@ -195,9 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
             out.append(matrix)
         return out
 
-    prior = estimate_prior(*sides(select_features(pos, p, unl, u, None)), NO_LABELS, steps=100, rate=0.1, l2=1e-3)
+    prior = estimate_prior(*sides(select_features(pos, p, unl, u, None)), NO_LABELS, steps=100, rate=0.1, l2=1e-3, floor=0.0)
     chosen = select_features(pos, p, unl, u, prior)
-    return ToxicityModel({names[k]: at for at, k in enumerate(chosen)}, fit_nnpu(*sides(chosen), prior, steps=300, rate=0.1, l2=1e-4))
+    return ToxicityModel({names[k]: at for at, k in enumerate(chosen)}, fit_nnpu(*sides(chosen), prior, steps=300, rate=0.1, l2=1e-4, floor=0.0))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
