@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from vouchlake.functions.columns import names_materially_equal, norm_name, verdict_direction, verdict_rank, wilson
+from vouchlake.functions.columns import blank, names_materially_equal, norm_name, verdict_direction, verdict_rank, wilson
 
 #: Promotion: (from, to) -> least cases, least lower bound, least age in days. Demotion: from -> least cases, greatest bound, to.
 PROMOTION = {("experimental", "corp"): (10, 0.60, 14), ("learned", "experimental"): (5, 0.45, 7)}
@@ -80,13 +81,35 @@ def precedent_relaxations(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def score_predictions(predicted: DataFrame, gold: DataFrame, name_fields: tuple[str, ...]) -> DataFrame:
-    """doc_id, field, strict, lenient: equal as printed; names also when they mean the same."""
+    """doc_id, field, strict, lenient: equal but for case, punctuation and spaces; names also when they mean the same.
+
+    Values may be structs (present, type, masked), as masked results carry them; plain text
+    on the other side counts as such a struct. Two absent values are equal; of two present
+    ones the masked texts must be the same and, for a tax number, its type.
+    """
+    if any(isinstance(df.schema["value"].dataType, StructType) for df in (predicted, gold)):
+        return _score_masked(predicted, gold)
     both = gold.select("doc_id", "field", F.col("value").alias("g")).join(predicted.select("doc_id", "field", F.col("value").alias("p")), ["doc_id", "field"], "left")
     p, g = F.coalesce("p", F.lit("")), F.coalesce("g", F.lit(""))
     strict = norm_name(p) == norm_name(g)
     return both.select("doc_id", "field", strict.alias("strict"), (strict | (F.col("field").isin(*name_fields) & names_materially_equal(p, g))).alias("lenient"))
 
 
+def _score_masked(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    def struct_of(df: DataFrame) -> Column:
+        v = F.col("value")
+        kind = df.schema["value"].dataType
+        if isinstance(kind, StructType):
+            return F.struct(F.coalesce(v["present"], F.lit(False)).alias("present"), (norm_name(v["type"]) if "type" in kind.names else F.lit("")).alias("type"), v["masked"].alias("masked"))
+        return F.struct((~blank(v)).alias("present"), F.lit("").alias("type"), F.coalesce(v, F.lit("")).alias("masked"))
+
+    both = gold.select("doc_id", "field", struct_of(gold).alias("g")).join(predicted.select("doc_id", "field", struct_of(predicted).alias("p")), ["doc_id", "field"], "left")
+    there, read = F.col("g.present"), F.coalesce("p.present", F.lit(False))
+    same = (F.col("field") != "tin") | F.col("g.type").eqNullSafe(F.col("p.type"))
+    strict = F.when(~there & ~read, True).when(there != read, False).otherwise(same & F.col("g.masked").eqNullSafe(F.col("p.masked")))
+    return both.select("doc_id", "field", strict.alias("strict"), strict.alias("lenient"))
+
+
 def field_accuracy(scored: DataFrame) -> DataFrame:
     """Shares a field, named class.field where rows have a doc_class."""
     name = F.concat("doc_class", F.lit("."), "field") if "doc_class" in scored.columns else F.col("field")

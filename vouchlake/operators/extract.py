@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vouchlake.functions.columns import IBAN_LENGTH, blank, digits_of, iban_mod97_ok, lookup, norm_id, text_of, to_iso2
+from vouchlake.functions.columns import IBAN_LENGTH, blank, digits_of, display_value, iban_mod97_ok, lookup, norm_id, text_of, to_iso2
+from vouchlake.functions.frames import beside
 
 # Shapes of identifiers.
 IBAN = r"\b([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){10,30})\b"
@@ -150,6 +151,16 @@ def identifiers(docs: DataFrame) -> DataFrame:
     return base.select("*", F.coalesce(F.try_element_at(labelled, F.lit(1)), longest).alias("account_number")).drop("text")
 
 
+def routing_numbers(docs: DataFrame) -> DataFrame:
+    """doc_id, nth (from 1), value, wires: all different labelled routing numbers in the order of their first printing, and whether that was for wires."""
+    t = F.coalesce("text", F.lit(""))
+    found = F.arrays_zip(_all(t, ROUTING, 1).alias("label"), _all(t, ROUTING, 2).alias("value"))
+    first = F.filter(found, lambda x, k: F.array_position(F.transform(found, lambda y: y["value"]), x["value"]) == k + 1)
+    return docs.select("doc_id", F.posexplode(first).alias("at", "r")).select(
+        "doc_id", (F.col("at") + 1).alias("nth"), F.col("r.value").alias("value"), F.lower("r.label").rlike("wire|domestic").alias("wires")
+    )
+
+
 def long_numbers(docs: DataFrame) -> DataFrame:
     """doc_id and its longest standalone number of 11 to 18 digits, first of equals."""
     runs = F.filter(F.transform(_all(F.col("text"), LONG_RUN, 0), lambda x: F.regexp_replace(x, r"[\s\-]", "")), lambda a: F.length(a).between(11, 18))
@@ -170,12 +181,12 @@ def valid_ibans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array_distinct(F.array_compact(fit))).alias("iban"))
 
 
-def boxed_tin(docs: DataFrame) -> DataFrame:
-    """A tax number printed one digit a line, and its kind by the nearer label in the 800 characters before."""
+def boxed_tin(docs: DataFrame, within: int = 800) -> DataFrame:
+    """A tax number printed one digit a line, and its kind by the nearer label in the `within` characters before."""
     t = F.coalesce("text", F.lit(""))
     run = F.regexp_extract(t, BOXED, 0)
     at = F.instr(t, run)
-    before = F.lower(F.substr(t, F.greatest(F.lit(1), at - 800), F.least(F.lit(800), at - 1)))
+    before = F.lower(F.substr(t, F.greatest(F.lit(1), at - within), F.least(F.lit(within), at - 1)))
     back = F.reverse(before)
     ei, ss = F.instr(back, F.lit("employer identification"[::-1])), F.instr(back, F.lit("social security"[::-1]))
     far = lambda p: F.when(p > 0, p).otherwise(100_000)
@@ -222,16 +233,16 @@ def page_flags(pages: DataFrame) -> DataFrame:
 
 
 def page_scores(pages: DataFrame, doc_class: str = "bank") -> DataFrame:
-    """doc_id, page_no, score: words of the class, identifiers (three each), letters and invoices; 0 for a blank page."""
+    """doc_id, page_no, score: words of the class, identifiers (three each), letters and invoices or, for tax forms, a boxed number (five); 0 for a blank page."""
     low = F.lower(F.coalesce("text", F.lit("")))
     words = _count(low, BANK_WORDS if doc_class == "bank" else TAX_WORDS)
-    # what is needed later rides along as the key, so that nothing is joined back
-    keyed = page_flags(pages).withColumn("doc_id", F.struct("doc_id", "page_no", "text", "bank_letter", "invoice"))
-    ids = identifiers(keyed.select("doc_id", "text"))
-    n = sum((F.col(c).isNotNull().cast("int") for c in ids.columns if c != "doc_id"), F.lit(0))
-    got = ids.select("doc_id.*", n.alias("n"))
-    extra = F.when(F.col("bank_letter"), 8).when(F.col("invoice"), -2).otherwise(0) if doc_class == "bank" else F.lit(0)
-    return got.select("doc_id", "page_no", F.when(blank(F.col("text")), 0).otherwise(words + 3 * F.col("n") + extra).alias("score"))
+    flagged = page_flags(pages).select("doc_id", "page_no", "text", "bank_letter", "invoice")
+    got = beside(flagged, identifiers)
+    n = sum((F.col(c).isNotNull().cast("int") for c in got.columns if c not in flagged.columns), F.lit(0))
+    extra = F.when(F.col("bank_letter"), 8).when(F.col("invoice"), -2).otherwise(0)
+    if doc_class != "bank":
+        got, extra = beside(got, boxed_tin), F.when(F.col("tin_boxed") != "", 5).otherwise(0)
+    return got.select("doc_id", "page_no", F.when(blank(F.col("text")), 0).otherwise(words + 3 * n + extra).alias("score"))
 
 
 def select_pages(scored: DataFrame, k: int = 2) -> DataFrame:
@@ -439,6 +450,16 @@ def merge_tiers(first: Column, second: Column, flag: bool = False) -> Column:
     return F.when(blank(second), text_of(first)).otherwise(text_of(second))
 
 
+def merge_note(field: str, kind: str | None, first: Column, second: Column, policy: str = "masked", flag: bool = False) -> Column:
+    """What two readings say differently, with sensitive values as `policy` shows them; null where they agree or one says nothing."""
+    if flag:
+        a, b = (F.lower(text_of(c)).isin("true", "yes") for c in (first, second))
+        return F.when(a != b, F.concat(F.lit(f"the readings of {field} differ: "), a.cast("string"), F.lit(", then "), b.cast("string")))
+    a, b = text_of(first), text_of(second)
+    shown = (lambda c: display_value(F.lit(kind), c, policy)) if kind else (lambda c: c)
+    return F.when((a != "") & (b != "") & (F.lower(a) != F.lower(b)), F.concat(F.lit(f"the readings of {field} differ: "), shown(a), F.lit(", then "), shown(b)))
+
+
 def escalation_reasons(docs: DataFrame) -> DataFrame:
     """doc_id, reason: why a stronger reading might help.
 

@@ -227,7 +227,12 @@ def resolve_prefix(runs: DataFrame, prefix: str) -> DataFrame:
     return hit.agg(F.count("*").alias("n"), F.min("run_id").alias("run_id")).where("n = 1").select("run_id")
 
 
-def field_confidence(readings: DataFrame) -> DataFrame:
-    """doc_id, field, chip: verified where the text confirms, agreed, check where they differ, model-only."""
-    chip = F.when(F.col("status").isin("confirmed", "confirmed-padded"), "verified").when(F.col("status") == "filled", "agreed").when(F.col("status") == "MISMATCH", "check").otherwise("model-only")
-    return readings.select("doc_id", "field", chip.alias("chip"))
+def field_confidence(readings: DataFrame, engines: DataFrame | None = None) -> DataFrame:
+    """doc_id, field, chip: verified where the text gives or confirms the value, agreed where two engines read the same, check where something differs, else model-only.
+
+    engines: doc_id, field, agree, one row a field that two engines read.
+    """
+    both = readings.withColumn("agree", F.lit(None).cast("boolean")) if engines is None else readings.join(engines.select("doc_id", "field", "agree"), ["doc_id", "field"], "left")
+    text = F.col("status").isin("confirmed", "confirmed-padded", "filled")
+    chip = F.when(text, "verified").when((F.col("status") == "MISMATCH") | (F.col("agree") == F.lit(False)), "check").when(F.col("agree"), "agreed").otherwise("model-only")
+    return both.select("doc_id", "field", chip.alias("chip"))

@@ -14,6 +14,7 @@ from vouchlake.functions.columns import (
     norm_name,
     parse_bic,
     text_of,
+    texts,
     to_iso2,
     tokens,
 )
@@ -189,29 +190,37 @@ def reconcile_partner(tax: DataFrame, partners: DataFrame) -> DataFrame:
 
 
 def meaningful(c: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
+    stop = texts(*STOP_WORDS)
     return F.array_distinct(F.filter(tokens(c), lambda t: ~F.array_contains(stop, t)))
 
 
-def _grams(c: Column) -> Column:
-    """Distinct pieces of one, two and three characters."""
+#: Characters of the windows by which a longer name is sought in others.
+WINDOW = 8
+
+
+def _windows(c: Column, sizes: list[int]) -> Column:
+    """Distinct windows of these sizes; a shorter text has none of a size."""
     some = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substr(c, k, F.lit(n)))).otherwise(F.array())
-    return F.array_distinct(F.concat(some(1), some(2), some(3)))
+    return F.array_distinct(F.concat(*(some(n) for n in sizes)))
 
 
 def _within(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(a, b) of names a that lie within names b, each from a table with one column n.
+    """(a, b) of names a that lie within names b, each from a table with one column n; each pair once.
 
-    If a lies in b, every piece of a is one of b. So a is keyed by the piece of it that
-    the fewest outer names have, pieces of three characters before shorter ones; a piece
-    that no outer name has rules a out. Names of one or two characters have only such keys.
+    A name shorter than WINDOW lies within b if it is one of b's windows: an equi-join that
+    pairs nothing in vain. Of a longer name the window that the fewest outer names have is
+    sought, so a word that all names share draws nobody together; a window that no outer name
+    has rules a name out.
     """
-    pieces = outer.select(F.col("n").alias("b"), F.explode(_grams(F.col("n"))).alias("piece"))
+    a, b = inner.select(F.col("n").alias("a")), outer.select(F.col("n").alias("b"))
+    short = a.where(F.length("a") < WINDOW)
+    by_name = b.select("b", F.explode(_windows(F.col("b"), list(range(1, WINDOW)))).alias("a")).join(short, "a").select("a", "b")
+    pieces = b.select("b", F.explode(_windows(F.col("b"), [WINDOW])).alias("piece"))
     often = pieces.groupBy("piece").agg(F.count("*").alias("k"))
-    size = F.least(F.length("n"), F.lit(3))
-    mine = inner.select(F.col("n").alias("a"), size.alias("size"), F.explode(_grams(F.col("n"))).alias("piece")).where("length(piece) = size")
-    counted = mine.join(often, "piece", "left").groupBy("a").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "piece")).alias("m"))
-    return counted.where("m.k > 0").select("a", F.col("m.piece").alias("piece")).join(pieces, "piece").where(F.contains("b", "a")).select("a", "b")
+    mine = a.where(F.length("a") >= WINDOW).select("a", F.explode(_windows(F.col("a"), [WINDOW])).alias("piece"))
+    rarest = mine.join(often, "piece", "left").groupBy("a").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "piece")).alias("m")).where("m.k > 0")
+    by_window = rarest.select("a", F.col("m.piece").alias("piece")).join(pieces, "piece").where(F.contains("b", "a")).select("a", "b")
+    return by_name.unionByName(by_window)
 
 
 def registry_match(names: DataFrame, registry: DataFrame) -> DataFrame:
@@ -239,7 +248,7 @@ def registry_match(names: DataFrame, registry: DataFrame) -> DataFrame:
         .join(left, "words").select("name", "b")
     )
     one, other = wide.select("n").where("n <> ''").distinct(), entries.select("n").where("n <> ''").distinct()
-    held = _within(one, other).select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(_within(other, one).select(F.col("b").alias("n"), F.col("a").alias("m"))).distinct()
+    held = _within(one, other).select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(_within(other, one).select(F.col("b").alias("n"), F.col("a").alias("m")))  # equal names twice, which a minimum doesn't mind
     shared = F.size(F.array_intersect(meaningful(F.col("name")), meaningful(F.col("entry"))))
     by_part = (
         wide.where("n <> ''").join(held, "n").join(entries.select(F.col("n").alias("m"), "entry", "active"), "m")

@@ -24,6 +24,37 @@ def extract_identifiers(docs):
     return X.identifiers(docs).select("doc_id", "iban", "swift_bic", "routing_aba", "account_number")
 
 
+@query(
+    "routing_numbers",
+    "vendor_text",
+    sql=rf"""WITH t AS (SELECT doc_id, text || chr(10) || 'Bank ABA (domestic wires): 0' || lpad(CAST(doc_id * 7 % 100000000 AS VARCHAR), 8, '0') || chr(10) || 'ACH routing 0' || lpad(CAST(doc_id % 3 AS VARCHAR), 8, '0') || ' wire 0' || lpad(CAST(doc_id % 3 AS VARCHAR), 8, '0') AS text FROM vendor_text),
+r AS (SELECT doc_id, regexp_extract_all(text, '{_ROUTING}', 1) AS l, regexp_extract_all(text, '{_ROUTING}', 2) AS v FROM t),
+f AS (SELECT doc_id, l, v, list_filter(range(1, len(v) + 1), lambda k: list_position(v, v[k]) = k) AS ks FROM r),
+u AS (SELECT doc_id, l, v, unnest(ks) AS k, unnest(range(1, len(ks) + 1)) AS nth FROM f)
+SELECT doc_id, CAST(nth AS INTEGER) AS nth, v[k] AS value, regexp_matches(lower(l[k]), 'wire|domestic') AS wires FROM u""",
+)
+def routing_numbers(docs):
+    k, tail = F.col("doc_id"), lambda c: F.lpad(c.cast("string"), 8, "0")
+    more = F.concat(F.lit("Bank ABA (domestic wires): 0"), tail(k * 7 % 100_000_000), F.lit("\nACH routing 0"), tail(k % 3), F.lit(" wire 0"), tail(k % 3))
+    return X.routing_numbers(docs.select("doc_id", F.concat_ws("\n", "text", more).alias("text")))
+
+
+@query(
+    "tax_page_scores",
+    "intake",
+    sql=rf"""WITH f AS (SELECT doc_id, text, lower(text) AS low, regexp_extract(text, '((?:[0-9-]\n){{{{9,13}}}})', 1) AS run,
+  regexp_extract(text, '{X.IBAN}', 1) AS iban, regexp_extract(text, '{X.BIC_LABELLED}', 1) AS b0, len(list_filter(regexp_extract_all(text, '{X.BIC}', 1), lambda x: regexp_matches(x, '[0-9]'))) AS b1,
+  regexp_extract(text, '(^|[^0-9-])([0-9]{{{{2}}}}-[0-9]{{{{7}}}})($|[^0-9-])', 2) AS ein, regexp_replace(regexp_extract(text, '{X.EIN_BOXED}', 1), '[^0-9]', '', 'g') AS boxed, regexp_extract(text, '{_ROUTING}', 2) AS routing,
+  len(list_filter(list_transform(regexp_extract_all(text, '{X.ACCOUNT}', 1), lambda x: regexp_replace(x, '[\s\-]', '', 'g')), lambda x: length(x) BETWEEN 6 AND 18))
+  + len(list_filter(list_transform(regexp_extract_all(text, '{X.LONG_RUN}'), lambda x: regexp_replace(x, '[\s\-]', '', 'g')), lambda x: length(x) BETWEEN 11 AND 18)) AS accounts FROM intake)
+SELECT doc_id, 0 AS page_no, {" + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in X.TAX_WORDS)} + 3 * (CAST(length(replace(iban, ' ', '')) BETWEEN 15 AND 34 AS INT) + CAST(b0 <> '' OR b1 > 0 AS INT)
+  + CAST(ein <> '' OR length(boxed) = 9 AS INT) + CAST(routing <> '' AS INT) + CAST(accounts > 0 AS INT)) + CASE WHEN run <> '' AND length(regexp_replace(run, '[^0-9]', '', 'g')) = 9 THEN 5 ELSE 0 END AS score FROM f""".replace("{{", "{").replace("}}", "}"),
+)
+def tax_page_scores(intake):
+    """Each document as one page of a tax form."""
+    return X.page_scores(intake.select("doc_id", F.lit(0).alias("page_no"), "text"), "w9")
+
+
 @query(
     "long_number_candidates",
     "documents",
@@ -294,9 +325,16 @@ def engine_compare(readings):
     return X.engine_compare(readings, _READ)
 
 
-@query("merge_readings", "readings", sql="SELECT doc_id, CASE WHEN account_model = '' THEN account_text ELSE account_model END AS account FROM readings")
+@query(
+    "merge_readings",
+    "readings",
+    sql="""SELECT doc_id, CASE WHEN account_model = '' THEN account_text ELSE account_model END AS account,
+  CASE WHEN account_text <> '' AND account_model <> '' AND lower(account_text) <> lower(account_model)
+    THEN 'the readings of account_number differ: …' || right(account_text, 4) || ', then …' || right(account_model, 4) END AS note FROM readings""",
+)
 def merge_readings(readings):
-    return readings.select("doc_id", X.merge_tiers(F.col("account_text"), F.col("account_model")).alias("account"))
+    first, second = F.col("account_text"), F.col("account_model")
+    return readings.select("doc_id", X.merge_tiers(first, second).alias("account"), X.merge_note("account_number", "account_number", first, second).alias("note"))
 
 
 _EMPTY = lambda c: f"coalesce({c}, '') = ''"
