@@ -11,3 +11,19 @@ def test_best_entry_despite_a_common_word(spark):
     assert got["Acme Tools of Sparrow"] == ("FOUND", "Sparrow Trust Acme Tools", 3)
     assert got["Widget Works Sparrow Ltd"][:2] == ("FOUND", "Sparrow")  # an active entry within the name goes before an inactive one
     assert got["Sparrow"][0] == "FOUND" and got["Nobody"] == ("NOT_FOUND", None, 0) and got["Sparrow Nowhere"] == ("FOUND", "Sparrow", 1)
+
+
+def test_names_that_share_their_words_and_each_other(spark):
+    """Pairs of containment equal trying all, short names and long; a phrase that all names share draws no two together."""
+    import itertools
+    import random
+
+    from vouchlake.operators.reconcile import _within
+
+    rng = random.Random(2)
+    names = {"".join(rng.choices("ab ", k=rng.randrange(1, 14))).strip() or "a" for _ in range(250)} | {f"the northern savings bank {k} of {k % 7}" for k in range(120)} | {"northern savings bank", "the northern savings bank 1"}
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [tuple(r) for r in _within(table, table).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in itertools.product(names, names) if a in b}
+    many = spark.createDataFrame([(f"the northern savings bank number {k * 7919 + 100_000}x",) for k in range(3000)], "n string")
+    assert _within(many, many).count() == 3000

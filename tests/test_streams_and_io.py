@@ -1,6 +1,8 @@
 """Streams against their batch twins; readers and writers."""
 
 import json
+import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -99,9 +101,103 @@ def test_rules_from_files(spark, tmp_path):
 
 def test_gated_write_splits_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, "fine"), (2, "id 000-12-3456"), (3, "DE89370400440532013000"), (4, None)], "k int, text string")
-    io.gated_write(df, ["text"], str(tmp_path / "ok"), str(tmp_path / "held"))
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == [1, 4]
-    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "held")).collect()) == [2, 3]
+    for n in (1, 2):  # to a new folder, and beside what is there
+        assert io.gated_write(df, ["text"], str(tmp_path / "ok"), str(tmp_path / "held")) == 2
+        assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == sorted([1, 4] * n)
+        assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "held")).collect()) == sorted([2, 3] * n)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["held", "ok"]
+
+
+def test_a_strict_sink_fails_before_anything_is_visible(spark, tmp_path):
+    df = spark.createDataFrame([(k, "id 000-12-3456" if k == 77 else "fine") for k in range(100)], "k int, text string")
+    target = str(tmp_path / "out")
+    with pytest.raises(io.Leak, match="1 rows"):
+        io.gated_write(df, ["text"], target)
+    assert list(tmp_path.iterdir()) == []
+    assert io.gated_write(df.where("k <> 77"), ["text"], target) == 0
+    before = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    with pytest.raises(io.Leak):
+        io.gated_write(df, ["text"], target)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == before
+    assert io.gated_write(df.limit(0), ["text"], str(tmp_path / "none")) == 0
+
+
+def test_broken_lines_are_counted_and_kept(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text('{"label_id":"a","confirmed":true}\n{"label_id":\n\nnonsense\n{"label_id":"b"}\n')
+    rows, broken = io.part_lines(spark, str(tmp_path / "l.jsonl"), io.LABEL)
+    assert sorted(r.label_id for r in rows.collect()) == ["a", "b"] and rows.columns == io.load_labels(spark, str(tmp_path / "l.jsonl")).columns
+    assert [(r.file.rsplit("/", 1)[1], r.n) for r in io.quarantine_lines(broken, str(tmp_path / "q")).collect()] == [("l.jsonl", 2)]
+    assert {r.value for r in spark.read.parquet(str(tmp_path / "q")).collect()} == {'{"label_id":', "nonsense"}
+
+
+def test_a_damaged_ledger_keeps_its_bytes(spark, tmp_path):
+    (tmp_path / "ledger").mkdir()
+    (tmp_path / "ledger" / "a.json").write_text('{"bank:BNK-001":{"status":"APPROVED","hash":"h"}}')
+    (tmp_path / "ledger" / "b.json").write_bytes(b'{"bank:BNK-002":{"status":"APPR\xff')
+    for _ in range(2):
+        got = io.load_approvals(spark, str(tmp_path / "ledger"), str(tmp_path / "held"))
+        assert [(r.rule_id, r.status) for r in got.collect()] == [("BNK-001", "APPROVED")]
+        assert [bytes(r.content) for r in spark.read.parquet(str(tmp_path / "held")).collect()] == [b'{"bank:BNK-002":{"status":"APPR\xff']
+
+
+def test_staleness_in_any_order(spark, tmp_path):
+    """Whatever the order of arrival, the last state is the batch count; counters older than the horizon stay bounded."""
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+    rng = random.Random(4)
+    events = [(k, rng.choice(["confirm", "safe", "unsafe", "safe"])) for k in rng.sample(range(1000), 120)]
+    last = max((a for a, k in events if k == "confirm"), default=-1)
+    want = (sum(a > last and k != "confirm" for a, k in events), sum(a > last and k == "unsafe" for a, k in events))
+    for _ in range(20):
+        rng.shuffle(events)
+        state, at = State(), 0
+        while at < len(events):
+            part = events[at : at + rng.randrange(1, 9)]
+            at += len(part)
+            out = pd.concat(list(S._stale(10_000)((1,), iter([pd.DataFrame(part, columns=["at", "kind"])]), state)))
+        assert (out.disagreements[0], out.unsafe[0]) == want
+    state = State()
+    for k in range(300):
+        out = pd.concat(list(S._stale(50)((1,), iter([pd.DataFrame([(k, "unsafe")], columns=["at", "kind"])]), state)))
+        assert len(state.get[4]) <= 52 and out.disagreements[0] == out.unsafe[0] == k + 1
+
+
+def test_a_killed_stream_goes_on_where_it_was(spark, tmp_path):
+    """The second of three files breaks the job; restarted from its checkpoint it counts each row once."""
+    from pyspark.sql import functions as F
+
+    source, folder = tmp_path / "in", str(tmp_path / "out")
+    for k in range(3):
+        rows = spark.createDataFrame([(k * 1000 + j, datetime(2026, 1, 1 + k, j), "a" if j % 2 else "b") for j in range(20)], "event_id long, ts timestamp, event_type string")
+        rows.coalesce(1).write.parquet(str(source / f"f{k}"))
+    files = [next(p for p in (source / f"f{k}").iterdir() if p.suffix == ".parquet") for k in range(3)]
+    (tmp_path / "flat").mkdir()
+    for k, f in enumerate(files):
+        (tmp_path / "flat" / f"{k}.parquet").write_bytes(f.read_bytes())
+        os.utime(tmp_path / "flat" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    marker = tmp_path / "broken"
+    marker.write_text("yes")
+
+    @F.udf("boolean")
+    def check(event_id):
+        if event_id >= 1000 and os.path.exists(marker):
+            raise RuntimeError("lost")
+        return True
+
+    rates = lambda: S.rule_rates(S.read_stream(spark, str(tmp_path / "flat"), 1).where(check("event_id")))
+    with pytest.raises(Exception, match="lost"):
+        S.run_to_files(rates(), folder)
+    marker.unlink()
+    got = {(r.start, r.event_type): r.n for r in S.run_to_files(rates(), folder).collect()}
+    batch = {(r.start, r.event_type): r.n for r in S.rule_rates(spark.read.parquet(str(tmp_path / "flat"))).collect()}
+    until = datetime(2026, 1, 3, 19) - timedelta(hours=1)
+    assert got == {k: n for k, n in batch.items() if k[0] + timedelta(hours=1) <= until} and len(got) > 100
 
 
 def test_known_values_are_found_between_separators(spark):

@@ -112,14 +112,14 @@ def leak_sweep(zones: DataFrame, strict: tuple[str, ...] | None = None) -> DataF
     return hits.groupBy("zone", "pattern").agg(F.count("*").alias("hits"))
 
 
-def gated_split(df: DataFrame, text_columns: list[str], policy: str = "strict") -> tuple[DataFrame, DataFrame]:
-    """(clean rows, quarantined rows) of what is about to be written."""
+def leaking(text_columns: list[str], policy: str = "strict") -> Column:
+    """Whether a row that is about to be written holds a sensitive pattern."""
     patterns = [*TAX_LEAKS.values(), *(BANK_LEAKS.values() if policy == "strict" else ())]
     hit = F.lit(False)
     for c in text_columns:
         for p in patterns:
             hit = hit | F.coalesce(F.col(c).rlike(DIGIT) & F.col(c).rlike(p), F.lit(False))
-    return df.where(~hit), df.where(hit)
+    return hit
 
 
 def kind_conflicts(values: DataFrame) -> DataFrame:

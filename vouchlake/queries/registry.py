@@ -24,6 +24,18 @@ def query(name: str, *reads: str, sql: str | None = None):
     return add
 
 
+def files_query(name: str, sql: str | None = None):
+    """Registers a function of (session, folder of the tables) under `name`, for jobs that read the files themselves."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql.strip()
+        return f
+
+    return add
+
+
 def mod97(c: str) -> str:
     """DuckDB: whether c is two letters, then digits alone, with the right check digits."""
     swapped = f"substr({c}, 5) || (ascii({c}) - 55) || (ascii(substr({c}, 2, 1)) - 55) || substr({c}, 3, 2)"

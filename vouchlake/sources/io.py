@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouchlake.functions.columns import blank, lookup
-from vouchlake.operators.privacy import gated_split
+from vouchlake.operators.privacy import leaking
 from vouchlake.plans.rules import Rule, validate_rules
 
 META = "run_id string, ts timestamp, doc_class string, file_name string, doc_type string, verdict string, tier string, duration_s double"
@@ -56,9 +57,26 @@ def load_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def load_labels(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Labels from JSON lines; broken lines are left out, or an error where `strict`."""
-    out = spark.read.schema(LABEL).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
-    return out.withColumn("stratum", F.lit("synthetic")) if strict else out
+    """Labels from JSON lines; broken lines are left out (see `part_lines`), or an error where `strict`."""
+    if strict:
+        return spark.read.schema(LABEL).option("mode", "FAILFAST").json(path).withColumn("stratum", F.lit("synthetic"))
+    return part_lines(spark, path, LABEL)[0]
+
+
+def part_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, broken) of JSON lines: what parses, and file and value of each line that doesn't. Empty lines are neither."""
+    lines = spark.read.text(path).where(~blank(F.col("value"))).select(F.col("_metadata.file_path").alias("file"), "value")
+    read = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    parsed = lines.withColumn("j", read)
+    return parsed.where("j._broken IS NULL").select("j.*").drop("_broken"), parsed.where("j._broken IS NOT NULL").select("file", "value")
+
+
+def quarantine_lines(broken: DataFrame, path: str) -> DataFrame:
+    """Keeps broken lines as they are below `path`; file, n of what was kept there this time. The driver gets nothing."""
+    stamp = F.sha2(F.concat_ws("\n", "file", "value"), 256)
+    broken.withColumn("line_id", stamp).write.mode("append").parquet(path)
+    kept = broken.sparkSession.read.parquet(path).join(broken.select(stamp.alias("line_id")).distinct(), "line_id", "left_semi")
+    return kept.dropDuplicates(["line_id"]).groupBy("file").agg(F.count("*").alias("n"))
 
 
 def canonical(name: Column) -> Column:
@@ -139,10 +157,21 @@ def save_rules(spark: SparkSession, rules: tuple[Rule, ...], path: str) -> None:
     spark.createDataFrame(rows, RULE).coalesce(1).write.json(path)
 
 
-def load_approvals(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger: class, rule, status, hash, by. Unreadable lines leave their rules pending."""
+def load_approvals(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """The ledger: class, rule, status, hash, by. An unreadable file leaves its rules pending.
+
+    With `quarantine`, the bytes of unreadable files are kept below that folder, each
+    content once, so that what operators decided is not lost with a damaged file.
+    """
     entry = "map<string,struct<status:string,hash:string,note:string,by:string,ts:timestamp>>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", entry).alias("m"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content", F.from_json(F.col("content").cast("string"), entry).alias("m"))
+    if quarantine is not None:
+        broken = files.where("m IS NULL").select("path", "content", F.sha2("content", 256).alias("content_id"))
+        files_of = Folder(spark, quarantine)
+        if files_of.exists():
+            broken = broken.join(spark.read.parquet(quarantine).select("content_id"), "content_id", "left_anti")
+        broken.write.mode("append").parquet(quarantine)
+    raw = files.where("m IS NOT NULL")
     return raw.select(F.explode("m").alias("key", "e")).select(
         F.split_part("key", F.lit(":"), F.lit(1)).alias("doc_class"), F.split_part("key", F.lit(":"), F.lit(2)).alias("rule_id"), "e.*"
     )
@@ -162,11 +191,60 @@ def load_registry(spark: SparkSession, path: str, now: str, hours: int = 24) ->
     return spark.read.parquet(path).where(F.col("snapshot_ts") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(hours)} HOURS"))
 
 
-def gated_write(df: DataFrame, text_columns: list[str], path: str, quarantine: str, policy: str = "strict") -> None:
-    """Clean rows to `path`; rows with a sensitive pattern, in masked form nowhere, to `quarantine`."""
-    clean, held = gated_split(df, text_columns, policy)
-    clean.write.mode("append").parquet(path)
-    held.write.mode("append").parquet(quarantine)
+class Leak(RuntimeError):
+    """Rows with sensitive patterns were about to be written."""
+
+
+class Folder:
+    """A folder of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.path = self.hadoop.Path(name)
+        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.fs.exists(self.path)
+
+    def delete(self) -> None:
+        self.fs.delete(self.path, True)
+
+    def move_to(self, target: "Folder") -> None:
+        """The whole folder in one step where the target is new; else file by file, under names that no other write has."""
+        if not self.exists():
+            return
+        if not target.exists():
+            self.fs.mkdirs(target.path.getParent())
+            if self.fs.rename(self.path, target.path):
+                return
+        for f in self.fs.listStatus(self.path):
+            if not self.fs.rename(f.getPath(), self.hadoop.Path(target.path, f.getPath().getName())):
+                raise OSError(f"could not move {f.getPath()}")
+
+
+def gated_write(df: DataFrame, text_columns: list[str], path: str, quarantine: str | None = None, policy: str = "strict") -> int:
+    """Clean rows to `path`, rows with a sensitive pattern to `quarantine`; how many those are.
+
+    Without a quarantine one such row fails the write (`Leak`), and nothing of it is
+    visible. The rows are computed and written once, into a folder beside `path`, parted by
+    what was found; only then they are moved, the held ones first. A job that dies before
+    leaves a folder that no reader looks at. Part files have names of their own, so writers
+    don't meet.
+    """
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    part = lambda held: Folder(spark, f"{staging}/_held={str(held).lower()}")
+    df.withColumn("_held", leaking(text_columns, policy)).write.partitionBy("_held").parquet(staging)
+    try:
+        n = spark.read.parquet(f"{staging}/_held=true").count() if part(True).exists() else 0
+        if n and quarantine is None:
+            raise Leak(f"{n} rows hold sensitive patterns")
+        if quarantine is not None:
+            part(True).move_to(Folder(spark, quarantine))
+        part(False).move_to(Folder(spark, path))
+        return n
+    finally:
+        Folder(spark, staging).delete()
 
 
 def report_json(verdicts: DataFrame, findings: DataFrame) -> DataFrame:

@@ -44,30 +44,45 @@ def review_bursts(events: DataFrame, who: str = "user_id", ts: str = "ts", gap:
     return counted.select(who, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def _stale(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Counters of one document: a newer confirmation resets them, disagreements before it don't count."""
-    confirmed, wrong, unsafe = state.get if state.exists else (0, 0, 0)
-    rows = sorted((int(r.at), r.kind) for p in parts for r in p.itertuples(index=False))
-    for at, kind in rows:
-        if kind == "confirm":
-            if at > confirmed:
-                confirmed, wrong, unsafe = at, 0, 0
-        elif at > confirmed:
-            wrong, unsafe = wrong + 1, unsafe + (kind == "unsafe")
-    state.update((confirmed, wrong, unsafe))
-    yield pd.DataFrame({"doc_key": [key[0]], "disagreements": [wrong], "unsafe": [unsafe]})
-
-
-def stream_staleness(events: DataFrame) -> DataFrame:
-    """doc_key, disagreements, unsafe after each batch. events: doc_key long, at long, kind confirm, safe or unsafe.
-
-    State is three numbers a document and is kept, since a document may be confirmed
-    again after years. A confirmation that arrives late resets the counters but can't
-    count anew what came between; the batch form (`gold_staleness`) does.
+def _stale(horizon: int):
+    """Of one document: when it was last confirmed, which disagreements came later, and, of those older than the horizon, only how many and until when."""
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        confirmed, old, old_unsafe, old_until, ats, unsafe = state.get if state.exists else (NEVER, 0, 0, NEVER, [], [])
+        rows = pd.concat(list(parts))
+        at, kind = rows["at"].to_numpy("int64"), rows["kind"].to_numpy()
+        newest = max([confirmed, old_until, *ats, *at.tolist()])
+        confirmed = max([confirmed, *at[kind == "confirm"].tolist()])
+        if confirmed >= old_until:
+            old, old_unsafe = 0, 0
+        wrong = kind != "confirm"
+        open_ = sorted((a, u) for a, u in [*zip(ats, unsafe), *zip(at[wrong].tolist(), (kind[wrong] == "unsafe").tolist())] if a > confirmed)
+        while open_ and open_[0][0] < newest - horizon:
+            a, u = open_.pop(0)
+            old, old_unsafe, old_until = old + 1, old_unsafe + u, max(old_until, a)
+        state.update((confirmed, old, old_unsafe, old_until, [a for a, _ in open_], [bool(u) for _, u in open_]))
+        yield pd.DataFrame({"doc_key": [key[0]], "disagreements": [old + len(open_)], "unsafe": [old_unsafe + sum(u for _, u in open_)]})
+
+    return fold
+
+
+#: Before all events.
+NEVER = -(1 << 62)
+
+
+def stream_staleness(events: DataFrame, horizon: int = 400 * 24 * 3600) -> DataFrame:
+    """doc_key, disagreements, unsafe after each batch: what came after a document's last confirmation. events: doc_key long, at long, kind confirm, safe or unsafe.
+
+    Events may come in any order: the times of open disagreements are kept, so a
+    confirmation that arrives late takes off what came before it and leaves the rest, as the
+    batch form (`gold_staleness`) does. `horizon` bounds the state: disagreements older than
+    the document's newest event by more are folded into counters, which only a confirmation
+    after all of them resets; one from between, that late, takes off nothing.
     """
     return events.groupBy("doc_key").applyInPandasWithState(
-        _stale, "doc_key long, disagreements long, unsafe long", "confirmed long, wrong long, unsafe long", "update", "NoTimeout"
-    )
+        _stale(horizon), "doc_key long, disagreements long, unsafe long",
+        "confirmed long, old long, old_unsafe long, old_until long, ats array<long>, unsafe array<boolean>", "update", "NoTimeout",
+    )
 
 
 def run_to_files(stream: DataFrame, folder: str, key: list[str] | None = None) -> DataFrame:
