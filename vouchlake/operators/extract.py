@@ -174,6 +174,7 @@ def valid_ibans(docs: DataFrame) -> DataFrame:
     Full-width digits and letters count as plain ones.
     """
     wide = F.translate(F.coalesce("text", F.lit("")), "".join(chr(0xFEE0 + ord(c)) for c in PLAIN), PLAIN)
+    # fixed value: what an IBAN looks like, blanks and all
     shaped = _all(F.upper(wide), r"\b([A-Z]{2}\s?[0-9]{2}(?:\s?[A-Z0-9]){10,32})\b")
     clean = F.transform(shaped, lambda x: F.regexp_replace(x, r"\s", ""))
     cut = lambda x: F.substr(x, F.lit(1), F.coalesce(lookup(IBAN_LENGTH, F.substring(x, 1, 2)), F.length(x)))
@@ -473,6 +474,7 @@ def escalation_reasons(docs: DataFrame) -> DataFrame:
     bank = (get("doc_class") == "bank") & ~kind.isin("invoice", "email", "editable_source")
     american = (to_iso2(get("bank_country")) == "US") | said.rlike(r"\b(aba|routing)\b")
     w9, w8 = (get("doc_class") == "w9") & (kind == "w9"), (get("doc_class") == "w9") & (kind == "w8")
+    # fixed values: the names of the reasons
     cases = {
         "quality-requested": yes("asked"), "json-retry": yes("retried"), "us-bank-no-routing": bank & american & empty("routing_aba"),
         "bank-no-account-id": bank & empty("account_number") & empty("iban"), "bank-no-holder": bank & empty("account_holder"),

@@ -18,12 +18,14 @@ OWNER_SENTENCES = (
     r"(?i)\b(?:verify|verifies|confirm|confirms|certify|certifies)\s+that\s+([A-Z][\p{L}\p{N}_&.,'()\- ]{2,70}?)\s+is\s+(?:a|an|our)\s+(?:valued\s+)?(?:customer|client|account\s*holder)",
     r"(?i)\b([A-Z][\p{L}\p{N}_&.,'()\- ]{2,60}?)\s+(?:holds|maintains)\s+(?:a|an|the|its)?\s*(?:(?:business|checking|deposit)\s+)*account",
 )
+# Marks of regulators, which are no banks.
 REGULATORS = ("vigilado", "superintendencia", "supervised by", "regulated by")
 # Names that stand in forms and tutorials for any name.
 PLACEHOLDERS = (
     "acme", "acme corp", "acme corporation", "acme inc", "acme llc", "john doe", "jane doe", "john smith", "jane smith", "example corp",
     "example company", "test company", "sample company", "company name", "your company", "n/a",
 )
+# Fixed value: the period of a statement.
 PERIOD = r"(\d{1,2}[- ]?[A-Za-z]{3}[- ]?\d{4})\s*(?:to|through|–|—|-)\s*(\d{1,2}[- ]?[A-Za-z]{3}[- ]?\d{4})"
 
 
@@ -36,7 +38,9 @@ def _context(text: Column, value: Column) -> Column:
 
 def ground_holder(docs: DataFrame) -> DataFrame:
     """doc_id, account_holder, account_signatory: a name under a signer's label is no owner; an empty owner is taken from a sentence that names one."""
-    holder = text_of(F.col("account_holder"))
+    # under another name first: within a lambda, a column that the same select names anew means the new one
+    docs = docs.select("doc_id", "text", text_of(F.col("account_holder")).alias("_holder"))
+    holder = F.col("_holder")
     where = _context(F.col("text"), holder)
     signs = (holder != "") & where.rlike(SIGNATORY) & ~where.rlike(OWNER)
     said = F.coalesce(*(F.nullif(F.regexp_replace(F.trim(F.regexp_extract("text", p, 1)), r"^[.,;:'\"]+|[.,;:'\"]+$", ""), F.lit("")) for p in OWNER_SENTENCES))
@@ -75,7 +79,8 @@ def audit_bank_ids(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     Nulls count as empty; notes are joined by "; ".
     """
     printed = candidates.groupBy("doc_id").agg(F.collect_set("iban").alias("printed"))
-    v, acct = norm_id(F.col("iban")), digits_of(F.col("account_number"))
+    docs = docs.withColumn("_iban", norm_id(F.col("iban")))
+    v, acct = F.col("_iban"), digits_of(F.col("account_number"))
     r, clearing = digits_of(F.col("routing_aba")), digits_of(F.col("clearing_printed"))
     stray = (v != "") & ~v.rlike("^[A-Z]{2}[0-9]{2}")
     inside = digits_of(v)
@@ -154,6 +159,7 @@ def ground_instructions(docs: DataFrame, strong: DataFrame) -> DataFrame:
 
 def repair_asian_forms(docs: DataFrame) -> DataFrame:
     """doc_id, account_number, bank_country: postal codes and mobile numbers are no accounts; labelled accounts are."""
+    # fixed values below: the labels of such forms
     narrow = F.translate(F.coalesce("text", F.lit("")), "０１２３４５６７８９－−：", "0123456789--:")
     jp = narrow.rlike("〒|口座")
     cn = narrow.rlike("账|帐|户名|开户") & ~narrow.contains("口座")

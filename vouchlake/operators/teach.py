@@ -83,6 +83,7 @@ def scenario_tags(runs: DataFrame) -> DataFrame:
     fired = lambda r: F.array_contains(F.coalesce("rule_ids", F.array().cast("array<string>")), r) if "rule_ids" in runs.columns else F.lit(False)
     is_type = lambda t: F.coalesce(F.col("doc_type") == t, F.lit(False))
     bank, both = F.col("doc_class") == "bank", yes("letter_page") & yes("invoice_page")
+    # fixed values: the names of the tags
     cases = [
         (no("has_text"), F.concat("doc_class", F.lit("_image_only"))), (yes("rotated"), F.concat("doc_class", F.lit("_rotated_photo"))),
         *((bank & c, F.lit(t)) for t, c in {
