@@ -39,17 +39,25 @@ class ByteBpe:
         import os
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_str(spec.decode())
         parsed = json.loads(spec)
         self.special = [x["content"] for x in parsed.get("added_tokens", [])]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in parsed["model"]["vocab"].items() if piece not in self.special}
-        self.size = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
+        self.size = 1 + max([*parsed["model"]["vocab"].values(), *(x["id"] for x in parsed.get("added_tokens", []))])
+        self._spec, self._library = spec, None
         self.fast = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def library(self):
+        """The library's own tokenizer; made when a text first needs it, as it takes as much memory again."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self._spec.decode())
+        return self._library
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int64)

@@ -42,18 +42,22 @@ NO_LABELS = 1e-3
 MARGIN = 8
 PREFIXES = (3, 4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 400_000
+_MEMO = 200_000
 
 
-def words_of(text: str | None) -> set[tuple[str, bool]]:
-    """Every word, and whether it comes more than once."""
-    return {(w, n > 1) for w, n in Counter(_WORD.findall(text.lower())).items()} if text else set()
+def words_of(text: str | None) -> Counter[str]:
+    """Every word, and how often it comes."""
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
-def features_of(word: tuple[str, bool]) -> list[str]:
-    """The word itself, with a plus if it repeats, and its beginnings marked with a star."""
-    w, again = word
-    return [w, *([w + "+"] if again else []), *(w[:k] + "*" for k in PREFIXES if len(w) >= k)]
+def features_of(word: str) -> list[str]:
+    """The word itself, and its beginnings marked with a star."""
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)]
+
+
+def repeated(word: str) -> str:
+    """The feature of a text that has the word more than once."""
+    return word + "+"
 
 
 @dataclass(frozen=True)
@@ -72,7 +76,7 @@ class ToxicityModel:
         vocabulary, memo = self.vocabulary, {}
         for text in texts:
             found: set[int] = set()
-            for w in words_of(text):
+            for w, n in words_of(text).items():
                 hit = memo.get(w)
                 if hit is None:
                     if len(memo) > _MEMO:
@@ -80,6 +84,8 @@ class ToxicityModel:
                     hit = memo[w] = tuple(vocabulary[f] for f in features_of(w) if f in vocabulary)
                 if hit:
                     found.update(hit)
+                    if n > 1 and (again := vocabulary.get(repeated(w))) is not None:
+                        found.add(again)
             yield sorted(found)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -93,7 +99,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for b in batches:
         pos, unl = Counter(), Counter()
         for text, positive in zip(b.column("text").to_pylist(), b.column("is_positive").to_pylist()):
-            (pos if positive else unl).update({f for w in words_of(text) for f in features_of(w)})
+            (pos if positive else unl).update({f for w, n in words_of(text).items() for f in (*features_of(w), *([repeated(w)] if n > 1 else ()))})
         names = list(pos | unl)
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([pos[x] for x in names], pa.int64()), pa.array([unl[x] for x in names], pa.int64())],

@@ -54,8 +54,8 @@ def worker_cache(key: str, make):
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of at most 8 MB and 2000 rows, so that a task's memory doesn't depend on their length."""
-    for key, most in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 2000)):
+    """Hand texts to Python in batches of at most 4 MB and 2000 rows, so that a task's memory doesn't depend on their length."""
+    for key, most in (("maxBytesPerBatch", 4 << 20), ("maxRecordsPerBatch", 2000)):
         name = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(name).rstrip("b")  # with another unit, somebody chose it
         if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
