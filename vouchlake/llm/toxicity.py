@@ -84,8 +84,8 @@ class ToxicityModel:
                     hit = memo[w] = tuple(vocabulary[f] for f in features_of(w) if f in vocabulary)
                 if hit:
                     found.update(hit)
-                    if n > 1 and (again := vocabulary.get(repeated(w))) is not None:
-                        found.add(again)
+                if n > 1 and (again := vocabulary.get(repeated(w))) is not None:
+                    found.add(again)
             yield sorted(found)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
