@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import components, join_one, labelled, star_edges
 from .samples import read_table
-from .workspace import cut, free_name, worker_cache
+from .workspace import cut, free_name, give_back, worker_cache
 
 CHUNKS, WIDTH = 12, 4
 POSITIONS, THRESHOLD = CHUNKS * WIDTH, 2 * CHUNKS - 1
@@ -123,6 +123,7 @@ def _describe(words: int):
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sig, pa.binary()), b.column("text_hash")],
                 names=["doc_id", "n_shingles", "set_id", "sig", "text_hash"],
             )
+        give_back()
 
     return run
 
@@ -159,6 +160,7 @@ def _sets_of(words: int):
                 [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                 names=["node", "n", "sig", "ids"],
             )
+        give_back()
 
     return run
 

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from .workspace import worker_cache
+from .workspace import give_back, worker_cache
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -91,4 +91,12 @@ def _byte_letters() -> dict[str, int]:
 
 def tokenizer(spec: bytes) -> ByteBpe:
     """One tokenizer a Python worker."""
-    return worker_cache(f"byte-bpe-{hash(spec)}", lambda: ByteBpe(spec))
+
+
+    def make() -> ByteBpe:
+        give_back()
+        made = ByteBpe(spec)
+        give_back()
+        return made
+
+    return worker_cache(f"byte-bpe-{hash(spec)}", make)

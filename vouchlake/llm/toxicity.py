@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .pu import LinearScorer, estimate_prior, fit_nnpu
 from .samples import learnable, read_table, remainder, training_sample
-from .workspace import cut
+from .workspace import cut, give_back
 
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Bounds of the fitting sample, of the features proposed by it and of the vocabulary.
@@ -151,6 +151,7 @@ def corpus_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, i
             counts += np.bincount(found, minlength=len(counts))
             n += b.num_rows
         counts[-1] = n
+        give_back()
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(counts[held], pa.int64())], names=["feature", "n"])
 
@@ -233,6 +234,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(model.scores(b.column(at).to_pylist()) < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

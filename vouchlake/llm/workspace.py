@@ -60,3 +60,18 @@ def bounded_batches(spark: SparkSession) -> None:
         now = spark.conf.get(name).rstrip("b")  # with another unit, somebody chose it
         if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
+
+
+def give_back() -> None:
+    """Return what this process has freed to the machine. Allocators keep it otherwise, and what the worker loads for a later stage comes on top."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
