@@ -27,3 +27,21 @@ def test_names_that_share_their_words_and_each_other(spark):
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in itertools.product(names, names) if a in b}
     many = spark.createDataFrame([(f"the northern savings bank number {k * 7919 + 100_000}x",) for k in range(3000)], "n string")
     assert _within(many, many).count() == 3000
+
+
+def test_a_document_with_nothing_to_compare_raises_no_finding_of_the_comparison(spark, sf_small, tmp_path):
+    """Supplier 2535 has no IBAN, account, holder or known country on either side: neither query nor SQL may say that all fields match."""
+    import duckdb
+
+    from vouchlake.queries import ORACLES, QUERIES
+
+    rows = [(2535, "Supplier#000002535", 3), (2536, "Supplier#000002536", 3)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{sf_small}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    for t in ("supplier", "orders"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    key = lambda r: tuple(map(str, r))
+    got = sorted((tuple(r) for r in QUERIES["all_findings"](spark, str(tmp_path)).select("doc_id", "source", "rule_id", "verdict_effect").collect()), key=key)
+    assert got == sorted(c.sql(ORACLES["all_findings"]).fetchall(), key=key)
+    assert not any(r[:2] == (2535, "comparison") for r in got) and any(r[0] == 2536 and r[1] == "comparison" for r in got)
