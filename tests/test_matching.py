@@ -45,3 +45,18 @@ def test_a_document_with_nothing_to_compare_raises_no_finding_of_the_comparison(
     got = sorted((tuple(r) for r in QUERIES["all_findings"](spark, str(tmp_path)).select("doc_id", "source", "rule_id", "verdict_effect").collect()), key=key)
     assert got == sorted(c.sql(ORACLES["all_findings"]).fetchall(), key=key)
     assert not any(r[:2] == (2535, "comparison") for r in got) and any(r[0] == 2536 and r[1] == "comparison" for r in got)
+
+
+def test_an_account_that_everyone_holds_is_counted_without_its_pairs(spark):
+    """500 partners of a dummy account and 500 documents that end with it: the same counts as pair by pair, and no join makes the pairs."""
+    from vouchlake.operators.reconcile import MANY_PARTNERS, _partner_hits, reverse_lookup
+
+    n = 5 * MANY_PARTNERS
+    docs = [(k, f"XX00{k * 10 + 9:018d}" if k % 7 else "", str(700_000 + k) if k % 3 else "") for k in range(n)]
+    erp = [(f"P{k}", "", "9") for k in range(n)] + [(f"P{k}", "", f"00{k * 10 + 9}") for k in range(n)] + [(f"Q{k}", f"XX00{k * 10 + 9:018d}", str(700_000 + k)) for k in range(0, n, 2)]
+    erp += [(f"R{k}", "", "19") for k in range(n)] + [(f"R{k}", "", "9") for k in range(0, n, 5)] + [(None, "", "29"), (None, "", "9")]
+    tables = spark.createDataFrame(docs, "doc_id long, iban string, account_number string"), spark.createDataFrame(erp, "partner string, iban string, bankn string")
+    got = {r.doc_id: r.n_partners for r in reverse_lookup(*tables).collect()}
+    hit = lambda d, e: (d[1] != "" and d[1] == e[1]) or (e[2].lstrip("0") != "" and (d[2].lstrip("0") == e[2].lstrip("0") or d[1].endswith(e[2].lstrip("0"))))
+    assert got == {d[0]: len({e[0] for e in erp if hit(d, e)}) for d in docs}
+    assert _partner_hits(*tables)[1].count() <= 4 * n < n * n // 10
