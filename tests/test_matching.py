@@ -60,3 +60,22 @@ def test_an_account_that_everyone_holds_is_counted_without_its_pairs(spark):
     hit = lambda d, e: (d[1] != "" and d[1] == e[1]) or (e[2].lstrip("0") != "" and (d[2].lstrip("0") == e[2].lstrip("0") or d[1].endswith(e[2].lstrip("0"))))
     assert got == {d[0]: len({e[0] for e in erp if hit(d, e)}) for d in docs}
     assert _partner_hits(*tables)[1].count() <= 4 * n < n * n // 10
+
+
+def test_two_words_that_every_name_has_meet_no_entry_twice(spark):
+    """Best entries equal trying all pairs, for names of few words and of many; the sets of a name's words are looked up, not its pairs of entries."""
+    import random
+
+    from vouchlake.operators.reconcile import FEW_WORDS, _subsets
+
+    rng = random.Random(5)
+    pool = [f"w{k}x" for k in range(14)]
+    make = lambda tag, most: f"northern services {' '.join(rng.sample(pool, rng.randrange(most)))} {tag}"
+    entries = [(make(f"e{k}", 9 if k % 5 else 13), k % 3 > 0) for k in range(120)]
+    names = [make(f"n{k}", 9 if k % 5 else 13) for k in range(60)]
+    got = {r["name"]: tuple(r)[1:] for r in registry_match(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(entries, "name string, active boolean")).collect()}
+    for n in names:
+        _, minus, best, active = min((not a, -len(set(n.split()) & set(e.split())), e, a) for e, a in entries)
+        assert got[n] == ("FOUND" if active else "CONFLICT", best, -minus)
+    few = spark.createDataFrame([(["a", "b", "c"],)], "words array<string>").select(_subsets("words")).first()[0]
+    assert sorted(few) == [["a", "b"], ["a", "b", "c"], ["a", "c"], ["b", "c"]] and FEW_WORDS <= 8
