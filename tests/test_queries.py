@@ -54,3 +54,11 @@ def test_the_registry_needs_no_session():
 
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], timeout=120)
+
+
+def test_the_corpus_is_made_in_as_many_tasks_as_its_numbers_need(spark, tmp_path):
+    """Keys from one small file are dealt to many tasks before texts are made of them; no key is lost."""
+    spark.range(70_000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = QUERIES["corpus_readings"](spark, str(tmp_path)).select("doc_id")
+    sizes = [r["n"] for r in made.selectExpr("spark_partition_id() AS p").groupBy("p").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()]
+    assert sum(sizes) == 70_000 and max(sizes) < 25_000

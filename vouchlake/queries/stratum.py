@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vouchlake.functions.columns import IBAN_LENGTH
-from vouchlake.functions.frames import beside
+from vouchlake.functions.frames import beside, spread
 from vouchlake.operators import extract as X
 from vouchlake.operators import guards as G
 from vouchlake.operators.reading import read_texts
@@ -71,7 +71,7 @@ _FIELDS = ("doc_type", "account_holder", "iban", "swift_bic", "account_number",
 
 
 def _numbers(customer):
-    return make_corpus(customer.select(F.col("c_custkey").cast("long").alias("k")))
+    return make_corpus(spread(customer.select(F.col("c_custkey").cast("long").alias("k")), "k"))
 
 
 @query(
