@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vouchlake.llm import neardup, packing, quality, toxicity
 from vouchlake.llm.samples import read_table
-from vouchlake.llm.workspace import bounded_batches, fresh_path
+from vouchlake.llm.workspace import bounded_batches, fresh_path, give_back
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,4 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        give_back()  # what fitting left in the driver's Python
     return docs
