@@ -397,3 +397,41 @@ def test_cut_streams_are_refused():
     for at in (40, 120, len(good) // 2):
         with pytest.raises((ValueError, IndexError)):
             W.decode(good[:at])
+
+
+def test_a_short_text_takes_few_calls():
+    """Most texts are a few kB, so what a file costs is the number of calls, not the samples."""
+    import sys
+
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, int(n)))) for n in rng.integers(2, 9, 300)]
+    payload = payload_of(" ".join(words[min(int(k), 299)] for k in rng.geometric(0.02, 400)))
+    assert (decode_payload(encode_payload(payload)) == payload).all()  # and what is made once is there
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        decode_payload(encode_payload(payload))
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 1250  # 1486 when codes of one symbol were built anew and code lengths came from a heap
+
+
+def test_code_lengths_are_those_of_a_heap():
+    import heapq
+
+    for k in range(300):
+        counts = np.minimum(RNG.geometric(10.0 ** -RNG.uniform(0.1, 3), int(RNG.integers(2, 281))), 1 << 20)
+        heap = [(int(w), s, (s,)) for s, w in enumerate(counts)]
+        heapq.heapify(heap)
+        lengths, made = np.zeros(len(counts), np.int64), len(heap)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            lengths[list(a[2] + b[2])] += 1
+            heapq.heappush(heap, (a[0] + b[0], made, a[2] + b[2]))
+            made += 1
+        if lengths.max() <= 15:
+            assert (W.code_lengths(counts, 15) == lengths).all(), k

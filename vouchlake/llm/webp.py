@@ -15,9 +15,8 @@ shorten an image of one channel, where a cached colour takes one symbol as a lit
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -66,13 +65,18 @@ for _bit in range(16):
 
 def words_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols in the order of their words, code words as they lie in the stream) of canonical code lengths."""
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
+    used = lengths.nonzero()[0]
+    order = used[lengths[used].argsort(kind="stable")]
     n = lengths[order]
-    longest = int(n[-1]) if len(n) else 0
-    room = np.left_shift(1, longest - n)
-    word = np.cumsum(room) - room >> longest - n
-    return order, _REVERSED[word] >> 16 - n
+    spare = (int(n[-1]) if len(n) else 0) - n
+    room = np.left_shift(1, spare)
+    return order, _REVERSED[room.cumsum() - room >> spare] >> 16 - n
+
+
+@cache
+def _flip(bits: int) -> np.ndarray:
+    """The numbers of so many bits in the opposite order."""
+    return _REVERSED[: 1 << bits] >> 16 - bits
 
 
 @dataclass
@@ -86,18 +90,20 @@ class Code:
     length: np.ndarray = field(default=None, repr=False)
 
     def __post_init__(self):
-        used = np.flatnonzero(self.lengths)
+        used = self.lengths.nonzero()[0]
         if len(used) < 2:
             self.only = int(used[0]) if len(used) else 0
             return
-        self.bits = int(self.lengths.max())
-        order = used[np.argsort(self.lengths[used], kind="stable")]
-        times = np.left_shift(1, self.bits - self.lengths[order])
+        n = self.lengths[used]
+        by_length = n.argsort(kind="stable")
+        n = n[by_length]
+        self.bits = int(n[-1])
+        times = np.left_shift(1, self.bits - n)
         if int(times.sum()) != 1 << self.bits:
             raise ValueError("the code words don't fill their space")
-        flip = _REVERSED[: 1 << self.bits] >> 16 - self.bits
-        self.symbol = np.repeat(order.astype(np.int32), times)[flip]
-        self.length = np.repeat(self.lengths[order].astype(np.uint8), times)[flip]
+        flip = _flip(self.bits)
+        self.symbol = used[by_length].astype(np.int32).repeat(times).take(flip)
+        self.length = n.astype(np.uint8).repeat(times).take(flip)
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -107,26 +113,61 @@ class Code:
         return int(self.symbol[at])
 
 
-def read_code(bits: Bits, alphabet: int) -> Code:
+@lru_cache(maxsize=256)
+def _single(symbol: int, alphabet: int) -> Code:
+    """The code of one symbol, which takes no bits."""
     lengths = np.zeros(alphabet, np.int64)
+    lengths[symbol] = 1
+    return Code(lengths)
+
+
+@cache
+def _flips(bits: int) -> list[int]:
+    return _flip(bits).tolist()
+
+
+def _length_table(first: list[int]) -> tuple[list[int], list[int], int]:
+    """(symbols, lengths, mask) of the code of the code lengths, as plain lists: it has 19 symbols."""
+    order = sorted((s for s in range(19) if first[s]), key=first.__getitem__)
+    if len(order) < 2:
+        return order or [0], [0], 0
+    bits = first[order[-1]]
+    symbol, size = [], []
+    for s in order:
+        times = 1 << bits - first[s]
+        symbol += [s] * times
+        size += [first[s]] * times
+    if len(symbol) != 1 << bits:
+        raise ValueError("the code words don't fill their space")
+    flip = _flips(bits)
+    return [symbol[k] for k in flip], [size[k] for k in flip], (1 << bits) - 1
+
+
+def read_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        symbol = bits.read(8 if bits.read(1) else 1)
+        if not two:
+            return _single(symbol, alphabet)
+        lengths = np.zeros(alphabet, np.int64)
+        lengths[symbol] = 1
+        lengths[bits.read(8)] = 1
         return Code(lengths)
-    first = np.zeros(19, np.int64)
-    for k in range(4 + bits.read(4)):
-        first[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    code = Code(first)
+    first = [0] * 19
+    stored = 4 + bits.read(4)
+    value = bits.read(3 * stored) if stored < 19 else bits.read(54) | bits.read(3) << 54
+    for k in range(stored):
+        first[CODE_LENGTH_ORDER[k]] = value >> 3 * k & 7
+    symbol, size, mask = _length_table(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    start, pos = bits.at >> 3, bits.at & 7
-    # an alphabet's lengths take at most 14 bits each
-    ahead = int.from_bytes(bits.data[start : start + 2 * alphabet + 8], "little")
-    symbol, size, mask = (code.symbol.tolist(), code.length.tolist(), (1 << code.bits) - 1) if code.only is None else ([code.only], [0], 0)
+    data, start, pos = bits.data, bits.at, 0
+    ahead = int.from_bytes(data[start >> 3 : (start >> 3) + 8], "little") >> (start & 7)
     out, previous = [], 8
     while len(out) < alphabet and left:
         left -= 1
+        if pos > 40:  # a length takes at most 14 bits
+            start += pos
+            ahead, pos = int.from_bytes(data[start >> 3 : (start >> 3) + 8], "little") >> (start & 7), 0
         at = ahead >> pos & mask
         s = symbol[at]
         pos += size[at]
@@ -139,8 +180,9 @@ def read_code(bits: Bits, alphabet: int) -> Code:
             pos += extra
     if len(out) > alphabet:
         raise ValueError("code lengths run over")
+    lengths = np.zeros(alphabet, np.int64)
     lengths[: len(out)] = out
-    bits.at = start * 8 + pos
+    bits.at = start + pos
     return Code(lengths)
 
 
@@ -201,6 +243,13 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     return np.array(out, np.uint32)
 
 
+_EIGHT = np.arange(8, dtype=np.uint32)
+# of each prefix symbol of a length or distance: how many bits follow, their mask, and the least number
+_EXTRA = np.maximum(np.arange(40) - 2, 0) >> 1
+_MASK = np.left_shift(1, _EXTRA) - 1
+_LEAST = np.where(np.arange(40) < 4, np.arange(40), np.left_shift(2 + (np.arange(40) & 1), _EXTRA)) + 1
+
+
 def _words(data: np.ndarray) -> np.ndarray:
     """The four bytes from each byte on as a number."""
     padded = np.zeros(len(data) + 3, np.uint32)
@@ -212,18 +261,20 @@ def _chain(step: np.ndarray, at: int, n: int) -> np.ndarray:
     """The first n positions of the way that leads from each position to its step; fewer if it ends at the last position."""
     jumps, reach = [step], 1
     while reach < 8 and reach < n:
-        jumps.append(jumps[-1][jumps[-1]])
+        jumps.append(jumps[-1].take(jumps[-1]))
         reach *= 2
-    chain = np.empty(-(-n // reach), np.int32)
-    far, last = memoryview(jumps[-1]), len(step) - 1
-    for k in range(len(chain)):
-        chain[k] = at
+    far, last, found = memoryview(jumps[-1]), len(step) - 1, []
+    for _ in range(-(-n // reach)):
+        found.append(at)
         if at == last:
-            chain = chain[: k + 1]
             break
         at = far[at]
+    chain = np.array(found, np.int64)
     for jump in reversed(jumps[:-1]):
-        chain = np.stack([chain, jump[chain]], axis=1).ravel()
+        both = np.empty(2 * len(chain), np.int64)
+        both[::2] = chain
+        both[1::2] = jump.take(chain)
+        chain = both
     return chain[:n]
 
 
@@ -234,7 +285,7 @@ def _literals(bits: Bits, code: Code, n: int) -> np.ndarray:
     start = bits.at >> 3
     word = _words(np.frombuffer(bits.data, np.uint8)[start : start + (n * code.bits + 7 >> 3) + 2])
     window = (word[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << code.bits) - 1)).ravel()
-    step = np.minimum(np.arange(len(window), dtype=np.int32) + code.length[window], np.int32(len(window) - 1))
+    step = np.minimum(np.arange(len(window)) + code.length[window], len(window) - 1)
     chain = _chain(step, bits.at & 7, n)
     if len(chain) < n:
         raise ValueError("the stream ends within the image")
@@ -252,35 +303,35 @@ def _tokens(bits: Bits, green: Code, distance: Code, total: int, width: int) ->
     """The samples of a stream of literals and back-references in one channel."""
     start = bits.at >> 3
     word = _words(np.frombuffer(bits.data, np.uint8)[start:])
-    window = (word[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << green.bits) - 1)).ravel()
+    window = (word[:, None] >> _EIGHT & np.uint32((1 << green.bits) - 1)).astype(np.intp).ravel()
     last = len(window) - 1
-    symbol = green.symbol[window]
-    step = np.arange(len(window), dtype=np.int32) + green.length[window]
+    symbol = green.symbol.take(window)
+    step = np.arange(len(window))
+    step += green.length.take(window)
 
-    def ahead(at: np.ndarray, size) -> np.ndarray:  # up to 25 bits
-        return word[np.minimum(at >> 3, len(word) - 1)].astype(np.int64) >> (at & 7) & np.left_shift(1, size) - 1
+    def ahead(at: np.ndarray, mask) -> np.ndarray:  # up to 25 bits
+        return word.take(at >> 3, mode="clip").astype(np.int64) >> (at & 7) & mask
 
     def number(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        extra = np.maximum(prefix - 2, 0) >> 1
-        return np.where(prefix < 4, prefix, np.left_shift(2 + (prefix & 1), extra) + ahead(at, extra)) + 1, at + extra
+        return _LEAST.take(prefix) + ahead(at, _MASK.take(prefix)), at + _EXTRA.take(prefix)
 
-    refs = np.flatnonzero(symbol >= 256)
-    n, at = number(symbol[refs].astype(np.int64) - 256, step[refs].astype(np.int64))
+    refs = (symbol >= 256).nonzero()[0]
+    n, at = number(symbol.take(refs).astype(np.int64) - 256, step.take(refs))
     if distance.only is None:
-        look = ahead(at, distance.bits)
-        prefix, at = distance.symbol[look].astype(np.int64), at + distance.length[look]
+        look = ahead(at, (1 << distance.bits) - 1)
+        prefix, at = distance.symbol.take(look).astype(np.int64), at + distance.length.take(look)
     else:
         prefix = np.full(len(refs), distance.only, np.int64)
     back, at = number(prefix, at)
     step[refs] = np.minimum(at, last)
-    chain = _chain(np.minimum(step, np.int32(last)), bits.at & 7, total)
-    kind = symbol[chain]
-    copies = np.flatnonzero(kind >= 256)
-    which = np.searchsorted(refs, chain[copies])
+    chain = _chain(np.minimum(step, last, out=step), bits.at & 7, total)
+    kind = symbol.take(chain)
+    copies = (kind >= 256).nonzero()[0]
+    which = refs.searchsorted(chain.take(copies))
     sizes = np.ones(len(chain), np.int64)
-    sizes[copies] = n[which]
-    ends = np.cumsum(sizes)
-    used = int(np.searchsorted(ends, total)) + 1
+    sizes[copies] = n.take(which)
+    ends = sizes.cumsum()
+    used = int(ends.searchsorted(total)) + 1
     if used > len(chain) or ends[used - 1] != total:
         raise ValueError("a back-reference or the stream leaves the image")
     bits.at = start * 8 + int(step[chain[used - 1]])
@@ -444,20 +495,27 @@ def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
         return out
     weights, step = counts[used].astype(np.int64), longest
     while True:
-        heap = [(w, k) for k, w in enumerate(weights.tolist())]
-        heapq.heapify(heap)
-        parent, following = {}, len(used)
-        while len(heap) > 1:
-            (w1, a), (w2, b) = heapq.heappop(heap), heap[0]
-            parent[a] = parent[b] = following
-            heapq.heapreplace(heap, (w1 + w2, following))
-            following += 1
-        depth = {following - 1: 0}
-        for k in range(following - 2, -1, -1):
+        # leaves by weight, sums as they are made: the lightest two stand first in either row, leaves before sums of equal weight
+        n, order = len(used), weights.argsort(kind="stable").tolist()
+        light = [*weights[order].tolist(), 1 << 62, 1 << 62]
+        sums, parent, leaf, inner = [], [0] * (2 * n - 1), 0, 0
+        for made in range(n - 1):
+            total = 0
+            for _ in (0, 1):
+                if inner == made or light[leaf] <= sums[inner]:
+                    total += light[leaf]
+                    parent[leaf] = n + made
+                    leaf += 1
+                else:
+                    total += sums[inner]
+                    parent[n + inner] = n + made
+                    inner += 1
+            sums.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
-        lengths = [depth[k] for k in range(len(used))]
-        if max(lengths) <= longest:
-            out[used] = lengths
+        if max(depth) <= longest:
+            out[used[order]] = depth[:n]
             return out
         step -= 1  # each round the rarest count for twice as much; at last all are equal
         weights = np.maximum(weights, (int(counts.sum()) >> max(step, 0)) + 1)
@@ -494,15 +552,16 @@ def write_code(out: Writer, lengths: np.ndarray) -> None:
         at += 1
     first = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     words = dict(zip(*(x.tolist() for x in words_of(first))))
-    single = np.count_nonzero(first) == 1
-    stored = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if first[s]) + 1
-    stored = max(4, stored)
-    out.put(0, 1)
-    out.put(stored - 4, 4)
-    for s in CODE_LENGTH_ORDER[:stored]:
-        out.put(int(first[s]), 3)
-    out.put(0, 1)
-    size = [0] * 19 if single else first.tolist()
+    size = first.tolist()
+    stored = 19
+    while stored > 4 and not size[CODE_LENGTH_ORDER[stored - 1]]:
+        stored -= 1
+    head = (stored - 4) << 1
+    for k, s in enumerate(CODE_LENGTH_ORDER[:stored]):
+        head |= size[s] << 5 + 3 * k
+    out.put(head, 6 + 3 * stored)
+    if single := len(words) == 1:
+        size = [0] * 19
     value = at = 0
     for s, extra, n in tokens:
         value |= (words[s] | extra << size[s]) << at if not single else extra << at
@@ -525,10 +584,9 @@ def _flat_codes(alpha: int) -> tuple[int, int]:
 
 def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(prefix symbols, extra bits, how many) of lengths or distances from 1 on."""
-    v = values.astype(np.int64) - 1
-    top = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
-    extra = np.where(v < 4, 0, top - 1)
-    return np.where(v < 4, v, 2 * top + (v >> np.maximum(top - 1, 0) & 1)), v & np.left_shift(1, extra) - 1, extra
+    v = values - 1
+    p = _LEAST.searchsorted(values, side="right") - 1
+    return p, v & _MASK.take(p), _EXTRA.take(p)
 
 
 def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -540,24 +598,30 @@ def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if len(samples) <= SEEN:
         return none, none, none
-    key = np.lib.stride_tricks.sliding_window_view(samples, SEEN)
-    key = np.ascontiguousarray(key).view(np.uint64).ravel()
-    place = np.arange(len(key), dtype=np.uint64)
-    order = (np.sort(key * np.uint64(0x9E3779B97F4A7C15) & ~np.uint64(0xFFFFFFFF) | place) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    seen = key[order]
-    same = np.flatnonzero(seen[1:] == seen[:-1])
+    key = np.ndarray(len(samples) - SEEN + 1, np.uint64, np.ascontiguousarray(samples), 0, (1,)).copy()
+    order = key * np.uint64(0x9E3779B97F4A7C15)
+    order &= ~np.uint64(0xFFFFFFFF)
+    order |= np.arange(len(key), dtype=np.uint64)
+    order.sort()
+    order &= np.uint64(0xFFFFFFFF)
+    order = order.view(np.int64)
+    seen = key.take(order)
+    same = (seen[1:] == seen[:-1]).nonzero()[0]
     if not len(same):
         return none, none, none
     distance = np.zeros(len(key) + 1, np.int64)
-    distance[order[same + 1]] = order[same + 1] - order[same]
+    later = order.take(same + 1)
+    distance[later] = later - order.take(same)
     # a stretch ends where the distance changes; it reaches SEEN - 1 samples beyond its last place
-    turn = np.flatnonzero(np.diff(distance, prepend=0))
-    begin = turn[distance[turn] > 0]
-    end = turn[np.searchsorted(turn, begin, side="right")] + SEEN - 1
-    far = distance[begin]
-    begin = np.maximum(begin, np.append(0, end[:-1]))
-    kept = end - begin >= SEEN  # so each has room for a length and a distance
-    begin, end, far = begin[kept], end[kept], far[kept]
+    turn = (distance[1:] != distance[:-1]).nonzero()[0] + 1
+    far = distance.take(turn)
+    at = far.nonzero()[0]  # the first place has no distance, nor has the end
+    begin, end, far = turn.take(at), turn.take(at + 1) + (SEEN - 1), far.take(at)
+    begin[1:] = np.maximum(begin[1:], end[:-1])
+    kept = (end - begin >= SEEN).nonzero()[0]  # so each has room for a length and a distance
+    begin, end, far = begin.take(kept), end.take(kept), far.take(kept)
+    if not len(kept) or int((end - begin).max()) <= LONGEST_COPY:
+        return begin, end - begin, far
     parts = -(-(end - begin) // LONGEST_COPY)
     place = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
     start = np.repeat(begin, parts) + place * LONGEST_COPY
@@ -569,7 +633,12 @@ def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _bits_of(counts: np.ndarray) -> float:
     """What a code would take for symbols that occur so often, at least a bit each if there are several."""
     used = counts[counts > 0].astype(np.float64)
-    return float((used * np.maximum(np.log2(used.sum() / used), 1)).sum()) if len(used) > 1 else 0.0
+    if len(used) < 2:
+        return 0.0
+    each = np.log2(used.sum() / used)
+    np.maximum(each, 1, out=each)
+    each *= used
+    return float(each.sum())
 
 
 @cache
@@ -589,13 +658,14 @@ def _tokens_of(samples: np.ndarray, width: int) -> tuple[float, tuple]:
     if len(start):
         level = np.zeros(len(samples) + 1, np.int8)
         level[start] += 1
-        np.subtract.at(level, start + n, 1)
-        left = np.flatnonzero(np.cumsum(level[:-1], dtype=np.int8) == 0)
+        level[start + n] -= 1  # no two end at one place
+        left = (level[:-1].cumsum(dtype=np.int8) == 0).nonzero()[0]
         near = _near(width)
-        code = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], 0)
+        code = np.where(far < len(near), near.take(far, mode="clip"), 0)
         p, p_bits, p_size = _prefix(n)
         d, d_bits, d_size = _prefix(np.where(code, code, far + 120))
-        mixed = np.bincount(np.append(samples[left], 256 + p), minlength=280)
+        mixed = np.bincount(samples.take(left), minlength=280)
+        mixed[256:] += np.bincount(p, minlength=24)
         away = np.bincount(d, minlength=40)
         size = _bits_of(mixed) + _bits_of(away) + int((p_size + d_size).sum()) + COPY_HEAD
         if size < plain:
@@ -620,35 +690,37 @@ def _write_image(head: Writer, samples: np.ndarray, tokens: tuple, alpha: int) -
 
     code, n = coded(lengths)
     if copies is None:
-        value, size = code[samples], n[samples]
+        value, size = code.take(samples), n.take(samples)
     else:
         far_code, far_n = coded(reach)
         start, p, p_bits, p_size, d, d_bits, d_size = copies
         # a copy takes two entries, its length and its distance, in place of its first two samples
         taken = np.zeros(len(samples), bool)
         taken[left] = taken[start] = taken[start + 1] = True
-        value, size = code[samples], n[samples]
-        value[start] = code[256 + p] | p_bits.astype(np.uint64) << n[256 + p].astype(np.uint64)
-        size[start] = n[256 + p] + p_size
-        value[start + 1] = far_code[d] | d_bits.astype(np.uint64) << far_n[d].astype(np.uint64)
-        size[start + 1] = far_n[d] + d_size
+        value, size = code.take(samples), n.take(samples)
+        p_n, d_n = n.take(256 + p), far_n.take(d)
+        value[start] = code.take(256 + p) | (p_bits << p_n).view(np.uint64)
+        size[start] = p_n + p_size
+        value[start + 1] = far_code.take(d) | (d_bits << d_n).view(np.uint64)
+        size[start + 1] = d_n + d_size
         value, size = value[taken], size[taken]
-    ends = np.cumsum(size)
+    ends = size.cumsum()
     at = ends - size + head.n
     total = int(ends[-1]) + head.n
-    words64 = value << (at & 31).astype(np.uint64)
+    words64 = value << (at & 31).view(np.uint64)
     cell = at >> 5
     # starts rise, so those of a 32-bit cell are neighbours; their bits don't overlap
-    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    new = np.ones(len(cell), bool)
+    np.not_equal(cell[1:], cell[:-1], out=new[1:])
+    first = new.nonzero()[0]
     merged = np.bitwise_or.reduceat(words64, first)
+    filled = cell.take(first)
     cells = np.zeros((total >> 5) + 2, np.uint64)
-    cells[cell[first]] |= merged & np.uint64(0xFFFFFFFF)
-    cells[cell[first] + 1] |= merged >> np.uint64(32)
-    raw = bytearray(cells.astype("<u4").tobytes()[: total + 7 >> 3])
-    lead = head.value.to_bytes((head.n + 7) >> 3, "little")
-    for k, byte in enumerate(lead):
-        raw[k] |= byte
-    return bytes(raw)
+    cells[filled] = merged & np.uint64(0xFFFFFFFF)
+    cells[filled + 1] |= merged >> np.uint64(32)
+    raw = cells.astype("<u4").tobytes()[: total + 7 >> 3]
+    lead = head.n + 7 >> 3
+    return (int.from_bytes(raw[:lead], "little") | head.value).to_bytes(lead, "little") + raw[lead:]
 
 
 def _predictor_head(out: Writer, mode: int, width: int, height: int) -> None:
@@ -689,14 +761,13 @@ def encode_grey(samples: np.ndarray, width: int) -> bytes:
     chosen, transform = samples, None
     rows = samples.reshape(height, width)
     for mode in (1, 2):
-        rest = rows.copy()
-        rest[0, 1:] -= rows[0, :-1]  # the first row and column have one neighbour
-        rest[1:, 0] -= rows[:-1, 0]
+        rest = samples.copy()
         if mode == 1:
-            rest[1:, 1:] -= rows[1:, :-1]
+            rest[1:] -= samples[:-1]
+            rest[width::width] = samples[width::width] - samples[:-width:width]  # the first column has its upper neighbour alone
         else:
-            rest[1:, 1:] -= rows[:-1, 1:]
-        rest = rest.ravel()
+            rest[1:width] -= samples[: width - 1]  # the first row has its left neighbour alone
+            rest[width:] -= samples[:-width]
         if _bits_of(np.bincount(rest, minlength=256)) + TRANSFORM_HEAD < best:
             size, other = _tokens_of(rest, width)
             if size + TRANSFORM_HEAD < best:
