@@ -133,3 +133,20 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: -3 for k in (-3, *range(100, 161))} | {k: 5 for k in (5, 7, *range(300, 340))}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tasks_leave_little_in_their_worker():
+    """A worker keeps what a stage left in it while the pipeline's later stages run; what is made of a batch comes in slices."""
+    import pyarrow as pa
+
+    from vouchlake.llm import neardup as N
+    from vouchlake.llm.workspace import worker_cache
+
+    texts = [f"words of text {k} that come once" for k in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts, "text_hash": list(range(1000))})
+    described = pa.Table.from_batches(N._describe(4)(iter([batch])))
+    assert described.num_rows == 1000 and not worker_cache("word-hashes", dict)
+    wanted = pa.RecordBatch.from_pydict({"node": list(range(1000)), "set_id": described["set_id"].to_pylist(), "text": texts})
+    made = list(N._sets_of(4)(iter([wanted])))
+    assert sum(b.num_rows for b in made) == 1000 and max(b.num_rows for b in made) <= 256
+    assert not worker_cache("word-hashes", dict)

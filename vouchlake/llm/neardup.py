@@ -37,14 +37,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components, join_one, labelled, star_edges
 from .samples import read_table
-from .workspace import cut, free_name, give_back, worker_cache
+from .workspace import cut, free_name, give_back, in_slices, worker_cache
 
 CHUNKS, WIDTH = 12, 4
 POSITIONS, THRESHOLD = CHUNKS * WIDTH, 2 * CHUNKS - 1
@@ -96,6 +95,12 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(_mix(total + np.uint64(take)))
 
 
+def _forget_words() -> None:
+    """At a task's end: the words it met are forgotten and their memory given back; the worker's later stages would add theirs to it."""
+    worker_cache("word-hashes", _WordHashes).clear()
+    give_back()
+
+
 def signature(ids: np.ndarray) -> np.ndarray:
     """b-bit minimum hashes; POSITIONS unsigned 16-bit values."""
     out = np.empty(POSITIONS, np.uint64)
@@ -123,7 +128,7 @@ def _describe(words: int):
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sig, pa.binary()), b.column("text_hash")],
                 names=["doc_id", "n_shingles", "set_id", "sig", "text_hash"],
             )
-        give_back()
+        _forget_words()
 
     return run
 
@@ -150,7 +155,7 @@ def _sets_of(words: int):
     """(node, n, sig, ids) of candidates: their sets once more, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             rows = []
             for node, set_id, text in zip(b.column("node").to_pylist(), b.column("set_id").to_pylist(), b.column("text").to_pylist()):
                 ids = shingles(text, words)
@@ -160,18 +165,19 @@ def _sets_of(words: int):
                 [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
                 names=["node", "n", "sig", "ids"],
             )
-        give_back()
+        _forget_words()
 
     return run
 
 
 def _explode_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in in_slices(batches):
         if b.num_rows:
             ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(np.repeat(b.column("node").to_numpy(), b.column("n").to_numpy()))], names=["id", "node"]
             )
+    give_back()
 
 
 def _reaches(shared: int, n: int, m: int, numerator: int) -> bool:
@@ -182,7 +188,7 @@ def _confirm(numerator: int):
     """Links among candidate pairs: bounds and signature distance first, then the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             rows = []
             cols = {c: b.column(c).to_pylist() for c in b.schema.names}
             for k in range(b.num_rows):
@@ -196,6 +202,7 @@ def _confirm(numerator: int):
                 if _reaches(shared, n, m, numerator):
                     rows.append((cols["a"][k], cols["b"][k]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -203,15 +210,14 @@ def _confirm(numerator: int):
 def _compare_blocks(numerator: int):
     """Links that join components among the members of two blocks (or within one)."""
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        part = part.sort_values("node", ignore_index=True)
-        n, c = part["n"].to_numpy(), part["c"].to_numpy()
-        sig = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(len(part), POSITIONS)
-        flat, bounds = np.frombuffer(b"".join(part["ids"]), np.uint64), np.cumsum([0, *n])
+    def links(i: int, j: int, part: pa.Table) -> list[tuple[int, int]]:
+        part = part.sort_by("node")
+        node, n, c, block = (part[x].to_numpy() for x in ("node", "n", "c", "block"))
+        sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint16).reshape(len(part), POSITIONS)
+        flat, bounds = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in part["ids"]]), np.cumsum([0, *n])
         names, local = np.unique(flat, return_inverse=True)
         mark = np.zeros(len(names), bool)
-        block, label, above, out = part["block"].to_numpy(), part["label"].tolist(), {}, []
+        label, above, out = part["label"].to_pylist(), {}, []
 
         def root(x: int) -> int:
             while (up := above.get(x, x)) != x:
@@ -235,9 +241,15 @@ def _compare_blocks(numerator: int):
                 x, y = root(label[u]), root(label[v])
                 if x != y and _reaches(int(np.count_nonzero(mark[local[bounds[v] : bounds[v + 1]]])), int(n[u]), int(n[v]), numerator):
                     above[max(x, y)] = min(x, y)
-                    out.append((part["node"][u], part["node"][v]))
+                    out.append((int(node[u]), int(node[v])))
             mark[mine] = False
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return out
+
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        found = links(key[1].as_py(), key[2].as_py(), part)
+        if part.nbytes > 1 << 20:
+            give_back()  # what was sorted there is several times as large
+        return pa.table([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -345,7 +357,7 @@ def link_sets(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, nume
     clusters = components(star_edges(remaining, "key", "node", total)).withColumnRenamed("root", "cluster")
     sized = clusters.join(label, "node").join(bounds.select("node", "n"), "node")
     blocked = in_blocks(sized, total).join(alive, "node")
-    rest = blocked.groupBy("cluster", "i", "j").applyInPandas(_compare_blocks(numerator), "a long, b long")
+    rest = blocked.groupBy("cluster", "i", "j").applyInArrow(_compare_blocks(numerator), "a long, b long")
     return links.unionByName(rest)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .samples import read_table
 from .tokens import tokenizer, vocabulary_bytes
-from .workspace import cut
+from .workspace import cut, give_back, in_slices
 
 WINDOW, END_ID = 1024, 0
 #: Ids that a bucket should hold, on average.
@@ -169,13 +169,14 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(shared.value)
-        for b in batches:
+        for b in in_slices(batches):
             totals, ids = [], []
             for text in b.column("text").to_pylist():
                 whole = np.append(bpe.encode(text), END_ID)
                 totals.append(len(whole))
                 ids.append(whole.astype("<u2" if whole.max() < 1 << 16 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "doc_tokens", "ids"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, doc_tokens long, ids binary")
@@ -232,7 +233,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             rest, full, rank, first = (b.column(c).to_numpy() for c in ("rest", "full", "rank", "full_window"))
             ids = [
                 np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in zip(b.column("ids").to_pylist(), b.column("doc_tokens").to_pylist())
@@ -256,6 +257,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
                 ],
                 names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = ranked.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .pu import LinearScorer, estimate_prior, fit_nnpu
 from .samples import learnable, read_table, remainder, training_sample
+from .workspace import give_back
 
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Bounds of the fitting sample.
@@ -173,6 +174,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(model.scores(b.column(at).to_pylist()) >= threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

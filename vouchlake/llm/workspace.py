@@ -62,6 +62,13 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def in_slices(batches, rows: int = 256):
+    """The batches in slices of so many rows, so that what is made of one is small beside it."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def give_back() -> None:
     """Return what this process has freed to the machine. Allocators keep it otherwise, and what the worker loads for a later stage comes on top."""
     import ctypes
