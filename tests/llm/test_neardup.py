@@ -150,3 +150,51 @@ def test_tasks_leave_little_in_their_worker():
     made = list(N._sets_of(4)(iter([wanted])))
     assert sum(b.num_rows for b in made) == 1000 and max(b.num_rows for b in made) <= 256
     assert not worker_cache("word-hashes", dict)
+
+
+def test_plans_nest_no_joins_of_others(spark, monkeypatch):
+    """The driver holds each plan many times over while it runs; those of hundreds of nodes filled its memory."""
+    from vouchlake.llm import components as K
+    from vouchlake.llm import neardup as N
+    from vouchlake.llm.workspace import cut
+
+    nodes = []
+
+    def counted(df):
+        nodes.append(len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return cut(df)
+
+    for module in (K, N):
+        monkeypatch.setattr(module, "cut", counted)
+    monkeypatch.setattr(K, "CHUNK", 50)  # so that components takes its steps
+    rows = list(enumerate(family(11, 150, 45) + family(12, 40, 8)))
+    found = counted(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows)
+    assert max(nodes) <= 80, sorted(nodes)[-9:]
+
+
+def test_components_in_one_task_and_in_many(spark, monkeypatch):
+    """What one task contracts at once takes no steps; with more edges the steps give the same."""
+    from vouchlake.llm import components as K
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(60)]
+    above = {}
+
+    def root(x):
+        while above.get(x, x) != x:
+            x = above[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        above[max(a, b)] = min(a, b)
+    expected = {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    with monkeypatch.context() as m:
+        m.setattr(K, "CHUNK", 20)
+        got = components(table).collect()
+        assert len(got) == len(expected) and {r.node: r.root for r in got} == expected
+    monkeypatch.setattr(K, "join_one", None)
+    got = components(table).collect()
+    assert len(got) == len(expected) and {r.node: r.root for r in got} == expected

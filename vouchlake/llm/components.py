@@ -25,7 +25,8 @@ def join_one(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFra
 
     The rows of hot keys stay where they are, and right's rows for them, SHARE at most,
     are broadcast; only the others are dealt by key. So no task gets more than one in
-    SHARE of all rows for the sake of one key. n is not carried.
+    SHARE of all rows for the sake of one key. n is not carried. The plan holds left's
+    twice and right's three times: hand in checkpoints where they have joins of their own.
     """
     least = max(HOT, total // SHARE)
     hot, rest = right.where(F.col("n") > least).drop("n"), right.where(F.col("n") <= least).drop("n")
@@ -73,23 +74,26 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; root is the smallest node of its component.
 
     edges: a, b (long). Each step halves path lengths or better; between steps every task
-    contracts what it holds, so most graphs need one step, which finds no change. Every
-    step's result is checkpointed. Hubs of any degree are not dealt to one task.
+    contracts what it holds, so most graphs need one step, which finds no change, and a
+    graph that one task contracts at once needs none. Every step's result is checkpointed,
+    and so are its parts, so that no plan nests the joins of another: nested ones fill the
+    driver's memory. Hubs of any degree are not dealt to one task.
     """
     e = cut(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct())
     mark, n = None, e.count()
     while True:
         e = _packed(e, n)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == mark or now["n"] == 0:
+        whole = n < CHUNK  # n is the number of edges or more; below CHUNK, _packed has laid all of them in one star a component
+        now = None if whole else e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if whole or now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         mark, total = now, 2 * now["n"]
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = join_one(both, least, "u", total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+        large = cut(join_one(both, least, "u", total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        small = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         moved = join_one(large, small, "a", total).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         e = cut(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
         n = now["n"]
@@ -97,7 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def star_edges(members: DataFrame, group: str, node: str, total: int) -> DataFrame:
     """Edges (a, b) that tie each member of a group to the group's smallest; linear in the members, of which there are `total` at most."""
-    hub = members.groupBy(group).agg(F.min(node).alias("hub"), F.count("*").alias("n"))
+    hub = cut(members.groupBy(group).agg(F.min(node).alias("hub"), F.count("*").alias("n")))
     return join_one(members.select(group, node), hub, group, total).where(F.col(node) != F.col("hub")).select(F.col(node).alias("a"), F.col("hub").alias("b"))
 
 

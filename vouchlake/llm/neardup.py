@@ -314,7 +314,7 @@ def link_sets(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, nume
     """Links (a, b) between numbered sets with J >= numerator %, enough of them to hold every component together."""
     keys = reps.select("node", "sig").mapInArrow(_keys, "key long, node long")
     total = POSITIONS * reps.count()
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    shared = cut(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
     members = cut(join_one(keys, shared, "key", total))
 
     wanted = reps.select("node", "set_id", "row", "text_hash").join(members.select("node").distinct(), "node", "left_semi")
@@ -340,10 +340,10 @@ def link_sets(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, nume
 
     # all members of a bucket against its hub
     at = members.join(bounds, "node")
-    hubs = at.groupBy("key").agg(F.min_by("node", F.struct(F.lit(1) - F.col("c") / F.col("n"), "node")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = cut(at.groupBy("key").agg(F.min_by("node", F.struct(F.lit(1) - F.col("c") / F.col("n"), "node")).alias("hub"), F.count("*").alias("n")).where("n > 1"))
     pairs = cut(join_one(at.select("key", "node"), hubs, "key", total).where("node <> hub").select("node", "hub").distinct())
     # a hub's set is laid beside its pairs in parts of bounded size
-    often = pairs.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    often = cut(pairs.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")))
     side = lambda s, k: s.select(F.col("node").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("n", "c", "sig", "ids")))
     placed = join_one(pairs, often, "hub", total).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     of_hubs = side(alive, "b").join(often.select(F.col("hub").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "b")
@@ -352,10 +352,12 @@ def link_sets(docs: DataFrame, reps: DataFrame, words: int = SHINGLE_WORDS, nume
     # what the hubs left: buckets with several components
     label = cut(labelled(bounds.select("node"), components(links), "label"))
     mixed = at.select("key", "node").join(label, "node")
-    several = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key", "n")
+    several = cut(
+        mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key", "n")
+    )
     remaining = cut(join_one(mixed, several, "key", total).select("key", "node"))
     clusters = components(star_edges(remaining, "key", "node", total)).withColumnRenamed("root", "cluster")
-    sized = clusters.join(label, "node").join(bounds.select("node", "n"), "node")
+    sized = cut(clusters.join(label, "node").join(bounds.select("node", "n"), "node"))
     blocked = in_blocks(sized, total).join(alive, "node")
     rest = blocked.groupBy("cluster", "i", "j").applyInArrow(_compare_blocks(numerator), "a long, b long")
     return links.unionByName(rest)
@@ -366,10 +368,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, numerator: int
     described = cut(describe(docs, words))
     reps = number_sets(described)
     roots = components(link_sets(docs, reps, words, numerator))
-    marked = labelled(reps.select("node", "set_id", "n", "least"), roots, "component")
+    marked = cut(labelled(reps.select("node", "set_id", "n", "least"), roots, "component"))
     ids = marked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     rows = described.count()
-    by_set = join_one(marked.withColumnRenamed("n", "copies"), ids, "component", rows).select("set_id", "component", "component_id", F.col("copies").alias("n"))
+    by_set = cut(join_one(marked.withColumnRenamed("n", "copies"), ids, "component", rows).select("set_id", "component", "component_id", F.col("copies").alias("n")))
     worded = join_one(described.where("set_id IS NOT NULL").drop("sig"), by_set, "set_id", rows)
     bare = described.where("set_id IS NULL").drop("sig").select("*", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return worded.unionByName(bare).select(
