@@ -38,3 +38,10 @@ def test_stages_take_odd_rows(spark, sf_small, odd_docs, no_docs):
             assert out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).count() >= (docs.count() > 0)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "packing"]
+
+
+def test_near_dedup_is_a_small_plan(spark, sf_small):
+    """What the stage writes nests no joins of its steps; such plans filled the driver's memory."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf_small)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()) <= 100
